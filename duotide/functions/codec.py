@@ -15,16 +15,15 @@ ROWS_PER_MESSAGE = 2500
 
 
 def _fields(names: Sequence[str], time_type: str) -> list[Column]:
-    """Field *i* of the record: a time first, then doubles; NULL where malformed.
+    """Field *i* of ``_parts``: a time first, then doubles; NULL where malformed.
 
     The outer two fields carry the quotes of the JSON string they came in.
     """
-    parts = F.split(F.col("value").cast("string"), ",")
     cols = []
     for i, name in enumerate(names):
-        text = F.get(parts, i)
+        text = F.get("_parts", i)
         if i in (0, len(names) - 1):
-            text = F.regexp_replace(text, '"', "")
+            text = F.replace(text, F.lit('"'), F.lit(""))
         cols.append(text.try_cast(time_type if i == 0 else "double").alias(name))
     return cols
 
@@ -32,7 +31,8 @@ def _fields(names: Sequence[str], time_type: str) -> list[Column]:
 def _decode(df, names, keep, on_error, time_type) -> DataFrame:
     if on_error not in ("null", "drop", "fail"):
         raise ValueError(f"unknown on_error {on_error!r}")
-    out = df.select(*keep, *_fields(names, time_type))
+    kept = df.select(*keep, F.split(F.col("value").cast("string"), ",").alias("_parts"))
+    out = kept.select(*kept.columns[:-1], *_fields(names, time_type))
     if on_error == "drop":
         return out.dropna("any", subset=list(names))
     if on_error == "fail":
@@ -99,29 +99,46 @@ def encode_columnar_json(
     placed = ordering.row_index(df, order, "_place", partitions)
     place = F.col("_place") - 1
     numbered = placed.withColumn("message", F.floor(place / rows_per_message)).withColumn(
-        "_at", F.pmod(place, F.lit(rows_per_message)).cast("string")
+        "_at", F.pmod(place, F.lit(rows_per_message))
     )
 
+    rows = F.struct("_at", F.col(TIME).cast("string").alias(TIME), *SENSORS)
+    lists = numbered.groupBy("message").agg(F.sort_array(F.collect_list(rows)).alias("rows"))
+
     def column_map(name: str) -> Column:
-        value = F.col(name).cast("string") if name == TIME else F.col(name)
-        return F.map_from_entries(F.collect_list(F.struct("_at", value.alias("v")))).alias(name)
+        entries = F.transform("rows", lambda r: F.struct(r["_at"].cast("string"), r[name]))
+        return F.map_from_entries(entries).alias(name)
 
-    maps = numbered.groupBy("message").agg(*[column_map(c) for c in [TIME, *SENSORS]])
-    body = F.to_json(F.struct(TIME, *SENSORS), {"ignoreNullFields": "false"})
-    return maps.select("message", body.alias("value"))
+    body = F.to_json(F.struct(*[column_map(c) for c in [TIME, *SENSORS]]))
+    return lists.select("message", body.alias("value"))
 
 
 def decode_columnar_json(df: DataFrame, keep: Sequence[str] = (), time_type: str = "timestamp") -> DataFrame:
-    """The rows of columnar JSON messages in ``value``; a key missing in a column gives NULL."""
+    """The rows of columnar JSON messages in ``value``; a key missing in a column gives NULL.
+
+    Columns that list the same keys in the same order, as writers do, are read
+    side by side. Only a column that differs is looked up key by key.
+    """
     parsed = df.select(*keep, F.from_json(F.col("value").cast("string"), _MAPS).alias("m"))
-    rows = parsed.select(*keep, "m", F.explode(f"m.{TIME}").alias("_at", "_time"))
-    values = [F.try_element_at(F.col(f"m.{c}"), F.col("_at")).alias(c) for c in SENSORS]
-    return rows.select(
+    parsed = parsed.select(*keep, "m.*", F.map_keys(f"m.{TIME}").alias("_keys"))
+
+    def in_key_order(name: str) -> Column:
+        looked_up = F.transform("_keys", lambda k: F.try_element_at(F.col(name), k))
+        return F.when(F.map_keys(name) == F.col("_keys"), F.map_values(name)).otherwise(looked_up).alias(name)
+
+    zipped = parsed.select(
+        *keep,
+        "Lambda_get_time",
+        F.arrays_zip(
+            F.col("_keys").alias("row_id"), F.map_values(TIME).alias(TIME), *[in_key_order(c) for c in SENSORS]
+        ).alias("_rows"),
+    )
+    return zipped.select(*keep, "Lambda_get_time", F.inline("_rows")).select(
         *keep,
-        F.col("_at").try_cast("bigint").alias("row_id"),
-        F.col("_time").try_cast(time_type).alias(TIME),
-        *values,
-        F.col("m.Lambda_get_time").try_cast("double").alias("Lambda_get_time"),
+        F.col("row_id").try_cast("bigint").alias("row_id"),
+        F.col(TIME).try_cast(time_type).alias(TIME),
+        *SENSORS,
+        F.col("Lambda_get_time").try_cast("double").alias("Lambda_get_time"),
     )
 
 

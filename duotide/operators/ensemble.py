@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duotide import scratch
 from duotide.functions.scalars import clip
 from duotide.operators import metrics, ordering, skew
 from duotide.schemas import BATCH_WEIGHT, HYBRID_FIELDS, SERIES, SPEED_WEIGHT
@@ -130,6 +131,7 @@ def hybrid_scores(df: DataFrame, by: Sequence[str] = (), empty_value: float | No
 
 def attach_hybrid_scores(df: DataFrame, by: Sequence[str], spread: Sequence[str], latency: float = 0.0) -> DataFrame:
     """Result rows completed with the ensemble scores of their group, in file column order."""
+    df = scratch.materialise(df, "rows")  # read for the scores and for the join
     stats = hybrid_scores(df, by).select(*by, "Wt_RMSE", "Wt_MAE", "n")
     out = skew.join_group_stats(df, stats, by, spread).withColumn("Wt_Latency", F.lit(float(latency)))
     return out.select(*[c for c in df.columns if c not in HYBRID_FIELDS], *HYBRID_FIELDS)
@@ -209,6 +211,7 @@ def dynamic_weights(
     def build(w):
         return [F.lag("_num", 1).over(w).alias("_num_before"), F.lag("_den", 1).over(w).alias("_den_before")]
 
+    sums = scratch.materialise(sums, "window-sums")
     carried = ordering.over_order(sums, build, by, ["window_start"], back=1, **layout)
     share = _best_share(F.col("_num_before"), F.col("_den_before"), start)
     return carried.select(
@@ -233,6 +236,7 @@ def dynamic_ensemble(
     **options,
 ) -> DataFrame:
     """Rows with the prediction combined by the weights of their window."""
+    df = scratch.materialise(df, "rows")  # read for the weights and for the join
     weights = dynamic_weights(df, label, speed, batch, time, width, by, **options)
     rows = metrics.with_window(df, time, width)
     joined = skew.join_group_stats(rows, weights, [*by, "window_start"], spread).drop("n")

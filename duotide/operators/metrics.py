@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duotide import scratch
 from duotide.operators import skew
 
 
@@ -49,7 +50,11 @@ def windowed(
 def attach_scores(
     df: DataFrame, label: str, prediction: str, by: Sequence[str], spread: Sequence[str | Column]
 ) -> DataFrame:
-    """Each row with the scores of its whole group, as wire-format columns."""
+    """Each row with the scores of its whole group, as wire-format columns.
+
+    Rows are read twice, for the scores and for the join, so they are written once.
+    """
+    df = scratch.materialise(df, "rows")
     stats = regression_metrics(df, label, prediction, by).select(
         *by,
         F.col("rmse").alias("RMSE_Score"),

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duotide import scratch
 from duotide.operators import skew
 from duotide.operators.model import DENSE, HIDDEN, gated_forward, unpack
 from duotide.schemas import SERIES
@@ -87,6 +88,7 @@ def attach_by_label(
     per time, so the match with the lowest ``order`` is chosen per label before
     joining: every row comes back once instead of once per pair.
     """
+    df = scratch.materialise(df, "rows")  # read to choose and to join
     found = df.groupBy(label).agg(F.min_by(prediction, order).alias(out), F.count("*").alias("_matches"))
     rows = df.drop(out) if out in df.columns else df
     return skew.join_group_stats(rows, found, [label], [order], weight="_matches").withColumnRenamed(

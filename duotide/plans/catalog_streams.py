@@ -34,7 +34,7 @@ def _part(time: str):
 
 def _feed(spark, rows: DataFrame, time: str, to_records: Callable, run: Callable[[DataFrame], None]) -> None:
     """Write each part in turn and let ``run`` take it from the stream."""
-    rows = scratch.materialise(rows, "feed")
+    rows = scratch.materialise(readers.spread(rows, "offset"), "feed")
     source = scratch.new_dir(spark, "source")
     for part in range(PARTS):
         records = to_records(rows.where(_part(time) == part))

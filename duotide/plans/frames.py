@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from duotide.functions import codec
 from duotide.operators import features, metrics
 from duotide.schemas import LABEL, PREDICTION_FIELDS, SENSORS, SERIES, TIME
+from duotide.sources import readers
 
 EPOCH_DAYS = 30
 
@@ -113,7 +114,7 @@ def sensor_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     seventh line of an order loses its last field, which leaves the closing quote
     in the field before it.
     """
-    rows = records(spark, sf_dir)
+    rows = readers.spread(records(spark, sf_dir), "offset")
     text = [
         F.col(TIME).cast("string"),
         F.col("Db1t_avg").cast("string"),

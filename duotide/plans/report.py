@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duotide import scratch
 from duotide.functions.scalars import rate, row_max, row_min
 from duotide.operators import dedup, skew
 from duotide.schemas import HYBRID_FIELDS
@@ -48,7 +49,7 @@ def window_counts(df: DataFrame) -> DataFrame:
 
 def window_report(df: DataFrame) -> DataFrame:
     """Windows with the first event time seen at their total latency."""
-    windows = window_counts(df)
+    windows = scratch.materialise(window_counts(df), "windows")
     first = windows.groupBy("Total_Latency").agg(F.min("TS").alias("TS"), F.count("*").alias("_n"))
     joined = skew.join_group_stats(windows.drop("TS"), first, ["Total_Latency"], WINDOW_METRICS, weight="_n")
     return joined.select(*WINDOW_METRICS, "counts", "TS")

@@ -47,6 +47,12 @@ def record_stream(
     return reader.parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores when it comes in fewer splits, as one small file does; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def sensor_csv(spark: SparkSession, path: str | list[str], infer: bool = False) -> DataFrame:
     """Historic sensor rows with a header line.
 
