@@ -32,9 +32,12 @@ def _decode(df, names, keep, on_error, time_type) -> DataFrame:
     if on_error not in ("null", "drop", "fail"):
         raise ValueError(f"unknown on_error {on_error!r}")
     kept = df.select(*keep, F.split(F.col("value").cast("string"), ",").alias("_parts"))
-    out = kept.select(*kept.columns[:-1], *_fields(names, time_type))
+    fields = _fields(names, time_type)
     if on_error == "drop":
-        return out.dropna("any", subset=list(names))
+        # a filter after a plain projection is pushed below it and parses every field twice
+        rows = kept.select(*kept.columns[:-1], F.inline_outer(F.array(F.struct(*fields))))
+        return rows.dropna("any", subset=list(names))
+    out = kept.select(*kept.columns[:-1], *fields)
     if on_error == "fail":
         bad = F.greatest(*[F.col(c).isNull() for c in names])
         message = F.concat(F.lit("malformed record at time "), F.coalesce(F.col(names[0]).cast("string"), F.lit("?")))
@@ -133,7 +136,9 @@ def decode_columnar_json(df: DataFrame, keep: Sequence[str] = (), time_type: str
             F.col("_keys").alias("row_id"), F.map_values(TIME).alias(TIME), *[in_key_order(c) for c in SENSORS]
         ).alias("_rows"),
     )
-    return zipped.select(*keep, "Lambda_get_time", F.inline("_rows")).select(
+    # a plain inline makes the optimizer add a filter that parses every message again per column
+    rows = zipped.select(*keep, "Lambda_get_time", F.inline_outer("_rows")).where(F.col("row_id").isNotNull())
+    return rows.select(
         *keep,
         F.col("row_id").try_cast("bigint").alias("row_id"),
         F.col(TIME).try_cast(time_type).alias(TIME),
