@@ -193,10 +193,12 @@ def fit_gated(
         raise ValueError("no complete rows to train on")
     std[std == 0] = 1.0
     weights = _initial(k, hidden, dense, seed)
-    m, v, loss = np.zeros_like(weights), np.zeros_like(weights), float("nan")
-    for step in range(1, epochs + 1):
+    m, v = np.zeros_like(weights), np.zeros_like(weights)
+    for step in range(1, epochs + 2):
         sums = _gradient_sums(rows, weights, mean, std, k, hidden, dense)
         grad, loss = sums[:-1] / n, sums[-1] / n
+        if step > epochs:  # the last pass only measures the final weights
+            break
         m = BETA1 * m + (1 - BETA1) * grad
         v = BETA2 * v + (1 - BETA2) * grad * grad
         weights = weights - rate * (m / (1 - BETA1**step)) / (np.sqrt(v / (1 - BETA2**step)) + EPSILON)
