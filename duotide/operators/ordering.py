@@ -70,19 +70,28 @@ def lay_out(df: DataFrame, order: Sequence[str], partitions: int | None = None)
     return Ranges(table, [(rng, start, n) for (rng, n), start in zip(counts, starts)])
 
 
-def longest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest key group, from one pruned and pre-aggregated pass."""
+def measure(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """All rows and those of the largest key group, from one pruned and pre-aggregated pass."""
     if not keys:
-        return df.count()
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        rows = df.count()
+        return rows, rows
+    total, longest = df.groupBy(*keys).count().agg(F.sum("count"), F.max("count")).first()
+    return total or 0, longest or 0
 
 
-def choose_layout(df: DataFrame, keys: Sequence[str], layout: str, rows_per_task: int) -> str:
+def choose_layout(
+    df: DataFrame, keys: Sequence[str], layout: str, rows_per_task: int, partitions: int | None = None
+) -> tuple[str, int | None]:
+    """The layout to use, and into how many ranges to cut if it is ``"ranged"``."""
     if layout not in ("auto", "keyed", "ranged"):
         raise ValueError(f"unknown layout {layout!r}")
     if layout != "auto":
-        return layout
-    return "keyed" if longest_group(df, keys) <= rows_per_task else "ranged"
+        return layout, partitions
+    rows, longest = measure(df, keys)
+    if longest <= rows_per_task:
+        return "keyed", None
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return "ranged", partitions or max(usual, -(-rows // rows_per_task))
 
 
 def over_order(
@@ -101,7 +110,8 @@ def over_order(
     ``layout="keyed"`` is one window per key (one shuffle), ``"ranged"`` splits
     any key over many tasks, ``"auto"`` measures the longest key group first.
     """
-    if choose_layout(df, keys, layout, rows_per_task) == "keyed":
+    layout, partitions = choose_layout(df, keys, layout, rows_per_task, partitions)
+    if layout == "keyed":
         return df.select("*", *build(Window.partitionBy(*keys).orderBy(*order)))
     ranges = lay_out(df, [*keys, *order], partitions)
     rows = ranges.table.withColumn("_halo", F.lit(False))
@@ -160,7 +170,8 @@ def rank(
     Ranged layout: a run of equal values may cross ranges, so the start of the
     run that opens each range is carried over from the ranges before it.
     """
-    if choose_layout(df, keys, layout, rows_per_task) == "keyed":
+    layout, partitions = choose_layout(df, keys, layout, rows_per_task, partitions)
+    if layout == "keyed":
         return df.withColumn(out, F.rank().over(Window.partitionBy(*keys).orderBy(order)))
     ranges = lay_out(df, [*keys, order, *tie], partitions)
     value_run = _run_start(ranges, [*keys, order], "_value_run")

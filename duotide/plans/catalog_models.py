@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duotide import scratch
 from duotide.operators import features, metrics, model, registry, scoring, split
-from duotide.plans import frames
+from duotide.plans import forecast, frames
 from duotide.plans.catalog import query
 from duotide.plans.catalog_features import train_condition
 from duotide.plans.oracle import LAGGED, RECORDS, lags, with_
@@ -168,3 +168,55 @@ def latest_models(spark, sf_dir):
         )
     newest = registry.latest(registry.models(spark, path))
     return newest.select(SERIES, "model_version", "n", F.round(F.get("weights", 1), 6).alias("slope"))
+
+
+@query(
+    with_(RECORDS, LAGGED)
+    + """SELECT 'model_' || max(y) || '-' || (max(y) + 1) AS model_version
+FROM (SELECT least(year(Date_time), 2000) AS y FROM lagged WHERE nth > 1)"""
+)
+def latest_artifact(spark, sf_dir):
+    """The newest model file below a folder, found by modification time alone."""
+    path = scratch.new_dir(spark, "artifacts")
+    rows = scratch.materialise(_label_lags(spark, sf_dir, 1).withColumn("period", F.least(F.year(TIME), F.lit(2000))))
+    for year in range(1995, 2001):
+        version = registry.version_name(str(year), str(year + 1))
+        fitted = model.train(rows.where(F.col("period") == year), AR[:1], by=())
+        registry.publish(fitted, path, "speed", "var", version, f"{year}-01-01", f"{year + 1}-01-01")
+    newest = registry.latest_artifact(spark, path, "*.parquet")
+    return newest.select(F.regexp_extract("path", "version=([^/]+)/", 1).alias("model_version"))
+
+
+HISTORY_END = 330  # 30-day windows since 1970: history is what came before February 1997
+
+TWO_LAYER = [
+    RECORDS,
+    LAGGED,
+    """e AS (SELECT series_key, Date_time, "offset", Ot_avg AS y, l1,
+    date_diff('day', DATE '1970-01-01', CAST(Date_time AS DATE)) // 30 AS epoch_id FROM lagged WHERE nth > 1)""",
+    "m AS (SELECT epoch_id, regr_slope(y, l1) AS a, regr_intercept(y, l1) AS b FROM e GROUP BY 1)",
+    """fast AS (SELECT epoch_id, lag(a) OVER w AS a, lag(b) OVER w AS b FROM m WINDOW w AS (ORDER BY epoch_id))""",
+    f"slow AS (SELECT regr_slope(y, l1) AS a, regr_intercept(y, l1) AS b FROM e WHERE epoch_id <= {HISTORY_END})",
+    f"""scored AS (SELECT e.*, fast.b + fast.a * l1 AS s, slow.b + slow.a * l1 AS f
+  FROM e JOIN fast USING (epoch_id), slow WHERE epoch_id > {HISTORY_END} AND fast.a IS NOT NULL)""",
+    """sums AS (SELECT epoch_id, sum((y - f) * (s - f)) AS num, sum((s - f) * (s - f)) AS den FROM scored GROUP BY 1)""",
+    """shares AS (SELECT epoch_id, CASE WHEN lag(den) OVER w > 0
+      THEN least(1, greatest(0, lag(num) OVER w / lag(den) OVER w)) ELSE 0.5 END AS share
+  FROM sums WINDOW w AS (ORDER BY epoch_id))""",
+]
+
+
+@query(
+    with_(*TWO_LAYER)
+    + """SELECT epoch_id, round(sqrt(avg((s - y) ** 2)), 6) AS speed_rmse, round(sqrt(avg((f - y) ** 2)), 6) AS batch_rmse,
+  round(sqrt(avg((0.3::DOUBLE * s + 0.7::DOUBLE * f - y) ** 2)), 6) AS fixed_rmse,
+  round(sqrt(avg((share * s + (1 - share) * f - y) ** 2)), 6) AS dynamic_rmse, count(*) AS n
+FROM scored JOIN shares USING (epoch_id) GROUP BY 1"""
+)
+def two_layer_forecast(spark, sf_dir):
+    """Speed model per epoch, batch model of history, and their fixed and dynamic combinations."""
+    rows = _label_lags(spark, sf_dir, 1).withColumn("epoch_id", frames.epoch_of(TIME))
+    scored = forecast.two_layer(rows, AR[:1], LABEL, "epoch_id", HISTORY_END, ["offset"])
+    made = forecast.combined(scored, LABEL, TIME, f"{frames.EPOCH_DAYS} days", ["offset"])
+    rated = forecast.errors(made, LABEL, ["epoch_id"])
+    return rated.withColumns({c: F.round(c, 6) for c in rated.columns if c.endswith("_rmse")})

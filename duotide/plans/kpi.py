@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duotide.functions.scalars import epoch_seconds
 from duotide.schemas import KPI_FIELDS
 
 _SHOWN = [c for c in KPI_FIELDS if c.startswith(("Speed_", "Batch_", "Wt_"))]
@@ -32,6 +33,6 @@ def rollup(
         *[F.min_by(c, first).alias(c) for c in _SHOWN],
         *[F.avg(c).alias(f"{c}_Mean") for c in ("Speed_RMSE", "Batch_RMSE")],
     )
-    stamp = publish_time if publish_time is not None else F.unix_micros(F.current_timestamp()) / F.lit(1e6)
+    stamp = publish_time if publish_time is not None else epoch_seconds(F.current_timestamp())
     means = [c for c in out.columns if c.endswith("_Mean")]
     return out.withColumnRenamed(epoch, "Epoch_Id").withColumn("MQTT_Publish_Time", stamp).select(*KPI_FIELDS, *means)

@@ -7,11 +7,15 @@ back with column pruning, which a cached or locally checkpointed one is not.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, list[str]] = {}
+_scopes = threading.local()
 
 
 def root(spark: SparkSession) -> str:
@@ -30,7 +34,8 @@ def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, noted for :func:`release`."""
     app = spark.sparkContext.applicationId
     path = f"{root(spark)}/duotide/{app}/{name}-{uuid.uuid4().hex}"
-    _written.setdefault(app, []).append(path)
+    open_scopes = getattr(_scopes, "stack", [])
+    (open_scopes[-1] if open_scopes else _written.setdefault(app, [])).append(path)
     return path
 
 
@@ -42,11 +47,30 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def release(spark: SparkSession) -> int:
     """Delete every intermediate table this application wrote; returns how many."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        delete(spark, path)
     return len(paths)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables written inside the block, by this thread, when it ends.
+
+    For micro-batches: their results are stored by then, and a query that runs
+    for months must not keep what each epoch wrote on the way.
+    """
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            delete(spark, path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duotide.functions.scalars import epoch_seconds
 from duotide.schemas import HYBRID_FIELDS, KPI_FIELDS
 
 
@@ -35,9 +36,8 @@ def write_hybrid(df: DataFrame, path: str, epoch_id: int, format: str = "csv") -
 
 def archive_json(df: DataFrame, path: str, epoch_id: int | None = None) -> None:
     """JSON objects stamped with their arrival time, in one folder per day."""
-    stamped = df.withColumn("Lambda_get_time", F.unix_micros(F.current_timestamp()) / F.lit(1e6)).withColumn(
-        "day", F.current_date()
-    )
+    arrival = {"Lambda_get_time": epoch_seconds(F.current_timestamp()), "day": F.current_date()}
+    stamped = df.withColumns(arrival)
     target = path if epoch_id is None else f"{path}/epoch_id={epoch_id}"
     stamped.write.mode("append" if epoch_id is None else "overwrite").partitionBy("day").json(target)
 

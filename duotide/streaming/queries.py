@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
+from duotide import scratch
 from duotide.functions import codec
 from duotide.operators import ensemble, features, metrics, model, registry, scoring
 from duotide.plans import kpi
@@ -19,6 +21,17 @@ from duotide.sources import sinks
 OnBatch = Callable[[DataFrame, int], None]
 
 
+def _tidy(on_batch: OnBatch) -> OnBatch:
+    """Drop the intermediate tables of each micro-batch once it is done."""
+
+    @wraps(on_batch)
+    def tidied(records: DataFrame, epoch_id: int) -> None:
+        with scratch.scope(records.sparkSession):
+            on_batch(records, epoch_id)
+
+    return tidied
+
+
 def run_query(
     stream: DataFrame, on_batch: OnBatch, checkpoint: str, seconds: int | None = None, wait: bool = True
 ) -> StreamingQuery:
@@ -61,6 +74,7 @@ def scoring_layer(
     every batch; see :func:`carried_lags` for the alternative.
     """
 
+    @_tidy
     def on_batch(records: DataFrame, epoch_id: int) -> None:
         start = clock()
         rows = sensor_rows(records)
@@ -107,6 +121,7 @@ def hybrid_layer(
 ) -> OnBatch:
     """Match and combine the predictions that arrive in one micro-batch."""
 
+    @_tidy
     def on_batch(records: DataFrame, epoch_id: int) -> None:
         start = clock()
         predictions = prediction_rows(records)
@@ -173,6 +188,7 @@ def carried_lags(
     1 where ``p`` earlier rows were known.
     """
 
+    @_tidy
     def on_batch(records: DataFrame, epoch_id: int) -> None:
         rows = decode(records).withColumn("_fresh", F.lit(True))
         if epoch_id > 0:
@@ -187,6 +203,8 @@ def carried_lags(
             # the limit is applied per input partition before the shuffle
             tail = rows.withColumn("_nth", F.row_number().over(newest)).where(F.col("_nth") <= p).drop("_nth")
             sinks.to_folder(tail, state, epoch_id)
+            if epoch_id > 1:  # a retry of the next epoch needs this one only
+                scratch.delete(records.sparkSession, f"{state}/epoch_id={epoch_id - 2}")
         finally:
             rows.unpersist()
 
@@ -202,6 +220,7 @@ def retraining(
 ) -> OnBatch:
     """Train one model on each recent window of rows and publish it."""
 
+    @_tidy
     def on_batch(records: DataFrame, epoch_id: int) -> None:
         rows = sensor_rows(records)
         span = rows.agg(F.min(TIME).alias("low"), F.max(TIME).alias("high")).first()  # one row
@@ -219,6 +238,7 @@ def retraining(
 def publishing(archive: str, rows_per_message: int = codec.ROWS_PER_MESSAGE) -> OnBatch:
     """Archive each micro-batch as columnar JSON messages for retraining."""
 
+    @_tidy
     def on_batch(records: DataFrame, epoch_id: int) -> None:
         rows = sensor_rows(records, on_error="null")
         if rows.isEmpty():

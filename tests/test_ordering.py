@@ -84,10 +84,11 @@ def test_empty_input(spark):
 
 def test_auto_splits_only_series_over_the_limit(spark):
     df = _rows(spark, 200, 4, 11)
-    longest = ordering.longest_group(df, ("k",))
-    assert ordering.choose_layout(df, ("k",), "auto", longest) == "keyed"
-    assert ordering.choose_layout(df, ("k",), "auto", longest - 1) == "ranged"
-    assert ordering.choose_layout(df, (), "auto", 199) == "ranged"
+    rows, longest = ordering.measure(df, ("k",))
+    assert rows == 200 and 80 < longest < 200
+    assert ordering.choose_layout(df, ("k",), "auto", longest) == ("keyed", None)
+    assert ordering.choose_layout(df, ("k",), "auto", longest - 1) == ("ranged", 8)
+    assert ordering.choose_layout(df, (), "auto", 10) == ("ranged", 20)
     with pytest.raises(ValueError):
         ordering.choose_layout(df, (), "other", 1)
 
