@@ -13,7 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import accumulate
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from pyspark.sql.window import Window
 from duotide import scratch
 
 ROWS_PER_TASK = 2_000_000
+MAX_LARGE_KEYS = 20_000
 
 _RANGE, _POS, _START, _ROWS = "_range", "_pos", "_range_start", "_range_rows"
 _POSITION_BITS = (1 << 33) - 1  # low bits of monotonically_increasing_id
@@ -90,8 +93,13 @@ def choose_layout(
     rows, longest = measure(df, keys)
     if longest <= rows_per_task:
         return "keyed", None
+    return "ranged", partitions or _range_count(df, rows, rows, rows_per_task)
+
+
+def _range_count(df: DataFrame, rows: int, of: int, rows_per_task: int) -> int:
+    """The usual partition count for the share of ``rows`` in all rows, or more to keep tasks small."""
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return "ranged", partitions or max(usual, -(-rows // rows_per_task))
+    return max(-(-usual * rows // max(of, 1)), -(-rows // rows_per_task), 1)
 
 
 def over_order(
@@ -108,8 +116,14 @@ def over_order(
     """Add ``build(window)`` columns that look at most ``back``/``ahead`` rows away.
 
     ``layout="keyed"`` is one window per key (one shuffle), ``"ranged"`` splits
-    any key over many tasks, ``"auto"`` measures the longest key group first.
+    any key over many tasks. ``"auto"`` counts rows per key first and takes the
+    ranged way only for the keys with more than ``rows_per_task`` rows.
     """
+    if layout == "auto" and keys:
+        rows, longest = measure(df, keys)
+        if longest > rows_per_task:
+            return _split_by_size(df, build, keys, order, back, ahead, rows_per_task, partitions, rows)
+        layout = "keyed"
     layout, partitions = choose_layout(df, keys, layout, rows_per_task, partitions)
     if layout == "keyed":
         return df.select("*", *build(Window.partitionBy(*keys).orderBy(*order)))
@@ -121,6 +135,21 @@ def over_order(
     return rows.select("*", *build(window)).where(~F.col("_halo")).drop("_halo", _RANGE, _POS)
 
 
+def _split_by_size(df, build, keys, order, back, ahead, rows_per_task, partitions, rows) -> DataFrame:
+    """Long series by ranges, all others by key."""
+    large = df.groupBy(*keys).count().where(F.col("count") > rows_per_task)
+    large = scratch.materialise(large.withColumnsRenamed({k: f"_large_{k}" for k in keys}), "large-keys")
+    found, large_rows = large.agg(F.count("*"), F.sum("count")).first()
+    ranges = partitions or _range_count(df, large_rows, rows, rows_per_task)
+    if found > MAX_LARGE_KEYS:
+        return over_order(df, build, keys, order, back, ahead, "ranged", rows_per_task, partitions)
+    names = F.broadcast(large.drop("count"))  # counted above
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_large_{k}")) for k in keys])
+    short = over_order(df.join(names, same, "left_anti"), build, keys, order, layout="keyed")
+    long = over_order(df.join(names, same, "left_semi"), build, keys, order, back, ahead, "ranged", partitions=ranges)
+    return short.unionByName(long)
+
+
 def _halo(ranges: Ranges, back: int, ahead: int) -> DataFrame:
     """Copies of the rows just before and after each range, placed in that range.
 

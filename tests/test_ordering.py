@@ -93,6 +93,21 @@ def test_auto_splits_only_series_over_the_limit(spark):
         ordering.choose_layout(df, (), "other", 1)
 
 
+@pytest.mark.parametrize("limit", [5, 40, 60, 10**6])
+def test_auto_equals_keyed_whatever_the_limit(spark, limit):
+    df = _rows(spark, 120, 4, 13).withColumn("k", F.when(F.col("k") != "s1", F.col("k")))  # one series has no name
+    options = dict(n=4, keys=("k",), order=("t", "id"))
+    want = features.serie(df, "v", layout="keyed", **options)
+    _same(features.serie(df, "v", rows_per_task=limit, **options), want)
+
+
+def test_many_large_keys_fall_back_to_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "MAX_LARGE_KEYS", 1)
+    df = _rows(spark, 120, 4, 13)
+    want = features.add_lags(df, 2, ["v"], ("k",), ("t", "id"), layout="keyed")
+    _same(features.add_lags(df, 2, ["v"], ("k",), ("t", "id"), rows_per_task=3), want)
+
+
 def test_ranged_rows_of_one_series_reach_many_tasks(spark):
     df = spark.range(4000).select(F.lit("hot").alias("k"), F.col("id").alias("t"), F.rand(1).alias("v"))
     ranges = ordering.lay_out(df, ["k", "t"], 8)
