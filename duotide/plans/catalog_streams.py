@@ -28,6 +28,21 @@ PART_SQL = "(year({t}) - 1995) // 3"
 ORDER_SQL = 'Date_time, "offset"'
 
 
+def _stream_session(spark):
+    """A session for streams with no more state partitions than the cluster has cores for.
+
+    The count is fixed when a streaming query first starts, so it is a choice
+    for the cluster and not for one batch; the batch default may be far larger.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    session.conf.set("spark.sql.shuffle.partitions", min(usual, 2 * spark.sparkContext.defaultParallelism))
+    # batches without data would only clean up state that the next part needs anyway
+    session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    return session
+
+
 def _part(time: str):
     return F.floor((F.year(time) - FIRST_YEAR) / YEARS_PER_PART).cast("int")
 
@@ -35,11 +50,11 @@ def _part(time: str):
 def _feed(spark, rows: DataFrame, time: str, to_records: Callable, run: Callable[[DataFrame], None]) -> None:
     """Write each part in turn and let ``run`` take it from the stream."""
     rows = scratch.materialise(readers.spread(rows, "offset"), "feed")
-    source = scratch.new_dir(spark, "source")
+    source, streams = scratch.new_dir(spark, "source"), _stream_session(spark)
     for part in range(PARTS):
         records = to_records(rows.where(_part(time) == part))
         records.select(*RECORD_SCHEMA.names).write.mode("append").parquet(source)
-        run(readers.record_stream(spark, source))
+        run(readers.record_stream(streams, source))
 
 
 def _sensor_feed(spark, sf_dir, run) -> None:
@@ -159,10 +174,10 @@ def stream_hybrid_join(spark, sf_dir):
     """The layers matched by a stream-stream join: speed predictions arrive first, batch ones a run later."""
     out, source, checkpoint = (scratch.new_dir(spark, n) for n in ("joined", "source", "checkpoint"))
     once = dedup.by_time(frames.predictions(spark, sf_dir), keys=(SERIES, "topic", "TS"))
-    rows = scratch.materialise(once, "feed")
+    rows, streams = scratch.materialise(once, "feed"), _stream_session(spark)
     for topic in ("speed", "batch"):
         _prediction_records(rows.where(F.col("topic") == topic)).write.mode("append").parquet(source)
-        stream = readers.record_stream(spark, source)
+        stream = readers.record_stream(streams, source)
         joined = queries.hybrid_join_stream(stream, "speed", "batch", delay="3650 days")
         writer = joined.writeStream.format("parquet").option("checkpointLocation", checkpoint)
         writer.trigger(availableNow=True).start(out).awaitTermination()
