@@ -36,7 +36,8 @@ def split_layers(spark, sf_dir):
 @query(with_(*PREDICTED, MATCHED) + f"SELECT series_key, {', '.join(MATCHED_FIELDS)} FROM matched")
 def hybrid_join(spark, sf_dir):
     """Two separate prediction tables matched on series and time."""
-    sp, bt = ensemble.split_layers(frames.predictions(spark, sf_dir), "speed", "batch")
+    both = scratch.materialise(frames.predictions(spark, sf_dir), "predictions")
+    sp, bt = ensemble.split_layers(both, "speed", "batch")
     return ensemble.hybrid_join(sp.drop("topic"), bt.drop("topic"))
 
 

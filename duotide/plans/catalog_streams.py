@@ -49,7 +49,7 @@ def _part(time: str):
 
 def _feed(spark, rows: DataFrame, time: str, to_records: Callable, run: Callable[[DataFrame], None]) -> None:
     """Write each part in turn and let ``run`` take it from the stream."""
-    rows = scratch.materialise(readers.spread(rows, "offset"), "feed")
+    rows = scratch.materialise(rows, "feed")
     source, streams = scratch.new_dir(spark, "source"), _stream_session(spark)
     for part in range(PARTS):
         records = to_records(rows.where(_part(time) == part))
@@ -58,7 +58,8 @@ def _feed(spark, rows: DataFrame, time: str, to_records: Callable, run: Callable
 
 
 def _sensor_feed(spark, sf_dir, run) -> None:
-    _feed(spark, frames.records(spark, sf_dir), TIME, lambda rows: frames.topic_records(rows, "source"), run)
+    rows = readers.spread(frames.records(spark, sf_dir), "offset")
+    _feed(spark, rows, TIME, lambda rows: frames.topic_records(rows, "source"), run)
 
 
 def _prediction_records(rows: DataFrame) -> DataFrame:

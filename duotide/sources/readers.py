@@ -48,7 +48,10 @@ def record_stream(
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` over all cores when it comes in fewer splits, as one small file does; else as it is."""
+    """A plain scan over all cores when it comes in fewer splits, as one small file does; else as it is.
+
+    Counting the partitions of a plan with shuffles would run them, so keep this on scans.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
