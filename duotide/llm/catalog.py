@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duotide.llm import rules, simhash, text
+from duotide.llm import automaton, rules, secrets, simhash, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,5 +27,21 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hexadecimal(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op3_simhash)}
+def tokenizer(name: str) -> str:
+    """Place of a public vocabulary file, the same on every machine that has the package."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = automaton.round_trip(text.table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find(text.table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op3_simhash, op8_bpe_automaton, op9_secret_scan)}
 ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL}
