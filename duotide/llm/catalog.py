@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duotide.llm import automaton, rules, secrets, simhash, text
+from duotide.llm import automaton, lattice, packing, rules, secrets, simhash, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,16 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = text.table(spark, sf_dir, "documents").select("doc_id", "text", (text.remainder("doc_id", 7) == 2).alias("held_out"))
+    return lattice.score(docs, "held_out", tokenizer("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
+def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(text.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = automaton.round_trip(text.table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return found.withColumnRenamed("id", "doc_id")
@@ -43,5 +53,5 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(text.table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op3_simhash, op8_bpe_automaton, op9_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op3_simhash, op4_lattice_lm, op5_curve_packing, op8_bpe_automaton, op9_secret_scan)}
 ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL}
