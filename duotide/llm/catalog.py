@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duotide.llm import automaton, lattice, packing, rules, secrets, simhash, text
+from duotide.llm import automaton, lattice, packing, quality, rules, secrets, simhash, text, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = text.table(spark, sf_dir, "documents")
+    labels = text.table(spark, sf_dir, "labels").where(text.remainder("doc_id", 3) != 1)
+    model = toxicity.fit(docs, labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("label")))
+    found = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (text.remainder("doc_id", 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "evidence")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(text.table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -53,5 +61,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(text.table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op3_simhash, op4_lattice_lm, op5_curve_packing, op8_bpe_automaton, op9_secret_scan)}
+def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the ids whose crc32 modulo 5 is 0 are held out."""
+    docs = text.table(spark, sf_dir, "documents")
+    labels = text.table(spark, sf_dir, "labels").where(text.remainder("doc_id", 5) != 0)
+    found = quality.posteriors(docs, labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (text.remainder("doc_id", 5) == 0).alias("held_out"), "evidence", "host_prior", "path_prior", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nearest_toxic, op2_quality_rules, op3_simhash, op4_lattice_lm, op5_curve_packing, op8_bpe_automaton, op9_secret_scan, op10_site_quality)}
 ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL}
