@@ -35,6 +35,9 @@ NEIGHBOURS, BLOCK, EVIDENCE = 25, 64, 3
 #: Words whose terms a worker remembers.
 KEPT = 300_000
 
+#: One more term, for the words that are none: against it, one marked word in ten weighs more than one in a thousand.
+OTHER = ""
+
 WORD = re.compile(r"\w+")
 
 
@@ -62,7 +65,8 @@ def learnt_terms(examples: DataFrame, positive: int, total: int, limit: int = TE
     sigmas = (F.col("pos") - share * F.col("df")) / F.sqrt(share * (1 - share) * F.col("df"))
     best = counts.where(F.col("pos") >= LEAST).withColumn("sigmas", sigmas).where(F.col("sigmas") >= SIGMAS)
     rows = best.orderBy(F.col("sigmas").desc(), "term").limit(limit).collect()
-    return {r["term"]: (i, math.log((1 + total) / (1 + r["df"])) + 1.0) for i, r in enumerate(rows)}
+    learnt = {r["term"]: (i, math.log((1 + total) / (1 + r["df"])) + 1.0) for i, r in enumerate(rows)}
+    return learnt | {OTHER: (len(learnt), 1.0)} if learnt else {}
 
 
 class Vectors:
@@ -84,14 +88,14 @@ class Vectors:
     def counts(self, data: str) -> tuple[tuple[int, int], ...]:
         if not self.terms:
             return ()
-        known, seen = self.known.get, Counter()
-        for word in WORD.findall(data.lower()):
+        known, seen, words = self.known.get, Counter(), WORD.findall(data.lower())
+        for word in words:
             got = known(word)
             if got is None:
                 got = self.find(word)
             if got:
                 seen.update(got)
-        return tuple(sorted(seen.items()))
+        return (*sorted(seen.items()), (self.terms[OTHER][0], len(words))) if seen else ()
 
     def unit(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.array([t for t, _ in counts], np.int64)
@@ -116,18 +120,20 @@ class BlockMaxIndex:
         self.last = np.append(self.first[1:], len(key))
         self.most = np.maximum.reduceat(self.weight, self.first) if len(key) else np.zeros(0)
         ends = np.searchsorted(self.key, np.arange(n_terms + 1) * max(self.blocks, 1))
-        self.of_term = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        #: Of each term: its blocks, their largest weights, and where a block's entries are.
+        self.of_term = []
+        for t, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            block = self.key[a:b] - t * self.blocks
+            self.of_term.append((block, self.most[a:b], dict(zip(block.tolist(), zip(self.first[a:b].tolist(), self.last[a:b].tolist(), strict=True), strict=True))))
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k largest (cosine, example), and all others equal to the k-th; cosine above 0 only."""
         bound = np.zeros(self.blocks)
         lists = []
         for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-            a, b = self.of_term[t]
-            if a < b:
-                block = self.key[a:b] - t * self.blocks
-                bound[block] += w * self.most[a:b]
-                lists.append((w, dict(zip(block.tolist(), range(a, b), strict=True))))
+            block, most, where = self.of_term[t]
+            bound[block] += w * most
+            lists.append((w, where))
         best: list[float] = []
         found: list[tuple[float, int]] = []
         for block in np.argsort(-bound, kind="stable").tolist():
@@ -136,7 +142,7 @@ class BlockMaxIndex:
             cosine = np.zeros(BLOCK)
             for w, where in lists:
                 if (e := where.get(block)) is not None:
-                    span = slice(self.first[e], self.last[e])
+                    span = slice(*e)
                     cosine[self.at[span] - block * BLOCK] += w * self.weight[span]
             for i in np.flatnonzero(cosine).tolist():
                 if (example := self.order[block * BLOCK + i]) != without:
