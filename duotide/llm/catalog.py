@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duotide.llm import automaton, hnsw, lattice, packing, quality, rules, secrets, simhash, text, toxicity
+from duotide.llm import automaton, hnsw, lattice, packing, quality, rules, secrets, simhash, template, text, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,11 @@ def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = template.main_text(text.table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hnsw.near_duplicates(text.table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
@@ -74,5 +79,11 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (text.remainder("doc_id", 5) == 0).alias("held_out"), "evidence", "host_prior", "path_prior", "score", (F.col("score") >= 0.5).alias("kept"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nearest_toxic, op2_quality_rules, op3_simhash, op4_lattice_lm, op5_curve_packing, op7_vector_links, op8_bpe_automaton, op9_secret_scan, op10_site_quality)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nearest_toxic, op2_quality_rules, op3_simhash, op4_lattice_lm, op5_curve_packing, op6_template_text, op7_vector_links, op8_bpe_automaton, op9_secret_scan, op10_site_quality, pipeline)}
 ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL}

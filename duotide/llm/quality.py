@@ -11,10 +11,13 @@ prior to its own evidence.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from duotide import scratch
 from duotide.llm import text
@@ -52,7 +55,7 @@ def features(data: bytes) -> list[float]:
     return list(values)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 50) -> np.ndarray:
     """Newton's method with a ridge; weights, the constant last. One label only: no evidence."""
     if len(set(y.tolist())) < 2:
         return np.zeros(x.shape[1] + 1)
@@ -86,38 +89,60 @@ def shrinkage(groups: DataFrame, prior: Column, good: str = "good", n: str = "n"
     return min(max(row["var"] / between - 1, 1.0), 1e4)
 
 
-def posteriors(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", examples: int = EXAMPLES, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``(id, evidence, host_prior, path_prior, score)`` and the columns of ``carry`` for every row.
+@dataclass(frozen=True)
+class Model:
+    """Weights of the document model, its prior log-odds, and a table ``(host, path, host_prior, path_prior)``."""
+
+    weights: list[float]
+    prior: float
+    paths: DataFrame
+
+    def evidence(self) -> Column:
+        if not any(self.weights):
+            return F.lit(0.0)
+        margin = F.lit(self.weights[-1])
+        for i, w in enumerate(self.weights[:-1]):
+            margin = margin + F.col("features")[i] * w
+        return F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), margin - self.prior))
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """``host, path, features`` give ``evidence, host_prior, path_prior, score``."""
+        rows = rows.withColumn("evidence", self.evidence()).drop("features").join(self.paths, ["host", "path"])
+        return rows.withColumn("score", 1 / (1 + F.exp(-F.col("evidence") - logit(F.col("path_prior")))))
 
-    ``labels(id, label)`` marks good documents with 1; at most ``examples`` of them,
-    by hash of the id, are used. Null hosts and paths count as one unnamed site. A
-    null or empty text has its own feature. Without examples of both labels there
-    is no evidence and every score is one half or more. Repeated rows count each;
-    null ids are scored but match no label. No rows: no rows.
-    """
-    site = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c else F.lit("")
-    kept = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
+
+def _site(column: str | None) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("")) if column else F.lit("")
+
+
+def described(df: DataFrame, carried: Column, text_col: str, host_col: str | None, path_col: str | None) -> DataFrame:
+    """``(carried, host, path, features)``."""
+    rows = df.select(carried.alias("carried"), _site(host_col).alias("host"), _site(path_col).alias("path"), F.col(text_col).alias("features"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        f = pa.array([features(x) for x in text.raw(batch, "text")], pa.list_(pa.float64()))
-        return pa.RecordBatch.from_arrays([f if c == "text" else batch.column(c) for c in names], names)
-
-    rows = df.select(F.col(id_col).cast("long").alias("id"), site(host_col).alias("host"), site(path_col).alias("path"), *kept, F.col(text_col).alias("text"))
-    names = rows.columns
-    schema = ", ".join(f"`{f.name}` {'array<double>' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema)
-    seen = scratch.materialise(text.map_batches(rows, run, schema).withColumnRenamed("text", "features"), "features")
-    drawn = labels.where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(examples)
-    sample = seen.select("id", "features").join(F.broadcast(drawn), "id").limit(2 * examples).collect()  # bounded by ``examples``
-    sample.sort(key=lambda r: (r["id"], r["features"], r["label"]))
+        found = pa.array([features(x) for x in text.raw(batch, "features")], pa.list_(pa.float64()))
+        return text.record(carried=batch.column("carried"), host=batch.column("host"), path=batch.column("path"), features=found)
+
+    schema = StructType([*rows.schema.fields[:3], StructField("features", ArrayType(DoubleType()))])
+    return rows.mapInArrow(lambda batches: (run(b) for b in batches), schema)
+
+
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", path_col: str | None = "lang", examples: int = EXAMPLES) -> tuple[Model, DataFrame]:
+    """The model, and the described rows (``carried`` is the id) that its sums were taken over.
+
+    ``labels(id, label)`` marks good documents with 1; at most ``examples`` of them, by
+    hash of the id, are used. Null ids and labels are left out, repeated ones count as
+    the larger. Without examples of both labels there is no evidence.
+    """
+    seen = scratch.materialise(described(df, F.col(id_col).cast("long"), text_col, host_col, path_col), "features")
+    drawn = labels.where("id IS NOT NULL AND label IS NOT NULL").groupBy(F.col("id").alias("carried")).agg(F.max("label").alias("label"))
+    drawn = drawn.orderBy(F.xxhash64("carried"), "carried").limit(examples)
+    sample = seen.select("carried", "features").join(F.broadcast(drawn), "carried").limit(2 * examples).collect()  # bounded by ``examples``
+    sample.sort(key=lambda r: (r["carried"], r["features"], r["label"]))
     x, y = np.array([r["features"] for r in sample]).reshape(-1, len(NAMES)), np.array([float(r["label"]) for r in sample])
-    weights = fit_logistic(x, y)
     rate = (y.sum() + 1) / (len(y) + 2)
-    margin = F.lit(float(weights[-1]))
-    for i, w in enumerate(weights[:-1]):
-        margin = margin + F.col("features")[i] * float(w)
-    prior = float(np.log(rate / (1 - rate)))
-    evidence = F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), margin - prior)) if weights.any() else F.lit(0.0)
-    weighed = seen.withColumn("evidence", evidence).withColumn("p", 1 / (1 + F.exp(-F.col("evidence") - prior))).drop("features")
+    model = Model(fit_logistic(x, y).tolist(), float(np.log(rate / (1 - rate))), seen)
+    weighed = seen.withColumn("p", 1 / (1 + F.exp(-model.evidence() - model.prior)))
     paths = scratch.materialise(weighed.groupBy("host", "path").agg(F.sum("p").alias("good"), F.count("*").alias("n")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("n").alias("host_n"))
     top = hosts.agg(F.sum("host_good").alias("g"), F.sum("host_n").alias("n")).first()
@@ -127,5 +152,22 @@ def posteriors(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     paths = paths.join(hosts, "host")
     k = shrinkage(paths, F.col("host_prior"))
     paths = paths.select("host", "path", "host_prior", ((F.col("good") + k * F.col("host_prior")) / (F.col("n") + k)).alias("path_prior"))
-    out = weighed.join(paths, ["host", "path"]).withColumn("score", 1 / (1 + F.exp(-F.col("evidence") - logit(F.col("path_prior")))))
-    return out.select("id", "evidence", "host_prior", "path_prior", "score", *[F.col(f"_{i}").alias(c) for i, c in enumerate(carry)])
+    return replace(model, paths=scratch.materialise(paths, "priors")), seen
+
+
+def posteriors(df: DataFrame, labels: DataFrame, **columns) -> DataFrame:
+    """``(id, evidence, host_prior, path_prior, score)`` for every row; ``columns`` as of :func:`fit`.
+
+    Null hosts and paths count as one unnamed site. A null or empty text has a
+    feature of its own. Repeated rows count each; null ids are scored but match no
+    label. No rows: no rows.
+    """
+    model, seen = fit(df, labels, **columns)
+    return model.scored(seen).select(F.col("carried").alias("id"), "evidence", "host_prior", "path_prior", "score")
+
+
+def keeps(df: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", path_col: str | None = "lang", examples: int = EXAMPLES) -> DataFrame:
+    """The rows, with all their columns, whose score is at least ``least``; texts are read again rather than stored."""
+    model, _ = fit(df, labels, id_col, text_col, host_col, path_col, examples)
+    rows = described(df, F.struct(*[F.col(f"`{c}`") for c in df.columns]), text_col, host_col, path_col)
+    return model.scored(rows).where(F.col("score") >= least).select("carried.*")

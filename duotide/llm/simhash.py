@@ -14,11 +14,14 @@ Work is done on distinct fingerprints: copies cost one row however many.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from duotide import scratch
 from duotide.llm import text
@@ -98,5 +101,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(named, "fp").select("id", "fp", "component")
 
 
+def keeps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, with all its columns, of each component: that with the smallest id; of equal or only null ids, one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.array([fingerprint(x) for x in text.raw(batch, "text")], dtype=np.uint64).view(np.int64)
+            yield text.record(row=batch.column("row"), id=batch.column("id"), fp=fp)
+
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    schema = StructType([*rows.schema.fields[:2], StructField("fp", LongType())])
+    rows = scratch.materialise(rows.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()), "rows")
+    # the order among rows: null ids last, then the smallest
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first")
+    distinct = scratch.materialise(rows.groupBy("fp").agg(first), "distinct")
+    stars = components(links(distinct.select("fp")))
+    rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.uid").alias("uid"))
+    return rows.join(chosen, "uid", "left_semi").select("row.*")
+
+
 def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
