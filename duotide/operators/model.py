@@ -1,6 +1,6 @@
 """Train forecasters on lag features.
 
-``var``    least squares with intercept, from sums of products (one pass).
+``var``    least squares with intercept, from central moments (one pass).
 ``gated``  a gated unit with two dense layers, from per-partition gradients.
 
 Rows never reach the driver: it sees one small row per model or per weight.
@@ -59,20 +59,17 @@ def _complete(df: DataFrame, cols: Sequence[str], handle_invalid: str) -> DataFr
 def fit_var(df: DataFrame, features: Sequence[str], label: str = LABEL, by: Sequence[str] = (SERIES,)) -> DataFrame:
     """Least squares per group; ``weights`` is the intercept, then one per feature.
 
-    Each partition reduces its rows to sums of products per group, so a series
-    with most of the rows is summed by all tasks. Values are centred on the
-    overall means first, to keep the sums well conditioned.
+    One pass: each partition reduces its rows to central moments per group, which
+    merge without losing digits however far a group lies from zero or from others,
+    and a series with most of the rows is summed by all tasks.
     """
     cols = [*features, label]
-    means = df.agg(*[F.avg(c) for c in cols]).first()  # one row
-    shift = [float(m) if m is not None else 0.0 for m in means]
-    z = [F.col(c) - F.lit(m) for c, m in zip(cols, shift)]
-    pairs = [F.sum(z[i] * z[j]) for i in range(len(z)) for j in range(i, len(z))]
-    sums = df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.array(*[F.sum(c) for c in z]).alias("_s"), F.array(*pairs).alias("_ss")
+    pairs = [F.covar_pop(cols[i], cols[j]) for i in range(len(cols)) for j in range(i, len(cols))]
+    moments = df.groupBy(*by).agg(
+        F.count("*").alias("n"), F.array(*[F.avg(c) for c in cols]).alias("_mean"), F.array(*pairs).alias("_cov")
     )
-    sums = sums.where("n > 0")
-    fields = [sums.schema[c] for c in by] + [
+    moments = moments.where("n > 0")
+    fields = [moments.schema[c] for c in by] + [
         T.StructField("n", T.LongType()),
         T.StructField("weights", T.ArrayType(T.DoubleType())),
         T.StructField("rmse", T.DoubleType()),
@@ -80,32 +77,30 @@ def fit_var(df: DataFrame, features: Sequence[str], label: str = LABEL, by: Sequ
     keep = [*by, "n"]
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for sums in batches:
-            if len(sums):
-                weights, rmse = _solve(sums["n"].to_numpy(float), np.stack(sums["_s"]), np.stack(sums["_ss"]), shift)
-                yield sums[keep].assign(weights=list(weights), rmse=rmse)
-
-    return sums.mapInPandas(solve, T.StructType(fields))
-
-
-def _solve(n, s, ss, shift):
-    """Least squares for many groups at once from their centred sums."""
-    m = s.shape[1]
-    gram = np.empty((len(n), m, m))
-    upper = np.triu_indices(m)
-    gram[:, upper[0], upper[1]] = ss
-    gram[:, upper[1], upper[0]] = ss
-    cov = gram - s[:, :, None] * s[:, None, :] / n[:, None, None]
+        for groups in batches:
+            if len(groups):
+                weights, rmse = _solve(np.stack(groups["_mean"]), np.stack(groups["_cov"]))
+                yield groups[keep].assign(weights=list(weights), rmse=rmse)
+
+    return moments.mapInPandas(solve, T.StructType(fields))
+
+
+def _solve(mean, upper):
+    """Least squares for many groups at once from their means and the upper triangles of their covariances."""
+    m = mean.shape[1]
+    cov = np.empty((len(mean), m, m))
+    i, j = np.triu_indices(m)
+    cov[:, i, j] = upper
+    cov[:, j, i] = upper
     a, c, spread = cov[:, :-1, :-1], cov[:, :-1, -1], cov[:, -1, -1]
     scale = np.sqrt(np.clip(np.einsum("bii->bi", a), 0, None))
     scale[scale == 0] = 1.0
     scaled = a / scale[:, :, None] / scale[:, None, :]
     # pinv keeps collinear or constant features from blowing up
     slope = np.einsum("bij,bj->bi", np.linalg.pinv(scaled, rcond=1e-10, hermitian=True), c / scale) / scale
-    mean = s / n[:, None] + np.asarray(shift)
     intercept = mean[:, -1] - (slope * mean[:, :-1]).sum(axis=1)
     left = spread - (slope * c).sum(axis=1)
-    return np.column_stack([intercept, slope]), np.sqrt(np.clip(left, 0, None) / n)
+    return np.column_stack([intercept, slope]), np.sqrt(np.clip(left, 0, None))
 
 
 def gated_shapes(k: int, hidden: int = HIDDEN, dense: int = DENSE) -> list[tuple[int, ...]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ def join_group_stats(
     parts: int = 512,
     broadcast_groups: int = BROADCAST_GROUPS,
 ) -> DataFrame:
-    """Inner equi-join of ``rows`` with ``stats`` (one row per key, key not null).
+    """Inner equi-join of ``rows`` with ``stats`` (one row per key); a NULL key is a key like any other.
 
     ``weight`` is the number of rows in each group. Few groups are broadcast
     after counting them. Otherwise groups with more than 1/``parts`` of all rows
@@ -32,16 +33,24 @@ def join_group_stats(
     stats = scratch.materialise(stats, "group-stats")
     groups, total, largest = stats.agg(F.count("*"), F.sum(weight), F.max(weight)).first()
     if groups <= broadcast_groups:
-        return rows.join(F.broadcast(stats), [*keys])
+        return _on_keys(rows, F.broadcast(stats), keys)
     share = max(total // parts, 1)
     if largest <= share:
-        return rows.join(stats, [*keys])
+        return _on_keys(rows, stats, keys)
     hot = stats.where(F.col(weight) > share).select(*keys, F.ceil(F.col(weight) / share).cast("int").alias("_copies"))
     salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_copies")).cast("int"), F.lit(0))
-    dealt = rows.join(F.broadcast(hot), [*keys], "left").withColumn("_salt", salt).drop("_copies")
+    dealt = _on_keys(rows, F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_copies")
     copies = (
-        stats.join(F.broadcast(hot), [*keys], "left")
+        _on_keys(stats, F.broadcast(hot), keys, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)))
         .drop("_copies")
     )
-    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+    return _on_keys(dealt, copies, [*keys, "_salt"]).drop("_salt")
+
+
+def _on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal or both NULL keys, which appear once."""
+    names = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed(names)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return left.join(right, same, how).drop(*names.values())

@@ -91,6 +91,9 @@ def columnar_json_roundtrip(spark, sf_dir):
     return codec.decode_columnar_json(messages, time_type="timestamp_ntz")
 
 
+REPLAYED = 5000
+
+
 @query(with_(RECORDS) + f"SELECT Date_time, {SENSOR_LIST} FROM rec")
 def sensor_csv_scan(spark, sf_dir):
     path = scratch.new_dir(spark, "csv")
@@ -108,6 +111,21 @@ def replay_csv(spark, sf_dir):
     return codec.decode_sensor(readers.replay(spark, path, "source"), time_type="timestamp_ntz")
 
 
+@query(
+    with_(RECORDS)
+    + f"""SELECT Date_time, {SENSOR_LIST} FROM (
+  SELECT * FROM rec WHERE Gb2t_avg <> 7 ORDER BY Date_time, "offset" LIMIT {REPLAYED})"""
+)
+def replay_limit(spark, sf_dir):
+    """The first lines over several files of different length, in order of files and lines."""
+    path = scratch.new_dir(spark, "lines")
+    label = F.when(F.col("Gb2t_avg") != 7, F.col(LABEL))
+    rows = frames.records(spark, sf_dir).withColumn(LABEL, label)
+    parts = rows.repartitionByRange(5, F.greatest(F.col(TIME), F.lit("1996-01-01").cast("timestamp_ntz")), *ORDER)
+    parts.sortWithinPartitions(*ORDER).select(TIME, *SENSORS).write.option("header", True).csv(path)
+    return codec.decode_sensor(readers.replay(spark, path, "source", REPLAYED), time_type="timestamp_ntz")
+
+
 @query(with_(RECORDS) + f"SELECT {ROW}, true AS stamped FROM rec")
 def archive_json_roundtrip(spark, sf_dir):
     path = scratch.new_dir(spark, "archive")

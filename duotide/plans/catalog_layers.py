@@ -234,34 +234,35 @@ REPORT = [
     MATCHED,
     HYBRID,
     f"""clean AS (SELECT * FROM hybrid
-  QUALIFY row_number() OVER (PARTITION BY TS ORDER BY {', '.join(c for c in HYBRID_FIELDS if c != 'TS')}) = 1)""",
+  QUALIFY row_number() OVER (PARTITION BY series_key, TS ORDER BY {', '.join(c for c in HYBRID_FIELDS if c != 'TS')}) = 1)""",
     """spans AS (SELECT *, greatest(Speed_Latency_End, Batch_Latency_End) AS End_time,
     least(Speed_Latency_Start, Batch_Latency_Start) AS Start_time FROM clean)""",
     "timed AS (SELECT *, End_time - Start_time + Wt_Latency AS Total_Latency FROM spans)",
     f"""windows AS (SELECT {', '.join(report.WINDOW_METRICS)}, count(*) AS counts FROM timed GROUP BY ALL)""",
     """win AS (SELECT windows.*, f.TS FROM windows
-  LEFT JOIN (SELECT Total_Latency, min(TS) AS TS FROM timed GROUP BY 1) f USING (Total_Latency))""",
+  LEFT JOIN (SELECT Total_Latency, min(TS) AS TS FROM timed GROUP BY 1) f
+    ON windows.Total_Latency IS NOT DISTINCT FROM f.Total_Latency)""",
     """tps AS (SELECT *, """
     + ", ".join(f"counts / nullif({p}_Latency, 0) AS {p}_TPS" for p in ("Speed", "Batch", "Wt", "Total"))
     + " FROM win)",
 ]
 
 
-@query(with_(*REPORT) + f"SELECT {', '.join(HYBRID_FIELDS)}, End_time, Start_time, Total_Latency FROM timed")
+@query(with_(*REPORT) + f"SELECT series_key, {', '.join(HYBRID_FIELDS)}, End_time, Start_time, Total_Latency FROM timed")
 def total_latency(spark, sf_dir):
-    rows = _hybrid(spark, sf_dir).drop(SERIES, "epoch_id")
+    rows = _hybrid(spark, sf_dir).drop("epoch_id")
     return report.total_latency(report.clean_results(rows))
 
 
 @query(with_(*REPORT) + "SELECT * FROM win")
 def window_report(spark, sf_dir):
-    rows = _hybrid(spark, sf_dir).drop(SERIES, "epoch_id")
+    rows = _hybrid(spark, sf_dir).drop("epoch_id")
     return report.window_report(report.total_latency(report.clean_results(rows)))
 
 
 @query(with_(*REPORT) + "SELECT * FROM tps")
 def throughput_report(spark, sf_dir):
-    return report.build(_hybrid(spark, sf_dir).drop(SERIES, "epoch_id"))
+    return report.build(_hybrid(spark, sf_dir).drop("epoch_id"))
 
 
 SUMMARY = [*report.WINDOW_METRICS, "Speed_TPS", "Batch_TPS", "Wt_TPS", "Total_TPS"]
@@ -274,17 +275,18 @@ SUMMARY = [*report.WINDOW_METRICS, "Speed_TPS", "Batch_TPS", "Wt_TPS", "Total_TP
     + " FROM tps"
 )
 def report_summary(spark, sf_dir):
-    return report.summary(report.build(_hybrid(spark, sf_dir).drop(SERIES, "epoch_id")))
+    return report.summary(report.build(_hybrid(spark, sf_dir).drop("epoch_id")))
 
 
-@query(HYBRID_SQL + f"SELECT {', '.join(HYBRID_FIELDS)} FROM hybrid")
+@query(HYBRID_SQL + f"SELECT series_key, epoch_id % 2 AS epoch_id, {', '.join(HYBRID_FIELDS)} FROM hybrid")
 def hybrid_results_csv(spark, sf_dir):
     """Result rows written as CSV per part and read back as one table."""
     path = scratch.new_dir(spark, "hybrid")
     rows = scratch.materialise(_hybrid(spark, sf_dir), "hybrid-rows")
     for epoch_id, odd in enumerate((False, True)):
         sinks.write_hybrid(rows.where((F.col("epoch_id") % 2 == 1) == F.lit(odd)), path, epoch_id)
-    return readers.hybrid_results(spark, f"{path}/epoch_id=*").withColumn("TS", F.col("TS").cast("timestamp_ntz"))
+    back = readers.hybrid_results(spark, path)
+    return back.withColumns({"TS": F.col("TS").cast("timestamp_ntz"), "epoch_id": F.col("epoch_id").cast("bigint")})
 
 
 @query(

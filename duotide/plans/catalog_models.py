@@ -39,6 +39,21 @@ def ar1_fit(spark, sf_dir):
     )
 
 
+# Each series has a level of its own, 1e8 apart from the next.
+LEVEL_SQL = "CAST(substr(series_key, 2) AS BIGINT) * 1e8"
+
+
+@query(
+    with_(RECORDS, LAGGED, f"far AS (SELECT series_key, nth, Ot_avg + {LEVEL_SQL} AS y, l1 + {LEVEL_SQL} AS x FROM lagged)")
+    + """SELECT series_key, count(*) AS n, round(regr_slope(y, x), 6) AS slope FROM far WHERE nth > 1 GROUP BY 1"""
+)
+def var_distant_levels(spark, sf_dir):
+    """Series at levels far apart lose no digits to each other."""
+    level = F.substring(SERIES, 2, 20).cast("bigint") * F.lit(1e8)
+    rows = _label_lags(spark, sf_dir, 1).withColumns({c: F.col(c) + level for c in (LABEL, AR[0])})
+    return model.train(rows, AR[:1]).select(SERIES, "n", F.round(F.get("weights", 1), 6).alias("slope"))
+
+
 # Two regressors solved by Cramer's rule on their covariances.
 AR2 = [
     RECORDS,
@@ -145,11 +160,16 @@ def minmax_scaled(spark, sf_dir):
     return scaled.select(SERIES, "offset", *places)
 
 
+def _periods(rows):
+    """The years that occur, in order: as many as the data's time span has."""
+    return [r["period"] for r in rows.select("period").distinct().orderBy("period").collect()]
+
+
 @query(
     with_(
         RECORDS,
         LAGGED,
-        """yearly AS (SELECT series_key, least(year(Date_time), 2000) AS y, count(*) AS n, regr_slope(Ot_avg, l1) AS slope
+        """yearly AS (SELECT series_key, year(Date_time) AS y, count(*) AS n, regr_slope(Ot_avg, l1) AS slope
   FROM lagged WHERE nth > 1 GROUP BY ALL)""",
     )
     + """SELECT series_key, 'model_' || y || '-' || (y + 1) AS model_version, n, round(slope, 6) AS slope FROM yearly
@@ -159,9 +179,8 @@ def latest_models(spark, sf_dir):
     """A model per series and training period is published; the newest of each is read back."""
     path = scratch.new_dir(spark, "registry")
     rows = _label_lags(spark, sf_dir, 1)
-    period = F.least(F.year(TIME), F.lit(2000))
-    fitted = scratch.materialise(model.train(rows.withColumn("period", period), AR[:1], by=[SERIES, "period"]))
-    for year in range(1995, 2001):
+    fitted = scratch.materialise(model.train(rows.withColumn("period", F.year(TIME)), AR[:1], by=[SERIES, "period"]))
+    for year in _periods(fitted):
         version = registry.version_name(str(year), str(year + 1))
         registry.publish(
             fitted.where(F.col("period") == year), path, "speed", "var", version, f"{year}-01-01", f"{year + 1}-01-01"
@@ -173,13 +192,13 @@ def latest_models(spark, sf_dir):
 @query(
     with_(RECORDS, LAGGED)
     + """SELECT 'model_' || max(y) || '-' || (max(y) + 1) AS model_version
-FROM (SELECT least(year(Date_time), 2000) AS y FROM lagged WHERE nth > 1)"""
+FROM (SELECT year(Date_time) AS y FROM lagged WHERE nth > 1)"""
 )
 def latest_artifact(spark, sf_dir):
     """The newest model file below a folder, found by modification time alone."""
     path = scratch.new_dir(spark, "artifacts")
-    rows = scratch.materialise(_label_lags(spark, sf_dir, 1).withColumn("period", F.least(F.year(TIME), F.lit(2000))))
-    for year in range(1995, 2001):
+    rows = scratch.materialise(_label_lags(spark, sf_dir, 1).withColumn("period", F.year(TIME)))
+    for year in _periods(rows):
         version = registry.version_name(str(year), str(year + 1))
         fitted = model.train(rows.where(F.col("period") == year), AR[:1], by=())
         registry.publish(fitted, path, "speed", "var", version, f"{year}-01-01", f"{year + 1}-01-01")

@@ -1,15 +1,15 @@
 """Streaming queries, fed in parts and restarted from their checkpoint for each part.
 
-The records of all years arrive in three parts of the table. Every part is
-written to the input folder, then the query takes what is new in one
-micro-batch and stops.
+The records arrive in three parts, cut by year over the years that the table
+has. Every part is written to the input folder, then the query takes what is new
+in one micro-batch and stops.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duotide import scratch
@@ -23,8 +23,9 @@ from duotide.schemas import LABEL, PREDICTION_FIELDS, RECORD_SCHEMA, SENSORS, SE
 from duotide.sources import readers
 from duotide.streaming import queries
 
-FIRST_YEAR, YEARS_PER_PART, PARTS = 1995, 3, 3
-PART_SQL = "(year({t}) - 1995) // 3"
+PARTS = 3
+_LOW, _HIGH = (f"(SELECT {f}(year(l_shipdate)) FROM lineitem)" for f in ("min", "max"))
+PART_SQL = f"coalesce((year({{t}}) - {_LOW}) * {PARTS} // ({_HIGH} - {_LOW} + 1), 0)"
 ORDER_SQL = 'Date_time, "offset"'
 
 
@@ -43,23 +44,28 @@ def _stream_session(spark):
     return session
 
 
-def _part(time: str):
-    return F.floor((F.year(time) - FIRST_YEAR) / YEARS_PER_PART).cast("int")
+def _part(spark, sf_dir, time: str) -> Column:
+    """Part of a row: equal spans of the table's years. Rows without a time come first."""
+    year = F.year("l_shipdate")
+    low, high = frames.table(spark, sf_dir, "lineitem").agg(F.min(year), F.max(year)).first()  # one row
+    if low is None:
+        return F.lit(0)
+    return F.coalesce(F.floor((F.year(time) - low) * PARTS / (high - low + 1)).cast("int"), F.lit(0))
 
 
-def _feed(spark, rows: DataFrame, time: str, to_records: Callable, run: Callable[[DataFrame], None]) -> None:
+def _feed(spark, sf_dir, rows: DataFrame, time: str, to_records: Callable, run: Callable[[DataFrame], None]) -> None:
     """Write each part in turn and let ``run`` take it from the stream."""
-    rows = scratch.materialise(rows, "feed")
+    rows = scratch.materialise(rows.withColumn("_part", _part(spark, sf_dir, time)), "feed")
     source, streams = scratch.new_dir(spark, "source"), _stream_session(spark)
     for part in range(PARTS):
-        records = to_records(rows.where(_part(time) == part))
+        records = to_records(rows.where(F.col("_part") == part).drop("_part"))
         records.select(*RECORD_SCHEMA.names).write.mode("append").parquet(source)
         run(readers.record_stream(streams, source))
 
 
 def _sensor_feed(spark, sf_dir, run) -> None:
     rows = readers.spread(frames.records(spark, sf_dir), "offset")
-    _feed(spark, rows, TIME, lambda rows: frames.topic_records(rows, "source"), run)
+    _feed(spark, sf_dir, rows, TIME, lambda rows: frames.topic_records(rows, "source"), run)
 
 
 def _prediction_records(rows: DataFrame) -> DataFrame:
@@ -117,7 +123,7 @@ def stream_scoring(spark, sf_dir):
     return rows.select(epoch, SERIES, "offset", *PREDICTION_FIELDS[:6], "model_version")
 
 
-HYBRID_PARTS = f"""once AS (
+HYBRID_PARTS = f"""once AS MATERIALIZED (
   SELECT *, {PART_SQL.format(t='TS')} AS part FROM pred
   QUALIFY row_number() OVER (PARTITION BY topic, series_key, TS ORDER BY "offset") = 1),
 matched AS (
@@ -125,15 +131,15 @@ matched AS (
     {half_up('sp.Temp_Predict', 3)} AS Speed_RT_Temp, {half_up('bt.Temp_Predict', 3)} AS Batch_RT_Temp,
     {half_up(f'({SPEED} * sp.Temp_Predict + {BATCH} * bt.Temp_Predict)', 3)} AS Wt_Temp,
     {half_up('sp.RMSE_Score', 3)} AS Speed_RMSE, sp.Latency AS Speed_Latency
-  FROM once sp JOIN once bt ON sp.series_key = bt.series_key AND sp.TS = bt.TS
-  WHERE sp.topic = 'speed' AND bt.topic = 'batch')"""
+  FROM (SELECT * FROM once WHERE topic = 'speed') sp
+  JOIN (SELECT * FROM once WHERE topic = 'batch') bt ON sp.series_key = bt.series_key AND sp.TS = bt.TS)"""
 
 
 def _hybrid_epochs(spark, sf_dir):
     rows_path, kpi_path, checkpoint = (scratch.new_dir(spark, n) for n in ("hybrid", "kpi", "checkpoint"))
     on_batch = queries.hybrid_layer("speed", "batch", rows_path, {"path": kpi_path}, format="parquet")
     predictions = frames.predictions(spark, sf_dir)
-    _feed(spark, predictions, "TS", _prediction_records, lambda s: queries.run_query(s, on_batch, checkpoint))
+    _feed(spark, sf_dir, predictions, "TS", _prediction_records, lambda s: queries.run_query(s, on_batch, checkpoint))
     return rows_path, kpi_path
 
 

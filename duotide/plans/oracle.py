@@ -41,18 +41,18 @@ LAGGED = """lagged AS (
   SELECT *, row_number() OVER w AS nth, lag(Ot_avg, 1) OVER w AS l1, lag(Ot_avg, 2) OVER w AS l2
   FROM rec WINDOW w AS (PARTITION BY series_key ORDER BY Date_time, "offset"))"""
 
-RAW_PREDICTIONS = """raw AS (
+RAW_PREDICTIONS = """raw AS MATERIALIZED (
   SELECT *, date_diff('day', DATE '1970-01-01', CAST(TS AS DATE)) // 30 AS epoch_id FROM (
     SELECT series_key, 'speed' AS topic, "offset", Date_time AS TS, Ot_avg AS Temp, l1 AS Temp_Predict
     FROM lagged WHERE nth > 1
     UNION ALL
     SELECT series_key, 'batch', "offset", Date_time, Ot_avg, (l1 + l2) / 2 FROM lagged WHERE nth > 2))"""
 
-PREDICTIONS = """scores AS (
+PREDICTIONS = """scores AS MATERIALIZED (
   SELECT topic, epoch_id, sqrt(avg((Temp_Predict - Temp) * (Temp_Predict - Temp))) AS RMSE_Score,
     avg(abs(Temp_Predict - Temp)) AS MAE_Score, avg((Temp_Predict - Temp) * (Temp_Predict - Temp)) AS MSE_Score
   FROM raw GROUP BY ALL),
-pred AS (
+pred AS MATERIALIZED (
   SELECT series_key, topic, "offset", epoch_id, TS, Temp, Temp_Predict, RMSE_Score, MAE_Score, MSE_Score,
     CAST(epoch_id * 60 + CASE topic WHEN 'speed' THEN 0 ELSE 1 END AS DOUBLE) AS Latency_Start,
     CAST(epoch_id * 60 + CASE topic WHEN 'speed' THEN 5 + epoch_id % 7 ELSE 5 + epoch_id % 5 END AS DOUBLE)
@@ -90,7 +90,7 @@ def settle(sql: str) -> str:
 
 
 # One layer's first record per series and time, then the two layers side by side.
-MATCHED = """once AS (
+MATCHED = """once AS MATERIALIZED (
   SELECT * FROM pred QUALIFY row_number() OVER (PARTITION BY topic, series_key, TS ORDER BY "offset") = 1),
 matched AS (
   SELECT sp.series_key, sp.TS, sp.epoch_id,
@@ -110,8 +110,8 @@ matched AS (
         "Batch_MAE": "bt.MAE_Score",
     }.items()
 ) + """
-  FROM once sp JOIN once bt ON sp.series_key = bt.series_key AND sp.TS = bt.TS
-  WHERE sp.topic = 'speed' AND bt.topic = 'batch')"""
+  FROM (SELECT * FROM once WHERE topic = 'speed') sp
+  JOIN (SELECT * FROM once WHERE topic = 'batch') bt ON sp.series_key = bt.series_key AND sp.TS = bt.TS)"""
 
 PREDICTED = [RECORDS, LAGGED, RAW_PREDICTIONS, PREDICTIONS]
 

@@ -6,11 +6,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from duotide import scratch
 from duotide.functions.scalars import rate, row_max, row_min
-from duotide.operators import dedup, skew
-from duotide.schemas import HYBRID_FIELDS
+from duotide.operators import dedup
+from duotide.schemas import HYBRID_FIELDS, SERIES
 
 # One window of the stream shows as one combination of these values.
 WINDOW_METRICS = [
@@ -30,8 +30,10 @@ def union_results(*frames: DataFrame) -> DataFrame:
 
 
 def clean_results(df: DataFrame) -> DataFrame:
-    """Complete rows, one per event time."""
-    return dedup.keep_first(df.dropna("any"), ["TS"], [c for c in HYBRID_FIELDS if c != "TS" and c in df.columns])
+    """Rows complete in every result field, one per series and event time."""
+    fields = [c for c in HYBRID_FIELDS if c in df.columns]
+    keys = [c for c in (SERIES, "TS") if c in df.columns]
+    return dedup.keep_first(df.dropna("any", subset=fields), keys, [c for c in fields if c != "TS"])
 
 
 def total_latency(df: DataFrame) -> DataFrame:
@@ -48,11 +50,12 @@ def window_counts(df: DataFrame) -> DataFrame:
 
 
 def window_report(df: DataFrame) -> DataFrame:
-    """Windows with the first event time seen at their total latency."""
-    windows = scratch.materialise(window_counts(df), "windows")
-    first = windows.groupBy("Total_Latency").agg(F.min("TS").alias("TS"), F.count("*").alias("_n"))
-    joined = skew.join_group_stats(windows.drop("TS"), first, ["Total_Latency"], WINDOW_METRICS, weight="_n")
-    return joined.select(*WINDOW_METRICS, "counts", "TS")
+    """Windows with the first event time seen at their total latency; one of unknown latency stays.
+
+    There is one row per window of the stream here, however many rows it had.
+    """
+    first = F.min("TS").over(Window.partitionBy("Total_Latency"))
+    return window_counts(df).withColumn("TS", first).select(*WINDOW_METRICS, "counts", "TS")
 
 
 def throughput(df: DataFrame) -> DataFrame:

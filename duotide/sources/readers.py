@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duotide.functions.codec import decode_columnar_json, incomplete
-from duotide.schemas import HYBRID_SCHEMA, RECORD_SCHEMA, SENSOR_SCHEMA, SENSORS, TIME
+from duotide.operators.ordering import row_index
+from duotide.schemas import HYBRID_SCHEMA, RECORD_SCHEMA, SENSOR_SCHEMA, SENSORS, SERIES, TIME
 
 
 def kafka_stream(
@@ -71,9 +72,10 @@ def sensor_csv(spark: SparkSession, path: str | list[str], infer: bool = False)
 def hybrid_results(spark: SparkSession, path: str | list[str], format: str = "csv") -> DataFrame:
     """Result rows of all epochs below a path or glob, as one table.
 
-    The glob names files, or the epoch folders that the sink writes.
+    The glob names files, or the epoch folders that the sink writes; of the folder
+    above them, each row also has its ``epoch_id``. ``series_key`` is NULL in files without it.
     """
-    reader = spark.read.schema(HYBRID_SCHEMA)
+    reader = spark.read.schema(T.StructType([*HYBRID_SCHEMA.fields, T.StructField(SERIES, T.StringType())]))
     return reader.option("header", True).csv(path) if format == "csv" else reader.format(format).load(path)
 
 
@@ -89,14 +91,29 @@ def quoted_records(lines: DataFrame, topic: str, keep: Sequence[str] = ()) -> Da
     )
 
 
-def replay(spark: SparkSession, path: str, topic: str, max_line: int | None = None) -> DataFrame:
-    """A sensor CSV as records for a topic: no header, no incomplete rows, the first ``max_line``.
+def replay(spark: SparkSession, path: str | list[str], topic: str, max_line: int | None = None) -> DataFrame:
+    """Sensor CSVs as records for a topic: no header, no incomplete rows, the first ``max_line``.
 
-    The limit keeps file order through a top-k over line numbers, which every
-    task cuts to ``max_line`` rows before anything is merged.
+    Files come in order of their names, lines in order within them. The limit keeps
+    lines by their number, which takes one range shuffle and no task that holds
+    them all.
     """
     header = ",".join([TIME, *SENSORS])
-    lines = spark.read.text(path).where(F.trim("value") != header)
-    numbered = lines.withColumn("line", F.monotonically_increasing_id())
-    records = quoted_records(numbered, topic, keep=("line",))
-    return records if max_line is None else records.orderBy("line").limit(max_line)
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    # within a block, ids rise in the order of reading
+    lines = lines.where(F.trim("value") != header).withColumn("line", F.monotonically_increasing_id())
+    place = ["file_path", "file_block_start", "line"]
+    if max_line is None:
+        return quoted_records(lines, topic, keep=place)
+    records = quoted_records(lines, topic, keep=place)
+    numbered = row_index(records, place).where(F.col("row_index") <= max_line)
+    return numbered.drop("line").withColumnRenamed("row_index", "line")
+
+
+def replay_stream(spark: SparkSession, path: str, topic: str, max_files: int | None = None) -> DataFrame:
+    """The same as a stream over a folder that files are put into; ``max_files`` bounds a micro-batch."""
+    reader = spark.readStream.option("wholetext", False)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    header = ",".join([TIME, *SENSORS])
+    return quoted_records(reader.text(path).where(F.trim("value") != header), topic)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duotide.functions.scalars import epoch_seconds
-from duotide.schemas import HYBRID_FIELDS, KPI_FIELDS
+from duotide.schemas import HYBRID_FIELDS, KPI_FIELDS, SERIES
 
 
 def to_topic(df: DataFrame, brokers: str, topic: str) -> None:
@@ -28,8 +28,8 @@ def write_predictions(df: DataFrame, target: dict, epoch_id: int) -> None:
 
 
 def write_hybrid(df: DataFrame, path: str, epoch_id: int, format: str = "csv") -> None:
-    """Result rows of one epoch, in file column order."""
-    extra = [c for c in df.columns if c not in HYBRID_FIELDS] if format != "csv" else []
+    """Result rows of one epoch, in file column order; CSV files have the series last, the epoch is their folder's name."""
+    extra = [c for c in df.columns if c not in HYBRID_FIELDS and (format != "csv" or c == SERIES)]
     options = {"header": "true"} if format == "csv" else {}
     to_folder(df.select(*HYBRID_FIELDS, *extra), path, epoch_id, format, **options)
 
