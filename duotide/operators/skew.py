@@ -33,22 +33,22 @@ def join_group_stats(
     stats = scratch.materialise(stats, "group-stats")
     groups, total, largest = stats.agg(F.count("*"), F.sum(weight), F.max(weight)).first()
     if groups <= broadcast_groups:
-        return _on_keys(rows, F.broadcast(stats), keys)
+        return on_keys(rows, F.broadcast(stats), keys)
     share = max(total // parts, 1)
     if largest <= share:
-        return _on_keys(rows, stats, keys)
+        return on_keys(rows, stats, keys)
     hot = stats.where(F.col(weight) > share).select(*keys, F.ceil(F.col(weight) / share).cast("int").alias("_copies"))
     salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_copies")).cast("int"), F.lit(0))
-    dealt = _on_keys(rows, F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_copies")
+    dealt = on_keys(rows, F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_copies")
     copies = (
-        _on_keys(stats, F.broadcast(hot), keys, "left")
+        on_keys(stats, F.broadcast(hot), keys, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)))
         .drop("_copies")
     )
-    return _on_keys(dealt, copies, [*keys, "_salt"]).drop("_salt")
+    return on_keys(dealt, copies, [*keys, "_salt"]).drop("_salt")
 
 
-def _on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on equal or both NULL keys, which appear once."""
     names = {k: f"_right_{i}" for i, k in enumerate(keys)}
     right = right.withColumnsRenamed(names)

@@ -42,13 +42,12 @@ def decode_sensor(spark, sf_dir):
 
 @query(
     with_(RECORDS)
-    + """SELECT series_key, count(*) AS kept, sum(Ot_avg) AS total FROM rec
-WHERE Db2t_avg <> 0.1::DOUBLE AND Gb1t_avg <> 0 AND Gb2t_avg <> 7 GROUP BY 1"""
+    + f"SELECT {ROW} FROM rec WHERE Db2t_avg <> 0.1::DOUBLE AND Gb1t_avg <> 0 AND Gb2t_avg <> 7"
 )
 def decode_sensor_drop(spark, sf_dir):
     wire = frames.sensor_wire(spark, sf_dir)
     rows = codec.decode_sensor(wire, (SERIES, "offset"), on_error="drop", time_type="timestamp_ntz")
-    return rows.groupBy(SERIES).agg(F.count("*").alias("kept"), F.sum(LABEL).alias("total"))
+    return rows.select(*frames.sensor_columns())
 
 
 @query(with_(*PREDICTED) + f'SELECT series_key, "offset", topic, {", ".join(PREDICTION_FIELDS)} FROM pred')

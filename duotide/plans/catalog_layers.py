@@ -9,7 +9,7 @@ from duotide.operators import ensemble, metrics, scoring
 from duotide.plans import frames, kpi, report
 from duotide.plans.catalog import query
 from duotide.plans.oracle import HYBRID, LAGGED, MATCHED, PREDICTED, RAW_PREDICTIONS, RECORDS, half_up, with_
-from duotide.schemas import HYBRID_FIELDS, LABEL, SERIES, TIME
+from duotide.schemas import HYBRID_FIELDS, KPI_FIELDS, LABEL, SERIES, TIME
 from duotide.sources import readers, sinks
 
 RAW = [RECORDS, LAGGED, RAW_PREDICTIONS]
@@ -25,12 +25,11 @@ def _window(time: str, seconds: int) -> str:
 
 @query(
     with_(*RAW)
-    + "SELECT topic, series_key, count(*) AS records, sum(Temp_Predict) AS total FROM raw GROUP BY ALL"
+    + 'SELECT topic, series_key, "offset", TS, Temp, Temp_Predict FROM raw'
 )
 def split_layers(spark, sf_dir):
     sp, bt = ensemble.split_layers(frames.raw_predictions(spark, sf_dir), "speed", "batch")
-    counts = [F.count("*").alias("records"), F.sum("Temp_Predict").alias("total")]
-    return report.union_results(sp, bt).groupBy("topic", SERIES).agg(*counts)
+    return report.union_results(sp, bt).select("topic", SERIES, "offset", "TS", "Temp", "Temp_Predict")
 
 
 @query(with_(*PREDICTED, MATCHED) + f"SELECT series_key, {', '.join(MATCHED_FIELDS)} FROM matched")
@@ -220,13 +219,15 @@ def kpi_rollup(spark, sf_dir):
 @query(
     HYBRID_SQL
     + "SELECT CAST(epoch_id AS VARCHAR) AS Epoch_Id, CAST(count(*) AS VARCHAR) AS Record_Num, "
-    + "arg_min(Speed_RMSE, (TS, series_key)) AS Speed_RMSE FROM hybrid GROUP BY epoch_id"
+    + ", ".join(f"round(arg_min({c}, (TS, series_key)), 6) AS {c}" for c in KPI_SHOWN)
+    + ", CAST(5 AS DOUBLE) AS MQTT_Publish_Time FROM hybrid GROUP BY epoch_id"
 )
 def kpi_messages(spark, sf_dir):
     """JSON messages, whose values are all strings, read back."""
-    messages = sinks.kpi_message(kpi.rollup(_hybrid(spark, sf_dir), order=("TS", SERIES)))
-    back = messages.select(F.from_json("value", "Epoch_Id string, Record_Num string, Speed_RMSE string").alias("m"))
-    return back.select("m.Epoch_Id", "m.Record_Num", F.col("m.Speed_RMSE").cast("double").alias("Speed_RMSE"))
+    rolled = kpi.rollup(_hybrid(spark, sf_dir), order=("TS", SERIES), publish_time=F.lit(5.0))
+    schema = ", ".join(f"{c} string" for c in KPI_FIELDS)
+    back = sinks.kpi_message(rolled).select(F.from_json("value", schema).alias("m")).select("m.*")
+    return back.select(*KPI_FIELDS[:2], *[F.round(F.col(c).cast("double"), 6).alias(c) for c in KPI_FIELDS[2:]])
 
 
 REPORT = [

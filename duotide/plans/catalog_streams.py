@@ -18,14 +18,20 @@ from duotide.operators import dedup, features, registry
 from duotide.plans import frames
 from duotide.plans.catalog import query
 from duotide.plans.catalog_features import lag_oracle
-from duotide.plans.oracle import BATCH, PREDICTED, RECORDS, SPEED, half_up, with_
-from duotide.schemas import LABEL, PREDICTION_FIELDS, RECORD_SCHEMA, SENSORS, SERIES, TIME
+from duotide.plans.oracle import BATCH, PREDICTED, RECORDS, SPEED, half_up, lags, with_
+from duotide.schemas import KPI_FIELDS, LABEL, PREDICTION_FIELDS, RECORD_SCHEMA, SENSORS, SERIES, SPEED_WEIGHT, TIME
 from duotide.sources import readers
 from duotide.streaming import queries
 
 PARTS = 3
 _LOW, _HIGH = (f"(SELECT {f}(year(l_shipdate)) FROM lineitem)" for f in ("min", "max"))
-PART_SQL = f"coalesce((year({{t}}) - {_LOW}) * {PARTS} // ({_HIGH} - {_LOW} + 1), 0)"
+
+
+def part_sql(time: str, parts: int = PARTS) -> str:
+    return f"coalesce((year({time}) - {_LOW}) * {parts} // ({_HIGH} - {_LOW} + 1), 0)"
+
+
+PART_SQL = part_sql("{t}")
 ORDER_SQL = 'Date_time, "offset"'
 
 
@@ -44,28 +50,28 @@ def _stream_session(spark):
     return session
 
 
-def _part(spark, sf_dir, time: str) -> Column:
+def _part(spark, sf_dir, time: str, parts: int = PARTS) -> Column:
     """Part of a row: equal spans of the table's years. Rows without a time come first."""
     year = F.year("l_shipdate")
     low, high = frames.table(spark, sf_dir, "lineitem").agg(F.min(year), F.max(year)).first()  # one row
     if low is None:
         return F.lit(0)
-    return F.coalesce(F.floor((F.year(time) - low) * PARTS / (high - low + 1)).cast("int"), F.lit(0))
+    return F.coalesce(F.floor((F.year(time) - low) * parts / (high - low + 1)).cast("int"), F.lit(0))
 
 
-def _feed(spark, sf_dir, rows: DataFrame, time: str, to_records: Callable, run: Callable[[DataFrame], None]) -> None:
+def _feed(spark, part: Column, rows: DataFrame, to_records: Callable, run: Callable, parts: int = PARTS) -> None:
     """Write each part in turn and let ``run`` take it from the stream."""
-    rows = scratch.materialise(rows.withColumn("_part", _part(spark, sf_dir, time)), "feed")
+    rows = scratch.materialise(rows.withColumn("_part", part), "feed")
     source, streams = scratch.new_dir(spark, "source"), _stream_session(spark)
-    for part in range(PARTS):
-        records = to_records(rows.where(F.col("_part") == part).drop("_part"))
+    for n in range(parts):
+        records = to_records(rows.where(F.col("_part") == n).drop("_part"))
         records.select(*RECORD_SCHEMA.names).write.mode("append").parquet(source)
         run(readers.record_stream(streams, source))
 
 
 def _sensor_feed(spark, sf_dir, run) -> None:
     rows = readers.spread(frames.records(spark, sf_dir), "offset")
-    _feed(spark, sf_dir, rows, TIME, lambda rows: frames.topic_records(rows, "source"), run)
+    _feed(spark, _part(spark, sf_dir, TIME), rows, lambda rows: frames.topic_records(rows, "source"), run)
 
 
 def _prediction_records(rows: DataFrame) -> DataFrame:
@@ -130,16 +136,18 @@ matched AS (
   SELECT sp.part AS epoch_id, sp.series_key, sp.TS, {half_up('sp.Temp', 3)} AS RT_Temp,
     {half_up('sp.Temp_Predict', 3)} AS Speed_RT_Temp, {half_up('bt.Temp_Predict', 3)} AS Batch_RT_Temp,
     {half_up(f'({SPEED} * sp.Temp_Predict + {BATCH} * bt.Temp_Predict)', 3)} AS Wt_Temp,
-    {half_up('sp.RMSE_Score', 3)} AS Speed_RMSE, sp.Latency AS Speed_Latency
+    {half_up('sp.RMSE_Score', 3)} AS Speed_RMSE, {half_up('bt.RMSE_Score', 3)} AS Batch_RMSE,
+    {half_up('sp.MAE_Score', 3)} AS Speed_MAE, {half_up('bt.MAE_Score', 3)} AS Batch_MAE,
+    sp.Latency AS Speed_Latency, bt.Latency AS Batch_Latency
   FROM (SELECT * FROM once WHERE topic = 'speed') sp
   JOIN (SELECT * FROM once WHERE topic = 'batch') bt ON sp.series_key = bt.series_key AND sp.TS = bt.TS)"""
 
 
 def _hybrid_epochs(spark, sf_dir):
     rows_path, kpi_path, checkpoint = (scratch.new_dir(spark, n) for n in ("hybrid", "kpi", "checkpoint"))
-    on_batch = queries.hybrid_layer("speed", "batch", rows_path, {"path": kpi_path}, format="parquet")
+    on_batch = queries.hybrid_layer("speed", "batch", rows_path, {"path": kpi_path}, format="parquet", clock=CLOCK)
     predictions = frames.predictions(spark, sf_dir)
-    _feed(spark, sf_dir, predictions, "TS", _prediction_records, lambda s: queries.run_query(s, on_batch, checkpoint))
+    _feed(spark, _part(spark, sf_dir, "TS"), predictions, _prediction_records, lambda s: queries.run_query(s, on_batch, checkpoint))
     return rows_path, kpi_path
 
 
@@ -158,19 +166,36 @@ def stream_hybrid(spark, sf_dir):
     return rows.select(F.col("epoch_id").cast("bigint").alias("epoch_id"), SERIES, *shown, *scores)
 
 
+SENT = [f"{p}_{m}" for m in ("Latency", "RMSE", "MAE") for p in ("Speed", "Batch")]
+# A clock that stands still: no time passes in the ensemble, and messages are sent at this second.
+CLOCK_SECONDS = 7.0
+
+
+def CLOCK() -> float:
+    return CLOCK_SECONDS
+
+
 @query(
     with_(*PREDICTED, HYBRID_PARTS)
     + """SELECT CAST(epoch_id AS VARCHAR) AS Epoch_Id, CAST(count(*) AS VARCHAR) AS Record_Num,
-  arg_min(Speed_RMSE, (TS, series_key)) AS Speed_RMSE, arg_min(Speed_Latency, (TS, series_key)) AS Speed_Latency,
-  round(sqrt(avg((Wt_Temp - RT_Temp) ** 2)), 6) AS Wt_RMSE FROM matched GROUP BY epoch_id"""
+  """
+    + ", ".join(f"arg_min({c}, (TS, series_key)) AS {c}" for c in SENT)
+    + f""", CAST(0 AS DOUBLE) AS Wt_Latency, round(sqrt(avg((Wt_Temp - RT_Temp) ** 2)), 6) AS Wt_RMSE,
+  round(avg(abs(Wt_Temp - RT_Temp)), 6) AS Wt_MAE, CAST({CLOCK_SECONDS} AS DOUBLE) AS MQTT_Publish_Time
+FROM matched GROUP BY epoch_id"""
 )
 def stream_kpi(spark, sf_dir):
-    """The KPI message of each micro-batch."""
+    """The KPI message of each micro-batch, with all its fields."""
     _, kpi_path = _hybrid_epochs(spark, sf_dir)
-    fields = "Epoch_Id string, Record_Num string, Speed_RMSE string, Speed_Latency string, Wt_RMSE string"
-    back = spark.read.text(f"{kpi_path}/epoch_id=*").select(F.from_json("value", fields).alias("m")).select("m.*")
-    numbers = [F.col(c).cast("double").alias(c) for c in ("Speed_RMSE", "Speed_Latency")]
-    return back.select("Epoch_Id", "Record_Num", *numbers, F.round(F.col("Wt_RMSE").cast("double"), 6).alias("Wt_RMSE"))
+    return kpi_fields(spark.read.text(f"{kpi_path}/epoch_id=*"))
+
+
+def kpi_fields(messages: DataFrame) -> DataFrame:
+    """The fields of JSON messages, all strings there, as what they are."""
+    schema = ", ".join(f"{c} string" for c in KPI_FIELDS)
+    back = messages.select(F.from_json("value", schema).alias("m")).select("m.*")
+    numbers = [F.round(F.col(c).cast("double"), 6).alias(c) for c in KPI_FIELDS[2:]]
+    return back.select(*KPI_FIELDS[:2], *numbers)
 
 
 @query(
@@ -195,26 +220,22 @@ def stream_hybrid_join(spark, sf_dir):
 @query(
     with_(
         RECORDS,
-        f"""l AS (SELECT *, {PART_SQL.format(t='Date_time')} AS part, row_number() OVER (
-    PARTITION BY {PART_SQL.format(t='Date_time')}, series_key ORDER BY {ORDER_SQL}) AS nth FROM rec)""",
+        f"""l AS (SELECT *, {PART_SQL.format(t='Date_time')} AS part, row_number() OVER w AS nth, lag(Ot_avg, 1) OVER w AS l1
+  FROM rec WINDOW w AS (PARTITION BY {PART_SQL.format(t='Date_time')}, series_key ORDER BY {ORDER_SQL}))""",
     )
-    + """SELECT 'speed' AS layer, 'var' AS kind, count(*) FILTER (WHERE nth > 2) AS n, min(Date_time) AS train_start,
-  max(Date_time) AS train_end, 11 AS weights FROM l GROUP BY part"""
+    + """SELECT 'speed' AS layer, 'var' AS kind, count(*) FILTER (WHERE nth > 1) AS n, min(Date_time) AS train_start,
+  max(Date_time) AS train_end, round(regr_intercept(Ot_avg, l1) FILTER (WHERE nth > 1), 6) AS w0,
+  round(regr_slope(Ot_avg, l1) FILTER (WHERE nth > 1), 6) AS w1 FROM l GROUP BY part"""
 )
 def stream_retraining(spark, sf_dir):
     """One model per micro-batch of recent rows, published to the registry."""
     path, checkpoint = scratch.new_dir(spark, "registry"), scratch.new_dir(spark, "checkpoint")
-    on_batch = queries.retraining(path)
+    on_batch = queries.retraining(path, p=1, cols=[LABEL])
     _sensor_feed(spark, sf_dir, lambda stream: queries.run_query(stream, on_batch, checkpoint))
     rows = registry.models(spark, path)
-    return rows.select(
-        "layer",
-        "kind",
-        "n",
-        F.col("train_start").cast("timestamp_ntz").alias("train_start"),
-        F.col("train_end").cast("timestamp_ntz").alias("train_end"),
-        F.size("weights").alias("weights"),
-    )
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("train_start", "train_end")]
+    weights = [F.round(F.get("weights", i), 6).alias(f"w{i}") for i in range(2)]
+    return rows.select("layer", "kind", "n", *times, *weights)
 
 
 @query(with_(RECORDS) + f"SELECT Date_time, {', '.join(SENSORS)} FROM rec")
@@ -225,3 +246,135 @@ def stream_publishing(spark, sf_dir):
     _sensor_feed(spark, sf_dir, lambda stream: queries.run_query(stream, on_batch, checkpoint))
     rows = readers.columnar_json(spark, f"{archive}/epoch_id=*", one_per_file=False)
     return _naive(rows, TIME).select(TIME, *SENSORS)
+
+
+# Field by field what the damaged records of ``frames.sensor_wire`` still say.
+DAMAGED = """wire AS (SELECT series_key, Date_time, "offset", Db1t_avg, nullif(Db2t_avg, 0.1::DOUBLE) AS Db2t_avg,
+    nullif(Gb1t_avg, 0) AS Gb1t_avg, Gb2t_avg, CASE WHEN Gb2t_avg <> 7 THEN Ot_avg END AS Ot_avg FROM rec)"""
+
+
+@query(
+    with_(
+        RECORDS,
+        DAMAGED,
+        f"""l AS (SELECT *, {PART_SQL.format(t='Date_time')} AS part, row_number() OVER w AS nth,
+    {lags(2, SENSORS, f"PARTITION BY {PART_SQL.format(t='Date_time')}, series_key", ORDER_SQL)}
+  FROM wire WINDOW w AS (PARTITION BY {PART_SQL.format(t='Date_time')}, series_key ORDER BY {ORDER_SQL}))""",
+        """good AS (SELECT part, series_key, "offset", "Ot_avgt-1" AS Temp_Predict FROM l WHERE nth > 2 AND Ot_avg IS NOT NULL AND """
+        + " AND ".join(f'"{c}" IS NOT NULL' for c in features.lag_names(2))
+        + ")",
+        """counted AS (SELECT part, count(*) AS records, count(*) FILTER (WHERE Db2t_avg IS NULL OR Gb1t_avg IS NULL
+    OR Ot_avg IS NULL) AS damaged FROM l GROUP BY 1)""",
+    )
+    + """SELECT part AS epoch_id, series_key, "offset", Temp_Predict, records, damaged,
+  count(*) OVER (PARTITION BY part) AS scored FROM good JOIN counted USING (part)"""
+)
+def stream_malformed(spark, sf_dir):
+    """Damaged records keep their place among the lags, have no prediction, and are counted."""
+    out, counts, checkpoint = (scratch.new_dir(spark, n) for n in ("predictions", "counts", "checkpoint"))
+    names = features.lag_names(2)
+    weights = [0.0, *[1.0 if c == f"{LABEL}t-1" else 0.0 for c in names]]
+    on_batch = queries.scoring_layer("speed", lambda: ("last-value", weights), {"path": out}, counts=counts)
+    wire = frames.sensor_wire(spark, sf_dir)
+    year = codec.decode_sensor(wire, (SERIES, "offset", "value"))
+    _feed(
+        spark,
+        _part(spark, sf_dir, TIME),
+        year.select(SERIES, "offset", "value", TIME),
+        lambda rows: frames.wire_records(rows, "source"),
+        lambda stream: queries.run_query(stream, on_batch, checkpoint),
+    )
+    rows = codec.decode_prediction(spark.read.parquet(out), ("epoch_id", F.col("key").alias(SERIES), "offset"))
+    seen = spark.read.parquet(counts).select("epoch_id", "records", "damaged", F.col("scored").cast("bigint").alias("scored"))
+    joined = rows.join(seen, "epoch_id")  # one row an epoch
+    return joined.select(F.col("epoch_id").cast("bigint").alias("epoch_id"), SERIES, "offset", "Temp_Predict", "records", "damaged", "scored")
+
+
+@query(
+    with_(
+        RECORDS,
+        'p AS (SELECT *, "offset" % 3 AS part FROM rec)',
+        """newest AS (SELECT series_key, part, max({'t': Date_time, 'o': "offset"}) AS newest FROM p GROUP BY ALL)""",
+        """r AS (SELECT p.*, EXISTS (SELECT 1 FROM newest n WHERE n.series_key = p.series_key AND n.part < p.part
+    AND {'t': p.Date_time, 'o': p."offset"} <= n.newest) AS late FROM p)""",
+        f"""l AS (SELECT *, row_number() OVER w AS nth, lag(Ot_avg, 1, CAST(0 AS DOUBLE)) OVER w AS l1
+  FROM r WHERE NOT late WINDOW w AS (PARTITION BY series_key ORDER BY {ORDER_SQL}))""",
+    )
+    + """SELECT series_key, "offset", late, CASE WHEN nth > 2 THEN 1 ELSE 0 END AS const, l1 FROM l
+UNION ALL SELECT series_key, "offset", late, 0, CAST(0 AS DOUBLE) FROM r WHERE late"""
+)
+def stream_late_rows(spark, sf_dir):
+    """Rows dealt over the parts whatever their time: those older than what was seen are flagged."""
+    out, state, checkpoint = (scratch.new_dir(spark, n) for n in ("lags", "state", "checkpoint"))
+
+    def write(rows, epoch_id):
+        rows.write.mode("overwrite").parquet(f"{out}/epoch_id={epoch_id}")
+
+    on_batch = queries.carried_lags(state, write, cols=[LABEL])
+    rows = readers.spread(frames.records(spark, sf_dir), "offset")
+    _feed(
+        spark,
+        (F.col("offset") % 3).cast("int"),
+        rows,
+        lambda rows: frames.topic_records(rows, "source"),
+        lambda stream: queries.run_query(stream, on_batch, checkpoint),
+    )
+    rows = spark.read.parquet(f"{out}/epoch_id=*")
+    return rows.select(SERIES, "offset", "late", "const", F.col(f"{LABEL}t-1").alias("l1"))
+
+
+CHAIN_PARTS = 5
+_CHAIN_PART = part_sql("Date_time", CHAIN_PARTS)
+CHAIN = [
+    RECORDS,
+    f"""l AS (SELECT *, {_CHAIN_PART} AS part, row_number() OVER w AS nth, lag(Ot_avg, 1) OVER w AS l1
+  FROM rec WINDOW w AS (PARTITION BY {_CHAIN_PART}, series_key ORDER BY {ORDER_SQL}))""",
+    "e AS MATERIALIZED (SELECT * FROM l WHERE nth > 1)",
+    "models AS MATERIALIZED (SELECT part, regr_intercept(Ot_avg, l1) AS b, regr_slope(Ot_avg, l1) AS a FROM e GROUP BY 1)",
+    """scored AS MATERIALIZED (SELECT e.part, e.series_key, Date_time, "offset", Ot_avg, m.b + m.a * l1 AS s, h.b + h.a * l1 AS f
+  FROM e JOIN models m ON m.part = e.part - 1 JOIN models h ON h.part = 0)""",
+    """errors AS (SELECT part, sqrt(avg((s - Ot_avg) ** 2)) AS s_rmse, sqrt(avg((f - Ot_avg) ** 2)) AS f_rmse,
+    avg(abs(s - Ot_avg)) AS s_mae, avg(abs(f - Ot_avg)) AS f_mae FROM scored GROUP BY 1)""",
+    """once AS MATERIALIZED (SELECT * FROM scored
+  QUALIFY row_number() OVER (PARTITION BY part, series_key, Date_time ORDER BY "offset") = 1)""",
+    f"""shown AS (SELECT part, series_key, Date_time AS TS, s, f, {half_up('Ot_avg', 3)} AS RT_Temp, {half_up('s', 3)} AS Speed_RT_Temp,
+    {half_up('f', 3)} AS Batch_RT_Temp FROM once)""",
+    """sums AS (SELECT part, sum((RT_Temp - Batch_RT_Temp) * (Speed_RT_Temp - Batch_RT_Temp)) AS num,
+    sum((Speed_RT_Temp - Batch_RT_Temp) ** 2) AS den FROM shown GROUP BY 1)""",
+    """learnt AS (SELECT part, CASE WHEN den > 0 THEN least(1, greatest(0, num / den)) ELSE 0.5 END AS share FROM sums)""",
+    f"""made AS (SELECT shown.*, coalesce(share, {SPEED}) AS w, coalesce(share, {SPEED}) * s
+    + coalesce(1 - share, {BATCH}) * f AS Wt_Temp
+  FROM shown LEFT JOIN learnt ON learnt.part = shown.part - 1)""",
+]
+
+
+@query(
+    with_(*CHAIN)
+    + f"""SELECT CAST(part AS VARCHAR) AS Epoch_Id, CAST(count(*) AS VARCHAR) AS Record_Num, CAST(0 AS DOUBLE) AS Speed_Latency,
+  CAST(0 AS DOUBLE) AS Batch_Latency, CAST(0 AS DOUBLE) AS Wt_Latency, round(any_value(s_rmse), 3) AS Speed_RMSE,
+  round(any_value(f_rmse), 3) AS Batch_RMSE, round(any_value(s_mae), 3) AS Speed_MAE, round(any_value(f_mae), 3) AS Batch_MAE,
+  CAST({CLOCK_SECONDS} AS DOUBLE) AS MQTT_Publish_Time, round(any_value(w), 4) AS speed_weight,
+  round(sqrt(avg((Wt_Temp - RT_Temp) ** 2)), 2) AS Wt_RMSE, round(avg(abs(Wt_Temp - RT_Temp)), 2) AS Wt_MAE
+FROM made JOIN errors USING (part) GROUP BY part"""
+)
+def stream_two_layer(spark, sf_dir):
+    """Refresh, score by both layers, match, combine by learnt weights, report and retrain, per micro-batch."""
+    registry_path, sent, rows_path, kpi_path, weights, checkpoint = (
+        scratch.new_dir(spark, n) for n in ("registry", "predictions", "hybrid", "kpi", "weights", "checkpoint")
+    )
+    on_batch = queries.two_layer(registry_path, sent, rows_path, {"path": kpi_path}, weights, 1, [LABEL], CLOCK)
+    rows = readers.spread(frames.records(spark, sf_dir), "offset")
+    _feed(
+        spark,
+        _part(spark, sf_dir, TIME, CHAIN_PARTS),
+        rows,
+        lambda rows: frames.topic_records(rows, "source"),
+        lambda stream: queries.run_query(stream, on_batch, checkpoint),
+        CHAIN_PARTS,
+    )
+    messages = kpi_fields(spark.read.text(f"{kpi_path}/epoch_id=*"))
+    # the weights learnt on one epoch are used in the next; the fixed ones in the first that has both layers
+    learnt = spark.read.schema(queries.WEIGHTS_SCHEMA).parquet(weights)
+    used = learnt.select((F.col("epoch_id") + 1).cast("string").alias("Epoch_Id"), F.round("speed_weight", 4).alias("speed_weight"))
+    rounded = messages.withColumns({c: F.round(c, 2) for c in ("Wt_RMSE", "Wt_MAE")})
+    return rounded.join(used, "Epoch_Id", "left").withColumn("speed_weight", F.coalesce("speed_weight", F.lit(SPEED_WEIGHT)))

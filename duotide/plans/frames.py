@@ -128,7 +128,12 @@ def sensor_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topic_records(rows: DataFrame, topic: str) -> DataFrame:
     """Sensor rows as records of a topic."""
-    return codec.encode_sensor(rows, keep=(SERIES, "offset")).select(
+    return wire_records(codec.encode_sensor(rows, keep=(SERIES, "offset")), topic)
+
+
+def wire_records(rows: DataFrame, topic: str) -> DataFrame:
+    """Encoded rows as records of a topic."""
+    return rows.select(
         F.col(SERIES).cast("binary").alias("key"),
         F.col("value").cast("binary").alias("value"),
         F.lit(topic).alias("topic"),

@@ -6,19 +6,20 @@ import time
 from collections.abc import Callable, Sequence
 from functools import wraps
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from duotide import scratch
 from duotide.functions import codec
-from duotide.operators import ensemble, features, metrics, model, registry, scoring
+from duotide.operators import ensemble, features, metrics, model, registry, scoring, skew
 from duotide.plans import kpi
-from duotide.schemas import BATCH_WEIGHT, HYBRID_FIELDS, LABEL, SENSORS, SERIES, SPEED_WEIGHT, TIME
+from duotide.schemas import BATCH_WEIGHT, HYBRID_FIELDS, LABEL, PREDICTION_FIELDS, SENSORS, SERIES, SPEED_WEIGHT, TIME
 from duotide.sources import sinks
 
 OnBatch = Callable[[DataFrame, int], None]
+WEIGHTS_SCHEMA = "speed_weight double, batch_weight double, n long, epoch_id long"
 
 
 def _tidy(on_batch: OnBatch) -> OnBatch:
@@ -47,8 +48,12 @@ def run_query(
     return query
 
 
-def sensor_rows(records: DataFrame, on_error: str = "drop") -> DataFrame:
-    """Topic records as sensor rows with series key and offset."""
+def sensor_rows(records: DataFrame, on_error: str = "null") -> DataFrame:
+    """Topic records as sensor rows with series key and offset.
+
+    A damaged record keeps its place, with NULL in the fields that cannot be read;
+    ``drop`` leaves it out, so that the next record's lags reach over it.
+    """
     keep = [F.col("key").cast("string").alias(SERIES), F.col("offset")]
     return codec.decode_sensor(records, keep, on_error)
 
@@ -65,26 +70,39 @@ def scoring_layer(
     p: int = 2,
     kind: str = "var",
     clock: Callable[[], float] = time.time,
+    on_error: str = "null",
+    counts: str | None = None,
+    cols: Sequence[str] = SENSORS,
     **layout,
 ) -> OnBatch:
     """Score each micro-batch with the model current at its start.
 
-    ``weights_of`` returns kind and weights and is called once per micro-batch,
-    so all its rows carry predictions of one model. History starts anew in
-    every batch; see :func:`carried_lags` for the alternative.
+    ``weights_of`` returns version and weights, or None while there is no model, and
+    is called once per micro-batch, so all its rows carry predictions of one model.
+    History starts anew in every batch; see :func:`carried_lags` for the alternative.
+    A row that is damaged, or whose history is, has no prediction and is not sent;
+    ``counts`` names a folder for how many records came, were damaged and were scored.
     """
 
     @_tidy
     def on_batch(records: DataFrame, epoch_id: int) -> None:
         start = clock()
-        rows = sensor_rows(records)
-        if rows.isEmpty():
+        # decoded once: the lags, the count and the scores all read the same rows
+        rows = sensor_rows(records, on_error).persist()
+        current = weights_of()
+        if current is None or rows.isEmpty():
+            rows.unpersist()
             return
-        version, weights = weights_of()
-        names = features.lag_names(p)
-        lagged = features.add_lags(rows, p, order=(TIME, "offset"), **layout)
-        scored = scoring.score(lagged, names, weights, kind, out="Temp_Predict").persist()
+        version, weights = current
+        names = features.lag_names(p, cols)
+        lagged = features.add_lags(rows, p, cols, order=(TIME, "offset"), **layout)
+        scored = scoring.score(lagged, names, weights, kind, out="Temp_Predict")
+        scored = scored.where(F.col("Temp_Predict").isNotNull() & F.col(LABEL).isNotNull() & F.col(TIME).isNotNull()).persist()
         try:
+            if counts:
+                damaged = F.count(F.when(F.greatest(*[F.col(c).isNull() for c in (TIME, *SENSORS)]), 1))
+                seen = rows.agg(F.count("*").alias("records"), damaged.alias("damaged"))
+                sinks.to_folder(seen.withColumn("scored", F.lit(scored.count())), counts, epoch_id)
             scores = metrics.regression_metrics(scored, LABEL, "Temp_Predict").first()  # one row
             if not scores["n"]:
                 return
@@ -105,6 +123,7 @@ def scoring_layer(
             sinks.write_predictions(codec.encode_prediction(stamped, keep), target, epoch_id)
         finally:
             scored.unpersist()
+            rows.unpersist()
 
     return on_batch
 
@@ -118,14 +137,28 @@ def hybrid_layer(
     batch_weight: float = BATCH_WEIGHT,
     format: str = "csv",
     clock: Callable[[], float] = time.time,
+    weights_path: str | None = None,
+    counts: str | None = None,
 ) -> OnBatch:
-    """Match and combine the predictions that arrive in one micro-batch."""
+    """Match and combine the predictions that arrive in one micro-batch.
+
+    With ``weights_path``, the weights of a batch are those that would have been best
+    on the batch before it; the fixed ones only stand in until there is one. A
+    prediction that cannot be read matches nothing; ``counts`` names a folder for how
+    many came and were unreadable.
+    """
 
     @_tidy
     def on_batch(records: DataFrame, epoch_id: int) -> None:
         start = clock()
         predictions = prediction_rows(records)
-        rows = ensemble.hybrid_rows(predictions, speed, batch, speed_weight, batch_weight).persist()
+        if counts:
+            every = prediction_rows(records, on_error="null")
+            damaged = F.count(F.when(F.greatest(*[F.col(c).isNull() for c in PREDICTION_FIELDS]), 1))
+            sinks.to_folder(every.agg(F.count("*").alias("records"), damaged.alias("damaged")), counts, epoch_id)
+        shares = learnt_weights(records.sparkSession, weights_path, epoch_id) if weights_path else None
+        sp, bt = shares or (speed_weight, batch_weight)
+        rows = ensemble.hybrid_rows(predictions, speed, batch, sp, bt).persist()
         try:
             scores = ensemble.hybrid_scores(rows).first()  # one row
             if not scores["n"]:
@@ -138,6 +171,9 @@ def hybrid_layer(
                 }
             )
             sinks.write_hybrid(rated, rows_path, epoch_id, format)
+            if weights_path:
+                best = ensemble.best_weights(rows, "RT_Temp", "Speed_RT_Temp", "Batch_RT_Temp")
+                sinks.to_folder(best, weights_path, epoch_id)
             epoch = rated.withColumn("epoch_id", F.lit(epoch_id).cast("bigint"))
             message = kpi.rollup(epoch, order=("TS", SERIES), publish_time=F.lit(clock()), complete=HYBRID_FIELDS)
             sinks.write_kpi(message, kpi_target, epoch_id)
@@ -147,6 +183,16 @@ def hybrid_layer(
     return on_batch
 
 
+def learnt_weights(spark: SparkSession, path: str, epoch_id: int) -> tuple[float, float] | None:
+    """Speed and batch weights learnt on the last epoch before this one, if any."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    rows = spark.read.schema(WEIGHTS_SCHEMA).parquet(path).where(F.col("epoch_id") < epoch_id)
+    row = rows.orderBy(F.desc("epoch_id")).first()  # one row an epoch
+    return (row["speed_weight"], row["batch_weight"]) if row else None
+
+
 def hybrid_join_stream(
     records: DataFrame,
     speed: str,
@@ -157,7 +203,8 @@ def hybrid_join_stream(
 ) -> DataFrame:
     """Matched rows as a stream; the two layers may arrive in different micro-batches.
 
-    The watermark bounds how long an unmatched or duplicate time is remembered.
+    The watermark bounds how long an unmatched or duplicate time is remembered. Of
+    copies in one micro-batch any may survive; where that matters, send one of them.
     """
     sides = []
     for topic, prefix in ((speed, "sp_"), (batch, "bt_")):
@@ -185,23 +232,31 @@ def carried_lags(
     The last ``p`` rows of every series are kept as a small table per epoch and
     put in front of the next batch. The lags themselves come from the batch
     operator, which also splits a series that dominates the batch. ``const`` is
-    1 where ``p`` earlier rows were known.
+    1 where ``p`` earlier rows were known. A row that is not newer than what was
+    kept of its series comes too late for lags: it is flagged ``late``, has no history
+    (``const`` 0, lags 0) and is in no other row's.
     """
+    names = features.lag_names(p, cols)
 
     @_tidy
     def on_batch(records: DataFrame, epoch_id: int) -> None:
-        rows = decode(records).withColumn("_fresh", F.lit(True))
+        rows = decode(records).withColumns({"_fresh": F.lit(True), "late": F.lit(False)})
         if epoch_id > 0:
             spark = records.sparkSession
             before = spark.read.schema(rows.schema).parquet(f"{state}/epoch_id={epoch_id - 1}")
+            newest = before.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_newest"))
+            known = skew.on_keys(rows, newest, keys, "left")
+            rows = known.withColumn("late", F.coalesce(F.struct(*order) <= F.col("_newest"), F.lit(False))).drop("_newest")
             rows = rows.unionByName(before.withColumn("_fresh", F.lit(False)))
         rows = rows.persist()
         try:
-            lagged = features.add_lags(rows, p, cols, keys, order, const=True, drop_warmup=False, **layout)
-            write(lagged.where("_fresh").drop("_fresh"), epoch_id)
-            newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+            on_time = rows.where(~F.col("late"))
+            lagged = features.add_lags(on_time, p, cols, keys, order, const=True, drop_warmup=False, **layout)
+            late = rows.where("late").withColumns({n: F.lit(0.0) for n in names} | {"const": F.lit(0)})
+            write(lagged.where("_fresh").unionByName(late).drop("_fresh"), epoch_id)
+            last = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
             # the limit is applied per input partition before the shuffle
-            tail = rows.withColumn("_nth", F.row_number().over(newest)).where(F.col("_nth") <= p).drop("_nth")
+            tail = on_time.withColumn("_nth", F.row_number().over(last)).where(F.col("_nth") <= p).drop("_nth")
             sinks.to_folder(tail, state, epoch_id)
             if epoch_id > 1:  # a retry of the next epoch needs this one only
                 scratch.delete(records.sparkSession, f"{state}/epoch_id={epoch_id - 2}")
@@ -216,18 +271,24 @@ def retraining(
     layer: str = "speed",
     kind: str = "var",
     p: int = 2,
+    cols: Sequence[str] = SENSORS,
+    by: Sequence[str] = (),
+    on_error: str = "null",
     **options,
 ) -> OnBatch:
-    """Train one model on each recent window of rows and publish it."""
+    """Train on each recent window of rows and publish: one model, or one per ``by``.
+
+    Rows that are damaged, or whose history is, keep their place but are not learnt from.
+    """
 
     @_tidy
     def on_batch(records: DataFrame, epoch_id: int) -> None:
-        rows = sensor_rows(records)
+        rows = sensor_rows(records, on_error)
         span = rows.agg(F.min(TIME).alias("low"), F.max(TIME).alias("high")).first()  # one row
         if span["low"] is None:
             return
-        lagged = features.add_lags(rows, p, order=(TIME, "offset"))
-        fitted = model.train(lagged, features.lag_names(p), kind=kind, by=(), **options)
+        lagged = features.add_lags(rows, p, cols, order=(TIME, "offset"))
+        fitted = model.train(lagged, features.lag_names(p, cols), kind=kind, by=by, **options)
         low, high = str(span["low"]), str(span["high"])
         version = registry.version_name(*(s.replace(" ", "T").replace(":", "") for s in (low, high)))
         registry.publish(fitted, registry_path, layer, kind, f"{version}-{epoch_id}", low, high)
@@ -235,6 +296,56 @@ def retraining(
     return on_batch
 
 
+def refreshed(spark: SparkSession, registry_path: str, layer: str) -> Callable[[], tuple[str, Sequence[float]] | None]:
+    """The newest model of a layer whenever it is asked for; None before the first."""
+
+    def weights_of():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(registry_path)
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            return None
+        row = registry.latest_weights(spark, registry_path, layer)
+        return (row["model_version"], row["weights"]) if row else None
+
+    return weights_of
+
+
+def two_layer(
+    registry_path: str,
+    predictions: str,
+    rows_path: str,
+    kpi_target: dict,
+    weights_path: str,
+    p: int = 2,
+    cols: Sequence[str] = SENSORS,
+    clock: Callable[[], float] = time.time,
+) -> OnBatch:
+    """The whole chain on each micro-batch of sensor records.
+
+    Models are refreshed from the registry, both layers score, their predictions are
+    matched and combined with the weights learnt so far, the KPI row is sent, and the
+    batch retrains the speed model. The first batch stands for history and trains both.
+    """
+
+    def on_batch(records: DataFrame, epoch_id: int) -> None:
+        spark = records.sparkSession
+        records = records.persist()  # read by both layers and the training
+        try:
+            for layer in ("speed", "batch"):
+                weights_of = refreshed(spark, f"{registry_path}/{layer}", layer)
+                scoring_layer(layer, weights_of, {"path": f"{predictions}/{layer}"}, p, clock=clock, cols=cols)(records, epoch_id)
+            if epoch_id > 0:
+                sent = [spark.read.parquet(f"{predictions}/{layer}/epoch_id={epoch_id}") for layer in ("speed", "batch")]
+                hybrid_layer("speed", "batch", rows_path, kpi_target, format="parquet", clock=clock, weights_path=weights_path)(
+                    sent[0].unionByName(sent[1]), epoch_id
+                )
+            for layer in ("speed", "batch") if epoch_id == 0 else ("speed",):
+                retraining(f"{registry_path}/{layer}", layer, p=p, cols=cols)(records, epoch_id)
+        finally:
+            records.unpersist()
+
+    return on_batch
+
+
 def publishing(archive: str, rows_per_message: int = codec.ROWS_PER_MESSAGE) -> OnBatch:
     """Archive each micro-batch as columnar JSON messages for retraining."""
 
