@@ -10,14 +10,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from duotide.functions import codec
 from duotide.operators import features, metrics
 from duotide.schemas import LABEL, PREDICTION_FIELDS, SENSORS, SERIES, TIME
-from duotide.sources import readers
 
 EPOCH_DAYS = 30
 
+# Order and line number repeat now and then, so a record's number also counts the rows that
+# share them, in this order. Numbers stay unique up to LINE_COPIES such rows and 1e15 orders.
+LINE_ORDER = "l_partkey l_suppkey l_shipdate l_extendedprice l_quantity l_discount l_tax".split()
+LINE_COPIES = 1024
+
 # Event type that stands for each sensor.
 EVENT_SENSORS = {
     "click": "Db1t_avg",
@@ -34,11 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str, hot: bool = False) -> DataFrame:
     series = F.col("l_returnflag") if hot else F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
-    offset = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000
-    return table(spark, sf_dir, "lineitem").select(
+    same_line = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*LINE_ORDER)
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").withColumn("_copy", F.row_number().over(same_line) - 1)
+    return lines.select(
         series.alias(SERIES),
         F.col("l_shipdate").alias(TIME),
-        (offset + F.col("l_suppkey")).alias("offset"),
+        (line * LINE_COPIES + F.col("_copy")).alias("offset"),
         F.col("l_extendedprice").alias("Db1t_avg"),
         F.col("l_discount").alias("Db2t_avg"),
         F.col("l_tax").alias("Gb1t_avg"),
@@ -114,7 +121,7 @@ def sensor_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     seventh line of an order loses its last field, which leaves the closing quote
     in the field before it.
     """
-    rows = readers.spread(records(spark, sf_dir), "offset")
+    rows = records(spark, sf_dir)
     text = [
         F.col(TIME).cast("string"),
         F.col("Db1t_avg").cast("string"),

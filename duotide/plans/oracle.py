@@ -14,7 +14,8 @@ def with_(*ctes: str) -> str:
 def records(series: str = "'S' || CAST(l_suppkey AS VARCHAR)", name: str = "rec") -> str:
     return f"""{name} AS (
   SELECT {series} AS series_key, l_shipdate AS Date_time,
-    ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS "offset",
+    (l_orderkey * 8 + l_linenumber) * 1024 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY
+      l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) - 1 AS "offset",
     l_extendedprice AS Db1t_avg, l_discount AS Db2t_avg, l_tax AS Gb1t_avg,
     CAST(l_linenumber AS DOUBLE) AS Gb2t_avg, l_quantity AS Ot_avg
   FROM lineitem)"""

@@ -29,6 +29,15 @@ def test_every_row_is_fed_at_any_date(spark, tmp_path, years):
     assert run["latest_artifact"](spark, str(tmp_path)).first()["model_version"] == f"model_{2001 + years}-{2002 + years}"
 
 
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+def test_large_keys_stay_unique(spark, tmp_path):
+    table = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
+    large = table.withColumns({"l_orderkey": F.col("l_orderkey") + 10**12, "l_partkey": F.col("l_partkey") + 10**9, "l_suppkey": F.col("l_suppkey") + 10**8})
+    large.write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = frames.records(spark, str(tmp_path))
+    assert rows.select("offset").distinct().count() == table.count()
+
+
 @pytest.mark.parametrize("limit, parts", [(100, 512), (0, 512), (0, 2)])
 def test_null_keys_join(spark, limit, parts):
     rows = spark.createDataFrame([(k, i) for i, k in enumerate([None, "a", "a", "b", None, "a", "a"])], "k string, i int")
