@@ -132,12 +132,13 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     ``labels(id, label)`` marks good documents with 1; at most ``examples`` of them, by
     hash of the id, are used. Null ids and labels are left out, repeated ones count as
-    the larger. Without examples of both labels there is no evidence.
+    the larger, and of rows that repeat an id the one with the largest features. Without examples of both labels there is no evidence.
     """
     seen = scratch.materialise(described(df, F.col(id_col).cast("long"), text_col, host_col, path_col), "features")
     drawn = labels.where("id IS NOT NULL AND label IS NOT NULL").groupBy(F.col("id").alias("carried")).agg(F.max("label").alias("label"))
     drawn = drawn.orderBy(F.xxhash64("carried"), "carried").limit(examples)
-    sample = seen.select("carried", "features").join(F.broadcast(drawn), "carried").limit(2 * examples).collect()  # bounded by ``examples``
+    found = seen.select("carried", "features").join(F.broadcast(drawn), "carried")  # at most ``examples`` ids
+    sample = found.groupBy("carried").agg(F.max("features").alias("features"), F.max("label").alias("label")).collect()
     sample.sort(key=lambda r: (r["carried"], r["features"], r["label"]))
     x, y = np.array([r["features"] for r in sample]).reshape(-1, len(NAMES)), np.array([float(r["label"]) for r in sample])
     rate = (y.sum() + 1) / (len(y) + 2)
