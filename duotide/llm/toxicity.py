@@ -14,7 +14,6 @@ vote a probability. Texts without any term have the share seen among such exampl
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
@@ -63,7 +62,7 @@ def learnt_terms(examples: DataFrame, positive: int, total: int, limit: int = TE
     share = positive / total
     counts = examples.select("text", "label").mapInArrow(run, "term string, df long, pos long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos"))
     sigmas = (F.col("pos") - share * F.col("df")) / F.sqrt(share * (1 - share) * F.col("df"))
-    best = counts.where(F.col("pos") >= LEAST).withColumn("sigmas", sigmas).where(F.col("sigmas") >= SIGMAS)
+    best = counts.where((F.col("pos") >= LEAST) & (2 * F.col("pos") >= F.col("df"))).withColumn("sigmas", sigmas).where(F.col("sigmas") >= SIGMAS)
     rows = best.orderBy(F.col("sigmas").desc(), "term").limit(limit).collect()
     learnt = {r["term"]: (i, math.log((1 + total) / (1 + r["df"])) + 1.0) for i, r in enumerate(rows)}
     return learnt | {OTHER: (len(learnt), 1.0)} if learnt else {}
@@ -108,51 +107,42 @@ class BlockMaxIndex:
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         # Examples that share their heaviest terms lie together, which keeps block bounds tight.
-        self.order = sorted(range(len(vectors)), key=lambda i: vectors[i][0][np.argsort(-vectors[i][1], kind="stable")].tolist())
-        self.place = {example: at for at, example in enumerate(self.order)}
-        self.blocks = -(-len(vectors) // BLOCK)
-        entries = sorted((int(t), at, float(w)) for at, i in enumerate(self.order) for t, w in zip(*vectors[i], strict=True))
-        self.at = np.array([e[1] for e in entries], np.int64)
-        self.weight = np.array([e[2] for e in entries])
-        term = np.array([e[0] for e in entries], np.int64)
-        key = term * max(self.blocks, 1) + self.at // BLOCK
-        self.key, self.first = np.unique(key, return_index=True)
-        self.last = np.append(self.first[1:], len(key))
-        self.most = np.maximum.reduceat(self.weight, self.first) if len(key) else np.zeros(0)
-        ends = np.searchsorted(self.key, np.arange(n_terms + 1) * max(self.blocks, 1))
-        #: Of each term: its blocks, their largest weights, and where a block's entries are.
-        self.of_term = []
-        for t, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-            block = self.key[a:b] - t * self.blocks
-            self.of_term.append((block, self.most[a:b], dict(zip(block.tolist(), zip(self.first[a:b].tolist(), self.last[a:b].tolist(), strict=True), strict=True))))
-
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k largest (cosine, example), and all others equal to the k-th; cosine above 0 only."""
-        bound = np.zeros(self.blocks)
-        lists = []
-        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-            block, most, where = self.of_term[t]
-            bound[block] += w * most
-            lists.append((w, where))
-        best: list[float] = []
-        found: list[tuple[float, int]] = []
+        order = sorted(range(len(vectors)), key=lambda i: vectors[i][0][np.argsort(-vectors[i][1], kind="stable")].tolist())
+        self.order = np.array(order, np.int64)
+        self.blocks = -(-len(order) // BLOCK)
+        size = np.array([len(vectors[i][0]) for i in order], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        self.term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
+        self.weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
+        #: Of each term, the largest weight that it has in each block.
+        self.most = np.zeros((n_terms, self.blocks))
+        np.maximum.at(self.most, (self.term, np.repeat(np.arange(len(order)) // BLOCK, size)), self.weight)
+        self.query = np.zeros(n_terms)
+
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, examples): the k largest and all others equal to the k-th, best first; cosine above 0 only."""
+        self.query[terms] = weights
+        bound = weights @ self.most[terms]
+        best, least, cosines, examples = np.zeros(0), 0.0, [np.zeros(0)], [np.zeros(0, np.int64)]
         for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or len(best) == k and bound[block] < best[0] - 1e-9:
+            if bound[block] <= 0 or bound[block] < least - 1e-9:
                 break
-            cosine = np.zeros(BLOCK)
-            for w, where in lists:
-                if (e := where.get(block)) is not None:
-                    span = slice(*e)
-                    cosine[self.at[span] - block * BLOCK] += w * self.weight[span]
-            for i in np.flatnonzero(cosine).tolist():
-                if (example := self.order[block * BLOCK + i]) != without:
-                    found.append((float(cosine[i]), example))
-                    if len(best) < k:
-                        heapq.heappush(best, found[-1][0])
-                    elif found[-1][0] > best[0]:
-                        heapq.heapreplace(best, found[-1][0])
-        least = best[0] - 1e-9 if len(best) == k else 0.0
-        return sorted(((c, e) for c, e in found if c >= least), key=lambda x: (-x[0], x[1]))
+            rows = slice(block * BLOCK, min((block + 1) * BLOCK, len(self.order)))
+            a, b = self.first[rows.start], self.first[rows.stop]
+            cosine = np.add.reduceat(self.weight[a:b] * self.query[self.term[a:b]], self.first[rows] - a)
+            own = self.order[rows]
+            keep = (cosine > 0) & (cosine >= least - 1e-9) & (own != without)
+            cosines.append(cosine[keep])
+            examples.append(own[keep])
+            best = np.concatenate([best, cosines[-1]])
+            if len(best) >= k:
+                best = np.partition(best, len(best) - k)[-k:]
+                least = float(best.min())
+        self.query[terms] = 0.0
+        cosine, example = np.concatenate(cosines), np.concatenate(examples)
+        near = np.flatnonzero(cosine >= least - 1e-9)
+        near = near[np.lexsort((example[near], -cosine[near]))]
+        return cosine[near], example[near]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,11 +174,10 @@ class Model:
         self.scored: dict[tuple, tuple[float, list[int]]] = {}
 
     def vote(self, counts: tuple, without: int = -1) -> tuple[float, list[int]]:
-        near = self.index.top(*self.vectors.unit(counts), NEIGHBOURS, without)
-        weight = [1.0 / (1.05 - min(c, 1.0)) for c, _ in near]
-        total = sum(weight)
-        share = sum(w for w, (_, e) in zip(weight, near, strict=True) if self.labels[e]) / total if total else 0.0
-        return round(share, 9), [self.ids[e] for _, e in near[:EVIDENCE]]
+        cosine, example = self.index.top(*self.vectors.unit(counts), NEIGHBOURS, without)
+        weight = 1.0 / (1.05 - np.minimum(cosine, 1.0))
+        share = float(weight @ self.labels[example] / weight.sum()) if len(example) else 0.0
+        return round(share, 9), [self.ids[e] for e in example[:EVIDENCE].tolist()]
 
     def score(self, data: str) -> tuple[float, list[int]]:
         counts = self.vectors.counts(data)
@@ -207,13 +196,14 @@ class Model:
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES) -> Model:
     """Learn from at most ``examples`` of the ``labels(id, label)`` rows, drawn by hash of the id.
 
-    Repeated labels of an id count as one, the larger; null ids and labels are left
-    out. Without examples of both labels no term is learnt.
+    Repeated labels of an id count as one, the larger, and of rows that repeat an id
+    the largest text is learnt from; null ids and labels are left out. Without
+    examples of both labels no term is learnt.
     """
     drawn = labels.where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
     drawn = drawn.orderBy(F.xxhash64("id"), "id").limit(examples)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")  # at most ``examples`` rows
-    rows = rows.limit(2 * examples)  # ids may repeat in df
+    rows = rows.groupBy("id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
     count = rows.agg(F.count("*").alias("n"), F.sum("label").alias("p")).first()
     terms = learnt_terms(rows, int(count["p"] or 0), count["n"])
 
