@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 #: Pages a group aims at; share of a group's pages that a class must be on.
 GROUP, SUPPORT = 256, 0.5
 
+#: Elements open at once; text in deeper ones belongs to the last of them.
+DEEPEST = 400
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[a-z]+")
@@ -114,16 +117,19 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
                     links -= sum(s[0] == "a" for s in stack[depth:])
                     del stack[depth:]
                     break
-        path = f"{stack[-1][1]}/{label(name, attributes)}"
-        elements.append(path)
+        path = stack[-1][1]
+        if name not in INLINE:
+            path = f"{path}/{label(name, attributes)}"
+            elements.append(path)
         if name in VOID or attributes.endswith("/"):
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        stack.append((name, path))
-        links += name == "a"
+        if len(stack) < DEEPEST:
+            stack.append((name, path))
+            links += name == "a"
     flush()
     return blocks, elements
 
