@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duotide import scratch
+
 #: Pages a group aims at; share of a group's pages that a class must be on.
 GROUP, SUPPORT = 256, 0.5
 
@@ -236,8 +238,11 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    groups = rows.groupBy("host").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    rows = rows.join(groups, "host").withColumn("group", F.pmod(F.xxhash64("id", "url"), "groups")).drop("groups")
+    # written, so that its size is known: while it is small, it is broadcast and pages move once
+    groups = scratch.materialise(rows.groupBy("host").agg(F.ceil(F.count("*") / GROUP).alias("groups")), "hosts")
+    number = F.pmod(F.xxhash64("id", "url"), F.col("groups")).cast("string")
+    # one column, since rows dealt by host alone would count as dealt by host and number
+    rows = rows.join(groups, "host").select("id", "url", "html", F.concat_ws(" ", number, "host").alias("group"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         places = Places()
@@ -245,4 +250,4 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
         template = deduce([p for p in pages if p[1]], places)
         return pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": [extract(blocks, template, places) for blocks, _ in pages]})
 
-    return rows.groupBy("host", "group").applyInPandas(run, "id long, url string, text string")
+    return rows.groupBy("group").applyInPandas(run, "id long, url string, text string")
