@@ -14,7 +14,10 @@ Tokens move once, to meet their place.
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,37 +29,60 @@ from duotide.llm import text
 
 #: Buckets of the hashed vector, dimensions of the curve, bits of each.
 BUCKETS, DIMS, BITS = 256, 4, 15
-#: Words whose tokens a worker remembers, and the longest such word in bytes.
-KEPT, LONGEST = 200_000, 64
+#: Words whose tokens a worker remembers, some 200 bytes each, and the longest such word in bytes.
+KEPT, LONGEST = 1_000_000, 64
+MARKS = b",.;:!?"
 
 
 class WordTokens:
-    """A tokenizer that drops white space, applied word by word, each distinct word once."""
+    """A tokenizer that lower-cases and drops white space, applied word by word, each distinct word once."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: How an id is stored between tasks.
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are written as the machine holds them, which must be little-endian")
         self.known: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
+    def learn(self, words: set[bytes]) -> None:
+        """Words as their tokens see them: in lower case, and the marks after a letter are tokens of their own."""
+        known, code, cut, new = self.known, "H" if self.kind == "<u2" else "I", [], set()
+        for word in words:
+            # special tokens are told apart by case; of others, only ASCII letters change here
+            low = word if b"<|" in word else word.lower()
+            core = low.rstrip(MARKS)
+            if len(core) == len(low) or b"<|" in word or not core[-1:].isalnum():
+                core, marks = low, b""
+            else:
+                marks = low[len(core) :]
+                if marks not in known:
+                    new.add(marks)
+            if core not in known:
+                new.add(core)
+            if core != word:
+                cut.append((word, core, marks))
+        todo = list(new)
+        coded = self.tokenizer.encode_batch_fast([w.decode() for w in todo], add_special_tokens=False)
+        for word, e in zip(todo, coded, strict=True):
+            known[word] = array(code, e.ids).tobytes()
+        for word, core, marks in cut:
+            known[word] = known[core] + known[marks] if marks else known[core]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) >= KEPT:
-            self.known.clear()
-        out, known = [], self.known
-        for data in texts:
-            words = data.split()
-            if new := {w for w in words if w not in known}:
-                got = self.learn(sorted(new))
-                known.update((w, ids) for w, ids in got.items() if len(w) <= LONGEST)
-                out.append(b"".join([known[w] if w in known else got[w] for w in words]))
-            else:
-                out.append(b"".join([known[w] for w in words]))
+        """Ids of each text, little-endian, in ``kind``."""
+        known, split = self.known, [data.split() for data in texts]
+        words = set(chain.from_iterable(split))
+        if len(known) + len(words) > KEPT:
+            known.clear()
+        self.learn(words.difference(known))
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in words:
+            if len(w) > LONGEST:
+                known.pop(w, None)
         return out
 
 
@@ -70,11 +96,11 @@ def _projection() -> np.ndarray:
     return np.random.default_rng(7).standard_normal((BUCKETS, DIMS))
 
 
-def points(ids: list[bytes]) -> np.ndarray:
+def points(ids: list[bytes], kind: str) -> np.ndarray:
     """Each document's cell on the grid of the curve; documents without tokens share one."""
     counts = np.zeros((len(ids), BUCKETS))
     for row, data in zip(counts, ids, strict=True):
-        hashed = (np.frombuffer(data, "<u4") * np.uint32(2654435761)) >> np.uint32(24)
+        hashed = (np.frombuffer(data, kind).astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(24)
         row += np.bincount(hashed, minlength=BUCKETS)[:BUCKETS]
     vectors = np.log1p(counts)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
@@ -110,14 +136,15 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def tokenised(df: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, key, n, ids)``: Hilbert key and tokens of each document, ``end`` last."""
-    last = np.array([end], "<u4").tobytes()
+    """``(id, key, n, ids)``: Hilbert key and tokens of each document, ``end`` last, as small as ids can be stored."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = word_tokens(path).encode(text.raw(batch, "text"))
-        key = hilbert(points(ids))
+        model = word_tokens(path)
+        last = np.array([end], model.kind).tobytes()
+        ids = model.encode(text.raw(batch, "text"))
+        key = hilbert(points(ids, model.kind))
         ids = [x + last for x in ids]
-        return text.record(id=batch.column("id"), key=key, n=pa.array([len(x) // 4 for x in ids], pa.int64()), ids=pa.array(ids, pa.binary()))
+        return text.record(id=batch.column("id"), key=key, n=pa.array([len(x) // len(last) for x in ids], pa.int64()), ids=pa.array(ids, pa.binary()))
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return text.map_batches(rows, run, "id long, key long, n long, ids binary")
@@ -165,7 +192,7 @@ def pack(df: DataFrame, path: str, length: int = 2048, end: int = 1, id_col: str
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for doc, at, n, ids in zip(*(batch.column(c).to_pylist() for c in ("id", "at", "n", "ids")), strict=True):
-            done = 0
+            done, wide = 0, np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()
             while done < n:
                 here = at + done
                 if here < full * size:
@@ -174,7 +201,7 @@ def pack(df: DataFrame, path: str, length: int = 2048, end: int = 1, id_col: str
                     k = int(np.searchsorted(cuts, here, side="right")) - 1
                     sequence, begin, stop = full + k, int(cuts[k]), int(cuts[k + 1])
                 take = min(n - done, stop - here)
-                out.append((doc, done, take, ids[4 * done : 4 * (done + take)], n, sequence, here - begin))
+                out.append((doc, done, take, wide[4 * done : 4 * (done + take)], n, sequence, here - begin))
                 done += take
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
         names = ("id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")

@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPACE = " \t\n\v\f\r"
+#: Rows that a function gets at once.
+SLICE = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,12 +36,13 @@ def strings(batch: pa.RecordBatch, column: str) -> list[str]:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``fn`` on each Arrow batch; None stands for no rows."""
+    """``fn`` on each Arrow batch, in slices that bound a task's memory; None stands for no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, SLICE):
+                if (out := fn(batch.slice(at, SLICE))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer  # noqa: E402
 from duotide.llm import automaton, packing  # noqa: E402
 
 BYTES, WORDS = (str(public.path(f)) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
-MORE = ["a" * 3000, " \n\n x  y\t\tz \r\n", "x y 　 z   ", "it's we'll 'S'S'll don't, can't.", "é é 日本語 12３四", "!!!???...---___" * 30, "ΑΣ ΣΑΣ. ΟΔΟΣ İstanbul ǅ", "<|endoftext|>a <|endoftext|> b<|startoftext|>", "\x1c\x1d a\x1fb\x85c"]
+MORE = ["a" * 3000, " \n\n x  y\t\tz \r\n", "x y 　 z   ", "it's we'll 'S'S'll don't, can't.", "é é 日本語 12３四", "!!!???...---___" * 30, "ΑΣ ΣΑΣ. ΟΔΟΣ İstanbul ǅ", "<|endoftext|>a <|endoftext|> b<|startoftext|> <|ENDOFTEXT|>, <|endoftext|>.", "\x1c\x1d a\x1fb\x85c"]
 
 
 def texts():
@@ -74,7 +74,7 @@ def test_round_trip(awkward, nothing):
 def test_words_give_the_tokenizers_ids():
     own, library = packing.word_tokens(WORDS), Tokenizer.from_file(WORDS)
     for t in texts():
-        assert np.frombuffer(own.encode([t.encode()])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode([t.encode()])[0], own.kind).tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def test_hilbert_neighbours():
