@@ -9,7 +9,7 @@ compiled form is a handful of integer arrays, one entry per state or token, not
 states x tokens cells; :meth:`Automaton.has_arc` reads an arc from them.
 
 Every state accepts and a text has one accepted sequence, so a path over the whole
-word is the encoding. It is found by table look-ups, with a trie of the arc labels;
+word is the encoding. It is found by table look-ups, the longest label first;
 decoding emits the labels of the arcs.
 """
 
@@ -31,11 +31,13 @@ from duotide.llm import text
 WHITE = "\t-\r \x85\xa0  -     　"
 #: A run without white space with a space before it, or white space; the last of a run of
 #: white space stands alone unless the text ends. No word reaches over such a piece.
-PIECE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Latin words and the marks after them, the usual case, come apart here, so that "word" and "word," share an entry.
+LATIN, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", ",.;:!?"
+PIECE = re.compile(f" ?[{LATIN}]+(?=[{MARKS}]*(?:[{WHITE}]|\\Z))| ?[{MARKS}]+(?=[{WHITE}]|\\Z)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Split of a piece into words (fixed value, the byte-level pattern).
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries a worker keeps of pieces and of arcs; bounds its memory.
-KEPT = 300_000
+#: Entries a worker keeps of arcs and of pieces, some 250 bytes each; bounds its memory.
+KEPT, KEPT_PIECES = 300_000, 800_000
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -63,11 +65,14 @@ class Automaton:
         for at, (a, b, c) in enumerate(merges):
             self.gadget(at, a, b, c)
         self.arcs.clear()
-        self.trie: dict[int, int] = {}
-        self.token_at: list[int] = [-1]
+        #: Arc by its label; -1 for bytes that only begin one.
+        self.begins: dict[bytes, int] = {}
         for token, label in enumerate(labels):
             if self.born[token] >= -1:
-                self.insert(token, label)
+                for k in range(1, len(label)):
+                    self.begins.setdefault(label[:k], -1)
+                if self.begins.get(label, -1) < 0:
+                    self.begins[label] = token
         self.left, self.born, self.target = self.left.tolist(), self.born.tolist(), self.target.tolist()
 
     def gadget(self, at: int, a: int, b: int, c: int) -> None:
@@ -105,51 +110,42 @@ class Automaton:
             else:
                 token = int(self.left[token])
 
-    def insert(self, token: int, label: bytes) -> None:
-        node = 0
-        for byte in label:
-            after = self.trie.get(node << 8 | byte)
-            if after is None:
-                after = self.trie[node << 8 | byte] = len(self.token_at)
-                self.token_at.append(-1)
-            node = after
-        if self.token_at[node] < 0:
-            self.token_at[node] = token
-
-    def matches(self, word: bytes, at: int) -> list[int]:
-        """Tokens whose label continues the word here, the longest last."""
-        trie, token_at, node, found = self.trie, self.token_at, 0, []
-        for j in range(at, len(word)):
-            node = trie.get(node << 8 | word[j], 0)
-            if not node:
-                break
-            if token_at[node] >= 0:
-                found.append(token_at[node])
-        return found
-
     def encode(self, word: bytes) -> list[int]:
         """Tokens of one word: the labels of the one path that the automaton has for it.
 
         The longest label is tried first. An arc that led to a dead end is not
         tried again, so the steps are at most positions times labels per position.
         """
-        path, at, todo, dead = [], 0, [self.matches(word, 0)], set()
-        while at < len(word):
-            state = self.target[path[-1]] if path else 0
-            while todo[-1]:
-                token = todo[-1].pop()
-                end = at + len(self.labels[token])
-                if (end, token) not in dead and self.has_arc(state, token):
-                    path.append(token)
-                    at = end
-                    todo.append(self.matches(word, at))
-                    break
-            else:
-                if not path:
-                    raise ValueError(f"the vocabulary has no tokens for {word[:60]!r}")
-                dead.add((at, path[-1]))
-                todo.pop()
-                at -= len(self.labels[path.pop()])
+        n, begins, target, size, arcs = len(word), self.begins, self.target, len(self.labels), self.arcs
+        path: list[int] = []
+        todo: list[list[int]] = []
+        at, state, dead = 0, 0, None
+        while at < n:
+            found, end = [], at + 1
+            while end <= n and (token := begins.get(word[at:end])) is not None:
+                if token >= 0:
+                    found.append(token)
+                end += 1
+            while True:
+                while found:
+                    token = found.pop()
+                    there = arcs.get(state * size + token)
+                    if (self.has_arc(state, token) if there is None else there) and not (dead and (at, token) in dead):
+                        break
+                else:
+                    if not path:
+                        raise ValueError(f"the vocabulary has no tokens for {word[:60]!r}")
+                    token, found = path.pop(), todo.pop()
+                    at -= len(self.labels[token])
+                    dead = dead or set()
+                    dead.add((at, token))
+                    state = target[path[-1]] if path else 0
+                    continue
+                break
+            path.append(token)
+            todo.append(found)
+            at += len(self.labels[token])
+            state = target[token]
         return path
 
 
@@ -183,7 +179,7 @@ class ByteLevel:
         ids = [t for word in self.words.findall(piece) for t in encode(word.encode())]
         out = np.array(ids, "<u4").tobytes()
         if len(piece) <= 64:
-            if len(self.pieces) >= KEPT:
+            if len(self.pieces) >= KEPT_PIECES:
                 self.pieces.clear()
             self.pieces[piece] = out
         return out
