@@ -1,15 +1,21 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-A bounded sample of labelled texts is the memory. Its terms are the words and the
-word beginnings (so that inflected forms share one) that occur with the label more
-often than chance allows; documents are vectors over these terms. The examples lie
-in an inverted index in blocks: each term keeps the largest weight it has in a
-block, so a query bounds every block's best cosine, visits blocks from the highest
-bound down and stops when no bound reaches the k-th best. That loses nothing.
+A bounded sample of labelled texts is the memory. Every word of every example is a
+term. Words and word beginnings (so that inflected forms share one) that occur with
+the label more often than chance allows are marks: terms once more, beside the word
+itself, so that texts with the label's words are nearer to each other.
+
+The examples lie in an inverted index in blocks: each term keeps the largest weight
+it has in a block, so a query bounds every block's best cosine, visits blocks from
+the highest bound down and leaves out those whose bound does not reach the k-th
+best. That loses nothing. Queries are bounded and visit blocks together: terms that
+many examples have are one matrix product, the others add up their postings. What
+comes near the k-th best is computed again in double precision.
 
 The neighbours vote with a weight that falls with distance. A monotone map from
 vote to observed share, fitted on the examples with each left out in turn, makes the
-vote a probability. Texts without any term have the share seen among such examples.
+vote a probability. Texts that share no word with an example have the share seen
+among such examples, with one case of the common share added.
 """
 
 from __future__ import annotations
@@ -17,26 +23,26 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duotide.llm import text
 
-#: Labelled rows that are learnt from at most, and terms that are kept at most, the best ones.
+#: Labelled rows that are learnt from at most, and marks that are kept at most, the best ones.
 EXAMPLES, TERMS = 20_000, 20_000
-#: Beginnings of these lengths count as terms; a term needs as many positive examples and standard deviations.
+#: Beginnings of these lengths may be marks; a mark needs as many positive examples and standard deviations.
 BEGINNINGS, LEAST, SIGMAS = (4, 5, 6), 4, 5.0
 NEIGHBOURS, BLOCK, EVIDENCE = 25, 64, 3
+#: Queries that meet the index together, neighbouring blocks visited at once, share of the examples from which on a term is in the matrix.
+TOGETHER, VISIT, COMMON = 256, 32, 1 / 24
 #: Words whose terms a worker remembers.
 KEPT = 300_000
 
-#: One more term, for the words that are none: against it, one marked word in ten weighs more than one in a thousand.
-OTHER = ""
-
 WORD = re.compile(r"\w+")
 
 
@@ -64,83 +70,189 @@ def learnt_terms(examples: DataFrame, positive: int, total: int, limit: int = TE
     sigmas = (F.col("pos") - share * F.col("df")) / F.sqrt(share * (1 - share) * F.col("df"))
     best = counts.where((F.col("pos") >= LEAST) & (2 * F.col("pos") >= F.col("df"))).withColumn("sigmas", sigmas).where(F.col("sigmas") >= SIGMAS)
     rows = best.orderBy(F.col("sigmas").desc(), "term").limit(limit).collect()
-    learnt = {r["term"]: (i, math.log((1 + total) / (1 + r["df"])) + 1.0) for i, r in enumerate(rows)}
-    return learnt | {OTHER: (len(learnt), 1.0)} if learnt else {}
+    return {r["term"]: (i, math.log((1 + total) / (1 + r["df"])) + 1.0) for i, r in enumerate(rows)}
+
+
+def word_key(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def marks_of(counts: Counter, terms: dict[str, tuple[int, float]]) -> Counter:
+    """How often each mark is in a text of these words."""
+    seen: Counter = Counter()
+    for word, n in counts.items():
+        for t in terms_of(word):
+            if t in terms:
+                seen[terms[t][0]] += n
+    return seen
 
 
 class Vectors:
-    """Texts as unit TF-IDF vectors over the learnt terms: sorted ((term, weight), ...)."""
+    """Texts as unit TF-IDF vectors: (terms, ascending; weights). Marks come first, then the words of the examples.
 
-    def __init__(self, terms: dict[str, tuple[int, float]]):
-        self.terms = terms
-        self.known: dict[str, tuple[int, ...] | None] = {}
-        self.idf = np.array([idf for _, idf in terms.values()])
+    Words are known by their 64-bit hash. A word that is in no example has no number but its share in the length.
+    """
+
+    def __init__(self, terms: dict[str, tuple[int, float]], words: np.ndarray, df: np.ndarray, total: int):
+        self.terms, self.words = terms, words  # words: sorted hashes
+        self.idf = np.concatenate([[idf for _, idf in terms.values()], np.log((1 + total) / (1 + df)) + 1.0])
+        self.unseen = math.log(1 + total) + 1.0
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def __len__(self) -> int:
+        return len(self.idf)
 
     def find(self, word: str) -> tuple[int, ...]:
-        got = tuple(self.terms[t][0] for t in terms_of(word) if t in self.terms)
+        """Number of the word (-1: in no example), then its marks."""
+        key = np.uint64(word_key(word))
+        at = int(np.searchsorted(self.words, key))
+        number = len(self.terms) + at if at < len(self.words) and self.words[at] == key else -1
+        got = (number, *[self.terms[t][0] for t in terms_of(word) if t in self.terms])
         if len(self.known) >= KEPT:
             self.known.clear()
         if len(word) <= 64:
             self.known[word] = got
         return got
 
-    def counts(self, data: str) -> tuple[tuple[int, int], ...]:
-        if not self.terms:
-            return ()
-        known, seen, words = self.known.get, Counter(), WORD.findall(data.lower())
-        for word in words:
-            got = known(word)
-            if got is None:
-                got = self.find(word)
-            if got:
-                seen.update(got)
-        return (*sorted(seen.items()), (self.terms[OTHER][0], len(words))) if seen else ()
-
-    def unit(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array([t for t, _ in counts], np.int64)
-        weight = np.array([1.0 + math.log(n) for _, n in counts]) * self.idf[terms]
-        return terms, weight / np.linalg.norm(weight)
+    def vector(self, data: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """None: no words."""
+        known, numbers, counts, unseen, marks = self.known.get, [], [], [], {}
+        for word, n in Counter(WORD.findall(data.lower())).items():
+            number, *marked = known(word) or self.find(word)
+            if number < 0:
+                unseen.append(n)
+            else:
+                numbers.append(number)
+                counts.append(n)
+            for m in marked:
+                marks[m] = marks.get(m, 0) + n
+        if not numbers and not unseen:
+            return None
+        return self.unit(np.array([*numbers, *marks], np.int64), np.array([*counts, *marks.values()], float), np.array(unseen, float))
+
+    def unit(self, terms: np.ndarray, counts: np.ndarray, unseen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(terms)
+        terms = terms[order]
+        weight = (1.0 + np.log(counts[order])) * self.idf[terms]
+        other = np.sort((1.0 + np.log(unseen)) * self.unseen)
+        return terms, weight / math.sqrt(float(weight @ weight) + float(other @ other))
 
 
 class BlockMaxIndex:
     """Exact top-k by cosine over unit vectors."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+    def __init__(self, vectors: Sequence[tuple[np.ndarray, np.ndarray]], n_terms: int):
         # Examples that share their heaviest terms lie together, which keeps block bounds tight.
-        order = sorted(range(len(vectors)), key=lambda i: vectors[i][0][np.argsort(-vectors[i][1], kind="stable")].tolist())
-        self.order = np.array(order, np.int64)
+        order = sorted(range(len(vectors)), key=[t[np.argsort(-w, kind="stable")[:8]].tolist() for t, w in vectors].__getitem__)
+        self.order, self.n_terms = np.array(order, np.int64), n_terms
         self.blocks = -(-len(order) // BLOCK)
-        size = np.array([len(vectors[i][0]) for i in order], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        self.term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
-        self.weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-        #: Of each term, the largest weight that it has in each block.
-        self.most = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.most, (self.term, np.repeat(np.arange(len(order)) // BLOCK, size)), self.weight)
-        self.query = np.zeros(n_terms)
+        self.first = np.concatenate([[0], np.cumsum([len(vectors[i][0]) for i in order])]).astype(np.int64)
+        self.term, self.weight = np.zeros(self.first[-1], np.int32), np.zeros(self.first[-1])
+        for at, i in enumerate(order):
+            own = slice(self.first[at], self.first[at + 1])
+            self.term[own], self.weight[own] = vectors[i]
+        self.places = np.argsort(self.order)
+        self.ready = False
+
+    def __getstate__(self) -> dict:
+        """Without what ``prepare`` derives."""
+        return {k: getattr(self, k) for k in ("order", "places", "n_terms", "blocks", "first", "term", "weight")} | {"ready": False}
+
+    def prepare(self) -> None:
+        row = np.repeat(np.arange(len(self.order), dtype=np.int32), np.diff(self.first))
+        df = np.bincount(self.term, minlength=self.n_terms)
+        common = np.flatnonzero(df >= max(2, COMMON * len(self.order)))
+        #: Column of a common term in the matrix, -1 for the others.
+        self.column = np.full(self.n_terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        inside = self.column[self.term] >= 0
+        self.matrix = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
+        self.matrix[row[inside], self.column[self.term[inside]]] = self.weight[inside]
+        #: Of each common term, the largest weight that it has in each block.
+        self.most = self.matrix.reshape(self.blocks, BLOCK, len(common)).max(axis=1) if len(common) else np.zeros((self.blocks, 0), np.float32)
+        own, posted, weight = self.term[~inside], row[~inside], self.weight[~inside].astype(np.float32)
+        by_term = np.argsort(own, kind="stable")
+        self.posted, self.posted_weight = posted[by_term], weight[by_term]
+        self.posted_first = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=self.n_terms))]).astype(np.int64)
+        self.query = np.zeros(self.n_terms)
+        self.ready = True
+
+    def vector(self, example: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.first[at := int(self.places[example])], self.first[at + 1])
+        return self.term[own].astype(np.int64), self.weight[own]
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(cosines, examples): the k largest and all others equal to the k-th, best first; cosine above 0 only."""
+        return self.top_of([(terms, weights)], k, [without])[0]
+
+    def top_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query (cosines, examples): the k largest and all others equal to the k-th, best first; cosine above 0 only."""
+        if not self.blocks:
+            return [(np.zeros(0), np.zeros(0, np.int64)) for _ in queries]
+        if not self.ready:
+            self.prepare()
+        near, dense = np.zeros((len(queries), self.blocks * BLOCK), np.float32), np.zeros((len(queries), self.matrix.shape[1]), np.float32)
+        for i, (terms, weights) in enumerate(queries):
+            column = self.column[terms]
+            dense[i, column[column >= 0]] = weights[column >= 0]
+            rare, w = terms[column < 0], weights[column < 0]
+            start, size = self.posted_first[rare], self.posted_first[rare + 1] - self.posted_first[rare]
+            at = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(rare) else np.zeros(0, np.int64)
+            near[i] = np.bincount(self.posted[at], weights=self.posted_weight[at] * np.repeat(w, size), minlength=near.shape[1])
+        # what the other terms add is known, so only the common ones are bounded
+        bound = near.reshape(len(queries), self.blocks, BLOCK).max(axis=2) + dense @ self.most.T
+        left_out = np.full(len(queries), -1, np.int64)
+        for i, own in enumerate(without):
+            if own >= 0:
+                left_out[i] = self.places[own]
+        least = np.zeros(len(queries), np.float32)
+        best = np.zeros((len(queries), k), np.float32)
+        slack = np.float32(3e-5)  # more than single precision loses
+        unseen = np.ones((len(queries), self.blocks), bool)
+        starts = np.arange(0, self.blocks, VISIT)
+        most = np.maximum.reduceat(bound, starts, axis=1)
+        for part in np.argsort(-most.max(axis=0), kind="stable").tolist():
+            who = np.flatnonzero(most[:, part] >= np.maximum(least - slack, 1e-12))
+            if not len(who):
+                continue
+            blocks = slice(starts[part], min(starts[part] + VISIT, self.blocks))
+            rows = slice(blocks.start * BLOCK, blocks.stop * BLOCK)
+            unseen[who, blocks] = False
+            if len(who) == len(queries):
+                near[:, rows] += dense @ self.matrix[rows].T
+                got = near[:, rows]
+            else:
+                got = near[who, rows] + dense[who] @ self.matrix[rows].T
+                near[who, rows] = got
+            inside = np.flatnonzero((left_out[who] >= rows.start) & (left_out[who] < rows.stop))
+            if len(inside):
+                near[who[inside], left_out[who[inside]]] = 0.0
+                got = near[who, rows]
+            both = np.concatenate([best[who], got], axis=1)
+            best[who] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            least[who] = best[who].min(axis=1)
+        out = []
+        for i, (terms, weights) in enumerate(queries):
+            score = near[i].reshape(self.blocks, BLOCK)
+            score[unseen[i]] = 0.0
+            if left_out[i] >= 0:
+                near[i, left_out[i]] = 0.0
+            at = np.flatnonzero((near[i] > 0) & (near[i] >= least[i] - slack))
+            out.append(self.exact(terms, weights, at, k))
+        return out
+
+    def exact(self, terms: np.ndarray, weights: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines of the rows in double precision, and of them what ``top_of`` returns."""
+        size = self.first[rows + 1] - self.first[rows]
+        if not len(rows):
+            return np.zeros(0), np.zeros(0, np.int64)
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        at = np.repeat(self.first[rows] - starts, size) + np.arange(size.sum())
         self.query[terms] = weights
-        bound = weights @ self.most[terms]
-        best, least, cosines, examples = np.zeros(0), 0.0, [np.zeros(0)], [np.zeros(0, np.int64)]
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or bound[block] < least - 1e-9:
-                break
-            rows = slice(block * BLOCK, min((block + 1) * BLOCK, len(self.order)))
-            a, b = self.first[rows.start], self.first[rows.stop]
-            cosine = np.add.reduceat(self.weight[a:b] * self.query[self.term[a:b]], self.first[rows] - a)
-            own = self.order[rows]
-            keep = (cosine > 0) & (cosine >= least - 1e-9) & (own != without)
-            cosines.append(cosine[keep])
-            examples.append(own[keep])
-            best = np.concatenate([best, cosines[-1]])
-            if len(best) >= k:
-                best = np.partition(best, len(best) - k)[-k:]
-                least = float(best.min())
+        cosine = np.add.reduceat(self.weight[at] * self.query[self.term[at]], starts)
         self.query[terms] = 0.0
-        cosine, example = np.concatenate(cosines), np.concatenate(examples)
-        near = np.flatnonzero(cosine >= least - 1e-9)
+        example = self.order[rows]
+        least = np.partition(cosine, len(cosine) - k)[-k] if len(cosine) > k else 0.0
+        near = np.flatnonzero((cosine > 0) & (cosine >= least - 1e-9))
         near = near[np.lexsort((example[near], -cosine[near]))]
         return cosine[near], example[near]
 
@@ -160,37 +272,49 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Everything scoring needs; its size is bounded by the sample and the terms."""
-
-    def __init__(self, terms: dict[str, tuple[int, float]], ids: list[int], counts: list[tuple], labels: np.ndarray):
-        self.vectors = Vectors(terms)
-        holds = [i for i, c in enumerate(counts) if c]
-        self.ids, self.labels = [ids[i] for i in holds], labels[holds]
-        self.index = BlockMaxIndex([self.vectors.unit(counts[i]) for i in holds], len(terms))
-        empty = labels[[i for i, c in enumerate(counts) if not c]]
-        self.without = (float(empty.sum()) + 0.5) / (len(empty) + 1) if len(labels) else 0.0
-        left_out = np.array([self.vote(counts[i], at)[0] for at, i in enumerate(holds)])
-        self.steps, self.share = isotonic(left_out, self.labels) if holds else (np.zeros(0), np.zeros(0))
-        self.scored: dict[tuple, tuple[float, list[int]]] = {}
-
-    def vote(self, counts: tuple, without: int = -1) -> tuple[float, list[int]]:
-        cosine, example = self.index.top(*self.vectors.unit(counts), NEIGHBOURS, without)
-        weight = 1.0 / (1.05 - np.minimum(cosine, 1.0))
-        share = float(weight @ self.labels[example] / weight.sum()) if len(example) else 0.0
-        return round(share, 9), [self.ids[e] for e in example[:EVIDENCE].tolist()]
-
-    def score(self, data: str) -> tuple[float, list[int]]:
-        counts = self.vectors.counts(data)
-        if not counts:
-            return self.without, []
-        if (known := self.scored.get(counts)) is None:
-            vote, evidence = self.vote(counts)
-            at = int(np.searchsorted(self.steps, vote, side="right")) - 1
-            known = float(self.share[max(at, 0)]), evidence
-            if len(self.scored) >= KEPT // 10:
-                self.scored.clear()
-            self.scored[counts] = known
-        return known
+    """Everything scoring needs; its size is bounded by the sample and the marks."""
+
+    def __init__(self, vectors: Vectors, ids: list[int], found: list[tuple[np.ndarray, np.ndarray] | None], labels: np.ndarray):
+        self.vectors, self.all_labels = vectors, labels
+        self.holds = [i for i, v in enumerate(found) if v is not None]
+        self.ids, self.labels = [ids[i] for i in self.holds], labels[self.holds]
+        self.index = BlockMaxIndex([found[i] for i in self.holds], len(vectors))
+        self.scored: dict[bytes, tuple[float, list[int]]] = {}
+
+    def left_out(self, examples: list[int]) -> list[tuple[float, bool]]:
+        """(vote, whether it has a neighbour) of examples, each by the others."""
+        return [(vote, bool(evidence)) for at in range(0, len(examples), TOGETHER) for vote, evidence in self.votes([self.index.vector(i) for i in examples[at : at + TOGETHER]], examples[at : at + TOGETHER])]
+
+    def calibrate(self, votes: np.ndarray, met: np.ndarray) -> Model:
+        alone = np.concatenate([np.delete(self.all_labels, self.holds), self.labels[~met]])
+        self.without = (float(alone.sum()) + float(self.all_labels.mean())) / (len(alone) + 1) if len(self.all_labels) else 0.0
+        self.steps, self.share = isotonic(votes[met], self.labels[met]) if met.any() else (np.zeros(0), np.zeros(0))
+        return self
+
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], without=None) -> list[tuple[float, list[int]]]:
+        out = []
+        for cosine, example in self.index.top_of(vectors, NEIGHBOURS, list(without) if without is not None else [-1] * len(vectors)):
+            weight = 1.0 / (1.05 - np.minimum(cosine, 1.0))
+            share = float(weight @ self.labels[example] / weight.sum()) if len(example) else 0.0
+            out.append((round(share, 9), [self.ids[e] for e in example[:EVIDENCE].tolist()]))
+        return out
+
+    def scores(self, texts: list[str]) -> list[tuple[float, list[int]]]:
+        keys = [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in texts]
+        got = {k: self.scored[k] for k in keys if k in self.scored}
+        new = {k: x for k, x in zip(keys, texts, strict=True) if k not in got}
+        vectors = {k: self.vectors.vector(x) for k, x in new.items()}
+        asked = [k for k, v in vectors.items() if v is not None]
+        got.update((k, (self.without, [])) for k, v in vectors.items() if v is None)
+        for at in range(0, len(asked), TOGETHER):
+            part = asked[at : at + TOGETHER]
+            for key, (vote, evidence) in zip(part, self.votes([vectors[k] for k in part]), strict=True):
+                step = int(np.searchsorted(self.steps, vote, side="right")) - 1
+                got[key] = (float(self.share[max(step, 0)]), evidence) if evidence and len(self.share) else (self.without, evidence)
+        if len(self.scored) >= KEPT // 10:
+            self.scored.clear()
+        self.scored.update(got)
+        return [got[k] for k in keys]
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES) -> Model:
@@ -198,7 +322,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     Repeated labels of an id count as one, the larger, and of rows that repeat an id
     the largest text is learnt from; null ids and labels are left out. Without
-    examples of both labels no term is learnt.
+    examples of both labels there are no marks.
     """
     drawn = labels.where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
     drawn = drawn.orderBy(F.xxhash64("id"), "id").limit(examples)
@@ -208,27 +332,53 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     terms = learnt_terms(rows, int(count["p"] or 0), count["n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = Vectors(terms)
         for batch in batches:
-            found = [vectors.counts(x) for x in text.strings(batch, "text")]
-            flat = pa.array([[{"t": t, "n": n} for t, n in c] for c in found], pa.list_(pa.struct([("t", pa.int64()), ("n", pa.int64())])))
-            yield text.record(id=batch.column("id"), label=batch.column("label"), counts=flat)
+            columns: list[list[bytes]] = [[], [], [], []]
+            for data in text.strings(batch, "text"):
+                counts = Counter(WORD.findall(data.lower()))
+                marks = marks_of(counts, terms)
+                cells = np.array([word_key(w) for w in counts], "<u8"), np.array(list(counts.values()), "<i4"), np.array(list(marks), "<i4"), np.array(list(marks.values()), "<i4")
+                for column, cell in zip(columns, cells, strict=True):
+                    column.append(cell.tobytes())
+            yield text.record(id=batch.column("id"), label=batch.column("label"), words=columns[0], n=columns[1], marks=columns[2], m=columns[3])
+
+    got = rows.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(run, "id long, label int, words binary, n binary, marks binary, m binary").collect()
+    got.sort(key=lambda r: r["id"])
+    flat = np.frombuffer(b"".join(r["words"] for r in got), "<u8")
+    words, found, at = np.unique(flat), [], 0
+    numbers = np.searchsorted(words, flat).astype(np.int32)
+    vectors = Vectors(terms, words, np.bincount(numbers, minlength=len(words)), len(got))
+    for r in got:
+        size = len(r["words"]) // 8
+        own = np.concatenate([np.frombuffer(r["marks"], "<i4"), numbers[at : at + size] + len(terms)])
+        counts = np.concatenate([np.frombuffer(r["m"], "<i4"), np.frombuffer(r["n"], "<i4")]).astype(float)
+        found.append(vectors.unit(own, counts, np.zeros(0)) if size else None)
+        at += size
+    model = Model(vectors, [r["id"] for r in got], found, np.array([r["label"] for r in got], np.int64))
+    del got, flat, numbers, found  # the index holds it all
+    # each example's vote by the others, in tasks, since it costs what scoring as many texts does
+    spark, n = df.sparkSession, len(model.holds)
+    shared = spark.sparkContext.broadcast(model)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes = shared.value.left_out(batch.column("id").to_pylist())
+            yield text.record(id=batch.column("id"), vote=pa.array([v for v, _ in votes], pa.float64()), met=pa.array([m for _, m in votes], pa.bool_()))
 
-    got = rows.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(run, "id long, label int, counts array<struct<t:long,n:long>>").collect()
-    got.sort(key=lambda r: (r["id"], r["label"], r["counts"]))
-    return Model(terms, [r["id"] for r in got], [tuple((x["t"], x["n"]) for x in r["counts"]) for r in got], np.array([r["label"] for r in got], np.int64))
+    by = sorted(spark.range(0, n, 1, max(1, -(-n // 1000))).mapInArrow(vote, "id long, vote double, met boolean").collect()) if n else []
+    return model.calibrate(np.array([r["vote"] for r in by], float), np.array([r["met"] for r in by], bool))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score, evidence)``: probability of the label and the ids of the nearest examples.
 
-    A null or empty text has no term. Equal texts have equal scores. Null ids are
+    A null or empty text has no word. Equal texts have equal scores. Null ids are
     passed through. No rows: no rows.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [shared.value.score(x) for x in text.strings(batch, "text")]
+        got = shared.value.scores(text.strings(batch, "text"))
         return text.record(id=batch.column("id"), score=pa.array([s for s, _ in got], pa.float64()), evidence=pa.array([e for _, e in got], pa.list_(pa.int64())))
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

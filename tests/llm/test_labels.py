@@ -62,6 +62,18 @@ def test_toxicity_held_out(spark):
     assert all(e % 3 != 1 for r in got.values() for e in r["evidence"])
 
 
+def test_a_copy_of_an_example_without_marks_is_found(spark):
+    data = marked(300, 4)
+    plain = [i for i, (_, y) in enumerate(data) if not y]
+    copies = [(1000 + i, data[i][0]) for i in plain[:40]]
+    docs = spark.createDataFrame([*((i, t) for i, (t, _) in enumerate(data)), *copies, (2000, "unheard zzzzqq")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(data)], "id long, label int")
+    model = toxicity.fit(docs, labels)
+    got = {r["id"]: r for r in toxicity.score(docs, model).collect()}
+    assert all(got[i]["evidence"][0] == i - 1000 for i, _ in copies)
+    assert got[2000]["evidence"] == [] and 0 < got[2000]["score"] < 0.5
+
+
 def test_toxicity_corners(spark, awkward, nothing):
     labels = spark.createDataFrame([(12, 1), (12, 0), (13, 0), (None, 1), (3, None)], "id long, label int")
     model = toxicity.fit(awkward, labels)
