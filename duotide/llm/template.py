@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ from duotide import scratch
 #: Pages a group aims at; share of a group's pages that a class must be on.
 GROUP, SUPPORT = 256, 0.5
 
-#: Elements open at once; text in deeper ones belongs to the last of them.
-DEEPEST = 400
+#: Characters of a path that are written out; longer ones are known by their hash.
+WRITTEN = 4000
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -55,9 +56,23 @@ BESIDE_WORDS = frozenset(
 ARTICLE_WORDS = (frozenset("article post entry story".split()), frozenset("content main body text".split()))
 
 
+class Path(str):
+    """Place of an element: the labels above it and its own. A long one costs no more than a short one, however deep it is."""
+
+    __slots__ = ("above", "depth", "own")
+
+    def __new__(cls, above: Path | None = None, own: str = "") -> Path:
+        written = "" if above is None else f"{above}/{own}"
+        if len(written) > WRITTEN:
+            written = "~" + xxhash.xxh3_128_hexdigest(written.encode("utf-8", "surrogatepass"))
+        path = super().__new__(cls, written)
+        path.above, path.own, path.depth = above, own, 0 if above is None else above.depth + 1
+        return path
+
+
 @dataclass
 class Block:
-    path: str
+    path: Path
     text: str
     linked: int
 
@@ -74,11 +89,51 @@ def label(tag: str, attributes: str) -> str:
     return tag + "".join(f".{c}" for c in classes) + (f"#{own}" if own else "") + (f"@{out['role'].lower().split()[0]}" if out["role"].split() else "")
 
 
-def parse(page: str) -> tuple[list[Block], list[str]]:
+class Stack:
+    """Open elements, all of them, and where those of each name are, so that broken nesting is closed without a search."""
+
+    def __init__(self):
+        self.open: list[tuple[str, Path]] = [("", Path())]
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+        self.edges: list[int] = []
+
+    def push(self, name: str, path: Path) -> None:
+        self.at[name].append(len(self.open))
+        if name in EDGES:
+            self.edges.append(len(self.open))
+        self.open.append((name, path))
+
+    def last(self, names) -> int:
+        """Place of the innermost open element of one of the names; 0: none."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+    def close(self, depth: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.open) > depth:
+            name, _ = self.open.pop()
+            self.at[name].pop()
+            if name in EDGES:
+                self.edges.pop()
+
+    def end(self, name: str) -> None:
+        depth, edge = self.last((name,)), self.edges[-1] if self.edges else 0
+        if depth and (name in EDGES or depth > edge):
+            self.close(depth)
+
+    def start(self, name: str) -> None:
+        """Close what a start tag closes."""
+        closes, until = CLOSES.get(name, ({"p"}, EDGES))
+        edge = (self.edges[-1] if self.edges else 0) if until is EDGES else self.last(until - closes)
+        if (depth := self.last(closes)) > edge:
+            self.close(depth)
+
+
+def parse(page: str) -> tuple[list[Block], list[Path]]:
     """(text blocks in page order, the path of every element in page order). Broken nesting is closed where it must be."""
-    stack: list[tuple[str, str]] = [("", "")]  # (name, path)
+    stack = Stack()
+    paths: dict[tuple[int, str], Path] = {}  # each place of the page once
     blocks, elements, text = [], [], []
-    linked, links, at, block_path = 0, 0, 0, ""
+    linked, at, block_path = 0, 0, stack.open[0][1]
 
     def flush() -> None:
         nonlocal linked, text
@@ -93,35 +148,25 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
             if m[0][0] != "<" or m[0] == "<":
                 words = entities.unescape(m[0])
                 if not text or not block_path:
-                    block_path = stack[-1][1]
+                    block_path = stack.open[-1][1]
                 text.append(words)
-                linked += len(words.strip()) if links else 0
+                linked += len(words.strip()) if stack.at.get("a") else 0
             continue
         name = name.lower()
         if closing:
             if name not in INLINE:
                 flush()
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    links -= sum(s[0] == "a" for s in stack[depth:])
-                    del stack[depth:]
-                    break
-                if stack[depth][0] in EDGES and name not in EDGES:
-                    break
+            stack.end(name)
             continue
         if name not in INLINE:
             flush()
-            closes, until = CLOSES.get(name, ({"p"}, EDGES))
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in until and stack[depth][0] not in closes:
-                    break
-                if stack[depth][0] in closes:
-                    links -= sum(s[0] == "a" for s in stack[depth:])
-                    del stack[depth:]
-                    break
-        path = stack[-1][1]
+            stack.start(name)
+        path = stack.open[-1][1]
         if name not in INLINE:
-            path = f"{path}/{label(name, attributes)}"
+            own = label(name, attributes)
+            if (known := paths.get((id(path), own))) is None:
+                known = paths[id(path), own] = Path(path, own)
+            path = known
             elements.append(path)
         if name in VOID or attributes.endswith("/"):
             continue
@@ -129,9 +174,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if len(stack) < DEEPEST:
-            stack.append((name, path))
-            links += name == "a"
+        stack.push(name, path)
     flush()
     return blocks, elements
 
@@ -140,15 +183,18 @@ class Places:
     """What the names on a path say, worked out once per path of a group."""
 
     def __init__(self):
-        self.known: dict[str, tuple[bool, int | None]] = {}
+        self.known: dict[Path, tuple[bool, int | None]] = {}
 
-    def of(self, path: str) -> tuple[bool, int | None]:
+    def of(self, path: Path) -> tuple[bool, int | None]:
         """(beside the article, how sure a sign of the article is on the path: 0 surest, None no sign)."""
-        got = self.known.get(path)
-        if got is None:
-            above, _, own = path.rpartition("/")
-            beside, sign = self.of(above) if above else (False, None)
-            names, _, role = own.partition("@")
+        unknown = []
+        while path.depth and path not in self.known:
+            unknown.append(path)
+            path = path.above
+        got = self.known[path] if path.depth else (False, None)
+        for path in reversed(unknown):
+            beside, sign = got
+            names, _, role = path.own.partition("@")
             tag, words = re.split(r"[.#]", names, maxsplit=1)[0], set(WORDS.findall(names))
             words.discard(tag)
             if tag in BESIDE_TAGS or role in BESIDE_ROLES or words & BESIDE_WORDS or (sign is None and (tag == "header" or "header" in words)):
@@ -164,15 +210,15 @@ class Places:
 @dataclass
 class Template:
     #: Paths of the elements in valid classes, and texts that are in one at their place.
-    elements: frozenset[str]
-    fixed: frozenset[tuple[str, str]]
+    elements: frozenset[Path]
+    fixed: frozenset[tuple[Path, str]]
     #: The sign that says where the article is; None: statistics only.
     sign: int | None
 
-    def slot(self, path: str) -> str:
+    def slot(self, path: Path) -> Path:
         """The nearest template element around a place."""
-        while path and path not in self.elements:
-            path = path.rpartition("/")[0]
+        while path.depth and path not in self.elements:
+            path = path.above
         return path
 
 
@@ -189,23 +235,26 @@ def classes(counts: list[Counter]) -> list[list]:
     return list(by_vector.values())
 
 
-def deduce(pages: list[tuple[list[Block], list[str]]], places: Places) -> Template:
+def deduce(pages: list[tuple[list[Block], list[Path]]], places: Places) -> Template:
     """Template of a group of parsed pages."""
     firsts = []
     for _, elements in pages:
-        first: dict[str, int] = {}
+        first: dict[Path, int] = {}
         for i, path in enumerate(elements):
             first.setdefault(path, i)
         firsts.append(first)
-    valid: set[str] = set()
+    valid: set[Path] = set()
     for members in classes([Counter(e) for _, e in pages]):
         on = [f for f in firsts if members[0] in f]
         members.sort(key=on[0].__getitem__)
         # one order on every page: a token whose place among the others changes is no template token
         ranks = np.array([np.argsort(np.argsort([f[t] for t in members])) for f in on])
         valid.update(t for t, same in zip(members, (ranks == ranks[0]).all(axis=0), strict=True) if same)
-    nested = {p for p in valid if all(q in valid for q in _above(p))}
-    fixed: set[tuple[str, str]] = set()
+    nested: set[Path] = set()
+    for p in sorted(valid, key=lambda p: p.depth):
+        if p.depth == 1 or p.above in nested:
+            nested.add(p)
+    fixed: set[tuple[Path, str]] = set()
     if len(pages) >= 3:
         for members in classes([Counter((b.path, b.text) for b in blocks) for blocks, _ in pages]):
             fixed.update(members)
@@ -213,11 +262,6 @@ def deduce(pages: list[tuple[list[Block], list[str]]], places: Places) -> Templa
     return Template(frozenset(nested), frozenset(fixed), min(signs, default=None))
 
 
-def _above(path: str):
-    while path := path.rpartition("/")[0]:
-        yield path
-
-
 def extract(blocks: list[Block], template: Template, places: Places) -> str:
     """The page's slots that hold the article, joined."""
     open_ = [b for b in blocks if not places.of(b.path)[0]]

@@ -42,6 +42,13 @@ def test_broken_pages(page, want):
     assert want is None or text_of(page) == [want]
 
 
+def test_text_after_deep_nesting():
+    page = "<div id=page><article>" + "<div>" * 500 + "deep" + "</div>" * 500 + "<p>rest</p></article></div>"
+    assert text_of(page) == ["deep rest"]
+    assert text_of("<article><p>in</p>" + "<b>" * 400 + "bold<aside>beside</aside><form>form</form></article>") == ["in bold"]
+    assert text_of("<article>" + "<div>" * 20_000 + "deep<aside>beside</aside></article>" + "</i>" * 20_000) == ["deep"]
+
+
 def test_pages(spark):
     rows = [(i, f"https://Host{i % 2}.example.org/{i}", SITE.format(f"w{i}"), "clash", 1) for i in range(40)]
     rows += [(40, None, None, "g", 1), (41, "no url", "", None, 1), (None, "http://host1.example.org", SITE.format("null"), "g", None), rows[3]]
