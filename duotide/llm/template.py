@@ -1,7 +1,7 @@
 """Main text of web pages by deducing the template that pages of a host share.
 
 Tokens of a page are its elements, told apart by their place (the path of names,
-classes and ids above them), and its words by place. Over a group of pages of one
+classes and ids above them), and its blocks of text by place. Over a group of pages of one
 host every token has an occurrence vector, how often each page has it. Tokens with
 one vector form a class. A class with enough support whose tokens come in one order
 on every page is valid; valid classes, nested by their paths, are the template. What
@@ -44,6 +44,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 EDGES = frozenset("html body article main section div nav header footer aside form table td th blockquote figure ul ol li dl".split())
 
+PAGE = frozenset("html body".split())
 BESIDE_TAGS = frozenset("head nav footer aside form dialog menu fieldset".split())
 BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 BESIDE_WORDS = frozenset(
@@ -179,33 +180,49 @@ def parse(page: str) -> tuple[list[Block], list[Path]]:
     return blocks, elements
 
 
+@dataclass(frozen=True)
+class Place:
+    #: Beside the article: by a tag or role, or by a word in a class or id, which says less.
+    beside: bool = False
+    by_word: bool = False
+    #: How sure a sign of the article is on the path: 0 surest, None no sign.
+    sign: int | None = None
+    #: Inside an article or main element that only words above say is beside.
+    doubtful: bool = False
+
+
 class Places:
     """What the names on a path say, worked out once per path of a group."""
 
     def __init__(self):
-        self.known: dict[Path, tuple[bool, int | None]] = {}
+        self.known: dict[Path, Place] = {}
 
-    def of(self, path: Path) -> tuple[bool, int | None]:
-        """(beside the article, how sure a sign of the article is on the path: 0 surest, None no sign)."""
+    def of(self, path: Path) -> Place:
         unknown = []
         while path.depth and path not in self.known:
             unknown.append(path)
             path = path.above
-        got = self.known[path] if path.depth else (False, None)
+        got = self.known[path] if path.depth else Place()
         for path in reversed(unknown):
-            beside, sign = got
-            names, _, role = path.own.partition("@")
-            tag, words = re.split(r"[.#]", names, maxsplit=1)[0], set(WORDS.findall(names))
-            words.discard(tag)
-            if tag in BESIDE_TAGS or role in BESIDE_ROLES or words & BESIDE_WORDS or (sign is None and (tag == "header" or "header" in words)):
-                beside = True
-            elif tag not in INLINE:
-                marks = (tag == "article" or role == "article", tag == "main" or role == "main", bool(words & ARTICLE_WORDS[0]), bool(words & ARTICLE_WORDS[1]))
-                found = next((i for i, x in enumerate(marks) if x), None)
-                sign = found if sign is None else sign if found is None else min(sign, found)
-            got = self.known[path] = beside, sign
+            got = self.known[path] = self.inside(got, path.own)
         return got
 
+    def inside(self, above: Place, own: str) -> Place:
+        names, _, role = own.partition("@")
+        tag, words = re.split(r"[.#]", names, maxsplit=1)[0], set(WORDS.findall(names))
+        words.discard(tag)
+        if tag in BESIDE_TAGS or role in BESIDE_ROLES or (above.sign is None and tag == "header"):
+            return Place(True, False, above.sign, above.doubtful)
+        # the page as a whole is not beside itself
+        if tag not in PAGE and (words & BESIDE_WORDS or (above.sign is None and "header" in words)):
+            return Place(True, above.by_word or not above.beside, above.sign, above.doubtful)
+        marks = (tag == "article" or role == "article", tag == "main" or role == "main", bool(words & ARTICLE_WORDS[0]), bool(words & ARTICLE_WORDS[1]))
+        found = None if tag in INLINE else next((i for i, x in enumerate(marks) if x), None)
+        sign = above.sign if found is None else found if above.sign is None else min(above.sign, found)
+        if above.by_word and not above.doubtful and found is not None and found <= 1 and above.sign is None:
+            return Place(False, False, sign, True)
+        return Place(above.beside, above.by_word, above.sign if above.beside else sign, above.doubtful)
+
 
 @dataclass
 class Template:
@@ -258,16 +275,22 @@ def deduce(pages: list[tuple[list[Block], list[Path]]], places: Places) -> Templ
     if len(pages) >= 3:
         for members in classes([Counter((b.path, b.text) for b in blocks) for blocks, _ in pages]):
             fixed.update(members)
-    signs = [s for p in nested if not (got := places.of(p))[0] and (s := got[1]) is not None]
+    told = [got for p in nested if not (got := places.of(p)).beside and got.sign is not None]
+    signs = [got.sign for got in told if not got.doubtful] or [got.sign for got in told]
     return Template(frozenset(nested), frozenset(fixed), min(signs, default=None))
 
 
 def extract(blocks: list[Block], template: Template, places: Places) -> str:
     """The page's slots that hold the article, joined."""
-    open_ = [b for b in blocks if not places.of(b.path)[0]]
-    marked = [b for b in open_ if template.sign is not None and (s := places.of(template.slot(b.path))[1]) is not None and s <= template.sign]
-    if not marked and (own := min((s for b in open_ if (s := places.of(b.path)[1]) is not None), default=None)) is not None:
-        marked = [b for b in open_ if places.of(b.path)[1] == own]  # a page that is unlike its host's others
+    told = [(places.of(b.path), b) for b in blocks]
+    sure = any(not got.beside and not got.doubtful and got.sign is not None for got, _ in told)
+    # a class like has-sidebar around the article counts only where another article is found
+    open_ = [b for got, b in told if not got.beside and not (sure and got.doubtful)]
+    if not sure and (doubtful := [b for got, b in told if not got.beside and got.doubtful]):
+        open_ = doubtful
+    marked = [b for b in open_ if template.sign is not None and (s := places.of(template.slot(b.path)).sign) is not None and s <= template.sign]
+    if not marked and (own := min((s for b in open_ if (s := places.of(b.path).sign) is not None), default=None)) is not None:
+        marked = [b for b in open_ if places.of(b.path).sign == own]  # a page that is unlike its host's others
     if not marked and template.sign is None:
         marked = [b for b in open_ if 2 * b.linked <= len(b.text) and (b.path, b.text) not in template.fixed]
     return " ".join(b.text for b in marked)

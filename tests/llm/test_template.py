@@ -49,6 +49,16 @@ def test_text_after_deep_nesting():
     assert text_of("<article>" + "<div>" * 20_000 + "deep<aside>beside</aside></article>" + "</i>" * 20_000) == ["deep"]
 
 
+def test_a_surer_sign_inside_overrides_a_word_around_it():
+    rest = "<nav>Nav</nav><article><p>Text {0}</p><div class='ad'>Buy</div></article>"
+    wide = "<html><body class='has-sidebar'>" + rest + "</body></html>"
+    wrapped = "<html><body><div class='content-sidebar-wrap'>" + rest + "</div></body></html>"
+    for page in (wide, wrapped):
+        assert text_of(*[page.format(i) for i in "abcd"]) == [f"Text {i}" for i in "abcd"]
+    comments = "<html><body><article><p>Text {0}</p></article><div id='comments'><article>Reader {0}</article></div></body></html>"
+    assert text_of(*[comments.format(i) for i in "abcd"]) == [f"Text {i}" for i in "abcd"]
+
+
 def test_pages(spark):
     rows = [(i, f"https://Host{i % 2}.example.org/{i}", SITE.format(f"w{i}"), "clash", 1) for i in range(40)]
     rows += [(40, None, None, "g", 1), (41, "no url", "", None, 1), (None, "http://host1.example.org", SITE.format("null"), "g", None), rows[3]]
