@@ -29,6 +29,8 @@ from duotide import scratch
 
 #: Pages a group aims at; share of a group's pages that a class must be on.
 GROUP, SUPPORT = 256, 0.5
+#: Different main texts that a fixed text is seen beside.
+LEAST = 3
 
 #: Characters of a path that are written out; longer ones are known by their hash.
 WRITTEN = 4000
@@ -44,6 +46,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 EDGES = frozenset("html body article main section div nav header footer aside form table td th blockquote figure ul ol li dl".split())
 
+CONTAINERS = frozenset("html body article main section div nav header footer aside form table td th blockquote center".split())
 PAGE = frozenset("html body".split())
 BESIDE_TAGS = frozenset("head nav footer aside form dialog menu fieldset".split())
 BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -252,8 +255,26 @@ def classes(counts: list[Counter]) -> list[list]:
     return list(by_vector.values())
 
 
+def fixed_texts(pages: list[set[tuple[Path, str]]]) -> set[tuple[Path, str]]:
+    """Texts in place that stand beside at least three different main texts, and beside enough of all there are.
+
+    Texts on enough pages may be fixed. What else a page has is its main text; pages without any, or with
+    the same, say no more than one page does.
+    """
+    often = {token for members in classes([Counter(page) for page in pages]) for token in members}
+    mains = [frozenset(page - often) for page in pages]
+    beside = defaultdict(set)
+    for page, main in zip(pages, mains, strict=True):
+        if main:
+            for token in page & often:
+                beside[token].add(main)
+    least = max(LEAST, SUPPORT * len(set(mains) - {frozenset()}))
+    return {token for token, found in beside.items() if len(found) >= least}
+
+
 def deduce(pages: list[tuple[list[Block], list[Path]]], places: Places) -> Template:
-    """Template of a group of parsed pages."""
+    """Template of a group of parsed pages; copies of a page count as one."""
+    pages = list({(*((b.path, b.text) for b in blocks), None, *elements): (blocks, elements) for blocks, elements in pages}.values())
     firsts = []
     for _, elements in pages:
         first: dict[Path, int] = {}
@@ -271,15 +292,19 @@ def deduce(pages: list[tuple[list[Block], list[Path]]], places: Places) -> Templ
     for p in sorted(valid, key=lambda p: p.depth):
         if p.depth == 1 or p.above in nested:
             nested.add(p)
-    fixed: set[tuple[Path, str]] = set()
-    if len(pages) >= 3:
-        for members in classes([Counter((b.path, b.text) for b in blocks) for blocks, _ in pages]):
-            fixed.update(members)
+    fixed = fixed_texts([{(b.path, b.text) for b in blocks} for blocks, _ in pages])
     told = [got for p in nested if not (got := places.of(p)).beside and got.sign is not None]
     signs = [got.sign for got in told if not got.doubtful] or [got.sign for got in told]
     return Template(frozenset(nested), frozenset(fixed), min(signs, default=None))
 
 
+def container(path: Path) -> Path:
+    """The nearest place around that holds more than a paragraph, heading or list does: its links are judged together."""
+    while path.depth and re.split(r"[.#@]", path.own, maxsplit=1)[0] not in CONTAINERS:
+        path = path.above
+    return path
+
+
 def extract(blocks: list[Block], template: Template, places: Places) -> str:
     """The page's slots that hold the article, joined."""
     told = [(places.of(b.path), b) for b in blocks]
@@ -292,7 +317,12 @@ def extract(blocks: list[Block], template: Template, places: Places) -> str:
     if not marked and (own := min((s for b in open_ if (s := places.of(b.path).sign) is not None), default=None)) is not None:
         marked = [b for b in open_ if places.of(b.path).sign == own]  # a page that is unlike its host's others
     if not marked and template.sign is None:
-        marked = [b for b in open_ if 2 * b.linked <= len(b.text) and (b.path, b.text) not in template.fixed]
+        own = [b for b in open_ if (b.path, b.text) not in template.fixed]
+        length, linked = Counter(), Counter()
+        for b in own:
+            length[at := container(b.path)] += len(b.text)
+            linked[at] += b.linked
+        marked = [b for b in own if 2 * linked[at := container(b.path)] <= length[at]]
     return " ".join(b.text for b in marked)
 
 

@@ -59,6 +59,19 @@ def test_a_surer_sign_inside_overrides_a_word_around_it():
     assert text_of(*[comments.format(i) for i in "abcd"]) == [f"Text {i}" for i in "abcd"]
 
 
+def test_copies_on_a_host_without_names_stay():
+    page = "<html><body><div><a>Home</a> <a>News</a></div><table><tr><td><p>Own words of page {0}.</p><p>More of {0}.</p></table></body></html>"
+    want = "Own words of page {0}. More of {0}."
+    got = text_of(*[page.format(i) for i in ["same"] * 8 + list("abcdefgh")])
+    assert got == [want.format(i) for i in ["same"] * 8 + list("abcdefgh")]
+    assert all(want.format(i) in x for i, x in zip(["same", "same", "a"], text_of(*[page.format(i) for i in ["same", "same", "a"]]), strict=True))
+
+
+def test_links_are_judged_by_slot():
+    page = "<html><body><div><p>Long text of {0} that tells what there is to tell.</p><p><a>Source of {0}</a></p><ul><li><a>Item {0}</a></ul></div><section><p><a>Elsewhere {0}</a></p></section></body></html>"
+    assert text_of(*[page.format(i) for i in "abcd"])[1] == "Long text of b that tells what there is to tell. Source of b Item b"
+
+
 def test_pages(spark):
     rows = [(i, f"https://Host{i % 2}.example.org/{i}", SITE.format(f"w{i}"), "clash", 1) for i in range(40)]
     rows += [(40, None, None, "g", 1), (41, "no url", "", None, 1), (None, "http://host1.example.org", SITE.format("null"), "g", None), rows[3]]
