@@ -40,15 +40,18 @@ ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 WORDS = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select option button canvas audio video".split())
+#: Elements whose text is no markup: they end at their own end tag only.
+RAW = frozenset("script style textarea title iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: A start tag that closes an open element of the given names, up to the nearest of the others.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"})}
+#: Elements that a paragraph may hold.
+PHRASES = frozenset("noscript template svg math object select button canvas audio video textarea iframe script style".split())
 EDGES = frozenset("html body article main section div nav header footer aside form table td th blockquote figure ul ol li dl".split())
 
 CONTAINERS = frozenset("html body article main section div nav header footer aside form table td th blockquote center".split())
 PAGE = frozenset("html body".split())
-BESIDE_TAGS = frozenset("head nav footer aside form dialog menu fieldset".split())
+BESIDE_TAGS = frozenset("head nav footer aside form dialog menu fieldset noscript template svg select option button canvas audio video".split())
 BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 BESIDE_WORDS = frozenset(
     """ad ads adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar sidenav menu nav navbar
@@ -126,6 +129,8 @@ class Stack:
 
     def start(self, name: str) -> None:
         """Close what a start tag closes."""
+        if name in PHRASES:
+            return
         closes, until = CLOSES.get(name, ({"p"}, EDGES))
         edge = (self.edges[-1] if self.edges else 0) if until is EDGES else self.last(until - closes)
         if (depth := self.last(closes)) > edge:

@@ -72,6 +72,16 @@ def test_links_are_judged_by_slot():
     assert text_of(*[page.format(i) for i in "abcd"])[1] == "Long text of b that tells what there is to tell. Source of b Item b"
 
 
+@pytest.mark.parametrize("name", ["button", "svg", "canvas", "video", "select", "option", "noscript"])
+def test_unclosed_element_ends_with_its_parent(name):
+    assert text_of(f"<article><div><p>a</p><{name}>x</div><p>rest</p></article>") == ["a rest"]
+    assert text_of(f"<article><p>a <{name}>x</{name}> b</p></article>") == ["a b"]
+
+
+def test_formulas_and_objects_are_text():
+    assert text_of("<article><p>a <math><mi>x</mi></math> <object>b</object></p></article>") == ["a x b"]
+
+
 def test_pages(spark):
     rows = [(i, f"https://Host{i % 2}.example.org/{i}", SITE.format(f"w{i}"), "clash", 1) for i in range(40)]
     rows += [(40, None, None, "g", 1), (41, "no url", "", None, 1), (None, "http://host1.example.org", SITE.format("null"), "g", None), rows[3]]
