@@ -28,6 +28,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -280,6 +281,11 @@ class Model:
         self.ids, self.labels = [ids[i] for i in self.holds], labels[self.holds]
         self.index = BlockMaxIndex([found[i] for i in self.holds], len(vectors))
         self.scored: dict[bytes, tuple[float, list[int]]] = {}
+        self.fitted = (0.0, np.zeros(0), np.zeros(0))  # share without neighbours, steps, their shares
+        self.shared: Broadcast | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"scored": {}, "shared": None}
 
     def left_out(self, examples: list[int]) -> list[tuple[float, bool]]:
         """(vote, whether it has a neighbour) of examples, each by the others."""
@@ -287,8 +293,8 @@ class Model:
 
     def calibrate(self, votes: np.ndarray, met: np.ndarray) -> Model:
         alone = np.concatenate([np.delete(self.all_labels, self.holds), self.labels[~met]])
-        self.without = (float(alone.sum()) + float(self.all_labels.mean())) / (len(alone) + 1) if len(self.all_labels) else 0.0
-        self.steps, self.share = isotonic(votes[met], self.labels[met]) if met.any() else (np.zeros(0), np.zeros(0))
+        without = (float(alone.sum()) + float(self.all_labels.mean())) / (len(alone) + 1) if len(self.all_labels) else 0.0
+        self.fitted = (without, *(isotonic(votes[met], self.labels[met]) if met.any() else (np.zeros(0), np.zeros(0))))
         return self
 
     def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], without=None) -> list[tuple[float, list[int]]]:
@@ -299,18 +305,18 @@ class Model:
             out.append((round(share, 9), [self.ids[e] for e in example[:EVIDENCE].tolist()]))
         return out
 
-    def scores(self, texts: list[str]) -> list[tuple[float, list[int]]]:
+    def scores(self, texts: list[str], without: float, steps: np.ndarray, share: np.ndarray) -> list[tuple[float, list[int]]]:
         keys = [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in texts]
         got = {k: self.scored[k] for k in keys if k in self.scored}
         new = {k: x for k, x in zip(keys, texts, strict=True) if k not in got}
         vectors = {k: self.vectors.vector(x) for k, x in new.items()}
         asked = [k for k, v in vectors.items() if v is not None]
-        got.update((k, (self.without, [])) for k, v in vectors.items() if v is None)
+        got.update((k, (without, [])) for k, v in vectors.items() if v is None)
         for at in range(0, len(asked), TOGETHER):
             part = asked[at : at + TOGETHER]
             for key, (vote, evidence) in zip(part, self.votes([vectors[k] for k in part]), strict=True):
-                step = int(np.searchsorted(self.steps, vote, side="right")) - 1
-                got[key] = (float(self.share[max(step, 0)]), evidence) if evidence and len(self.share) else (self.without, evidence)
+                step = int(np.searchsorted(steps, vote, side="right")) - 1
+                got[key] = (float(share[max(step, 0)]), evidence) if evidence and len(share) else (without, evidence)
         if len(self.scored) >= KEPT // 10:
             self.scored.clear()
         self.scored.update(got)
@@ -344,21 +350,25 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     got = rows.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(run, "id long, label int, words binary, n binary, marks binary, m binary").collect()
     got.sort(key=lambda r: r["id"])
-    flat = np.frombuffer(b"".join(r["words"] for r in got), "<u8")
-    words, found, at = np.unique(flat), [], 0
+    ids, labelled = [r["id"] for r in got], np.array([r["label"] for r in got], np.int64)
+    flat, rest = np.frombuffer(b"".join(r["words"] for r in got), "<u8"), [(len(r["words"]) // 8, r["n"], r["marks"], r["m"]) for r in got]
+    del got
+    words = np.unique(flat)
     numbers = np.searchsorted(words, flat).astype(np.int32)
-    vectors = Vectors(terms, words, np.bincount(numbers, minlength=len(words)), len(got))
-    for r in got:
-        size = len(r["words"]) // 8
-        own = np.concatenate([np.frombuffer(r["marks"], "<i4"), numbers[at : at + size] + len(terms)])
-        counts = np.concatenate([np.frombuffer(r["m"], "<i4"), np.frombuffer(r["n"], "<i4")]).astype(float)
+    del flat
+    vectors, found, at = Vectors(terms, words, np.bincount(numbers, minlength=len(words)), len(ids)), [], 0
+    for size, n, marks, m in rest:
+        own = np.concatenate([np.frombuffer(marks, "<i4"), numbers[at : at + size] + np.int32(len(terms))])
+        counts = np.concatenate([np.frombuffer(m, "<i4"), np.frombuffer(n, "<i4")]).astype(float)
         found.append(vectors.unit(own, counts, np.zeros(0)) if size else None)
         at += size
-    model = Model(vectors, [r["id"] for r in got], found, np.array([r["label"] for r in got], np.int64))
-    del got, flat, numbers, found  # the index holds it all
+    del rest, numbers
+    model = Model(vectors, ids, found, labelled)
+    del found  # the index holds it all
     # each example's vote by the others, in tasks, since it costs what scoring as many texts does
     spark, n = df.sparkSession, len(model.holds)
-    shared = spark.sparkContext.broadcast(model)
+    # sent once: what is fitted on the votes goes with the scoring function
+    shared = model.shared = spark.sparkContext.broadcast(model)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,10 +385,10 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     A null or empty text has no word. Equal texts have equal scores. Null ids are
     passed through. No rows: no rows.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, fitted = model.shared or df.sparkSession.sparkContext.broadcast(model), model.fitted
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = shared.value.scores(text.strings(batch, "text"))
+        got = shared.value.scores(text.strings(batch, "text"), *fitted)
         return text.record(id=batch.column("id"), score=pa.array([s for s, _ in got], pa.float64()), evidence=pa.array([e for _, e in got], pa.list_(pa.int64())))
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
