@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duotide.llm import automaton, hnsw, lattice, packing, quality, rules, secrets, simhash, template, text, toxicity
+from duotide.llm import automaton, hnsw, lattice, lines, packing, quality, rules, secrets, simhash, spelling, template, text, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,11 +79,42 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (text.remainder("doc_id", 5) == 0).alias("held_out"), "evidence", "host_prior", "path_prior", "score", (F.col("score") >= 0.5).alias("kept"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(text.table(spark, sf_dir, "documents"))
+
+
+def op12_whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that no long holds is null; it stays exact in the operator's decimal."""
+    found = whitening.whiten(text.table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_shared_lines(text.table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nearest_toxic, op2_quality_rules, op3_simhash, op4_lattice_lm, op5_curve_packing, op6_template_text, op7_vector_links, op8_bpe_automaton, op9_secret_scan, op10_site_quality, pipeline)}
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL}
+_OPERATORS = (
+    op1_nearest_toxic,
+    op2_quality_rules,
+    op3_simhash,
+    op4_lattice_lm,
+    op5_curve_packing,
+    op6_template_text,
+    op7_vector_links,
+    op8_bpe_automaton,
+    op9_secret_scan,
+    op10_site_quality,
+    op11_spelling_variants,
+    op12_whitened_vectors,
+    op13_line_dedup,
+    pipeline,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _OPERATORS}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op13_line_dedup": lines.lines_sql()}
