@@ -15,6 +15,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duotide import scratch
+
 BLANKS = " \t\n\x0b\x0c\r"
 #: Code points of a key and documents holding it from which its lines are dropped.
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -52,7 +54,8 @@ def drop_shared_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = keyed.select("id", "t1", "t2", "at", k1.alias("k1"), k2.alias("k2"))
     held = lines.select("k1", "k2", "id").distinct().groupBy("k1", "k2").agg(F.count("*").alias("docs"), F.max("id").alias("last"))
     shared = held.where(F.col("docs") >= min_docs).select("k1", "k2", "last")
-    # no hint: the planner broadcasts ``shared`` while it is small and splits hot keys of the join where it is not
+    # as a table of its own its size is known: it is broadcast while small, else hot keys of a plain shuffle join are split
+    shared = scratch.materialise(shared, "shared_lines")
     lost = lines.join(shared, ["k1", "k2"]).where(~F.col("id").eqNullSafe(F.col("last")))
     lost = lost.groupBy("id", "t1", "t2").agg(F.array_sort(F.collect_set("at")).alias("lost"))
     lost = lost.select(F.col("id").alias("of"), F.col("t1").alias("u1"), F.col("t2").alias("u2"), "lost")
