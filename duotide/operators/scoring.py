@@ -64,14 +64,16 @@ def score_by_series(
     spread: Sequence[str],
     by: Sequence[str] = (SERIES,),
     out: str = "prediction",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows with the prediction of their own series' ``var`` model.
+    """Rows with the prediction of their own series' ``var`` model, and its ``keep`` columns.
 
     ``models`` has one row per series; ``n``, its training rows, tells which
-    series are large and must be spread over several tasks.
+    series are large and must be spread over several tasks. Rows of a series without
+    a model stay, with no prediction.
     """
-    known = models.select(*by, F.col("weights").alias("_weights"), "n")
-    rows = skew.join_group_stats(df, known, by, spread).drop("n")
+    known = models.select(*by, F.col("weights").alias("_weights"), "n", *keep)
+    rows = skew.join_group_stats(df, known, by, spread, how="left").drop("n")
     return rows.withColumn(out, var_prediction(features, F.col("_weights"))).drop("_weights")
 
 

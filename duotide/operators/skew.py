@@ -21,8 +21,9 @@ def join_group_stats(
     weight: str = "n",
     parts: int = 512,
     broadcast_groups: int = BROADCAST_GROUPS,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner equi-join of ``rows`` with ``stats`` (one row per key); a NULL key is a key like any other.
+    """Equi-join of ``rows`` with ``stats`` (one row per key), inner or left; a NULL key is a key like any other.
 
     ``weight`` is the number of rows in each group. Few groups are broadcast
     after counting them. Otherwise groups with more than 1/``parts`` of all rows
@@ -33,10 +34,10 @@ def join_group_stats(
     stats = scratch.materialise(stats, "group-stats")
     groups, total, largest = stats.agg(F.count("*"), F.sum(weight), F.max(weight)).first()
     if groups <= broadcast_groups:
-        return on_keys(rows, F.broadcast(stats), keys)
+        return on_keys(rows, F.broadcast(stats), keys, how)
     share = max(total // parts, 1)
     if largest <= share:
-        return on_keys(rows, stats, keys)
+        return on_keys(rows, stats, keys, how)
     hot = stats.where(F.col(weight) > share).select(*keys, F.ceil(F.col(weight) / share).cast("int").alias("_copies"))
     salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_copies")).cast("int"), F.lit(0))
     dealt = on_keys(rows, F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_copies")
@@ -45,7 +46,7 @@ def join_group_stats(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)))
         .drop("_copies")
     )
-    return on_keys(dealt, copies, [*keys, "_salt"]).drop("_salt")
+    return on_keys(dealt, copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

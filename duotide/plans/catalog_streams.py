@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 
 from duotide import scratch
 from duotide.functions import codec
-from duotide.operators import dedup, features, registry
+from duotide.operators import features, metrics, registry
 from duotide.plans import frames
 from duotide.plans.catalog import query
 from duotide.plans.catalog_features import lag_oracle
-from duotide.plans.oracle import BATCH, PREDICTED, RECORDS, SPEED, half_up, lags, with_
+from duotide.plans.catalog_layers import _window
+from duotide.plans.oracle import BATCH, BOTH_LAYERS, LAGGED, PREDICTED, RAW_PREDICTIONS, RECORDS, SHOWN, SPEED, half_up, lags, with_
 from duotide.schemas import KPI_FIELDS, LABEL, PREDICTION_FIELDS, RECORD_SCHEMA, SENSORS, SERIES, SPEED_WEIGHT, TIME
 from duotide.sources import readers
-from duotide.streaming import queries
+from duotide.streaming import queries, state
 
 PARTS = 3
 _LOW, _HIGH = (f"(SELECT {f}(year(l_shipdate)) FROM lineitem)" for f in ("min", "max"))
@@ -35,7 +36,7 @@ PART_SQL = part_sql("{t}")
 ORDER_SQL = 'Date_time, "offset"'
 
 
-def _stream_session(spark):
+def _stream_session(spark, flush: bool = False):
     """A session for streams with no more state partitions than the cluster has cores for.
 
     The count is fixed when a streaming query first starts, so it is a choice
@@ -45,9 +46,9 @@ def _stream_session(spark):
     session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
     session.conf.set("spark.sql.shuffle.partitions", min(usual, 2 * spark.sparkContext.defaultParallelism))
-    # batches without data would only clean up state that the next part needs anyway
-    session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    return session
+    # batches without data only clean up state, unless what they ``flush`` is the result
+    session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(flush).lower())
+    return state.enable(session)
 
 
 def _part(spark, sf_dir, time: str, parts: int = PARTS) -> Column:
@@ -59,12 +60,14 @@ def _part(spark, sf_dir, time: str, parts: int = PARTS) -> Column:
     return F.coalesce(F.floor((F.year(time) - low) * parts / (high - low + 1)).cast("int"), F.lit(0))
 
 
-def _feed(spark, part: Column, rows: DataFrame, to_records: Callable, run: Callable, parts: int = PARTS) -> None:
-    """Write each part in turn and let ``run`` take it from the stream."""
+def _feed(
+    spark, part: Column, rows: DataFrame, to_records: Callable, run: Callable, parts: int = PARTS, closing: DataFrame | None = None
+) -> None:
+    """Write each part in turn and let ``run`` take it from the stream; ``closing`` rows come last and let the rest be sent."""
     rows = scratch.materialise(rows.withColumn("_part", part), "feed")
-    source, streams = scratch.new_dir(spark, "source"), _stream_session(spark)
-    for n in range(parts):
-        records = to_records(rows.where(F.col("_part") == n).drop("_part"))
+    source, streams = scratch.new_dir(spark, "source"), _stream_session(spark, flush=closing is not None)
+    for n in range(parts + (closing is not None)):
+        records = to_records(closing if n == parts else rows.where(F.col("_part") == n).drop("_part"))
         records.select(*RECORD_SCHEMA.names).write.mode("append").parquet(source)
         run(readers.record_stream(streams, source))
 
@@ -87,6 +90,13 @@ def _prediction_records(rows: DataFrame) -> DataFrame:
     )
 
 
+def _append(stream: DataFrame, out: str, checkpoint: str):
+    """Run a streaming DataFrame over what is there now and add its rows to a folder of files."""
+    query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    return query
+
+
 def _naive(df: DataFrame, time: str) -> DataFrame:
     return df.withColumn(time, F.col(time).cast("timestamp_ntz"))
 
@@ -94,14 +104,9 @@ def _naive(df: DataFrame, time: str) -> DataFrame:
 @query(lag_oracle(RECORDS, "PARTITION BY series_key", ORDER_SQL))
 def stream_carried_lags(spark, sf_dir):
     """Lags that go on over micro-batches equal the lags of the whole table."""
-    out, state, checkpoint = (scratch.new_dir(spark, n) for n in ("lags", "state", "checkpoint"))
-
-    def write(rows, epoch_id):
-        rows.write.mode("overwrite").parquet(f"{out}/epoch_id={epoch_id}")
-
-    on_batch = queries.carried_lags(state, write)
-    _sensor_feed(spark, sf_dir, lambda stream: queries.run_query(stream, on_batch, checkpoint))
-    rows = spark.read.parquet(f"{out}/epoch_id=*").where("const = 1")
+    out, checkpoint = (scratch.new_dir(spark, n) for n in ("lags", "checkpoint"))
+    _sensor_feed(spark, sf_dir, lambda stream: _append(state.lag_stream(queries.sensor_rows(stream)), out, checkpoint))
+    rows = spark.read.parquet(out).where("const = 1")
     return _naive(rows, TIME).select(*frames.sensor_columns(), *features.lag_names(2))
 
 
@@ -129,18 +134,10 @@ def stream_scoring(spark, sf_dir):
     return rows.select(epoch, SERIES, "offset", *PREDICTION_FIELDS[:6], "model_version")
 
 
-HYBRID_PARTS = f"""once AS MATERIALIZED (
-  SELECT *, {PART_SQL.format(t='TS')} AS part FROM pred
-  QUALIFY row_number() OVER (PARTITION BY topic, series_key, TS ORDER BY "offset") = 1),
+HYBRID_PARTS = BOTH_LAYERS.format(source="pred") + f""",
 matched AS (
-  SELECT sp.part AS epoch_id, sp.series_key, sp.TS, {half_up('sp.Temp', 3)} AS RT_Temp,
-    {half_up('sp.Temp_Predict', 3)} AS Speed_RT_Temp, {half_up('bt.Temp_Predict', 3)} AS Batch_RT_Temp,
-    {half_up(f'({SPEED} * sp.Temp_Predict + {BATCH} * bt.Temp_Predict)', 3)} AS Wt_Temp,
-    {half_up('sp.RMSE_Score', 3)} AS Speed_RMSE, {half_up('bt.RMSE_Score', 3)} AS Batch_RMSE,
-    {half_up('sp.MAE_Score', 3)} AS Speed_MAE, {half_up('bt.MAE_Score', 3)} AS Batch_MAE,
-    sp.Latency AS Speed_Latency, bt.Latency AS Batch_Latency
-  FROM (SELECT * FROM once WHERE topic = 'speed') sp
-  JOIN (SELECT * FROM once WHERE topic = 'batch') bt ON sp.series_key = bt.series_key AND sp.TS = bt.TS)"""
+  SELECT {PART_SQL.format(t='TS')} AS epoch_id, series_key, TS, sp_Latency AS Speed_Latency, bt_Latency AS Batch_Latency, {SHOWN}
+  FROM pairs)"""
 
 
 def _hybrid_epochs(spark, sf_dir):
@@ -198,25 +195,119 @@ def kpi_fields(messages: DataFrame) -> DataFrame:
     return back.select(*KPI_FIELDS[:2], *numbers)
 
 
+# Some rows come a part late: one in five by up to 8 days, one in seven by up to 60. The watermark waits 10 days.
+DELAY_DAYS, LATE = 10, {"% 7 = 3": 60, "% 5 = 1": 8}
+
+
+def _late_part(spark, sf_dir) -> Column:
+    part = lambda days: _part(spark, sf_dir, F.col("TS") + F.expr(f"INTERVAL {days} DAYS"))
+    by = [F.when(F.expr(f"offset {rest}"), part(days)) for rest, days in LATE.items()]
+    return F.least(F.coalesce(*by, part(0)), F.lit(PARTS - 1))
+
+
+LATE_SQL = f"""fed AS MATERIALIZED (SELECT *, least({PARTS - 1}, CASE {' '.join(
+    f'WHEN "offset" {rest} THEN ' + part_sql(f'(TS + INTERVAL {days} DAY)') for rest, days in LATE.items())}
+    ELSE {part_sql('TS')} END) AS part FROM {{source}}),
+parts AS (SELECT part, max(TS) AS newest FROM fed GROUP BY 1),
+marks AS (SELECT p.part, max(q.newest) - INTERVAL {DELAY_DAYS} DAY AS watermark FROM parts p JOIN parts q ON q.part < p.part GROUP BY 1)"""
+
+
+def _closing(spark, topics=("speed",)) -> DataFrame:
+    """A record far in the future, which lets the watermark pass all others."""
+    fields = ", ".join(f"CAST(0 AS DOUBLE) AS {c}" for c in PREDICTION_FIELDS[1:])
+    return spark.sql(f"SELECT 'END' AS {SERIES}, '{topics[0]}' AS topic, -1L AS offset, TIMESTAMP '2200-01-01 00:00:00' AS TS, {fields}")
+
+
 @query(
-    with_(*PREDICTED, HYBRID_PARTS)
-    + "SELECT series_key, TS, RT_Temp, Speed_RT_Temp, Batch_RT_Temp, Wt_Temp, Speed_RMSE FROM matched"
+    with_(
+        *PREDICTED,
+        LATE_SQL.format(source="pred"),
+        "kept AS (SELECT fed.* FROM fed LEFT JOIN marks USING (part) WHERE watermark IS NULL OR TS > watermark)",
+        BOTH_LAYERS.format(source="kept"),
+    )
+    + f"SELECT series_key, TS, {SHOWN} FROM pairs"
 )
 def stream_hybrid_join(spark, sf_dir):
-    """The layers matched by a stream-stream join: speed predictions arrive first, batch ones a run later."""
-    out, source, checkpoint = (scratch.new_dir(spark, n) for n in ("joined", "source", "checkpoint"))
-    once = dedup.by_time(frames.predictions(spark, sf_dir), keys=(SERIES, "topic", "TS"))
-    rows, streams = scratch.materialise(once, "feed"), _stream_session(spark)
-    for topic in ("speed", "batch"):
-        _prediction_records(rows.where(F.col("topic") == topic)).write.mode("append").parquet(source)
-        stream = readers.record_stream(streams, source)
-        joined = queries.hybrid_join_stream(stream, "speed", "batch", delay="3650 days")
-        writer = joined.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-        writer.trigger(availableNow=True).start(out).awaitTermination()
-    shown = ["TS", "RT_Temp", "Speed_RT_Temp", "Batch_RT_Temp", "Wt_Temp", "Speed_RMSE"]
+    """The layers matched across micro-batches: copies of one time come in different ones, some after the watermark."""
+    out, checkpoint = scratch.new_dir(spark, "joined"), scratch.new_dir(spark, "checkpoint")
+
+    def run(stream):
+        joined = queries.hybrid_match_stream(stream, "speed", "batch", f"{DELAY_DAYS} days", span=365 * 86400)
+        _append(joined, out, checkpoint)
+
+    _feed(spark, _late_part(spark, sf_dir), frames.predictions(spark, sf_dir), _prediction_records, run, closing=_closing(spark))
+    shown = ["TS", "RT_Temp", "Speed_RT_Temp", "Batch_RT_Temp", "Wt_Temp", "Speed_RMSE", "Batch_RMSE", "Speed_MAE", "Batch_MAE"]
     return _naive(spark.read.parquet(out), "TS").select(SERIES, *shown)
 
 
+WINDOW_DAYS = 28
+
+
+@query(
+    with_(
+        RECORDS,
+        LAGGED,
+        RAW_PREDICTIONS,
+        LATE_SQL.format(source="raw"),
+        f"windows AS (SELECT *, {_window('TS', WINDOW_DAYS * 86400)} AS window_start FROM fed)",
+        f"""kept AS (SELECT w.* FROM windows w LEFT JOIN marks USING (part)
+  WHERE watermark IS NULL OR window_start + INTERVAL {WINDOW_DAYS} DAY > watermark)""",
+    )
+    + """SELECT topic, window_start, count(*) AS n, round(sqrt(avg((Temp_Predict - Temp) ** 2)), 6) AS rmse,
+  round(avg((Temp_Predict - Temp) ** 2), 6) AS mse, round(avg(abs(Temp_Predict - Temp)), 6) AS mae,
+  (SELECT count(*) FROM fed) - (SELECT count(*) FROM kept) AS late FROM kept GROUP BY 1, 2"""
+)
+def stream_windowed_metrics(spark, sf_dir):
+    """Errors of event-time windows sent as the watermark passes them, and how many rows came too late for theirs."""
+    out, checkpoint, seen = scratch.new_dir(spark, "windows"), scratch.new_dir(spark, "checkpoint"), []
+
+    def run(stream):
+        rows = queries.prediction_rows(stream)
+        windows = state.windowed_metrics(rows, "TS", "Temp", "Temp_Predict", f"{WINDOW_DAYS} days", ["topic"], f"{DELAY_DAYS} days")
+        query = _append(windows, out, checkpoint)
+        seen.extend(p["observedMetrics"]["rows"]["seen"] for p in query.recentProgress if p["observedMetrics"])
+
+    rows = frames.raw_predictions(spark, sf_dir).withColumns({c: F.lit(0.0) for c in PREDICTION_FIELDS[3:]})
+    _feed(spark, _late_part(spark, sf_dir), rows, _prediction_records, run, closing=_closing(spark))
+    windows = _naive(spark.read.parquet(out), "window_start")
+    sent = windows.agg(F.sum("n")).first()[0] or 0  # one row
+    scores = [F.round(c, 6).alias(c) for c in ("rmse", "mse", "mae")]
+    return windows.select("topic", "window_start", "n", *scores, F.lit(sum(seen) - 1 - sent).cast("bigint").alias("late"))
+
+
+RECENT = 2
+
+
+@query(
+    with_(
+        RECORDS,
+        LAGGED,
+        f"e AS MATERIALIZED (SELECT *, {PART_SQL.format(t='Date_time')} AS part FROM lagged WHERE nth > 1)",
+        "had AS (SELECT DISTINCT series_key, part FROM e)",
+    )
+    + f"""SELECT series_key, a.part, count(*) AS n, round(regr_intercept(Ot_avg, l1), 6) AS w0, round(regr_slope(Ot_avg, l1), 6) AS w1,
+  round(sqrt(greatest(0, regr_syy(Ot_avg, l1) - regr_slope(Ot_avg, l1) * regr_sxy(Ot_avg, l1)) / count(*)), 6) AS rmse,
+  count(*) FILTER (WHERE e.part > a.part - {RECENT}) AS recent_n,
+  round(regr_intercept(Ot_avg, l1) FILTER (WHERE e.part > a.part - {RECENT}), 6) AS recent_w0,
+  round(regr_slope(Ot_avg, l1) FILTER (WHERE e.part > a.part - {RECENT}), 6) AS recent_w1
+FROM had a JOIN e USING (series_key) WHERE e.part <= a.part GROUP BY 1, 2"""
+)
+def stream_incremental_var(spark, sf_dir):
+    """Least squares that goes on over micro-batches: over all rows seen, and over the last two parts."""
+    out, checkpoint = scratch.new_dir(spark, "models"), scratch.new_dir(spark, "checkpoint")
+    part = _part(spark, sf_dir, TIME)
+
+    def run(stream):
+        lagged = state.lag_stream(queries.sensor_rows(stream), 1, [LABEL]).where("const = 1").withColumn("part", part)
+        _append(state.incremental_var(lagged, features.lag_names(1, [LABEL]), "part", keep=RECENT), out, checkpoint)
+
+    _sensor_feed(spark, sf_dir, run)
+    rows = spark.read.parquet(out)
+    weights = [F.round(F.get(f"{p}weights", i), 6).alias(f"{p}w{i}") for p in ("", "recent_") for i in range(2)]
+    counts = [F.col(c).cast("bigint").alias(c) for c in ("n", "recent_n")]
+    return rows.select(SERIES, F.col("part").cast("bigint").alias("part"), *counts, F.round("rmse", 6).alias("rmse"), *weights)
+
+
 @query(
     with_(
         RECORDS,
@@ -305,21 +396,16 @@ UNION ALL SELECT series_key, "offset", late, 0, CAST(0 AS DOUBLE) FROM r WHERE l
 )
 def stream_late_rows(spark, sf_dir):
     """Rows dealt over the parts whatever their time: those older than what was seen are flagged."""
-    out, state, checkpoint = (scratch.new_dir(spark, n) for n in ("lags", "state", "checkpoint"))
-
-    def write(rows, epoch_id):
-        rows.write.mode("overwrite").parquet(f"{out}/epoch_id={epoch_id}")
-
-    on_batch = queries.carried_lags(state, write, cols=[LABEL])
+    out, checkpoint = (scratch.new_dir(spark, n) for n in ("lags", "checkpoint"))
     rows = frames.records(spark, sf_dir)
     _feed(
         spark,
         (F.col("offset") % 3).cast("int"),
         rows,
         lambda rows: frames.topic_records(rows, "source"),
-        lambda stream: queries.run_query(stream, on_batch, checkpoint),
+        lambda stream: _append(state.lag_stream(queries.sensor_rows(stream), cols=[LABEL]), out, checkpoint),
     )
-    rows = spark.read.parquet(f"{out}/epoch_id=*")
+    rows = spark.read.parquet(out)
     return rows.select(SERIES, "offset", "late", "const", F.col(f"{LABEL}t-1").alias("l1"))
 
 
@@ -378,3 +464,42 @@ def stream_two_layer(spark, sf_dir):
     used = learnt.select((F.col("epoch_id") + 1).cast("string").alias("Epoch_Id"), F.round("speed_weight", 4).alias("speed_weight"))
     rounded = messages.withColumns({c: F.round(c, 2) for c in ("Wt_RMSE", "Wt_MAE")})
     return rounded.join(used, "Epoch_Id", "left").withColumn("speed_weight", F.coalesce("speed_weight", F.lit(SPEED_WEIGHT)))
+
+
+OWN_CHAIN = [
+    *CHAIN[:3],
+    """models AS MATERIALIZED (SELECT part, series_key, regr_intercept(Ot_avg, l1) AS b, coalesce(regr_slope(Ot_avg, l1), 0) AS a,
+    avg(Ot_avg) AS m FROM e GROUP BY 1, 2)""",
+    """scored AS MATERIALIZED (SELECT e.part, e.series_key, Date_time, "offset", Ot_avg, coalesce(m.b, m.m) + m.a * l1 AS s,
+    coalesce(h.b, h.m) + h.a * l1 AS f
+  FROM e ASOF JOIN models m ON m.series_key = e.series_key AND m.part < e.part
+  LEFT JOIN models h ON h.series_key = e.series_key AND h.part = 0 AND e.part > 0)""",
+]
+
+
+@query(
+    with_(*OWN_CHAIN)
+    + """SELECT part AS epoch_id, topic, count(*) AS n, round(sqrt(avg((p - Ot_avg) ** 2)), 6) AS rmse, round(avg(abs(p - Ot_avg)), 6) AS mae
+FROM (SELECT part, 'speed' AS topic, s AS p, Ot_avg FROM scored UNION ALL SELECT part, 'batch', f, Ot_avg FROM scored)
+WHERE p IS NOT NULL GROUP BY 1, 2"""
+)
+def stream_two_layer_by_series(spark, sf_dir):
+    """The chain with a model per series: each epoch scores with the newest models of the epochs before it."""
+    registry_path, sent, rows_path, kpi_path, weights, checkpoint = (
+        scratch.new_dir(spark, n) for n in ("registry", "predictions", "hybrid", "kpi", "weights", "checkpoint")
+    )
+    on_batch = queries.two_layer(registry_path, sent, rows_path, {"path": kpi_path}, weights, 1, [LABEL], CLOCK, by=[SERIES])
+    rows = frames.records(spark, sf_dir)
+    _feed(
+        spark,
+        _part(spark, sf_dir, TIME, CHAIN_PARTS),
+        rows,
+        lambda rows: frames.topic_records(rows, "source"),
+        lambda stream: queries.run_query(stream, on_batch, checkpoint),
+        CHAIN_PARTS,
+    )
+    both = spark.read.parquet(f"{sent}/speed").unionByName(spark.read.parquet(f"{sent}/batch"))
+    found = codec.decode_prediction(both, ("topic", "epoch_id"))
+    scores = metrics.regression_metrics(found, "Temp", "Temp_Predict", ["epoch_id", "topic"])
+    rounded = [F.round(c, 6).alias(c) for c in ("rmse", "mae")]
+    return scores.select(F.col("epoch_id").cast("bigint").alias("epoch_id"), "topic", "n", *rounded)

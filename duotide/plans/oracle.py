@@ -90,29 +90,43 @@ def settle(sql: str) -> str:
     return "".join(out) + sql[at:]
 
 
-# One layer's first record per series and time, then the two layers side by side.
-MATCHED = """once AS MATERIALIZED (
-  SELECT * FROM pred QUALIFY row_number() OVER (PARTITION BY topic, series_key, TS ORDER BY "offset") = 1),
-matched AS (
-  SELECT sp.series_key, sp.TS, sp.epoch_id,
-    sp.Latency AS Speed_Latency, bt.Latency AS Batch_Latency,
-    sp.Latency_Start AS Speed_Latency_Start, bt.Latency_Start AS Batch_Latency_Start,
-    sp.Latency_End AS Speed_Latency_End, bt.Latency_End AS Batch_Latency_End,
-    """ + ", ".join(
+def first_of(layer: str, value: str) -> str:
+    """A layer's value in its record with the lowest offset, within one series and time."""
+    return f"""arg_min({value}, "offset") FILTER (WHERE topic = '{layer}')"""
+
+
+# The two layers side by side: one group per series and time, no join.
+BOTH_LAYERS = """pairs AS MATERIALIZED (
+  SELECT series_key, TS, min(epoch_id) AS epoch_id, """ + ", ".join(
+    f"{first_of(layer, value)} AS {prefix}_{value}"
+    for layer, prefix in (("speed", "sp"), ("batch", "bt"))
+    for value in ("Temp", "Temp_Predict", "RMSE_Score", "MAE_Score", "Latency", "Latency_Start", "Latency_End")
+) + """
+  FROM {source} GROUP BY series_key, TS HAVING bool_or(topic = 'speed') AND bool_or(topic = 'batch'))"""
+
+SHOWN = ", ".join(
     f"{half_up(value, 3)} AS {name}"
     for name, value in {
-        "RT_Temp": "sp.Temp",
-        "Speed_RT_Temp": "sp.Temp_Predict",
-        "Batch_RT_Temp": "bt.Temp_Predict",
-        "Wt_Temp": f"({SPEED} * sp.Temp_Predict + {BATCH} * bt.Temp_Predict)",
-        "Speed_RMSE": "sp.RMSE_Score",
-        "Batch_RMSE": "bt.RMSE_Score",
-        "Speed_MAE": "sp.MAE_Score",
-        "Batch_MAE": "bt.MAE_Score",
+        "RT_Temp": "sp_Temp",
+        "Speed_RT_Temp": "sp_Temp_Predict",
+        "Batch_RT_Temp": "bt_Temp_Predict",
+        "Wt_Temp": f"({SPEED} * sp_Temp_Predict + {BATCH} * bt_Temp_Predict)",
+        "Speed_RMSE": "sp_RMSE_Score",
+        "Batch_RMSE": "bt_RMSE_Score",
+        "Speed_MAE": "sp_MAE_Score",
+        "Batch_MAE": "bt_MAE_Score",
     }.items()
-) + """
-  FROM (SELECT * FROM once WHERE topic = 'speed') sp
-  JOIN (SELECT * FROM once WHERE topic = 'batch') bt ON sp.series_key = bt.series_key AND sp.TS = bt.TS)"""
+)
+
+MATCHED = BOTH_LAYERS.format(source="pred") + """,
+matched AS (
+  SELECT series_key, TS, epoch_id, """ + ", ".join(
+    f"{prefix}_{stamp} AS {layer}_{stamp}"
+    for stamp in ("Latency", "Latency_Start", "Latency_End")
+    for layer, prefix in (("Speed", "sp"), ("Batch", "bt"))
+) + f""",
+    {SHOWN}
+  FROM pairs)"""
 
 PREDICTED = [RECORDS, LAGGED, RAW_PREDICTIONS, PREDICTIONS]
 

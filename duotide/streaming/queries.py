@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Callable, Sequence
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from duotide.operators import ensemble, features, metrics, model, registry, scor
 from duotide.plans import kpi
 from duotide.schemas import BATCH_WEIGHT, HYBRID_FIELDS, LABEL, PREDICTION_FIELDS, SENSORS, SERIES, SPEED_WEIGHT, TIME
 from duotide.sources import sinks
+from duotide.streaming import state
 
 OnBatch = Callable[[DataFrame, int], None]
 WEIGHTS_SCHEMA = "speed_weight double, batch_weight double, n long, epoch_id long"
@@ -65,7 +67,7 @@ def prediction_rows(records: DataFrame, on_error: str = "drop") -> DataFrame:
 
 def scoring_layer(
     layer: str,
-    weights_of: Callable[[], tuple[str, Sequence[float]]],
+    weights_of: Callable[[], tuple[str, Sequence[float]]] | None,
     target: dict,
     p: int = 2,
     kind: str = "var",
@@ -73,6 +75,7 @@ def scoring_layer(
     on_error: str = "null",
     counts: str | None = None,
     cols: Sequence[str] = SENSORS,
+    models_of: Callable[[int], DataFrame | None] | None = None,
     **layout,
 ) -> OnBatch:
     """Score each micro-batch with the model current at its start.
@@ -81,7 +84,11 @@ def scoring_layer(
     is called once per micro-batch, so all its rows carry predictions of one model.
     History starts anew in every batch; see :func:`carried_lags` for the alternative.
     A row that is damaged, or whose history is, has no prediction and is not sent;
-    ``counts`` names a folder for how many records came, were damaged and were scored.
+    ``counts`` names a folder for how many records came, were damaged and were scored,
+    and how many had a history but no model.
+
+    ``models_of`` takes the place of ``weights_of`` for a ``var`` model per series: the
+    registry rows for an epoch, as :func:`registry.snapshot` gives them.
     """
 
     @_tidy
@@ -89,28 +96,32 @@ def scoring_layer(
         start = clock()
         # decoded once: the lags, the count and the scores all read the same rows
         rows = sensor_rows(records, on_error).persist()
-        current = weights_of()
+        current = models_of(epoch_id) if models_of else weights_of()
         if current is None or rows.isEmpty():
             rows.unpersist()
             return
-        version, weights = current
         names = features.lag_names(p, cols)
         lagged = features.add_lags(rows, p, cols, order=(TIME, "offset"), **layout)
-        scored = scoring.score(lagged, names, weights, kind, out="Temp_Predict")
-        scored = scored.where(F.col("Temp_Predict").isNotNull() & F.col(LABEL).isNotNull() & F.col(TIME).isNotNull()).persist()
+        if models_of:
+            scored = scoring.score_by_series(lagged, names, current, ["offset"], out="Temp_Predict", keep=["model_version"])
+        else:
+            scored = scoring.score(lagged, names, current[1], kind, out="Temp_Predict").withColumn("model_version", F.lit(current[0]))
+        usable = [F.col(c).isNotNull() for c in (LABEL, TIME, *[f"`{n}`" for n in names])]
+        scored = scored.where(reduce(lambda a, b: a & b, usable)).persist()
         try:
             if counts:
                 damaged = F.count(F.when(F.greatest(*[F.col(c).isNull() for c in (TIME, *SENSORS)]), 1))
                 seen = rows.agg(F.count("*").alias("records"), damaged.alias("damaged"))
-                sinks.to_folder(seen.withColumn("scored", F.lit(scored.count())), counts, epoch_id)
+                done = scored.agg(F.count("Temp_Predict").alias("scored"), F.count_if(F.col("model_version").isNull()).alias("without_model")).first()
+                sinks.to_folder(seen.withColumns({k: F.lit(v) for k, v in done.asDict().items()}), counts, epoch_id)  # one row
             scores = metrics.regression_metrics(scored, LABEL, "Temp_Predict").first()  # one row
             if not scores["n"]:
                 return
-            rated = scored.select(
+            rated = scored.where(F.col("Temp_Predict").isNotNull()).select(
                 F.col(SERIES).alias("key"),
                 "offset",
                 F.lit(layer).alias("topic"),
-                F.lit(version).alias("model_version"),
+                "model_version",
                 F.col(TIME).alias("TS"),
                 F.col(LABEL).alias("Temp"),
                 "Temp_Predict",
@@ -203,8 +214,9 @@ def hybrid_join_stream(
 ) -> DataFrame:
     """Matched rows as a stream; the two layers may arrive in different micro-batches.
 
-    The watermark bounds how long an unmatched or duplicate time is remembered. Of
-    copies in one micro-batch any may survive; where that matters, send one of them.
+    A match is sent at once. The watermark bounds how long an unmatched or duplicate time
+    is remembered. Of copies in one micro-batch any may survive; where that matters, use
+    :func:`hybrid_match_stream`.
     """
     sides = []
     for topic, prefix in ((speed, "sp_"), (batch, "bt_")):
@@ -217,6 +229,30 @@ def hybrid_join_stream(
     return ensemble.project_hybrid(keyed, speed_weight, batch_weight, time="sp_TS")
 
 
+def hybrid_match_stream(
+    records: DataFrame,
+    speed: str,
+    batch: str,
+    delay: str = "10 minutes",
+    speed_weight: float = SPEED_WEIGHT,
+    batch_weight: float = BATCH_WEIGHT,
+    span: int = 3600,
+) -> DataFrame:
+    """Matched rows as a stream, with a defined survivor among copies.
+
+    The lowest offset of each layer, series and time counts, whenever it comes within
+    ``delay``; a match is sent once the watermark has passed its ``span`` of seconds (see
+    :func:`state.match_stream`). Every micro-batch observes, as ``predictions``, how many
+    records came and how many of them could not be read and so match nothing.
+    """
+    predictions = prediction_rows(records, on_error="null")
+    unreadable = F.count_if(F.greatest(*[F.col(c).isNull() for c in PREDICTION_FIELDS]))
+    predictions = predictions.observe("predictions", F.count(F.lit(1)).alias("records"), unreadable.alias("damaged"))
+    whole = predictions.dropna("any", subset=PREDICTION_FIELDS)
+    matched = state.match_stream(whole, speed, batch, PREDICTION_FIELDS[1:], delay, span)
+    return ensemble.project_hybrid(matched, speed_weight, batch_weight)
+
+
 def carried_lags(
     state: str,
     write: OnBatch,
@@ -291,7 +327,9 @@ def retraining(
         fitted = model.train(lagged, features.lag_names(p, cols), kind=kind, by=by, **options)
         low, high = str(span["low"]), str(span["high"])
         version = registry.version_name(*(s.replace(" ", "T").replace(":", "") for s in (low, high)))
-        registry.publish(fitted, registry_path, layer, kind, f"{version}-{epoch_id}", low, high)
+        version = f"{version}-{epoch_id}"
+        registry.publish(fitted, registry_path, layer, kind, version, low, high)
+        registry.commit(records.sparkSession, registry_path, version, epoch_id)
 
     return on_batch
 
@@ -309,6 +347,13 @@ def refreshed(spark: SparkSession, registry_path: str, layer: str) -> Callable[[
     return weights_of
 
 
+def _only(models_of: Callable[..., DataFrame | None], epoch_id: int) -> tuple[str, Sequence[float]] | None:
+    """Version and weights of the one model of a layer that is not kept per series."""
+    models = models_of(epoch_id)
+    row = models.first() if models is not None else None  # one row
+    return (row["model_version"], row["weights"]) if row else None
+
+
 def two_layer(
     registry_path: str,
     predictions: str,
@@ -318,12 +363,15 @@ def two_layer(
     p: int = 2,
     cols: Sequence[str] = SENSORS,
     clock: Callable[[], float] = time.time,
+    by: Sequence[str] = (),
 ) -> OnBatch:
     """The whole chain on each micro-batch of sensor records.
 
     Models are refreshed from the registry, both layers score, their predictions are
     matched and combined with the weights learnt so far, the KPI row is sent, and the
     batch retrains the speed model. The first batch stands for history and trains both.
+    There is one model a layer, or one ``by`` series. An epoch uses what epochs before
+    it published, so repeating it after it has published gives the same predictions.
     """
 
     def on_batch(records: DataFrame, epoch_id: int) -> None:
@@ -331,15 +379,17 @@ def two_layer(
         records = records.persist()  # read by both layers and the training
         try:
             for layer in ("speed", "batch"):
-                weights_of = refreshed(spark, f"{registry_path}/{layer}", layer)
-                scoring_layer(layer, weights_of, {"path": f"{predictions}/{layer}"}, p, clock=clock, cols=cols)(records, epoch_id)
+                own = functools.partial(registry.snapshot, spark, f"{registry_path}/{layer}", layer)
+                current = {"models_of": own} if by else {"weights_of": functools.partial(_only, own, epoch_id)}
+                target = {"path": f"{predictions}/{layer}"}
+                scoring_layer(layer, current.pop("weights_of", None), target, p, clock=clock, cols=cols, **current)(records, epoch_id)
             if epoch_id > 0:
                 sent = [spark.read.parquet(f"{predictions}/{layer}/epoch_id={epoch_id}") for layer in ("speed", "batch")]
                 hybrid_layer("speed", "batch", rows_path, kpi_target, format="parquet", clock=clock, weights_path=weights_path)(
                     sent[0].unionByName(sent[1]), epoch_id
                 )
             for layer in ("speed", "batch") if epoch_id == 0 else ("speed",):
-                retraining(f"{registry_path}/{layer}", layer, p=p, cols=cols)(records, epoch_id)
+                retraining(f"{registry_path}/{layer}", layer, p=p, cols=cols, by=by)(records, epoch_id)
         finally:
             records.unpersist()
 
