@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from duotide import scratch
 from duotide.functions.scalars import clip
@@ -186,6 +187,64 @@ def best_weights(
     )
 
 
+def best_weights_exact(
+    df: DataFrame,
+    label: str,
+    speed: str,
+    batch: str,
+    by: Sequence[str] = (),
+    start: float = 0.5,
+    bins: int = 256,
+) -> DataFrame:
+    """The speed weight in [0, 1] with the least absolute error, exactly; ``n`` rows it was learnt from.
+
+    With the gap ``d = speed - batch`` the error is the sum of ``|d| * |r - w|`` for
+    ``r = (label - batch) / d``, so the best weight is the median of ``r`` weighted by
+    ``|d|``, the smallest where several are as good. No group is sorted: weights are
+    summed in ``bins`` equal bins, the bin that holds the median is cut anew between the
+    smallest and largest value in it, and so on until all values in it are equal. Each
+    pass reads only the rows in such bins. Where the layers never differ, ``start`` stands.
+    Rows with a missing value are left out; a NULL key is a key like any other.
+    """
+    keys = list(by) or ["_all"]
+    df = df if by else df.withColumn("_all", F.lit(0))
+    gap = F.col(speed) - F.col(batch)
+    share = clip(F.try_divide(F.col(label) - F.col(batch), gap), 0.0, 1.0)
+    rows = df.where((gap != 0) & F.col(label).isNotNull()).select(*keys, F.abs(gap).alias("_w"), share.alias("_v"))
+    rows = scratch.materialise(rows, "shares")
+    counts = df.groupBy(*keys).agg(F.count(F.col(label) + gap).alias("n"))
+    edges = {"_lo": F.lit(0.0), "_hi": F.lit(1.0), "_below": F.lit(0.0), "_half": F.lit(None).cast("double")}
+    left, found = rows.withColumns(edges), None
+    order = Window.partitionBy(*keys).orderBy("_bin")  # at most ``bins`` rows of a group
+    whole = Window.partitionBy(*keys)
+    while True:
+        place = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
+        binned = left.groupBy(*keys, place.alias("_bin")).agg(
+            F.sum("_w").alias("_sum"),
+            F.min("_v").alias("_lo"),
+            F.max("_v").alias("_hi"),
+            F.count("*").alias("n"),
+            F.first("_below").alias("_below"),
+            F.first("_half").alias("_half"),
+        )
+        upto = F.col("_below") + F.sum("_sum").over(order)
+        half = F.coalesce("_half", F.sum("_sum").over(whole) / 2)
+        told = binned.select("*", upto.alias("_upto"), half.alias("_need"), F.max("_bin").over(whole).alias("_last"))
+        enough = (F.col("_upto") >= F.col("_need")) | (F.col("_bin") == F.col("_last"))
+        chosen = told.where(enough).groupBy(*keys).agg(F.min_by(F.struct("_lo", "_hi", "n", (F.col("_upto") - F.col("_sum")).alias("_below"), F.col("_need").alias("_half")), "_bin").alias("m"))
+        chosen = scratch.materialise(chosen.select(*keys, "m.*"), "median-bins")
+        done = chosen.where(F.col("_lo") == F.col("_hi")).select(*keys, F.col("_lo").alias("speed_weight"))
+        found = done if found is None else found.unionByName(done)
+        open_bins = chosen.where(F.col("_lo") < F.col("_hi"))
+        if open_bins.isEmpty():
+            break
+        inside = skew.join_group_stats(rows, open_bins, keys, ["_v", "_w"]).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        left = scratch.materialise(inside.drop("n"), "shares")
+        rows = left.select(*keys, "_w", "_v")
+    out = skew.on_keys(counts, found, keys, "left").withColumn("speed_weight", F.coalesce("speed_weight", F.lit(start)))
+    return out.select(*by, "speed_weight", (1 - F.col("speed_weight")).alias("batch_weight"), "n")
+
+
 def dynamic_weights(
     df: DataFrame,
     label: str,

@@ -170,6 +170,27 @@ def best_weights_mae_grid(spark, sf_dir):
     return best.withColumns({c: F.round(c, 6) for c in ("speed_weight", "batch_weight", "mae")})
 
 
+@query(
+    with_(
+        RECORDS,
+        LAGGED,
+        PAIRED,
+        """shares AS (SELECT series_key, least(1, greatest(0, (y - b) / (s - b))) AS v, sum(abs(s - b)) AS w FROM paired
+  WHERE s <> b GROUP BY 1, 2)""",
+        """summed AS (SELECT series_key, v, sum(w) OVER (PARTITION BY series_key ORDER BY v) AS upto,
+    sum(w) OVER (PARTITION BY series_key) AS total FROM shares)""",
+        "medians AS (SELECT series_key, min(v) AS share FROM summed WHERE upto >= total / 2 GROUP BY 1)",
+    )
+    + """SELECT series_key, round(coalesce(any_value(share), 0.5), 9) AS speed_weight,
+  round(1 - coalesce(any_value(share), 0.5), 9) AS batch_weight, count(*) AS n
+FROM paired LEFT JOIN medians USING (series_key) GROUP BY 1"""
+)
+def best_weights_mae_exact(spark, sf_dir):
+    """The weight of least absolute error as a weighted median, found by narrowing bins."""
+    best = ensemble.best_weights_exact(_paired(spark, sf_dir), "y", "s", "b", by=[SERIES])
+    return best.withColumns({c: F.round(c, 9) for c in ("speed_weight", "batch_weight")})
+
+
 DYNAMIC = [
     RECORDS,
     LAGGED,
