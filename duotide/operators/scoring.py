@@ -19,7 +19,7 @@ from duotide.schemas import SERIES
 
 def var_prediction(features: Sequence[str], weights: Sequence[float] | Column) -> Column:
     """Intercept plus weighted features as one native expression."""
-    at = (lambda i: F.get(weights, i)) if isinstance(weights, Column) else (lambda i: F.lit(float(weights[i])))
+    at = (lambda i: F.get(weights, i)) if isinstance(weights, Column) else (lambda i: F.lit(weights[i]).cast("double"))
     return reduce(add, [at(i + 1) * F.col(f"`{c}`") for i, c in enumerate(features)], at(0))
 
 

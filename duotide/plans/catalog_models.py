@@ -255,8 +255,6 @@ def latest_artifact(spark, sf_dir):
     return newest.select(F.regexp_extract("path", "version=([^/]+)/", 1).alias("model_version"))
 
 
-HISTORY_END = 330  # 30-day windows since 1970: history is what came before February 1997
-
 TWO_LAYER = [
     RECORDS,
     LAGGED,
@@ -264,9 +262,10 @@ TWO_LAYER = [
     date_diff('day', DATE '1970-01-01', CAST(Date_time AS DATE)) // 30 AS epoch_id FROM lagged WHERE nth > 1)""",
     "m AS (SELECT epoch_id, regr_slope(y, l1) AS a, regr_intercept(y, l1) AS b FROM e GROUP BY 1)",
     """fast AS (SELECT epoch_id, lag(a) OVER w AS a, lag(b) OVER w AS b FROM m WINDOW w AS (ORDER BY epoch_id))""",
-    f"slow AS (SELECT regr_slope(y, l1) AS a, regr_intercept(y, l1) AS b FROM e WHERE epoch_id <= {HISTORY_END})",
-    f"""scored AS (SELECT e.*, fast.b + fast.a * l1 AS s, slow.b + slow.a * l1 AS f
-  FROM e JOIN fast USING (epoch_id), slow WHERE epoch_id > {HISTORY_END} AND fast.a IS NOT NULL)""",
+    "history AS (SELECT min(epoch_id) + (max(epoch_id) - min(epoch_id)) // 3 AS last FROM e)",
+    "slow AS (SELECT regr_slope(y, l1) AS a, regr_intercept(y, l1) AS b FROM e, history WHERE epoch_id <= last)",
+    """scored AS (SELECT e.*, fast.b + fast.a * l1 AS s, slow.b + slow.a * l1 AS f
+  FROM e JOIN fast USING (epoch_id), slow, history WHERE epoch_id > last AND fast.a IS NOT NULL)""",
     """sums AS (SELECT epoch_id, sum((y - f) * (s - f)) AS num, sum((s - f) * (s - f)) AS den FROM scored GROUP BY 1)""",
     """shares AS (SELECT epoch_id, CASE WHEN lag(den) OVER w > 0
       THEN least(1, greatest(0, lag(num) OVER w / lag(den) OVER w)) ELSE 0.5 END AS share
@@ -284,7 +283,7 @@ FROM scored JOIN shares USING (epoch_id) GROUP BY 1"""
 def two_layer_forecast(spark, sf_dir):
     """Speed model per epoch, batch model of history, and their fixed and dynamic combinations."""
     rows = _label_lags(spark, sf_dir, 1).withColumn("epoch_id", frames.epoch_of(TIME))
-    scored = forecast.two_layer(rows, AR[:1], LABEL, "epoch_id", HISTORY_END, ["offset"])
+    scored = forecast.two_layer(rows, AR[:1], LABEL, "epoch_id", ["offset"])
     made = forecast.combined(scored, LABEL, TIME, f"{frames.EPOCH_DAYS} days", ["offset"])
     rated = forecast.errors(made, LABEL, ["epoch_id"])
     return rated.withColumns({c: F.round(c, 6) for c in rated.columns if c.endswith("_rmse")})

@@ -28,16 +28,21 @@ def two_layer(
     features: Sequence[str],
     label: str,
     epoch: str,
-    history_end: int,
     spread: Sequence[str],
+    history_end: int | None = None,
 ) -> DataFrame:
     """Rows after ``history_end`` with the predictions of both layers.
 
     ``batch`` comes from one model of all history, ``speed`` from a model of the
-    epoch just before the row's own.
+    epoch just before the row's own. History is the first third of the span of epochs
+    unless its end is given; without rows in it there is no ``batch`` prediction.
     """
     rows = scratch.materialise(df, "rows")  # read to train and to score
-    slow = model.fit_var(rows.where(F.col(epoch) <= history_end), features, label, ()).first()["weights"]  # one row
+    if history_end is None:
+        low, high = rows.agg(F.min(epoch), F.max(epoch)).first()  # one row
+        history_end = 0 if low is None else low + (high - low) // 3
+    history = model.fit_var(rows.where(F.col(epoch) <= history_end), features, label, ()).first()  # one row
+    slow = history["weights"] if history else [None] * (len(features) + 1)
     fast = speed_models(rows, features, label, epoch)
     recent = rows.where(F.col(epoch) > history_end).withColumn("batch", scoring.var_prediction(features, slow))
     known = fast.withColumnRenamed("weights", "_weights")
