@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from duotide import scratch
 from duotide.operators import ordering
 from duotide.schemas import LABEL, PREDICTION_FIELDS, SENSORS, TIME
 
@@ -99,7 +101,27 @@ def encode_columnar_json(
     A batch is cut into consecutive messages of ``rows_per_message`` rows, so no
     task ever holds more than that many rows of one message.
     """
-    placed = ordering.row_index(df, order, "_place", partitions)
+    return _messages(ordering.row_index(df, order, "_place", partitions), rows_per_message)
+
+
+def frame_columnar_json(df: DataFrame, rows_per_message: int = ROWS_PER_MESSAGE) -> DataFrame:
+    """The same messages for rows whose order over messages does not matter: no range shuffle, no sort.
+
+    The rows are written once and numbered by file and place in it, which stay as they
+    are however often a task is repeated. A message takes consecutive numbers, so all
+    but the last are full. Only whole messages move, built in tasks before the shuffle.
+    """
+    table = scratch.materialise(df, "rows")
+    place = table.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    counts = sorted(tuple(r) for r in place.groupBy("_file").count().collect())  # one row a written file
+    starts = [(f, at) for (f, _), at in zip(counts, [0, *accumulate(n for _, n in counts)])]
+    first = df.sparkSession.createDataFrame(starts, "_file string, _start long")
+    placed = place.join(F.broadcast(first), "_file").withColumn("_place", F.col("_start") + F.col("_row") + 1)
+    return _messages(placed, rows_per_message)
+
+
+def _messages(placed: DataFrame, rows_per_message: int) -> DataFrame:
+    """Messages of rows numbered from 1 as ``_place``."""
     place = F.col("_place") - 1
     numbered = placed.withColumn("message", F.floor(place / rows_per_message)).withColumn(
         "_at", F.pmod(place, F.lit(rows_per_message))

@@ -404,7 +404,7 @@ def publishing(archive: str, rows_per_message: int = codec.ROWS_PER_MESSAGE) ->
         rows = sensor_rows(records, on_error="null")
         if rows.isEmpty():
             return
-        messages = codec.encode_columnar_json(rows, (SERIES, TIME, "offset"), rows_per_message)
+        messages = codec.frame_columnar_json(rows, rows_per_message)
         sinks.to_folder(messages.select("value"), archive, epoch_id, "text")
 
     return on_batch

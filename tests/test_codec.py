@@ -96,3 +96,17 @@ def test_columnar_json_messages_are_bounded(spark):
     first = json.loads(next(m["value"] for m in messages if m["message"] == 0))
     assert list(first["Ot_avg"]) == [str(i) for i in range(100)]
     assert first["Ot_avg"]["7"] == 7.0
+
+
+def test_messages_without_a_total_order(spark):
+    cols = [F.when(F.col("id") % 5 > 0, F.col("id").cast("double")).alias(c) for c in SENSORS]
+    df = spark.range(0, 1003, 1, 7).select(F.timestamp_seconds(F.col("id") % 9).alias("Date_time"), *cols)
+    df = df.unionByName(df.limit(1))  # a repeated row
+    messages = codec.frame_columnar_json(df, rows_per_message=100)
+    sizes = [len(json.loads(m["value"])["Date_time"]) for m in messages.orderBy("message").collect()]
+    assert sizes == [100] * 10 + [4]
+    plan = messages._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and plan.count("Exchange hashpartitioning") <= 1
+    back = codec.decode_columnar_json(messages).select("Date_time", *SENSORS)
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    assert codec.frame_columnar_json(df.limit(0)).collect() == []
