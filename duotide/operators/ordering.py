@@ -203,26 +203,21 @@ def rank(
     if layout == "keyed":
         return df.withColumn(out, F.rank().over(Window.partitionBy(*keys).orderBy(order)))
     ranges = lay_out(df, [*keys, order, *tie], partitions)
-    value_run = _run_start(ranges, [*keys, order], "_value_run")
-    if not keys:
-        return _finish_rank(ranges, value_run, None, out)
-    return _finish_rank(ranges, value_run, _run_start(ranges, list(keys), "_key_run"), out)
+    runs = {"_value_run": [*keys, order], "_key_run": list(keys)} if keys else {"_value_run": [order]}
+    return _finish_rank(ranges, {name: (cols, _run_openings(ranges, cols, name)) for name, cols in runs.items()}, out)
+
 
+def _run_openings(ranges: Ranges, cols: list[str], name: str) -> DataFrame:
+    """For each range the index at which the run of equal ``cols`` that opens it began.
 
-def _run_start(ranges: Ranges, cols: list[str], name: str) -> tuple[Column, DataFrame, str]:
-    """Index of the first row of the run of equal ``cols`` each row belongs to."""
-    runs = ranges.table.groupBy(_RANGE, *cols).agg(F.min(_POS).alias("_first"))
+    Two scans with one row a range as their result: the first and last values, then
+    where the run of the last value begins.
+    """
     value = F.struct(*cols)
-    edges = {
-        r[_RANGE]: r
-        for r in runs.groupBy(_RANGE)
-        .agg(
-            F.min_by(value, "_first").alias("head"),
-            F.max_by(value, "_first").alias("tail"),
-            F.max("_first").alias("tail_pos"),
-        )
-        .collect()  # one row per range
-    }
+    ends = ranges.table.groupBy(_RANGE).agg(F.min_by(value, _POS).alias("_head"), F.max_by(value, _POS).alias("_tail"))
+    ends = scratch.materialise(ends, "range-ends")
+    last = ranges.table.join(F.broadcast(ends), _RANGE).where(value.eqNullSafe(F.col("_tail")))
+    edges = {r[_RANGE]: r for r in last.groupBy(_RANGE).agg(F.first("_head").alias("head"), F.first("_tail").alias("tail"), F.min(_POS).alias("tail_pos")).collect()}
     opening, carried, previous = [], 0, None
     for rng, start, _ in ranges.summary:
         edge = edges[rng]
@@ -230,22 +225,23 @@ def _run_start(ranges: Ranges, cols: list[str], name: str) -> tuple[Column, Data
         opening.append((rng, head_start))
         carried = head_start if edge["tail_pos"] == 0 else start + edge["tail_pos"]
         previous = edge["tail"]
-    opened = ranges.table.sparkSession.createDataFrame(opening, f"{_RANGE} int, {name}_open bigint")
-    local = F.min(_POS).over(Window.partitionBy(_RANGE, *cols))
-    return local, opened, name
-
-
-def _finish_rank(ranges, value_run, key_run, out) -> DataFrame:
-    rows = ranges.indexed()
-    for run in (value_run, key_run):
-        if run is None:
-            continue
-        local, opened, name = run
-        rows = rows.withColumn(f"{name}_local", local).join(F.broadcast(opened), _RANGE)
-        start = F.when(F.col(f"{name}_local") == 0, F.col(f"{name}_open")).otherwise(
-            F.col(_START) + F.col(f"{name}_local")
-        )
-        rows = rows.withColumn(name, start)
-    base = F.col("_key_run") if key_run is not None else F.lit(0)
+    return ranges.table.sparkSession.createDataFrame(opening, f"{_RANGE} int, {name}_open bigint")
+
+
+def _finish_rank(ranges: Ranges, runs: dict[str, tuple[list[str], DataFrame]], out: str) -> DataFrame:
+    """Ranks from the places where runs begin: all windows share one exchange, by range."""
+    rows, window = ranges.indexed(), Window.partitionBy(_RANGE).orderBy(_POS)
+    for _, opened in runs.values():
+        rows = rows.join(F.broadcast(opened), _RANGE)  # one row a range
+    begins = {}
+    for name, (cols, _) in runs.items():
+        value = F.struct(*cols)
+        begins[f"{name}_begins"] = ~value.eqNullSafe(F.lag(value, 1).over(window))
+    rows = rows.withColumns(begins)
+    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = {name: F.max(F.when(F.col(f"{name}_begins"), F.col(_POS))).over(upto) for name in runs}
+    rows = rows.withColumns(starts)
+    place = {name: F.when(F.col(name) == 0, F.col(f"{name}_open")).otherwise(F.col(_START) + F.col(name)) for name in runs}
+    base = place.get("_key_run", F.lit(0))
     original = [c for c in ranges.table.columns if c not in (_RANGE, _POS)]
-    return rows.select(*original, (F.col("_value_run") - base + 1).cast("int").alias(out))
+    return rows.select(*original, (place["_value_run"] - base + 1).cast("int").alias(out))

@@ -113,3 +113,13 @@ def test_ranged_rows_of_one_series_reach_many_tasks(spark):
     ranges = ordering.lay_out(df, ["k", "t"], 8)
     sizes = [n for _, _, n in ranges.summary]
     assert len(sizes) == 8 and max(sizes) < 2 * 4000 / 8
+
+
+def test_rank_moves_rows_once_after_the_ranges(spark):
+    rows = spark.range(600).selectExpr("CASE WHEN id % 3 > 0 THEN id % 2 END AS k", "CAST(id % 7 AS double) AS Date_time", "id")
+    for keys in (["k"], []):
+        ranked = ordering.rank(rows, keys, tie=["id"], layout="ranged", partitions=5)
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan
+        want = rows.withColumn("rank", F.rank().over(Window.partitionBy(*keys).orderBy("Date_time")))
+        assert sorted(map(str, ranked.collect())) == sorted(map(str, want.collect()))
