@@ -172,12 +172,20 @@ def fit_gated(
     hidden: int = HIDDEN,
     dense: int = DENSE,
     seed: int = 1,
+    start: Sequence[float] | None = None,
+    local: int | None = None,
 ) -> DataFrame:
-    """Full-batch Adam on the absolute error, one pass over a written table per epoch.
+    """Adam on the absolute error, one pass over a written table per epoch.
 
     Every partition sends the sum of its gradients; the driver gets one number
     per weight. Inputs and label are standardised while training and the scaling
-    is folded into the returned weights, which apply to raw features.
+    is folded into the returned weights, which apply to raw features. ``start`` are
+    weights, for standardised features, to begin with.
+
+    With ``local`` rows a step, every partition takes Adam steps of its own over its
+    rows in each pass, and sends where they led; weights and moments are averaged by
+    rows. A pass is then worth many, so few ``epochs`` do. A partition's rows come
+    in the order they were written in, so a repeated task takes the same steps.
     """
     k = len(features)
     rows = scratch.materialise(df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate([*features, label])]))
@@ -187,8 +195,13 @@ def fit_gated(
     if not n:
         raise ValueError("no complete rows to train on")
     std[std == 0] = 1.0
-    weights = _initial(k, hidden, dense, seed)
+    weights = _initial(k, hidden, dense, seed) if start is None else np.array(start, float)
     m, v = np.zeros_like(weights), np.zeros_like(weights)
+    if local:
+        steps = np.zeros(1)
+        for _ in range(epochs):
+            weights, m, v, steps = _averaged_steps(rows, (weights, m, v, steps), local, rate, (mean, std), (k, hidden, dense))
+        epochs = 0
     for step in range(1, epochs + 2):
         sums = _gradient_sums(rows, weights, mean, std, k, hidden, dense)
         grad, loss = sums[:-1] / n, sums[-1] / n
@@ -222,6 +235,32 @@ def _gradient_sums(rows, weights, mean, std, k, hidden, dense) -> np.ndarray:
     return out
 
 
+def _averaged_steps(rows, state, size: int, rate: float, scaling, shape) -> list[np.ndarray]:
+    """Weights, moments and steps taken so far, after each partition's own steps over its rows, averaged by rows."""
+    cuts = np.cumsum([len(a) for a in state])
+    (mean, std), (k, hidden, dense) = scaling, shape
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (w, m, v, t), n = (a.copy() for a in state), 0
+        for batch in batches:
+            values = (np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - mean) / std
+            for at in range(0, len(values), size):
+                own = values[at : at + size]
+                grad = gated_gradient(unpack(w, k, hidden, dense), own[:, :k], own[:, k])[0] / len(own)
+                t += 1
+                m = BETA1 * m + (1 - BETA1) * grad
+                v = BETA2 * v + (1 - BETA2) * grad * grad
+                w = w - rate * (m / (1 - BETA1 ** t[0])) / (np.sqrt(v / (1 - BETA2 ** t[0])) + EPSILON)
+            n += len(values)
+        if n:
+            out = np.concatenate([w, m, v, t, [1.0]]) * n
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], ["at", "g"])
+
+    sums = rows.mapInArrow(walk, "at int, g double").groupBy("at").agg(F.sum("g").alias("g")).orderBy("at")
+    total = np.array([r["g"] for r in sums.collect()])  # three rows per weight
+    return np.split(total[:-1] / total[-1], cuts[:-1])
+
+
 def _fold_scaling(weights, mean, std, k, hidden, dense) -> np.ndarray:
     parts = [p.copy() for p in unpack(weights, k, hidden, dense)]
     for kernel, bias in ((0, 1), (2, 3), (4, 5)):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import math
 
 from pyspark.ml.functions import vector_to_array
@@ -182,6 +184,72 @@ def gated_forecast_errors(spark, sf_dir):
     return metrics.regression_metrics(scored, LABEL, "prediction", ["is_train"])
 
 
+# Weights to begin with, of the smallest network: input, cell and output gate, then the two dense layers.
+FIRST_WEIGHTS = dict(wi=0.3, bi=0.1, wg=-0.6, bg=0.2, wo=0.4, bo=-0.1, w1=0.9, b1=0.3, w2=0.8, b2=-0.2)
+RATE = 0.05
+
+
+def _unit_sql(w: Callable[[str], str]) -> list[str]:
+    """The network's values on standardised ``x``, one select list on another, its weights given by ``w``."""
+    gate = lambda k: f"1 / (1 + exp(-({w('w' + k)} * x + {w('b' + k)})))"
+    return [
+        f"{gate('i')} AS i, tanh({w('wg')} * x + {w('bg')}) AS g, {gate('o')} AS o",
+        "tanh(i * g) AS t",
+        "o * t AS h",
+        f"greatest(h * {w('w1')} + {w('b1')}, 0) AS d",
+        f"d * {w('w2')} + {w('b2')} AS made",
+    ]
+
+
+def _steps_sql(source: str, name: str, lists: list[str]) -> list[str]:
+    names = [source, *[f"{name}_{i}" for i in range(len(lists) - 1)], name]
+    return [f"{b} AS (SELECT *, {cols} FROM {a})" for a, b, cols in zip(names, names[1:], lists)]
+
+
+_GRADIENT = dict(wi="x * di", bi="di", wg="x * dg", bg="dg", wo="x * do_", bo="do_", w1="h * dd", b1="dd", w2="d * dy", b2="dy")
+ADAM_STEP = [
+    RECORDS,
+    LAGGED,
+    "e AS MATERIALIZED (SELECT l1, Ot_avg FROM lagged WHERE nth > 1)",
+    """scale AS (SELECT count(*) AS n, avg(l1) AS mx, stddev_pop(l1) AS sx, avg(Ot_avg) AS my, stddev_pop(Ot_avg) AS sy FROM e)""",
+    "z AS MATERIALIZED (SELECT (l1 - mx) / sx AS x, (Ot_avg - my) / sy AS y FROM e, scale)",
+    *_steps_sql(
+        "z",
+        "back",
+        [
+            *_unit_sql(lambda k: f"({FIRST_WEIGHTS[k]}::DOUBLE)"),
+            f"sign(made - y) AS dy, CASE WHEN d > 0 THEN sign(made - y) * {FIRST_WEIGHTS['w2']}::DOUBLE ELSE 0 END AS dd",
+            f"dd * {FIRST_WEIGHTS['w1']}::DOUBLE AS dh",
+            "dh * o * (1 - t * t) AS dc",
+            "dc * g * i * (1 - i) AS di, dc * i * (1 - g * g) AS dg, dh * t * o * (1 - o) AS do_",
+        ],
+    ),
+    "grads AS (SELECT " + ", ".join(f"avg({g}) AS {k}" for k, g in _GRADIENT.items()) + " FROM back)",
+    "stepped AS MATERIALIZED (SELECT "
+    + ", ".join(f"{w}::DOUBLE - {RATE}::DOUBLE * {k} / (abs({k}) + {model.EPSILON}::DOUBLE) AS s_{k}" for k, w in FIRST_WEIGHTS.items())
+    + " FROM grads)",
+    *_steps_sql("(SELECT * FROM z, stepped)", "after_", _unit_sql(lambda k: f"s_{k}")),
+]
+_RAW_WEIGHTS = [f"s_{k}" for k in FIRST_WEIGHTS]
+for _at in (0, 2, 4):
+    _RAW_WEIGHTS[_at], _RAW_WEIGHTS[_at + 1] = f"{_RAW_WEIGHTS[_at]} / sx", f"{_RAW_WEIGHTS[_at + 1]} - mx * {_RAW_WEIGHTS[_at]} / sx"
+_RAW_WEIGHTS[8], _RAW_WEIGHTS[9] = "s_w2 * sy", "s_b2 * sy + my"
+
+
+@query(
+    with_(*ADAM_STEP)
+    + "SELECT n, "
+    + ", ".join(f"round({w}, 6) AS w{i}" for i, w in enumerate(_RAW_WEIGHTS))
+    + ", round((SELECT avg(abs(made - y)) FROM after_) * sy, 6) AS train_mae FROM stepped, scale"
+)
+def gated_adam_step(spark, sf_dir):
+    """One full-batch step of the gated network's training, from given weights, over all rows."""
+    rows = _label_lags(spark, sf_dir, 1)
+    shape = dict(hidden=1, dense=1, start=list(FIRST_WEIGHTS.values()), rate=RATE, epochs=1)
+    fitted = model.train(rows, AR[:1], kind="gated", by=(), **shape)
+    return fitted.select("n", *[F.round(F.get("weights", i), 6).alias(f"w{i}") for i in range(10)], F.round("train_mae", 6).alias("train_mae"))
+
+
 SCALED = {f"{c}t-{i}": f"s{k}" for k, (i, c) in enumerate((i, c) for i in (1, 2) for c in SENSORS)}
 
 

@@ -154,3 +154,40 @@ def test_latest_artifact_ignores_other_files(spark, tmp_path):
         os.utime(file, (1000 + i, 1000 + i))
     row = registry.latest_artifact(spark, str(tmp_path)).first()
     assert row["path"].endswith("model_3-4/Ot_stream.tflite") and row["length"] == 2
+
+
+def _bent(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    a, b = rng.normal(size=n) * 3 + 20, rng.normal(size=n)
+    y = 5 * np.tanh((a - 20) / 3 + b) + 0.5 * b + rng.normal(size=n) * 0.1 + 50
+    return spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "y": y})).repartition(4)
+
+
+def test_local_steps_reach_the_error_in_a_tenth_of_the_passes(spark):
+    train, held = _bent(spark, 6000, 1), _bent(spark, 2000, 2)
+    shape = dict(hidden=6, dense=5)
+
+    def error(**options):
+        weights = model.train(train, ["a", "b"], "y", kind="gated", by=(), **shape, **options).first()["weights"]
+        scored = scoring.score(held, ["a", "b"], weights, "gated", **shape)
+        return metrics.regression_metrics(scored, "y", "prediction").first()["mae"]
+
+    full = error(epochs=40)
+    local = error(epochs=4, local=64)
+    assert local <= full and local < 1.0
+    assert error(epochs=4, local=64) == pytest.approx(local, rel=1e-6)  # the same partitions take the same steps
+
+
+def test_local_steps_with_few_rows(spark):
+    rows = spark.createDataFrame([(1.0, 2.0, 3.0), (1.0, None, 3.0), (2.0, 2.0, 4.0)], "a double, b double, y double").repartition(6)
+    fitted = model.train(rows, ["a", "b"], "y", kind="gated", by=(), epochs=2, local=64, hidden=2, dense=2).first()
+    assert fitted["n"] == 2 and all(np.isfinite(fitted["weights"])) and len(fitted["weights"]) == 27
+
+
+def test_training_begins_with_given_weights(spark):
+    rows = _bent(spark, 200, 3)
+    start = [0.1 * (i % 7) - 0.3 for i in range(27)]
+    options = dict(kind="gated", by=(), hidden=2, dense=2, start=start)
+    none = model.train(rows, ["a", "b"], "y", epochs=0, **options).first()["weights"]
+    one = model.train(rows, ["a", "b"], "y", epochs=1, rate=1e-9, **options).first()["weights"]
+    assert one == pytest.approx(none, rel=1e-4, abs=1e-4)
