@@ -203,44 +203,44 @@ def rank(
     if layout == "keyed":
         return df.withColumn(out, F.rank().over(Window.partitionBy(*keys).orderBy(order)))
     ranges = lay_out(df, [*keys, order, *tie], partitions)
-    runs = {"_value_run": [*keys, order], "_key_run": list(keys)} if keys else {"_value_run": [order]}
-    return _finish_rank(ranges, {name: (cols, _run_openings(ranges, cols, name)) for name, cols in runs.items()}, out)
+    return _finish_rank(ranges, {"_value_run": [*keys, order]} | ({"_key_run": list(keys)} if keys else {}), out)
 
 
-def _run_openings(ranges: Ranges, cols: list[str], name: str) -> DataFrame:
-    """For each range the index at which the run of equal ``cols`` that opens it began.
+def _run_openings(ranges: Ranges, runs: dict[str, list[str]]) -> DataFrame:
+    """For each range, per run, the index at which the run of equal columns that opens it began.
 
-    Two scans with one row a range as their result: the first and last values, then
-    where the run of the last value begins.
+    One job with one row a range as its result: the first and last values of a range
+    are broadcast to it, which tells where the run of the last value begins.
     """
-    value = F.struct(*cols)
-    ends = ranges.table.groupBy(_RANGE).agg(F.min_by(value, _POS).alias("_head"), F.max_by(value, _POS).alias("_tail"))
-    ends = scratch.materialise(ends, "range-ends")
-    last = ranges.table.join(F.broadcast(ends), _RANGE).where(value.eqNullSafe(F.col("_tail")))
-    edges = {r[_RANGE]: r for r in last.groupBy(_RANGE).agg(F.first("_head").alias("head"), F.first("_tail").alias("tail"), F.min(_POS).alias("tail_pos")).collect()}
-    opening, carried, previous = [], 0, None
-    for rng, start, _ in ranges.summary:
-        edge = edges[rng]
-        head_start = carried if previous is not None and edge["head"] == previous else start
-        opening.append((rng, head_start))
-        carried = head_start if edge["tail_pos"] == 0 else start + edge["tail_pos"]
-        previous = edge["tail"]
-    return ranges.table.sparkSession.createDataFrame(opening, f"{_RANGE} int, {name}_open bigint")
-
-
-def _finish_rank(ranges: Ranges, runs: dict[str, tuple[list[str], DataFrame]], out: str) -> DataFrame:
+    value = {name: F.struct(*cols) for name, cols in runs.items()}
+    ends = [f(v, _POS).alias(f"{end}{name}") for name, v in value.items() for end, f in (("head", F.min_by), ("tail", F.max_by))]
+    known = ranges.table.join(F.broadcast(ranges.table.groupBy(_RANGE).agg(*ends)), _RANGE)
+    begins = [F.min(F.when(v.eqNullSafe(F.col(f"tail{name}")), F.col(_POS))).alias(f"pos{name}") for name, v in value.items()]
+    kept = [F.first(f"{end}{name}").alias(f"{end}{name}") for name in runs for end in ("head", "tail")]
+    edges = {r[_RANGE]: r for r in known.groupBy(_RANGE).agg(*begins, *kept).collect()}
+    opening = {rng: [rng, start, n] for rng, start, n in ranges.summary}
+    for name in runs:
+        carried, previous = 0, None
+        for rng, start, _ in ranges.summary:
+            edge = edges[rng]
+            head_start = carried if previous is not None and edge[f"head{name}"] == previous else start
+            opening[rng].append(head_start)
+            carried = head_start if edge[f"pos{name}"] == 0 else start + edge[f"pos{name}"]
+            previous = edge[f"tail{name}"]
+    schema = f"{_RANGE} int, {_START} bigint, {_ROWS} bigint, " + ", ".join(f"{name}_open bigint" for name in runs)
+    return ranges.table.sparkSession.createDataFrame([tuple(r) for r in opening.values()], schema)
+
+
+def _finish_rank(ranges: Ranges, runs: dict[str, list[str]], out: str) -> DataFrame:
     """Ranks from the places where runs begin: all windows share one exchange, by range."""
-    rows, window = ranges.indexed(), Window.partitionBy(_RANGE).orderBy(_POS)
-    for _, opened in runs.values():
-        rows = rows.join(F.broadcast(opened), _RANGE)  # one row a range
-    begins = {}
-    for name, (cols, _) in runs.items():
-        value = F.struct(*cols)
-        begins[f"{name}_begins"] = ~value.eqNullSafe(F.lag(value, 1).over(window))
-    rows = rows.withColumns(begins)
+    rows = ranges.table.join(F.broadcast(_run_openings(ranges, runs)), _RANGE)  # one row a range
+    window = Window.partitionBy(_RANGE).orderBy(_POS)
+    cols = runs["_value_run"]
+    rows = rows.withColumns({f"_before_{i}": F.lag(c, 1).over(window) for i, c in enumerate(cols)})
+    same = {c: F.col(c).eqNullSafe(F.col(f"_before_{i}")) for i, c in enumerate(cols)}
+    begins = {f"{name}_at": F.when(~reduce(and_, [same[c] for c in own]) | (F.col(_POS) == 0), F.col(_POS)) for name, own in runs.items()}
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = {name: F.max(F.when(F.col(f"{name}_begins"), F.col(_POS))).over(upto) for name in runs}
-    rows = rows.withColumns(starts)
+    rows = rows.withColumns(begins).withColumns({name: F.max(f"{name}_at").over(upto) for name in runs})
     place = {name: F.when(F.col(name) == 0, F.col(f"{name}_open")).otherwise(F.col(_START) + F.col(name)) for name in runs}
     base = place.get("_key_run", F.lit(0))
     original = [c for c in ranges.table.columns if c not in (_RANGE, _POS)]
