@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,53 @@ def _gathered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True) if len(parts) > 1 else (parts[0] if parts else pd.DataFrame())
 
 
+def packed(rows: DataFrame, key: str) -> DataFrame:
+    """One row per ``key`` and Arrow batch, every other column an array of its values.
+
+    The state operator handles what it gets row by row, so it gets few rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column(key).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+            batch = batch.take(pa.array(order))
+            ends = pa.array(np.append(starts, len(order)), pa.int32())
+            columns = [
+                batch.column(n).take(pa.array(starts)) if n == key else pa.ListArray.from_arrays(ends, batch.column(n)) for n in batch.schema.names
+            ]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return rows.mapInArrow(run, _arrays(rows.schema, key))
+
+
+def _arrays(schema: T.StructType, key: str) -> T.StructType:
+    return T.StructType([f if f.name == key else T.StructField(f.name, T.ArrayType(f.dataType)) for f in schema])
+
+
+def unpacked(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of :func:`packed`; doubles that are missing come back from Python as no number."""
+    names = [c for c in rows.columns if c != key]
+    out = rows.select(key, F.inline(F.arrays_zip(*[F.col(f"`{n}`").alias(n) for n in names])))
+    doubles = [f.name for f in out.schema if isinstance(f.dataType, T.DoubleType)]
+    return out.select([F.nanvl(F.col(f"`{c}`"), F.lit(None).cast("double")).alias(c) if c in doubles else F.col(f"`{c}`") for c in [n for n in rows.columns]])
+
+
+def _values(chunks: pd.Series, kind: T.DataType, order: np.ndarray | None = None):
+    """All values of an array column, in ``order``; missing ones as Spark takes them back."""
+    every = np.concatenate([np.asarray(c) for c in chunks])
+    every = every if order is None else every[order]
+    if isinstance(kind, T.DoubleType):
+        return every.astype(float)
+    missing = pd.isna(every)
+    if not missing.any():
+        return every
+    return [None if gone else (int(v) if isinstance(kind, T.IntegralType) else v) for v, gone in zip(every, missing, strict=True)]
+
+
 #: A missing time is before every other.
 FIRST = -(2**63)
 #: Times that pandas can hold.
@@ -45,8 +93,8 @@ TIMES = ("1678-01-01", "2262-01-01")
 class LagRing(StatefulProcessor):
     """The last ``p`` rows of a series, as one state row with a column of values each."""
 
-    def __init__(self, p: int, cols: Sequence[str], time: str, tie: str, ttl_ms: int | None):
-        self.p, self.cols, self.time, self.tie, self.ttl_ms = p, list(cols), time, tie, ttl_ms
+    def __init__(self, p: int, cols: Sequence[str], key: str, time: str, tie: str, types: dict[str, T.DataType], ttl_ms: int | None):
+        self.p, self.cols, self.key, self.time, self.tie, self.types, self.ttl_ms = p, list(cols), key, time, tie, types, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         fields = [T.StructField("at", T.ArrayType(T.LongType())), T.StructField("tie", T.ArrayType(T.LongType()))]
@@ -58,23 +106,25 @@ class LagRing(StatefulProcessor):
         if not len(new):
             return
         old = self.ring.get()
-        at, tie = new[self.time].to_numpy(np.int64), new[self.tie].to_numpy(np.int64)
+        at, tie = (np.concatenate([np.asarray(c, np.int64) for c in new[n]]) for n in (self.time, self.tie))
         order = np.lexsort((tie, at))
-        new, at, tie = new.iloc[order].reset_index(drop=True), at[order], tie[order]
-        late = np.zeros(len(new), bool)
+        at, tie = at[order], tie[order]
+        count = len(order)
+        data = {n: _values(new[n], kind, order) for n, kind in self.types.items()}
+        late = np.zeros(count, bool)
         if old is not None and len(old[0]):
             late = (at < old[0][-1]) | ((at == old[0][-1]) & (tie <= old[1][-1]))
         known = 0 if old is None else len(old[0])
         on_time = np.flatnonzero(~late)
-        nth = np.full(len(new), 0)
+        nth = np.full(count, 0)
         nth[on_time] = known + np.arange(len(on_time))
         out, kept = {}, []
         for i, c in enumerate(self.cols):
-            own = new[c].to_numpy(dtype=float, na_value=np.nan)[on_time]
+            own = data[c][on_time]
             before = np.array([np.nan if v is None else v for v in old[2 + i]], float) if known else np.empty(0)
             both = np.concatenate([before, own])
             for k in range(1, self.p + 1):
-                lagged = np.zeros(len(new))
+                lagged = np.zeros(count)
                 reach = nth[on_time] >= k
                 lagged[on_time[reach]] = both[nth[on_time][reach] - k]
                 out[f"{c}t-{k}"] = lagged
@@ -82,8 +132,8 @@ class LagRing(StatefulProcessor):
         if len(on_time):
             ends = [np.concatenate([np.array(o if known else [], np.int64), x[on_time]])[-self.p :] for o, x in zip(old[:2] if known else ((), ()), (at, tie), strict=True)]
             self.ring.update((ends[0].tolist(), ends[1].tolist(), *kept))
-        lags = pd.DataFrame({n: out[n] for n in features.lag_names(self.p, self.cols)})
-        yield pd.concat([new, lags, pd.DataFrame({"const": (nth >= self.p).astype("int32"), "late": late})], axis=1)
+        data |= {n: out[n] for n in features.lag_names(self.p, self.cols)} | {"const": (nth >= self.p).astype("int32"), "late": late}
+        yield pd.DataFrame({self.key: [key[0]]} | {n: [v] for n, v in data.items()})
 
     def close(self) -> None:
         pass
@@ -111,12 +161,15 @@ def lag_stream(
     series of their own. The session needs :func:`enable`.
     """
     extra = [T.StructField(n, T.DoubleType()) for n in features.lag_names(p, cols)]
+    extra += [T.StructField("const", T.IntegerType()), T.StructField("late", T.BooleanType())]
     # as whole numbers, times of any century reach Python
-    plain = rows.withColumn(time, F.coalesce(F.unix_micros(time), F.lit(FIRST)))
-    schema = T.StructType([*plain.schema.fields, *extra, T.StructField("const", T.IntegerType()), T.StructField("late", T.BooleanType())])
-    mode = "None" if ttl is None else "ProcessingTime"
-    ring = LagRing(p, cols, time, tie, None if ttl is None else 1000 * ttl)
-    return plain.groupBy(key).transformWithStateInPandas(ring, schema, "Append", mode).withColumn(time, F.timestamp_micros(F.nullif(time, F.lit(FIRST))))
+    plain = rows.withColumns({time: F.coalesce(F.unix_micros(time), F.lit(FIRST))} | {c: F.col(f"`{c}`").cast("double") for c in cols})
+    types = {f.name: f.dataType for f in plain.schema if f.name != key}
+    ring = LagRing(p, cols, key, time, tie, types, None if ttl is None else 1000 * ttl)
+    schema = T.StructType([plain.schema[key], *[T.StructField(f.name, T.ArrayType(f.dataType)) for f in [*plain.drop(key).schema, *extra]]])
+    found = packed(plain, key).groupBy(key).transformWithStateInPandas(ring, schema, "Append", "None" if ttl is None else "ProcessingTime")
+    lagged = unpacked(found, key).withColumn(time, F.timestamp_micros(F.nullif(time, F.lit(FIRST))))
+    return lagged.select(*[f"`{c}`" for c in [*rows.columns, *[f.name for f in extra]]])
 
 
 class LayerMatch(StatefulProcessor):
