@@ -21,7 +21,7 @@ from duotide.plans.catalog_features import lag_oracle
 from duotide.plans.catalog_layers import _window
 from duotide.plans.oracle import BATCH, BOTH_LAYERS, LAGGED, PREDICTED, RAW_PREDICTIONS, RECORDS, SHOWN, SPEED, half_up, lags, with_
 from duotide.schemas import KPI_FIELDS, LABEL, PREDICTION_FIELDS, RECORD_SCHEMA, SENSORS, SERIES, SPEED_WEIGHT, TIME
-from duotide.sources import readers
+from duotide.sources import readers, topics
 from duotide.streaming import queries, state
 
 PARTS = 3
@@ -503,3 +503,69 @@ def stream_two_layer_by_series(spark, sf_dir):
     scores = metrics.regression_metrics(found, "Temp", "Temp_Predict", ["epoch_id", "topic"])
     rounded = [F.round(c, 6).alias(c) for c in ("rmse", "mae")]
     return scores.select(F.col("epoch_id").cast("bigint").alias("epoch_id"), "topic", "n", *rounded)
+
+
+TOPICS, TOPIC_PARTITIONS = ("sensors-a", "sensors-b"), 3
+
+
+def _topic_feed(spark, sf_dir, run) -> str:
+    """Records of two topics, by odd and even series, added in parts; ``run`` takes what is there after each."""
+    path, rows = scratch.new_dir(spark, "topics"), frames.records(spark, sf_dir)
+    supplier = F.substring(SERIES, 2, 20).cast("bigint")
+    topic = F.when(supplier % 2 == 0, TOPICS[0]).otherwise(TOPICS[1])
+    text = codec.encode_sensor(rows, keep=(SERIES, "offset", TIME)).withColumn("_part", _part(spark, sf_dir, TIME))
+    wire = scratch.materialise(text.withColumns({"key": F.col(SERIES), "topic": topic, "number": supplier % TOPIC_PARTITIONS}), "feed")
+    for n in range(PARTS):
+        # within a series, records are sent in the order of their numbers
+        sent = wire.where(F.col("_part") == n).repartition(SERIES).sortWithinPartitions("offset")
+        topics.write(topics.keyed(sent, F.col("topic"), partition=F.col("number")), path, "feed", n)
+        run(path)
+    return path
+
+
+@query(
+    with_(
+        RECORDS,
+        f"""sent AS (SELECT *, CASE WHEN CAST(substr(series_key, 2) AS BIGINT) % 2 = 0 THEN '{TOPICS[0]}' ELSE '{TOPICS[1]}' END AS topic,
+    CAST(substr(series_key, 2) AS BIGINT) % {TOPIC_PARTITIONS} AS "partition" FROM rec)""",
+    )
+    + f"""SELECT topic, "partition", series_key, Date_time, {', '.join(SENSORS)}, count(*) OVER p AS read,
+  count(*) OVER p - 1 AS last_offset, count(*) OVER p AS offsets FROM sent WINDOW p AS (PARTITION BY topic, "partition")"""
+)
+def stream_topic_scan(spark, sf_dir):
+    """Two topics read as one stream, restarted from its checkpoint for each part: every offset once, none left out."""
+    out, checkpoint = scratch.new_dir(spark, "scanned"), scratch.new_dir(spark, "checkpoint")
+    _topic_feed(spark, sf_dir, lambda path: _append(topics.stream(spark, path, TOPICS), out, checkpoint))
+    records = spark.read.parquet(out)
+    rows = codec.decode_sensor(records, ("topic", "partition", F.col("key").cast("string").alias(SERIES)), time_type="timestamp_ntz")
+    counts = records.groupBy("topic", "partition").agg(
+        F.count("*").alias("read"), F.max("offset").alias("last_offset"), F.count_distinct("offset").alias("offsets")
+    )
+    joined = rows.join(F.broadcast(counts), ["topic", "partition"])  # one row a topic and partition
+    return joined.withColumn("partition", F.col("partition").cast("bigint"))
+
+
+@query(
+    with_(
+        RECORDS,
+        f"""l AS (SELECT *, {PART_SQL.format(t='Date_time')} AS part, row_number() OVER w AS nth, lag(Ot_avg, 1) OVER w AS l1
+  FROM rec WINDOW w AS (PARTITION BY {PART_SQL.format(t='Date_time')}, series_key ORDER BY {ORDER_SQL}))""",
+        """s AS (SELECT part, sqrt(avg((l1 - Ot_avg) * (l1 - Ot_avg))) AS RMSE_Score, avg(abs(l1 - Ot_avg)) AS MAE_Score
+  FROM l WHERE nth > 2 GROUP BY 1)""",
+    )
+    + """SELECT series_key, Date_time AS TS, Ot_avg AS Temp, l1 AS Temp_Predict, round(RMSE_Score, 6) AS RMSE_Score,
+  round(MAE_Score, 6) AS MAE_Score FROM l JOIN s USING (part) WHERE nth > 2"""
+)
+def stream_topic_predictions(spark, sf_dir):
+    """The speed layer from topics to a topic: predictions are read back from where it sent them."""
+    checkpoint, names = scratch.new_dir(spark, "checkpoint"), features.lag_names(2)
+    weights = [0.0, *[1.0 if c == f"{LABEL}t-1" else 0.0 for c in names]]
+
+    def run(path):
+        on_batch = queries.scoring_layer("speed", lambda: ("last-value", weights), {"topics": path, "topic": "speed"})
+        queries.run_query(topics.stream(spark, path, TOPICS), on_batch, checkpoint)
+
+    path = _topic_feed(spark, sf_dir, run)
+    rows = codec.decode_prediction(topics.scan(spark, path, "speed"), (F.col("key").cast("string").alias(SERIES),), time_type="timestamp_ntz")
+    scores = [F.round(c, 6).alias(c) for c in ("RMSE_Score", "MAE_Score")]
+    return rows.select(SERIES, "TS", "Temp", "Temp_Predict", *scores)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duotide.functions.scalars import epoch_seconds
 from duotide.schemas import HYBRID_FIELDS, KPI_FIELDS, SERIES
+from duotide.sources import topics
 
 
 def to_topic(df: DataFrame, brokers: str, topic: str) -> None:
@@ -19,12 +20,20 @@ def to_folder(df: DataFrame, path: str, epoch_id: int, format: str = "parquet",
     df.write.format(format).options(**options).mode("overwrite").save(f"{path}/epoch_id={epoch_id}")
 
 
-def write_predictions(df: DataFrame, target: dict, epoch_id: int) -> None:
-    """Encoded predictions to ``{"brokers": .., "topic": ..}`` or ``{"path": ..}``."""
+def _send(df: DataFrame, target: dict, epoch_id: int, format: str) -> None:
     if "brokers" in target:
         to_topic(df, target["brokers"], target["topic"])
+    elif "topics" in target:
+        records = topics.keyed(df, target["topic"], target.get("partitions", 8))
+        # a query's epochs are its own: two queries that send to one topic need names of their own
+        topics.write(records, target["topics"], target.get("writer", target["topic"]), epoch_id)
     else:
-        to_folder(df, target["path"], epoch_id)
+        to_folder(df, target["path"], epoch_id, format)
+
+
+def write_predictions(df: DataFrame, target: dict, epoch_id: int) -> None:
+    """Encoded predictions to ``{"brokers": .., "topic": ..}``, ``{"topics": folder, "topic": ..}`` or ``{"path": ..}``."""
+    _send(df, target, epoch_id, "parquet")
 
 
 def write_hybrid(df: DataFrame, path: str, epoch_id: int, format: str = "csv") -> None:
@@ -49,8 +58,4 @@ def kpi_message(df: DataFrame) -> DataFrame:
 
 
 def write_kpi(df: DataFrame, target: dict, epoch_id: int) -> None:
-    messages = kpi_message(df)
-    if "brokers" in target:
-        to_topic(messages, target["brokers"], target["topic"])
-    else:
-        to_folder(messages, target["path"], epoch_id, "text")
+    _send(kpi_message(df), target, epoch_id, "text")
