@@ -13,11 +13,11 @@ Tokens move once, to meet their place.
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ BUCKETS, DIMS, BITS = 256, 4, 15
 #: Words whose tokens a worker remembers, some 200 bytes each, and the longest such word in bytes.
 KEPT, LONGEST = 1_000_000, 64
 MARKS = b",.;:!?"
+#: New words that are tokenised as one line.
+LINE = 128
 
 
 class WordTokens:
@@ -46,36 +48,58 @@ class WordTokens:
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         if sys.byteorder != "little":
             raise RuntimeError("ids are written as the machine holds them, which must be little-endian")
+        self.code = "H" if self.kind == "<u2" else "I"
         self.known: dict[bytes, bytes] = {}
+        vocab, suffix = self.tokenizer.get_vocab(), json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
+        #: How many bytes of text each id stands for: a character of a token is a byte.
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, number in vocab.items():
+            self.bytes_of[number] = len(token.removesuffix(suffix))
 
     def learn(self, words: set[bytes]) -> None:
         """Words as their tokens see them: in lower case, and the marks after a letter are tokens of their own."""
-        known, code, cut, new = self.known, "H" if self.kind == "<u2" else "I", [], set()
-        for word in words:
-            # special tokens are told apart by case; of others, only ASCII letters change here
-            low = word if b"<|" in word else word.lower()
-            core = low.rstrip(MARKS)
-            if len(core) == len(low) or b"<|" in word or not core[-1:].isalnum():
-                core, marks = low, b""
-            else:
-                marks = low[len(core) :]
-                if marks not in known:
-                    new.add(marks)
-            if core not in known:
-                new.add(core)
-            if core != word:
-                cut.append((word, core, marks))
-        todo = list(new)
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in todo], add_special_tokens=False)
-        for word, e in zip(todo, coded, strict=True):
-            known[word] = array(code, e.ids).tobytes()
-        for word, core, marks in cut:
-            known[word] = known[core] + known[marks] if marks else known[core]
+        known = self.known
+        # special tokens are told apart by case; of others, only ASCII letters change here
+        special = [w for w in words if b"<|" in w]
+        plain = [w for w in words if b"<|" not in w] if special else list(words)
+        low = b" ".join(plain).lower().split(b" ") if plain else []
+        cores = [c if len(c) == len(x) or c[-1:].isalnum() else x for x, c in ((x, x.rstrip(MARKS)) for x in low)]
+        new = {x[len(c) :] for x, c in zip(low, cores, strict=True) if len(c) != len(x)}
+        new.update(cores, special)
+        todo = list(new.difference(known))
+        known.update(zip(todo, self.apart([w.decode() for w in todo]), strict=True))
+        known.update([(w, known[c] if len(c) == len(x) else known[c] + known[x[len(c) :]]) for w, x, c in zip(plain, low, cores, strict=True)])
+
+    def apart(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Words that keep their length in bytes are tokenised by the line and cut where their bytes end."""
+        # printable Latin-1 is in composed form, has no white space, and changes no length in lower case
+        whole = [w.isprintable() and "<|" not in w and max(w) < "\u0100" for w in words]
+        lines = [w for w, ok in zip(words, whole, strict=True) if ok]
+        cut = self.by_line(lines)
+        if cut is None:
+            whole, cut = [False] * len(words), []
+        single = self.tokenizer.encode_batch_fast([w for w, ok in zip(words, whole, strict=True) if not ok], add_special_tokens=False)
+        from_line, alone = iter(cut), (array(self.code, e.ids).tobytes() for e in single)
+        return [next(from_line if ok else alone) for ok in whole]
+
+    def by_line(self, words: list[str]) -> list[bytes] | None:
+        """None if a word does not end where a token does."""
+        lines = [" ".join(words[at : at + LINE]) for at in range(0, len(words), LINE)]
+        ids = array(self.code)
+        for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False):
+            ids.extend(e.ids)
+        ends = np.cumsum(self.bytes_of[np.frombuffer(ids, self.kind)]) if len(ids) else np.zeros(0, np.int64)
+        stops = np.cumsum([len(w.encode()) for w in words], dtype=np.int64)
+        at = np.searchsorted(ends, stops)
+        if len(words) and (len(ends) == 0 or ends[-1] != stops[-1] or not np.array_equal(ends[at], stops)):
+            return None
+        data, cuts = ids.tobytes(), ((at + 1) * ids.itemsize).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts)] if cuts else []
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, little-endian, in ``kind``."""
         known, split = self.known, [data.split() for data in texts]
-        words = set(chain.from_iterable(split))
+        words = set().union(*split)
         if len(known) + len(words) > KEPT:
             known.clear()
         self.learn(words.difference(known))
