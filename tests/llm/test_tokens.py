@@ -77,6 +77,22 @@ def test_words_give_the_tokenizers_ids():
         assert np.frombuffer(own.encode([t.encode()])[0], own.kind).tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_words_by_the_line():
+    """Every printable Latin-1 character, alone, repeated and between letters; a word that changes its length is refused."""
+    own, library = packing.WordTokens(WORDS), Tokenizer.from_file(WORDS)
+    signs = [chr(c) for c in range(33, 256) if chr(c).isprintable()]
+    rng = random.Random(3)
+    words = [w for c in signs for w in (c, c * 7, f"a{c}b", f"{c}s", f"'{c}", f"{c}'ll")] + ["".join(rng.choices(signs, k=rng.randint(1, 12))) for _ in range(2000)]
+    words = [w for w in words if "<|" not in w]
+    want = [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert [np.frombuffer(x, own.kind).tolist() for x in own.by_line(words)] == want
+    assert own.by_line([]) == []
+    for odd in ("e\u0301", "\u0130x", "x\u00a0y"):
+        assert own.by_line(["plain", odd, "words"]) is None
+        got = own.apart(["plain", odd, "words"])
+        assert [np.frombuffer(x, own.kind).tolist() for x in got] == [library.encode(w, add_special_tokens=False).ids for w in ("plain", odd, "words")]
+
+
 def test_hilbert_neighbours():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
