@@ -562,7 +562,7 @@ def stream_topic_predictions(spark, sf_dir):
     weights = [0.0, *[1.0 if c == f"{LABEL}t-1" else 0.0 for c in names]]
 
     def run(path):
-        on_batch = queries.scoring_layer("speed", lambda: ("last-value", weights), {"topics": path, "topic": "speed"})
+        on_batch = queries.scoring_layer("speed", lambda: ("last-value", weights), {"topics": path, "topic": "speed", "writer": "speed"})
         queries.run_query(topics.stream(spark, path, TOPICS), on_batch, checkpoint)
 
     path = _topic_feed(spark, sf_dir, run)

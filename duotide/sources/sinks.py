@@ -25,14 +25,17 @@ def _send(df: DataFrame, target: dict, epoch_id: int, format: str) -> None:
         to_topic(df, target["brokers"], target["topic"])
     elif "topics" in target:
         records = topics.keyed(df, target["topic"], target.get("partitions", 8))
-        # a query's epochs are its own: two queries that send to one topic need names of their own
-        topics.write(records, target["topics"], target.get("writer", target["topic"]), epoch_id)
+        # epochs belong to a checkpoint, so a name must too: with the old name, a new checkpoint's epochs would count as sent
+        topics.write(records, target["topics"], target.get("writer"), epoch_id)
     else:
         to_folder(df, target["path"], epoch_id, format)
 
 
 def write_predictions(df: DataFrame, target: dict, epoch_id: int) -> None:
-    """Encoded predictions to ``{"brokers": .., "topic": ..}``, ``{"topics": folder, "topic": ..}`` or ``{"path": ..}``."""
+    """Encoded predictions to ``{"brokers": .., "topic": ..}``, ``{"topics": folder, "topic": ..}`` or ``{"path": ..}``.
+
+    In a folder of topics, a repeated epoch is sent again unless there is a ``writer``, a name for this query's checkpoint.
+    """
     _send(df, target, epoch_id, "parquet")
 
 

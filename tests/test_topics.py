@@ -1,8 +1,11 @@
 """Topics kept as files: offsets, admission, restarts, repeated batches."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from duotide.schemas import KPI_FIELDS
 from duotide.sources import sinks, topics
 
 
@@ -138,5 +141,11 @@ def test_predictions_and_kpi_to_topics(spark, tmp_path):
     path = str(tmp_path / "topics")
     df = spark.createDataFrame([("s", "1,2")], "key string, value string")
     for epoch in (0, 0, 1):
-        sinks.write_predictions(df, {"topics": path, "topic": "speed"}, epoch)
+        sinks.write_predictions(df, {"topics": path, "topic": "speed", "writer": "layer"}, epoch)
+        sinks.write_predictions(df, {"topics": path, "topic": "again"}, epoch)
     assert [r[3:] for r in _read(topics.scan(spark, path, "speed"))] == [("s", "1,2")] * 2
+    assert topics.scan(spark, path, "again").count() == 3
+    row = spark.range(1).select(*[F.lit(i).alias(c) for i, c in enumerate(KPI_FIELDS)])
+    sinks.write_kpi(row, {"topics": path, "topic": "kpi"}, 0)
+    (message,) = _values(topics.scan(spark, path, "kpi"))
+    assert json.loads(message) == {c: str(i) for i, c in enumerate(KPI_FIELDS)}
