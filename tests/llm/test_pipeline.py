@@ -14,6 +14,7 @@ def folder(spark, tmp_path_factory):
     base = " ".join(words(150, 5))
     texts = [base + " " + " ".join(words(80, 100 + i)) for i in range(40)]
     texts += [texts[0], texts[1], base, " ".join(words(150, 77)) + " token = 'abcdefgh12345'", " ".join(w + "###" for w in words(120, 9)), " ".join(w + "%%%" for w in words(90, 8)), "short", None, ""]
+    texts += [texts[i].replace(texts[i].split()[200], "changed", 1) for i in (5, 6)]  # near copies
     rows = [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
     out = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame(rows, COLUMNS).write.parquet(f"{out}/documents.parquet")
@@ -34,7 +35,8 @@ def test_stages(spark, folder, tmp_path):
     assert not {44, 45} & set(seen["quality_classifier"]) and set(range(40)) <= set(seen["quality_classifier"])
     plain = {i for i, t in seen["quality_classifier"].items() if not rules.base_failed(d := rules.Doc((t or "").encode())) and not any(r.rejects(d) for r in rules.RULES)}
     assert set(seen["quality_rules"]) == plain and not {46, 47, 48} & plain
-    assert {0, 1} <= set(seen["near_duplicates"]) and not {40, 41} & set(seen["near_duplicates"])
+    assert {0, 1} <= set(seen["near_duplicates"]) and not {40, 41, 49, 50} & set(seen["near_duplicates"])
+    assert {49, 50} <= set(seen["quality_rules"])
     assert set(seen["secret_scan"]) == set(seen["near_duplicates"])
     assert "[secret]" in seen["secret_scan"][43] and not any(secrets.scan([t.encode() for t in seen["secret_scan"].values()]))
     packed = pipeline.STAGES[-1][1](spark, docs, out).collect()
