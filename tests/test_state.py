@@ -132,6 +132,13 @@ def test_lowest_offset_survives_whatever_batch_it_comes_in(streams, tmp_path):
     assert last[-1]["stateOperators"][0]["numRowsTotal"] <= 2
 
 
+def test_matching_needs_no_python(streams, tmp_path):
+    """One native aggregate: no task goes through Python for each series and span of time."""
+    run = Stream(streams, tmp_path, matched)
+    seen = run.take(_prediction_records(streams, [("s", "speed", 1, 0, 9.0), ("s", "batch", 2, 0, 9.0)]))
+    assert {q["stateOperators"][0]["operatorName"] for q in seen} == {"stateStoreSave"}
+
+
 def test_windows_sent_when_the_watermark_passes(streams, tmp_path):
     def build(stream):
         return state.windowed_metrics(queries.prediction_rows(stream), "TS", "Temp", "Temp_Predict", "10 minutes", ["topic"], "5 minutes")
