@@ -120,7 +120,8 @@ def replay_limit(spark, sf_dir):
     path = scratch.new_dir(spark, "lines")
     label = F.when(F.col("Gb2t_avg") != 7, F.col(LABEL))
     rows = frames.records(spark, sf_dir).withColumn(LABEL, label)
-    parts = rows.repartitionByRange(5, F.greatest(F.col(TIME), F.lit("1996-01-01").cast("timestamp_ntz")), *ORDER)
+    files = max(5, frames.parts_for(frames.table(spark, sf_dir, "lineitem").count()))
+    parts = rows.repartitionByRange(files, F.greatest(F.col(TIME), F.lit("1996-01-01").cast("timestamp_ntz")), *ORDER)
     parts.sortWithinPartitions(*ORDER).select(TIME, *SENSORS).write.option("header", True).csv(path)
     return codec.decode_sensor(readers.replay(spark, path, "source", REPLAYED), time_type="timestamp_ntz")
 

@@ -128,3 +128,17 @@ def test_series_and_epoch_survive_csv(spark, tmp_path):
         sinks.write_hybrid(spark.createDataFrame([(name, T0, *[1.0] * (len(HYBRID_FIELDS) - 1))], schema), str(tmp_path / "r"), epoch_id)
     got = readers.hybrid_results(spark, str(tmp_path / "r")).collect()
     assert sorted((r["series_key"], r["epoch_id"]) for r in got) == [("a", 0), ("b", 1)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+def test_partitions_grow_with_the_records(spark, monkeypatch):
+    """A task's share of the records is bounded, whatever the usual number of partitions; the session itself stays as it was."""
+    usual, rows = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
+    before = frames.records(spark, SF_DIR)
+    assert before.sparkSession is spark
+    monkeypatch.setattr(frames, "PARTITION_ROWS", rows // (3 * usual))
+    after = frames.records(spark, SF_DIR)
+    assert int(after.sparkSession.conf.get("spark.sql.shuffle.partitions")) >= 3 * usual == 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert after.sparkSession.conf.get("spark.sql.session.timeZone") == spark.conf.get("spark.sql.session.timeZone")
+    assert sorted(after.collect()) == sorted(before.collect())
+    assert catalog.load()[0]["dynamic_ensemble"](spark, SF_DIR).count() > 0 and catalog.load()[0]["replay_limit"](spark, SF_DIR).count() > 0
