@@ -4,19 +4,23 @@ Texts are near copies if their sets of five-word shingles have a Jaccard similar
 of ``similarity`` or more. At 0.8 two fingerprints differ in about 15 % of their
 bits, which 64 bits cannot tell from chance, so a fingerprint has 504 bits, a ring
 of 18 segments of 28. Bits that differ are mostly those with a small margin, whose
-shingles vote nearly even. Each segment is a key in eight forms, its three least
-certain bits either way; near copies share a key if the bits in which they differ
-are among the least certain of one or the other.
+shingles vote nearly even. (:func:`signature` also has each segment as a key in eight
+forms, its three least certain bits either way; the job needs the plain segments only.)
 
-A pair that shares a key passes if the ring has a start from which 1, 2, ... ``CHAIN``
+A pair of fingerprints passes if the ring has a start from which 1, 2, ... ``CHAIN``
 consecutive segments differ in at most as many times ``BUDGET`` bits, and all in 18
 times that. (Pigeonring: a pair within the whole budget has such a start.) What passes
-is compared by the shingles themselves. So nothing is linked wrongly, and what is
-missed are pairs that share no key.
+is compared by the shingles themselves. So nothing is linked wrongly.
 
-Texts with equal sets are one node. Within a key nodes are compared with one leader,
-never all with all. Keys whose nodes are then in several components get another
-leader, until no round finds a link.
+Fingerprints bring most copies together: nodes that share a whole segment are compared
+with the smallest that has it, never all with all. What they miss is found by an exact
+join of the sets, between nodes that are not yet in one component: with all shingles in
+one order, rare ones first, two sets of ``n <= m`` shingles and similarity ``t`` share one
+of the first ``n - 2 t n / (1 + t) + 1`` of the smaller and the first ``m - t m + 1`` of the larger,
+at places that leave room for all they must share. So no link between components is lost.
+Any order is exact; which shingles are common is taken from a sample of ``SAMPLE`` texts.
+
+Texts with equal sets are one node.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from duotide import scratch
 from duotide.llm import text
@@ -41,6 +45,8 @@ LANES, SEGMENTS, WIDTH, FLIPS = 8, 18, 28, 3
 BUDGET, CHAIN = 6, 4
 #: Shingles whose bits are counted at once: counts fit a byte.
 SLICE = 255
+#: Texts, by hash, from which the common shingles are learnt; how often such a shingle is in them; how many are kept.
+SAMPLE, COMMON, KEPT = 20_000, 3, 100_000
 
 #: Multiplier that joins the hashes of words, and steps from a hash to its lanes.
 _FACTOR, _STEPS = np.uint64(0x9E3779B97F4A7C15), np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -70,15 +76,25 @@ def _lanes(h: np.ndarray) -> np.ndarray:
     return z.view(np.uint8)
 
 
-def signature(hashes: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The fingerprint, a segment in four bytes, and the keys of its segments."""
-    if not len(hashes):
-        return b"", np.zeros(0, np.int64)
+def _margin(hashes: np.ndarray) -> np.ndarray:
+    """For each bit, by segments, how many more hashes have it set than not."""
     votes = np.zeros(64 * LANES, np.int64)
     for i in range(0, len(hashes), SLICE):
         bits = np.unpackbits(_lanes(hashes[i : i + SLICE]).ravel())
         votes += bits.reshape(-1, 64 * LANES).sum(axis=0, dtype=np.uint8)
-    margin = (2 * votes - len(hashes))[: SEGMENTS * WIDTH].reshape(SEGMENTS, WIDTH)
+    return (2 * votes - len(hashes))[: SEGMENTS * WIDTH].reshape(SEGMENTS, WIDTH)
+
+
+def fingerprint(hashes: np.ndarray) -> bytes:
+    """The fingerprint, a segment in four bytes; empty without shingles."""
+    return ((_margin(hashes) > 0) @ _PLACES).astype("<u4").tobytes() if len(hashes) else b""
+
+
+def signature(hashes: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The fingerprint and the keys of its segments, in all forms."""
+    if not len(hashes):
+        return b"", np.zeros(0, np.int64)
+    margin = _margin(hashes)
     bits = margin > 0
     unsure = np.argsort(np.abs(margin), axis=1, kind="stable")[:, :FLIPS]
     value = bits @ _PLACES
@@ -123,39 +139,81 @@ def _sets(rows: DataFrame) -> DataFrame:
     return text.map_batches(rows.select("node", "text"), run, "node long, s array<long>")
 
 
-def _similar(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` that are near copies, written. ``rows(node, text)``; ``nodes(node, fp)``."""
-    left, right = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    near = scratch.materialise(_chained(pairs.join(left, "a").join(right, "b")), "chained")
-    asked = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _similar(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` that are near copies, written. ``rows(node, text)``."""
+    asked = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
     sets = scratch.materialise(_sets(rows.join(asked, "node", "left_semi")), "sets")
-    both = near.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return scratch.materialise(both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar")
 
 
+def _led(nodes: DataFrame) -> DataFrame:
+    """``(a, b)`` of nodes that share a segment with the smallest node that has it, and pass. ``nodes(node, fp)``."""
+    segment = lambda i: F.xxhash64(i, F.substring(F.col("fp"), i * 4 + 1, F.lit(4)))
+    keyed = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), segment)).alias("key"))
+    leaders = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader")
+    pairs = keyed.join(leaders, "key").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    left, right = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
+    return scratch.materialise(_chained(pairs.join(left, "a").join(right, "b")), "led")
+
+
+def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that many texts of a sample have, ascending, and how many of its texts have each."""
+    share = max(1, rows.count() // SAMPLE)
+    sample = _sets(rows.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0)).select(F.explode("s").alias("h"))
+    found = sample.groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(KEPT).toArrow()
+    h = found.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], found.column("count").to_numpy()[order]
+
+
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Of a set's shingles in order, rare ones first, those of which a similar set that is not larger has one."""
+    count = np.zeros(len(hashes), np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+        count = np.where(common[0][at] == hashes, common[1][at], 0)
+    # a little more than needed, so that no rounding shortens it
+    return hashes[np.lexsort((hashes, count))][: int(len(hashes) * (1 - similarity) + 1e-6) + 1]
+
+
+def _prefixes(rows: DataFrame, similarity: float) -> DataFrame:
+    """``(node, size, key, at)``: the shingles of each set's prefix with their places."""
+    common = rows.sparkSession.sparkContext.broadcast(_common(rows))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(x) for x in text.raw(batch, "text")]
+        keys = [prefix(s, common.value, similarity).view(np.int64) for s in sets]
+        return text.record(node=batch.column("node"), size=pa.array([len(s) for s in sets], pa.int32()), keys=pa.array(keys, pa.list_(pa.int64())))
+
+    found = text.map_batches(rows.select("node", "text"), run, "node long, size int, keys array<long>")
+    return found.select("node", "size", F.posexplode("keys").alias("at", "key"))
+
+
+def _joined(rows: DataFrame, stars: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)`` of nodes in different components whose prefixes and sizes leave room for the similarity."""
+    every = _prefixes(rows, similarity)
+    shared = every.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    found = scratch.materialise(every.join(shared, "key", "left_semi"), "shared")
+    members = scratch.materialise(found.join(stars, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("root")), "members")
+    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    members = members.join(mixed, "key", "left_semi")
+    least = F.lit(similarity / (1 + similarity))
+    small = members.where(F.col("at") <= F.col("size") * (1 - 2 * least) + 1e-6).select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "at", "root")])
+    large = members.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "at", "root")])
+    ahead = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("node_a") < F.col("node_b")))
+    room = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) + 1e-6 >= least * (F.col("size_a") + F.col("size_b"))
+    fits = ahead & room & (F.col("size_a") + 1e-6 >= F.lit(similarity) * F.col("size_b")) & (F.col("root_a") != F.col("root_b"))
+    pairs = small.join(large.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & fits)
+    return scratch.materialise(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "joined")
+
+
 def _groups(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """``(node, root)`` of the nodes that are not their component's smallest."""
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader")
-    members = scratch.materialise(keyed.join(shared, "key"), "members")
-    links = _similar(rows, nodes, members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), similarity)
-    stars, turn = scratch.materialise(components(links), "stars"), 0
-    tried = links.limit(0)
-    while True:
-        turn += 1
-        placed = members.select("key", "node").join(stars, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        # another leader in each key that holds several components, by a hash that changes with the turn
-        drawn = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("leader"), F.col("root").alias("led")))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), drawn.alias("d")).where("lo < hi").select("key", "d.leader", "d.led")
-        pairs = placed.join(mixed, "key").where("root <> led").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        pairs = scratch.materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = _similar(rows, nodes, pairs, similarity)
-        if found.isEmpty():
-            return stars
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(found)
-        stars = scratch.materialise(components(links), "stars")
+    led = _similar(rows, _led(nodes), similarity)
+    stars = scratch.materialise(components(led), "stars")
+    return components(led.unionByName(_similar(rows, _joined(rows, stars, similarity), similarity)))
 
 
 def keeps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -172,23 +230,29 @@ def keeps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar
         for batch in batches:
             for at in range(0, batch.num_rows, text.SLICE):
                 part = batch.slice(at, text.SLICE)
-                equal, fps, keys = [], [], []
+                equal, fps = [], []
                 for data in text.raw(part, "text"):
                     hashes = shingles(data)
-                    fp, own = signature(hashes)
                     equal.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                    fps.append(fp)
-                    keys.append(own)
-                yield text.record(row=part.column("row"), id=part.column("id"), equal=pa.array(equal, pa.binary()), fp=pa.array(fps, pa.binary()), keys=pa.array(keys, pa.list_(pa.int64())))
+                    fps.append(fingerprint(hashes))
+                yield text.record(row=part.column("row"), id=part.column("id"), equal=pa.array(equal, pa.binary()), fp=pa.array(fps, pa.binary()))
 
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = StructType([*rows.schema.fields[:2], StructField("equal", BinaryType()), StructField("fp", BinaryType()), StructField("keys", ArrayType(LongType()))])
+    schema = StructType([*rows.schema.fields[:2], StructField("equal", BinaryType()), StructField("fp", BinaryType())])
     rows = scratch.materialise(rows.mapInArrow(run, schema).withColumn("node", F.monotonically_increasing_id()), "rows")
+    chosen = scratch.new_dir(df.sparkSession, "chosen")
+    with scratch.scope(df.sparkSession):  # only the ids that stay are needed after
+        _chosen(rows, text_col, similarity).write.parquet(chosen)
+    return rows.join(df.sparkSession.read.schema("node long").parquet(chosen), "node", "left_semi").select("row.*")
+
+
+def _chosen(rows: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    """``node`` of the row that stays of each group. ``rows(row, id, equal, fp, node)``."""
     # the order among rows: null ids last, then the smallest
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
     classes = scratch.materialise(rows.groupBy("equal").agg(F.min("node").alias("node"), first), "classes")
-    nodes = scratch.materialise(rows.where(F.size("keys") > 0).join(classes.select("node"), "node", "left_semi").select("node", "fp", "keys"), "nodes")
-    stars = _groups(rows.select("node", F.col(f"row.`{text_col}`").alias("text")), nodes, similarity)
+    nodes = rows.where(F.length("fp") > 0).join(classes.select("node"), "node", "left_semi")
+    nodes = scratch.materialise(nodes.select("node", "fp", F.col(f"row.`{text_col}`").alias("text")), "nodes")
+    stars = _groups(nodes.select("node", "text"), nodes.select("node", "fp"), similarity)
     rooted = classes.join(stars, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
-    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.node").alias("node"))
-    return rows.join(chosen, "node", "left_semi").select("row.*")
+    return rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.node").alias("node"))

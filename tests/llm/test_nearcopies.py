@@ -87,6 +87,18 @@ def test_planted_copies(spark):
     assert want <= got and len(got) <= len(want) + 4
 
 
+def test_no_pair_at_the_threshold_is_left_out(spark):
+    """Pairs at 0.8 to 0.83, short and long, among texts that share a long common passage: exactly the groups of all pairs."""
+    rng, shared, texts = random.Random(6), " ".join(words(60, 900)), []
+    for i in range(150):
+        base = " ".join(words(rng.randint(20, 250), 2000 + i)) + (" " + shared if i % 3 == 0 else "")
+        texts += [base, edited(base, 0.8, rng)]
+    found = groups(texts)
+    assert len(found) < 200  # nearly all of them are pairs
+    got = {r["doc_id"] for r in nearcopies.keeps(spark.createDataFrame(rows(texts), SCHEMA).repartition(3)).collect()}
+    assert got == found
+
+
 def test_large_group_and_chain(spark):
     """Hundreds of copies of one text; and texts each near the next only, which is one group."""
     rng, base = random.Random(5), " ".join(words(200, 9))
