@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from duotide import scratch
 from duotide.llm import text
@@ -47,6 +47,8 @@ BUDGET, CHAIN = 6, 4
 SLICE = 255
 #: Texts, by hash, from which the common shingles are learnt; how often such a shingle is in them; how many are kept.
 SAMPLE, COMMON, KEPT = 20_000, 3, 100_000
+#: Ids that may be sent to every task, so that no text is shuffled to be picked; more are joined.
+SENT = 1_000_000
 
 #: Multiplier that joins the hashes of words, and steps from a hash to its lanes.
 _FACTOR, _STEPS = np.uint64(0x9E3779B97F4A7C15), np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -139,10 +141,15 @@ def _sets(rows: DataFrame) -> DataFrame:
     return text.map_batches(rows.select("node", "text"), run, "node long, s array<long>")
 
 
+def _by_node(rows: DataFrame, nodes: DataFrame, how: str) -> DataFrame:
+    """``rows`` in or not in the written ``nodes``; texts stay where they are while these are few."""
+    return rows.join(F.broadcast(nodes) if nodes.count() <= SENT else nodes, "node", how)
+
+
 def _similar(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` that are near copies, written. ``rows(node, text)``."""
     asked = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
-    sets = scratch.materialise(_sets(rows.join(asked, "node", "left_semi")), "sets")
+    sets = scratch.materialise(_sets(_by_node(rows, scratch.materialise(asked, "asked"), "left_semi")), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return scratch.materialise(both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar")
@@ -158,10 +165,11 @@ def _led(nodes: DataFrame) -> DataFrame:
     return scratch.materialise(_chained(pairs.join(left, "a").join(right, "b")), "led")
 
 
-def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that many texts of a sample have, ascending, and how many of its texts have each."""
-    share = max(1, rows.count() // SAMPLE)
-    sample = _sets(rows.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0)).select(F.explode("s").alias("h"))
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that many texts of a sample have, ascending, and how many of its texts have each. ``texts(text)``."""
+    share = max(1, texts.count() // SAMPLE)
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select(F.lit(0).cast("long").alias("node"), "text")
+    sample = _sets(sample).select(F.explode("s").alias("h"))
     found = sample.groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(KEPT).toArrow()
     h = found.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
@@ -178,22 +186,9 @@ def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity
     return hashes[np.lexsort((hashes, count))][: int(len(hashes) * (1 - similarity) + 1e-6) + 1]
 
 
-def _prefixes(rows: DataFrame, similarity: float) -> DataFrame:
-    """``(node, size, key, at)``: the shingles of each set's prefix with their places."""
-    common = rows.sparkSession.sparkContext.broadcast(_common(rows))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(x) for x in text.raw(batch, "text")]
-        keys = [prefix(s, common.value, similarity).view(np.int64) for s in sets]
-        return text.record(node=batch.column("node"), size=pa.array([len(s) for s in sets], pa.int32()), keys=pa.array(keys, pa.list_(pa.int64())))
-
-    found = text.map_batches(rows.select("node", "text"), run, "node long, size int, keys array<long>")
-    return found.select("node", "size", F.posexplode("keys").alias("at", "key"))
-
-
-def _joined(rows: DataFrame, stars: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b)`` of nodes in different components whose prefixes and sizes leave room for the similarity."""
-    every = _prefixes(rows, similarity)
+def _joined(nodes: DataFrame, stars: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)`` of nodes in different components whose prefixes and sizes leave room for the similarity. ``nodes(node, size, keys)``."""
+    every = nodes.select("node", "size", F.posexplode("keys").alias("at", "key"))
     shared = every.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     found = scratch.materialise(every.join(shared, "key", "left_semi"), "shared")
     members = scratch.materialise(found.join(stars, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("root")), "members")
@@ -210,10 +205,10 @@ def _joined(rows: DataFrame, stars: DataFrame, similarity: float) -> DataFrame:
 
 
 def _groups(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """``(node, root)`` of the nodes that are not their component's smallest."""
-    led = _similar(rows, _led(nodes), similarity)
+    """``(node, root)`` of the nodes that are not their component's smallest. ``rows(node, text)``; ``nodes(node, fp, size, keys)``."""
+    led = _similar(rows, _led(nodes.select("node", "fp")), similarity)
     stars = scratch.materialise(components(led), "stars")
-    return components(led.unionByName(_similar(rows, _joined(rows, stars, similarity), similarity)))
+    return components(led.unionByName(_similar(rows, _joined(nodes, stars, similarity), similarity)))
 
 
 def keeps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -230,29 +225,33 @@ def keeps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar
         for batch in batches:
             for at in range(0, batch.num_rows, text.SLICE):
                 part = batch.slice(at, text.SLICE)
-                equal, fps = [], []
-                for data in text.raw(part, "text"):
-                    hashes = shingles(data)
-                    equal.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                    fps.append(fingerprint(hashes))
-                yield text.record(row=part.column("row"), id=part.column("id"), equal=pa.array(equal, pa.binary()), fp=pa.array(fps, pa.binary()))
+                sets = [shingles(data) for data in text.raw(part, "text")]
+                found = {
+                    "equal": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    "fp": pa.array([fingerprint(s) for s in sets], pa.binary()),
+                    "size": pa.array([len(s) for s in sets], pa.int32()),
+                    "keys": pa.array([prefix(s, common.value, similarity).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                }
+                yield text.record(row=part.column("row"), id=part.column("id"), **found)
 
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = StructType([*rows.schema.fields[:2], StructField("equal", BinaryType()), StructField("fp", BinaryType())])
-    rows = scratch.materialise(rows.mapInArrow(run, schema).withColumn("node", F.monotonically_increasing_id()), "rows")
-    chosen = scratch.new_dir(df.sparkSession, "chosen")
-    with scratch.scope(df.sparkSession):  # only the ids that stay are needed after
-        _chosen(rows, text_col, similarity).write.parquet(chosen)
-    return rows.join(df.sparkSession.read.schema("node long").parquet(chosen), "node", "left_semi").select("row.*")
+    common = df.sparkSession.sparkContext.broadcast(_common(rows.select("text")))
+    own = [StructField("equal", BinaryType()), StructField("fp", BinaryType()), StructField("size", IntegerType()), StructField("keys", ArrayType(LongType()))]
+    rows = rows.mapInArrow(run, StructType([*rows.schema.fields[:2], *own])).withColumn("node", F.monotonically_increasing_id())
+    rows = scratch.materialise(rows, "rows")
+    path = scratch.new_dir(df.sparkSession, "dropped")
+    with scratch.scope(df.sparkSession):  # only the ids of the rows that go are needed after
+        rows.select("node").join(_chosen(rows, text_col, similarity), "node", "left_anti").write.parquet(path)
+    return _by_node(rows, df.sparkSession.read.schema("node long").parquet(path), "left_anti").select("row.*")
 
 
 def _chosen(rows: DataFrame, text_col: str, similarity: float) -> DataFrame:
-    """``node`` of the row that stays of each group. ``rows(row, id, equal, fp, node)``."""
+    """``node`` of the row that stays of each group. ``rows(row, id, equal, fp, size, keys, node)``."""
     # the order among rows: null ids last, then the smallest
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
     classes = scratch.materialise(rows.groupBy("equal").agg(F.min("node").alias("node"), first), "classes")
-    nodes = rows.where(F.length("fp") > 0).join(classes.select("node"), "node", "left_semi")
-    nodes = scratch.materialise(nodes.select("node", "fp", F.col(f"row.`{text_col}`").alias("text")), "nodes")
-    stars = _groups(nodes.select("node", "text"), nodes.select("node", "fp"), similarity)
+    nodes = rows.where(F.length("fp") > 0).select("node", "fp", "size", "keys").join(classes.select("node"), "node", "left_semi")
+    nodes = scratch.materialise(nodes, "nodes")
+    stars = _groups(rows.select("node", F.col(f"row.`{text_col}`").alias("text")), nodes, similarity)
     rooted = classes.join(stars, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     return rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.node").alias("node"))
