@@ -225,13 +225,14 @@ def keeps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar
         for batch in batches:
             for at in range(0, batch.num_rows, text.SLICE):
                 part = batch.slice(at, text.SLICE)
-                sets = [shingles(data) for data in text.raw(part, "text")]
-                found = {
-                    "equal": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    "fp": pa.array([fingerprint(s) for s in sets], pa.binary()),
-                    "size": pa.array([len(s) for s in sets], pa.int32()),
-                    "keys": pa.array([prefix(s, common.value, similarity).view(np.int64) for s in sets], pa.list_(pa.int64())),
-                }
+                equal, fps, sizes, keys = [], [], [], []
+                for data in text.raw(part, "text"):
+                    hashes = shingles(data)
+                    equal.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                    fps.append(fingerprint(hashes))
+                    sizes.append(len(hashes))
+                    keys.append(prefix(hashes, common.value, similarity).view(np.int64))
+                found = {"equal": pa.array(equal, pa.binary()), "fp": pa.array(fps, pa.binary()), "size": pa.array(sizes, pa.int32()), "keys": pa.array(keys, pa.list_(pa.int64()))}
                 yield text.record(row=part.column("row"), id=part.column("id"), **found)
 
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
