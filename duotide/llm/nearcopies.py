@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from duotide import scratch
 from duotide.llm import text
@@ -189,8 +190,9 @@ def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity
 def _joined(nodes: DataFrame, stars: DataFrame, similarity: float) -> DataFrame:
     """``(a, b)`` of nodes in different components whose prefixes and sizes leave room for the similarity. ``nodes(node, size, keys)``."""
     every = nodes.select("node", "size", F.posexplode("keys").alias("at", "key"))
-    shared = every.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    found = scratch.materialise(every.join(shared, "key", "left_semi"), "shared")
+    alike = Window.partitionBy("key")  # most shingles are one node's
+    found = every.withColumns({"lo": F.min("node").over(alike), "hi": F.max("node").over(alike)}).where("lo < hi")
+    found = scratch.materialise(found.select("key", "node", "size", "at"), "shared")
     members = scratch.materialise(found.join(stars, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("root")), "members")
     mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     members = members.join(mixed, "key", "left_semi")
