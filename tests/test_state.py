@@ -272,3 +272,44 @@ def test_rows_without_a_model_stay(spark, monkeypatch, broadcast):
     rows = spark.createDataFrame([("s", 1.0, i) for i in range(9)] + [("t", 2.0, 10), (None, 3.0, 11)], "series_key string, x double, id long")
     got = scoring.score_by_series(rows, ["x"], models_frame(spark, 4.0), ["id"]).collect()
     assert len(got) == 11 and {(r[SERIES], r["prediction"]) for r in got} == {("s", 4.0), ("t", None), (None, None)}
+
+
+def test_packed_rows_are_one_a_key_however_many_keys_and_batches(streams):
+    streams.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    rows = streams.range(0, 4000, 1, 4).select((F.col("id") % 500).cast("int").alias("k"), F.col("id").alias("v"))
+    packed = state.packed(rows, "k")
+    found = packed.collect()
+    assert len(found) == 500 and all(len(r["v"]) == 8 and {v % 500 for v in r["v"]} == {r["k"]} for r in found)
+    assert state.packed(rows, "k", limit=1).select(F.explode("v")).distinct().count() == 4000  # cut often, nothing lost
+
+
+@pytest.mark.parametrize("buckets", [1, 2048])
+def test_series_of_one_call_keep_apart(streams, tmp_path, monkeypatch, buckets):
+    """A call of the state operator has a bucket of series; each has its own lags, moments and lateness."""
+    monkeypatch.setattr(state, "BUCKETS", buckets)
+    first = [(s, minute(i), i, 10.0 * n + i) for n, s in enumerate(("s", "t", "u", None)) for i in range(2 + n)]
+    second = [(s, minute(i), i, 100.0 * n + i * i) for n, s in enumerate(("t", "v", None)) for i in range(1, 6)]
+    run = Stream(streams, tmp_path, lagged)
+    run.take(records_of(streams, first))
+    run.take(records_of(streams, second))
+    want, held = [], {}
+    for part in (first, second):
+        newest = {s: h[-1][:2] for s, h in held.items()}
+        for s, at, n, value in sorted(part, key=lambda r: r[1:3]):
+            if s in newest and (at, n) <= newest[s]:
+                want.append((s, n, value, 0.0, 0.0, 0, True))
+                continue
+            before = [v for _, _, v in reversed(held.setdefault(s, []))][:2]
+            want.append((s, n, value, *[*before, 0.0, 0.0][:2], int(len(before) == 2), False))
+            held[s].append((at, n, value))
+    got = run.rows().select(SERIES, "offset", LABEL, f"`{LABEL}t-1`", f"`{LABEL}t-2`", "const", "late").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    folder = tmp_path / "models"
+    folder.mkdir()
+    fit = lambda s: state.incremental_var(state.lag_stream(queries.sensor_rows(s), 1, [LABEL]).where("const = 1").withColumn("part", F.lit(0)), features.lag_names(1, [LABEL]), "part")
+    models = Stream(streams, folder, fit)
+    models.take(records_of(streams, first))
+    models.take(records_of(streams, second))
+    assert sorted((str(r[SERIES]), r["n"]) for r in models.rows().collect()) == sorted(
+        [("s", 1.0), ("t", 2.0), ("u", 3.0), ("None", 4.0), ("t", 5.0), ("v", 4.0), ("None", 5.0)]
+    )
