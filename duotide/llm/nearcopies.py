@@ -20,6 +20,11 @@ of the first ``n - 2 t n / (1 + t) + 1`` of the smaller and the first ``m - t m
 at places that leave room for all they must share. So no link between components is lost.
 Any order is exact; which shingles are common is taken from a sample of ``SAMPLE`` texts.
 
+Before sets are sent to be compared, a sketch of each set bounds how much they differ: a
+shingle flips one bit of some ``ODD`` or more, so two sets differ in at least as many
+shingles as their sketches in bits. A pair whose bits differ in more than the similarity
+allows is no near copy; the sketch is an eighth of a byte a bit, the set eight bytes a shingle.
+
 Texts with equal sets are one node.
 """
 
@@ -51,6 +56,9 @@ SAMPLE, COMMON, KEPT = 20_000, 3, 100_000
 #: Ids that may be sent to every task, so that no text is shuffled to be picked; more are joined.
 SENT = 1_000_000
 
+#: Bits of a sketch at least, a power of two; a set of more shingles has more.
+ODD = 1024
+
 #: Multiplier that joins the hashes of words, and steps from a hash to its lanes.
 _FACTOR, _STEPS = np.uint64(0x9E3779B97F4A7C15), np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _PLACES = (np.uint64(1) << np.arange(WIDTH, dtype=np.uint64)).astype(np.int64)
@@ -106,6 +114,37 @@ def signature(hashes: np.ndarray) -> tuple[bytes, np.ndarray]:
     return value.astype("<u4").tobytes(), keys.ravel()
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Which bits are hit by an odd number of the hashes; as many bits as hashes or more, ``ODD`` at least."""
+    bits = max(ODD, 1 << max(len(hashes) - 1, 0).bit_length())
+    hit = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(hit.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differ(a: bytes, b: bytes) -> int:
+    """Of two sets by their sketches, how many shingles only one of them has, at least."""
+    a, b = (np.frombuffer(x, np.uint64) for x in sorted((a, b), key=len))
+    while len(b) > len(a):  # half as many bits: the upper half falls on the lower one
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _unapart(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sketches leave room for the similarity. ``nodes(node, size, odd)``."""
+    most = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+            apart = [differ(x, y) for x, y in zip(batch.column("oa").to_pylist(), batch.column("ob").to_pylist(), strict=True)]
+            good = pa.array(np.array(apart, np.int64) <= most * sizes + 1e-6)
+            yield text.record(a=batch.column("a").filter(good), b=batch.column("b").filter(good))
+
+    for side in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("size").alias(f"n{side}"), F.col("odd").alias(f"o{side}")), side)
+    return pairs.select("a", "b", "na", "nb", "oa", "ob").mapInArrow(run, "a long, b long")
+
+
 def passes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which pairs of fingerprints (rows of segments) have a chain, and are within the whole budget."""
     apart = np.bitwise_count(a ^ b).astype(np.int64)
@@ -188,7 +227,7 @@ def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity
 
 
 def _joined(nodes: DataFrame, stars: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b)`` of nodes in different components whose prefixes and sizes leave room for the similarity. ``nodes(node, size, keys)``."""
+    """``(a, b)`` of nodes in different components whose prefixes, sizes and sketches leave room for the similarity. ``nodes(node, size, odd, keys)``."""
     every = nodes.select("node", "size", F.posexplode("keys").alias("at", "key"))
     alike = Window.partitionBy("key")  # most shingles are one node's
     found = every.withColumns({"lo": F.min("node").over(alike), "hi": F.max("node").over(alike)}).where("lo < hi")
@@ -203,11 +242,12 @@ def _joined(nodes: DataFrame, stars: DataFrame, similarity: float) -> DataFrame:
     room = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) + 1e-6 >= least * (F.col("size_a") + F.col("size_b"))
     fits = ahead & room & (F.col("size_a") + 1e-6 >= F.lit(similarity) * F.col("size_b")) & (F.col("root_a") != F.col("root_b"))
     pairs = small.join(large.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & fits)
-    return scratch.materialise(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "joined")
+    pairs = scratch.materialise(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "joined")
+    return scratch.materialise(_unapart(pairs, nodes, similarity), "near")
 
 
 def _groups(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """``(node, root)`` of the nodes that are not their component's smallest. ``rows(node, text)``; ``nodes(node, fp, size, keys)``."""
+    """``(node, root)`` of the nodes that are not their component's smallest. ``rows(node, text)``; ``nodes(node, fp, size, odd, keys)``."""
     led = _similar(rows, _led(nodes.select("node", "fp")), similarity)
     stars = scratch.materialise(components(led), "stars")
     return components(led.unionByName(_similar(rows, _joined(nodes, stars, similarity), similarity)))
@@ -227,19 +267,20 @@ def keeps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar
         for batch in batches:
             for at in range(0, batch.num_rows, text.SLICE):
                 part = batch.slice(at, text.SLICE)
-                equal, fps, sizes, keys = [], [], [], []
+                equal, fps, sizes, odd, keys = [], [], [], [], []
                 for data in text.raw(part, "text"):
                     hashes = shingles(data)
                     equal.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                     fps.append(fingerprint(hashes))
                     sizes.append(len(hashes))
+                    odd.append(sketch(hashes))
                     keys.append(prefix(hashes, common.value, similarity).view(np.int64))
-                found = {"equal": pa.array(equal, pa.binary()), "fp": pa.array(fps, pa.binary()), "size": pa.array(sizes, pa.int32()), "keys": pa.array(keys, pa.list_(pa.int64()))}
+                found = {"equal": pa.array(equal, pa.binary()), "fp": pa.array(fps, pa.binary()), "size": pa.array(sizes, pa.int32()), "odd": pa.array(odd, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))}
                 yield text.record(row=part.column("row"), id=part.column("id"), **found)
 
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     common = df.sparkSession.sparkContext.broadcast(_common(rows.select("text")))
-    own = [StructField("equal", BinaryType()), StructField("fp", BinaryType()), StructField("size", IntegerType()), StructField("keys", ArrayType(LongType()))]
+    own = [StructField("equal", BinaryType()), StructField("fp", BinaryType()), StructField("size", IntegerType()), StructField("odd", BinaryType()), StructField("keys", ArrayType(LongType()))]
     rows = rows.mapInArrow(run, StructType([*rows.schema.fields[:2], *own])).withColumn("node", F.monotonically_increasing_id())
     rows = scratch.materialise(rows, "rows")
     path = scratch.new_dir(df.sparkSession, "dropped")
@@ -249,11 +290,11 @@ def keeps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar
 
 
 def _chosen(rows: DataFrame, text_col: str, similarity: float) -> DataFrame:
-    """``node`` of the row that stays of each group. ``rows(row, id, equal, fp, size, keys, node)``."""
+    """``node`` of the row that stays of each group. ``rows(row, id, equal, fp, size, odd, keys, node)``."""
     # the order among rows: null ids last, then the smallest
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
     classes = scratch.materialise(rows.groupBy("equal").agg(F.min("node").alias("node"), first), "classes")
-    nodes = rows.where(F.length("fp") > 0).select("node", "fp", "size", "keys").join(classes.select("node"), "node", "left_semi")
+    nodes = rows.where(F.length("fp") > 0).select("node", "fp", "size", "odd", "keys").join(classes.select("node"), "node", "left_semi")
     nodes = scratch.materialise(nodes, "nodes")
     stars = _groups(rows.select("node", F.col(f"row.`{text_col}`").alias("text")), nodes, similarity)
     rooted = classes.join(stars, "node", "left").select("first", F.coalesce("root", "node").alias("root"))

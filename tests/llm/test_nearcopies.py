@@ -128,3 +128,35 @@ def test_ids(spark, ids):
     frame = spark.createDataFrame([(i, "one two three four five six") for i in ids], "doc_id long, text string")
     got = nearcopies.keeps(frame).collect()
     assert len(got) == 1 and got[0]["doc_id"] == next((i for i in ids if i is not None), None)
+
+
+def test_sketches_never_overstate_the_difference():
+    rng = np.random.default_rng(5)
+    for n, m, both in [(0, 0, 0), (1, 0, 0), (300, 320, 290), (1024, 1025, 1000), (5000, 900, 100), (3000, 4100, 2900), (400, 400, 0)]:
+        every = rng.integers(0, 1 << 63, n + m - both, dtype=np.int64).view(np.uint64)
+        a, b = every[:n], every[n - both :]
+        at_most = n + m - 2 * both
+        found = nearcopies.differ(nearcopies.sketch(a), nearcopies.sketch(b))
+        assert found <= at_most and nearcopies.differ(nearcopies.sketch(b), nearcopies.sketch(a)) == found
+        assert found > 0 or not at_most
+    assert nearcopies.differ(nearcopies.sketch(every[:400]), nearcopies.sketch(every[400:])) > 800 / 9  # no near copy, and seen as none
+
+
+def test_sets_of_pairs_that_are_far_apart_are_not_sent(spark, monkeypatch):
+    """Texts that share one rare passage only meet in the prefix join; their sets stay where they are."""
+    asked, similar = [], nearcopies._similar
+
+    def seen(rows, pairs, similarity):
+        asked.append(pairs.count())
+        return similar(rows, pairs, similarity)
+
+    monkeypatch.setattr(nearcopies, "_similar", seen)
+    rng, common = random.Random(9), [" ".join(words(60, 700 + k)) for k in range(40)]
+    # each text has a passage from a common stock, which the sample knows as common, and a rare one that 20 texts share
+    texts = [f"{' '.join(words(40, 5000 + i // 20))} {' '.join(rng.sample(common, 3))}" for i in range(200)]
+    base = " ".join(words(200, 9000))
+    texts += [base, edited(base, 0.8, random.Random(1))]
+    table = [(i, t, *rows([""])[0][2:]) for i, t in enumerate(texts)]
+    kept = {r["doc_id"] for r in nearcopies.keeps(spark.createDataFrame(table, SCHEMA)).select("doc_id").collect()}
+    assert kept == groups(texts)
+    assert sum(asked) < 300
