@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,15 @@ MARKS = b",.;:!?"
 LINE = 128
 
 
+def cells(strings: pa.LargeStringArray) -> list[bytes]:
+    """Bytes of each string, none of them missing."""
+    _, places, data = strings.buffers()
+    if not len(strings) or data is None:
+        return [b""] * len(strings)
+    cuts, data = np.frombuffer(places, np.int64)[strings.offset :][: len(strings) + 1].tolist(), data.to_pybytes()
+    return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 class WordTokens:
     """A tokenizer that lower-cases and drops white space, applied word by word, each distinct word once."""
 
@@ -60,20 +70,24 @@ class WordTokens:
         """Words as their tokens see them: in lower case, and the marks after a letter are tokens of their own."""
         known = self.known
         # special tokens are told apart by case; of others, only ASCII letters change here
-        special = [w for w in words if b"<|" in w]
-        plain = [w for w in words if b"<|" not in w] if special else list(words)
+        special = {w for w in words if b"<|" in w}
+        plain = list(words - special)
         low = b" ".join(plain).lower().split(b" ") if plain else []
-        cores = [c if len(c) == len(x) or c[-1:].isalnum() else x for x, c in ((x, x.rstrip(MARKS)) for x in low)]
-        new = {x[len(c) :] for x, c in zip(low, cores, strict=True) if len(c) != len(x)}
-        new.update(cores, special)
-        todo = list(new.difference(known))
+        cores, tails = [x.rstrip(MARKS) for x in low], {}
+        for i in [i for i, (c, x) in enumerate(zip(cores, low, strict=True)) if c is not x]:
+            if cores[i][-1:].isalnum():
+                tails[i] = low[i][len(cores[i]) :]
+            else:
+                cores[i] = low[i]
+        todo = list(special.union(cores, tails.values()).difference(known))
         known.update(zip(todo, self.apart([w.decode() for w in todo]), strict=True))
-        known.update([(w, known[c] if len(c) == len(x) else known[c] + known[x[len(c) :]]) for w, x, c in zip(plain, low, cores, strict=True)])
+        known.update([(w, known[c]) for w, c in zip(plain, cores, strict=True) if w != c])
+        known.update([(plain[i], known[cores[i]] + known[tail]) for i, tail in tails.items()])
 
     def apart(self, words: list[str]) -> list[bytes]:
         """Ids of each word. Words that keep their length in bytes are tokenised by the line and cut where their bytes end."""
         # printable Latin-1 is in composed form, has no white space, and changes no length in lower case
-        whole = [w.isprintable() and "<|" not in w and max(w) < "\u0100" for w in words]
+        whole = [(w.isascii() or max(w) < "\u0100") and w.isprintable() and "<|" not in w for w in words]
         lines = [w for w, ok in zip(words, whole, strict=True) if ok]
         cut = self.by_line(lines)
         if cut is None:
@@ -98,16 +112,26 @@ class WordTokens:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, little-endian, in ``kind``."""
-        known, split = self.known, [data.split() for data in texts]
-        words = set().union(*split)
+        known = self.known
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        every = split.flatten().dictionary_encode()
+        distinct = cells(every.dictionary)
+        words = set(distinct) - {b""}
         if len(known) + len(words) > KEPT:
             known.clear()
         self.learn(words.difference(known))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        got = [known[w] if w else w for w in distinct]  # a text that begins or ends with white space has empty words there
         for w in words:
             if len(w) > LONGEST:
                 known.pop(w, None)
-        return out
+        ids = np.frombuffer(b"".join(got), self.kind)
+        size = np.array([len(x) for x in got], np.int64) // ids.itemsize
+        number = every.indices.to_numpy()
+        sizes = size[number]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat((np.cumsum(size) - size)[number] - ends[:-1], sizes) + np.arange(ends[-1])
+        data, cuts = ids[at].tobytes(), (ends[split.offsets.to_numpy()] * ids.itemsize).tolist()
+        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)

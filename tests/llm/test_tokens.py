@@ -126,3 +126,24 @@ def test_pack(awkward, nothing):
     assert sorted(at) == list(range(len(at))) and all(n == 2048 or n < 2048 and n & n - 1 == 0 for n in at.values())
     assert packing.pack(nothing, WORDS).count() == 0
     assert sum(r["length"] for r in packing.pack(awkward, WORDS).collect() if r["id"] is None) > 2
+
+
+def test_distinct_words_of_a_slice_are_looked_up_once():
+    """A slice's words are told apart in Arrow: what Python handles grows with the distinct ones, not with all."""
+    from duotide.llm import packing
+    from duotide.llm.catalog import tokenizer
+
+    class Known(dict):
+        asked = 0
+
+        def __getitem__(self, word):
+            Known.asked += 1
+            return super().__getitem__(word)
+
+    texts = [b"", b" \n", b"  Alpha beta,  beta\tGAMMA!\x0b", "ünï beta… <|end|> x...".encode(), b"beta " * 5000, b"\x1c\x85".decode("latin-1").encode(), b"alpha"]
+    model = packing.WordTokens(tokenizer("word_bpe_49k.json"))
+    want = [b"".join(np.array(model.tokenizer.encode(w.decode(), add_special_tokens=False).ids, model.kind).tobytes() for w in x.split()) for x in texts]
+    model.known = Known()
+    assert model.encode(texts) == want
+    assert Known.asked < 100
+    assert model.encode([]) == [] and model.encode([b"", b"   "]) == [b"", b""]
