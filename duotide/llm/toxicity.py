@@ -323,6 +323,14 @@ class Model:
         return [got[k] for k in keys]
 
 
+def cells(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in all cells of a column of bytes, and where each cell's begin, with the end."""
+    whole = pa.concat_arrays([pa.array([], column.type), *column.chunks])
+    _, places, data = whole.buffers()
+    at = np.frombuffer(places, "<i8" if pa.types.is_large_binary(column.type) else "<i4")[whole.offset :][: len(whole) + 1].astype(np.int64) if len(whole) else np.zeros(1, np.int64)
+    return np.frombuffer(data.to_pybytes() if data else b"", np.uint8)[: at[-1]].view(kind), at // np.dtype(kind).itemsize
+
+
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES) -> Model:
     """Learn from at most ``examples`` of the ``labels(id, label)`` rows, drawn by hash of the id.
 
@@ -348,21 +356,20 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
                     column.append(cell.tobytes())
             yield text.record(id=batch.column("id"), label=batch.column("label"), words=columns[0], n=columns[1], marks=columns[2], m=columns[3])
 
-    got = rows.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(run, "id long, label int, words binary, n binary, marks binary, m binary").collect()
-    got.sort(key=lambda r: r["id"])
-    ids, labelled = [r["id"] for r in got], np.array([r["label"] for r in got], np.int64)
-    flat, rest = np.frombuffer(b"".join(r["words"] for r in got), "<u8"), [(len(r["words"]) // 8, r["n"], r["marks"], r["m"]) for r in got]
+    # as Arrow columns: rows would be decoded, pickled and held once more on the driver
+    got = rows.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(run, "id long, label int, words binary, n binary, marks binary, m binary").toArrow().sort_by("id")
+    ids, labelled = got.column("id").to_pylist(), got.column("label").to_numpy().astype(np.int64)
+    (flat, at), (n, _), (marks, marked), (m, _) = (cells(got.column(c), kind) for c, kind in (("words", "<u8"), ("n", "<i4"), ("marks", "<i4"), ("m", "<i4")))
     del got
+    pa.default_memory_pool().release_unused()
     words = np.unique(flat)
     numbers = np.searchsorted(words, flat).astype(np.int32)
     del flat
-    vectors, found, at = Vectors(terms, words, np.bincount(numbers, minlength=len(words)), len(ids)), [], 0
-    for size, n, marks, m in rest:
-        own = np.concatenate([np.frombuffer(marks, "<i4"), numbers[at : at + size] + np.int32(len(terms))])
-        counts = np.concatenate([np.frombuffer(m, "<i4"), np.frombuffer(n, "<i4")]).astype(float)
-        found.append(vectors.unit(own, counts, np.zeros(0)) if size else None)
-        at += size
-    del rest, numbers
+    vectors, found = Vectors(terms, words, np.bincount(numbers, minlength=len(words)), len(ids)), []
+    for a, b, c, d in zip(at[:-1], at[1:], marked[:-1], marked[1:], strict=True):
+        own = np.concatenate([marks[c:d], numbers[a:b] + np.int32(len(terms))])
+        found.append(vectors.unit(own, np.concatenate([m[c:d], n[a:b]]).astype(float), np.zeros(0)) if b > a else None)
+    del numbers, n, marks, m
     model = Model(vectors, ids, found, labelled)
     del found  # the index holds it all
     # each example's vote by the others, in tasks, since it costs what scoring as many texts does

@@ -128,3 +128,14 @@ def test_quality_corners(spark, awkward, nothing):
     one = quality.keeps(awkward, labels.where("label = 1"))
     assert one.count() == awkward.count()  # nothing to tell apart: nothing is rejected
     assert quality.posteriors(nothing, labels).count() == 0 and quality.keeps(nothing, labels).count() == 0
+
+
+def test_cells_of_a_column_are_cut_where_they_end():
+    import pyarrow as pa
+
+    rows = [np.array(x, "<i4") for x in ([1, 2, 3], [], [7], [5, 6])]
+    column = pa.chunked_array([pa.array([r.tobytes() for r in rows[:2]], pa.binary()), pa.array([b"skip", *(r.tobytes() for r in rows[2:])], pa.binary()).slice(1)])
+    numbers, at = toxicity.cells(column, "<i4")
+    assert [numbers[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [r.tolist() for r in rows]
+    numbers, at = toxicity.cells(pa.chunked_array([], pa.binary()), "<u8")
+    assert len(numbers) == 0 and at.tolist() == [0]
