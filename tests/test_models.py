@@ -191,3 +191,14 @@ def test_training_begins_with_given_weights(spark):
     none = model.train(rows, ["a", "b"], "y", epochs=0, **options).first()["weights"]
     one = model.train(rows, ["a", "b"], "y", epochs=1, rate=1e-9, **options).first()["weights"]
     assert one == pytest.approx(none, rel=1e-4, abs=1e-4)
+
+
+def test_gated_network_goes_over_rows_in_slices(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2 * model.SLICE + 7, 3))
+    parts = model.unpack(model._initial(3, 5, 4, 1), 3, 5, 4)
+    whole, sizes, forward = model.gated_forward(parts, x)[0], [], model.gated_forward
+    monkeypatch.setattr(model, "gated_forward", lambda p, rows: sizes.append(len(rows)) or forward(p, rows))
+    assert np.allclose(model.gated_outputs(parts, x), whole, rtol=0, atol=1e-12)
+    assert sizes == [model.SLICE, model.SLICE, 7]
+    assert model.gated_outputs(parts, x[:0]).shape == (0,)
