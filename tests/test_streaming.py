@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from duotide.functions import codec
 from duotide.operators import features, model, registry
-from duotide.plans import frames
-from duotide.schemas import PREDICTION_FIELDS, RECORD_SCHEMA, SENSORS, SERIES, TIME
+from duotide.plans import catalog_streams, frames, kpi
+from duotide.schemas import HYBRID_FIELDS, PREDICTION_FIELDS, RECORD_SCHEMA, SENSORS, SERIES, TIME
 from duotide.sources import readers, sinks
 from duotide.streaming import queries
 
@@ -172,3 +172,40 @@ def test_epoch_rewrite_replaces_only_that_epoch(spark, tmp_path):
 def test_kafka_source_needs_the_connector(spark):
     with pytest.raises(Exception, match="kafka"):
         readers.kafka_stream(spark, "localhost:1", ["a", "b"], max_offsets=10)
+
+
+def test_two_layer_decodes_a_batch_once(spark, folders, tmp_path, monkeypatch):
+    decoded, decode = [], queries.sensor_rows
+    monkeypatch.setattr(queries, "sensor_rows", lambda *a, **k: decoded.append(1) or decode(*a, **k))
+    paths = [str(tmp_path / n) for n in ("registry", "sent", "rows", "kpi", "weights")]
+    on_batch = queries.two_layer(*paths[:3], {"path": paths[3]}, paths[4], 1, [SENSORS[-1]], clock=lambda: 7.0)
+    for at in (0, 40):
+        folders.feed(_sensor_records(spark, range(at, at + 40))[1], on_batch)
+    assert len(decoded) == 2
+    assert spark.read.parquet(f"{paths[1]}/speed/epoch_id=1").count() == 39
+
+
+def test_kpi_row_of_an_epoch_sorts_nothing(spark):
+    names = [c for c in HYBRID_FIELDS if c != "TS"]
+    rows = [(s, T0 + timedelta(minutes=m), *[v + i for i in range(len(names))]) for s, m, v in (("b", 1, 5.0), ("a", 1, 7.0), ("c", 2, 9.0))]
+    rows.append(("a", T0, *[None] * len(names)))  # incomplete
+    df = spark.createDataFrame(rows, f"{SERIES} string, TS timestamp, " + ", ".join(f"{c} double" for c in names))
+    options = dict(order=("TS", SERIES), publish_time=F.lit(1.0), complete=HYBRID_FIELDS)
+    got = kpi.of_epoch(df, 4, **options)
+    assert got.collect() == kpi.rollup(df.withColumn("epoch_id", F.lit(4).cast("bigint")), **options).collect()
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert kpi.of_epoch(df.where(F.col(names[0]).isNull()), 4, **options).isEmpty()
+
+
+def test_feed_reads_a_part_without_the_others(spark, monkeypatch):
+    plans = []
+    rows = spark.range(30).select(F.lit("s").alias("key"), F.col("id").alias("offset"))
+
+    def to_records(part):
+        plans.append(part._jdf.queryExecution().executedPlan().toString())
+        record = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in RECORD_SCHEMA.fields}
+        return part.select(*[F.col(n).cast(RECORD_SCHEMA[n].dataType).alias(n) if n in part.columns else c for n, c in record.items()])
+
+    seen = []
+    catalog_streams._feed(spark, (F.col("offset") % 3).cast("int"), rows, to_records, lambda stream: seen.append(stream.isStreaming))
+    assert seen == [True] * 3 and all("PartitionFilters: [isnotnull(_part" in p for p in plans)
