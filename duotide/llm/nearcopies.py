@@ -12,15 +12,19 @@ consecutive segments differ in at most as many times ``BUDGET`` bits, and all in
 times that. (Pigeonring: a pair within the whole budget has such a start.) What passes
 is compared by the shingles themselves. So nothing is linked wrongly.
 
-Fingerprints bring most copies together: nodes that share a whole segment are compared
-with the smallest that has it, never all with all. What they miss is found by an exact
+Fingerprints bring most copies together: nodes that share a whole segment are led by
+the smallest that has it. A node is compared with the leader that it shares most segments
+with, then with its other leaders that are not in its component by now, so a large group
+of near copies costs one comparison a node. What they miss is found by an exact
 join of the sets, between nodes that are not yet in one component: with all shingles in
 one order, rare ones first, two sets of ``n <= m`` shingles and similarity ``t`` share one
 of the first ``n - 2 t n / (1 + t) + 1`` of the smaller and the first ``m - t m + 1`` of the larger,
 at places that leave room for all they must share. So no link between components is lost.
 Any order is exact; which shingles are common is taken from a sample of ``SAMPLE`` texts.
 
-Before sets are sent to be compared, a sketch of each set bounds how much they differ: a
+Of shingles that the very same prefixes hold, the join takes the first, which stands for all.
+A pair meets in it only if ``BITS`` parity bits of the sets leave room for the similarity.
+Before sets are sent to be compared, a longer sketch of each set bounds how much they differ: a
 shingle flips one bit of some ``ODD`` or more, so two sets differ in at least as many
 shingles as their sketches in bits. A pair whose bits differ in more than the similarity
 allows is no near copy; the sketch is an eighth of a byte a bit, the set eight bytes a shingle.
@@ -31,6 +35,8 @@ Texts with equal sets are one node.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +62,8 @@ SAMPLE, COMMON, KEPT = 20_000, 3, 100_000
 #: Ids that may be sent to every task, so that no text is shuffled to be picked; more are joined.
 SENT = 1_000_000
 
-#: Bits of a sketch at least, a power of two; a set of more shingles has more.
-ODD = 1024
+#: Bits of a sketch at least, a power of two; a set of more shingles has more. Bits that go through the join of prefixes, 64 a number.
+ODD, BITS = 1024, 512
 
 #: Multiplier that joins the hashes of words, and steps from a hash to its lanes.
 _FACTOR, _STEPS = np.uint64(0x9E3779B97F4A7C15), np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -121,6 +127,11 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(hit.astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(odd: bytes) -> np.ndarray:
+    """A sketch as ``BITS`` bits: it would be the same with that many to begin with."""
+    return np.bitwise_xor.reduce(np.frombuffer(odd, np.int64).reshape(-1, BITS // 64), axis=0)
+
+
 def differ(a: bytes, b: bytes) -> int:
     """Of two sets by their sketches, how many shingles only one of them has, at least."""
     a, b = (np.frombuffer(x, np.uint64) for x in sorted((a, b), key=len))
@@ -195,14 +206,24 @@ def _similar(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     return scratch.materialise(both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar")
 
 
-def _led(nodes: DataFrame) -> DataFrame:
-    """``(a, b)`` of nodes that share a segment with the smallest node that has it, and pass. ``nodes(node, fp)``."""
+def _led(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)`` of near copies that share a segment, one of them the smallest node that has it. ``rows(node, text)``; ``nodes(node, fp)``.
+
+    Each node meets one leader first; the others only if that leaves them in different components.
+    """
     segment = lambda i: F.xxhash64(i, F.substring(F.col("fp"), i * 4 + 1, F.lit(4)))
     keyed = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), segment)).alias("key"))
     leaders = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader")
-    pairs = keyed.join(leaders, "key").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = keyed.join(leaders, "key").where("node <> leader").groupBy("leader", "node").agg(F.count("*").alias("n"))
+    pairs = scratch.materialise(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b"), "n"), "leaders")
     left, right = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    return scratch.materialise(_chained(pairs.join(left, "a").join(right, "b")), "led")
+    met = lambda p: _similar(rows, scratch.materialise(_chained(p.join(left, "a").join(right, "b")), "led"), similarity)
+    found = met(pairs.groupBy("b").agg(F.max_by("a", "n").alias("a")).select("a", "b"))
+    stars = scratch.materialise(components(found), "led-stars")
+    for side in "ab":
+        own = stars.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+        pairs = pairs.join(own, side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
+    return found.unionByName(met(pairs.where("ra <> rb").select("a", "b")))
 
 
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -227,28 +248,35 @@ def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity
 
 
 def _joined(nodes: DataFrame, stars: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b)`` of nodes in different components whose prefixes, sizes and sketches leave room for the similarity. ``nodes(node, size, odd, keys)``."""
+    """``(a, b)`` of nodes in different components whose prefixes, sizes and sketches leave room for the similarity. ``nodes(node, size, odd, bits, keys)``."""
     every = nodes.select("node", "size", F.posexplode("keys").alias("at", "key"))
     alike = Window.partitionBy("key")  # most shingles are one node's
     found = every.withColumns({"lo": F.min("node").over(alike), "hi": F.max("node").over(alike)}).where("lo < hi")
     found = scratch.materialise(found.select("key", "node", "size", "at"), "shared")
     members = scratch.materialise(found.join(stars, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("root")), "members")
-    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    members = members.join(mixed, "key", "left_semi")
+    # keys of the very same nodes find the same pairs: the first in the order leaves them the most room
+    same = {"n": F.count("*"), "least": F.min("node"), "x": F.bit_xor(F.xxhash64("node")), "y": F.bit_xor(F.xxhash64("node", F.lit(1)))}
+    mixed = members.groupBy("key").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("at", "node").alias("place"), *[c.alias(k) for k, c in same.items()]
+    )
+    mixed = mixed.where("lo < hi").groupBy(*same).agg(F.min_by("key", "place").alias("key")).select("key")
+    members = members.join(mixed, "key", "left_semi").join(nodes.select("node", "bits"), "node")
     least = F.lit(similarity / (1 + similarity))
-    small = members.where(F.col("at") <= F.col("size") * (1 - 2 * least) + 1e-6).select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "at", "root")])
-    large = members.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "at", "root")])
+    small = members.where(F.col("at") <= F.col("size") * (1 - 2 * least) + 1e-6).select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "at", "root", "bits")])
+    large = members.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "at", "root", "bits")])
     ahead = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("node_a") < F.col("node_b")))
     room = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) + 1e-6 >= least * (F.col("size_a") + F.col("size_b"))
     fits = ahead & room & (F.col("size_a") + 1e-6 >= F.lit(similarity) * F.col("size_b")) & (F.col("root_a") != F.col("root_b"))
+    apart = reduce(add, [F.bit_count(F.get("bits_a", i).bitwiseXOR(F.get("bits_b", i))) for i in range(BITS // 64)])
+    fits = fits & (apart <= (1 - similarity) / (1 + similarity) * (F.col("size_a") + F.col("size_b")) + 1e-6)
     pairs = small.join(large.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & fits)
     pairs = scratch.materialise(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "joined")
     return scratch.materialise(_unapart(pairs, nodes, similarity), "near")
 
 
 def _groups(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """``(node, root)`` of the nodes that are not their component's smallest. ``rows(node, text)``; ``nodes(node, fp, size, odd, keys)``."""
-    led = _similar(rows, _led(nodes.select("node", "fp")), similarity)
+    """``(node, root)`` of the nodes that are not their component's smallest. ``rows(node, text)``; ``nodes(node, fp, size, odd, bits, keys)``."""
+    led = _led(rows, nodes.select("node", "fp"), similarity)
     stars = scratch.materialise(components(led), "stars")
     return components(led.unionByName(_similar(rows, _joined(nodes, stars, similarity), similarity)))
 
@@ -267,20 +295,21 @@ def keeps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar
         for batch in batches:
             for at in range(0, batch.num_rows, text.SLICE):
                 part = batch.slice(at, text.SLICE)
-                equal, fps, sizes, odd, keys = [], [], [], [], []
+                equal, fps, sizes, odd, bits, keys = [], [], [], [], [], []
                 for data in text.raw(part, "text"):
                     hashes = shingles(data)
                     equal.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                     fps.append(fingerprint(hashes))
                     sizes.append(len(hashes))
                     odd.append(sketch(hashes))
+                    bits.append(folded(odd[-1]))
                     keys.append(prefix(hashes, common.value, similarity).view(np.int64))
-                found = {"equal": pa.array(equal, pa.binary()), "fp": pa.array(fps, pa.binary()), "size": pa.array(sizes, pa.int32()), "odd": pa.array(odd, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))}
+                found = {"equal": pa.array(equal, pa.binary()), "fp": pa.array(fps, pa.binary()), "size": pa.array(sizes, pa.int32()), "odd": pa.array(odd, pa.binary()), "bits": pa.array(bits, pa.list_(pa.int64())), "keys": pa.array(keys, pa.list_(pa.int64()))}
                 yield text.record(row=part.column("row"), id=part.column("id"), **found)
 
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     common = df.sparkSession.sparkContext.broadcast(_common(rows.select("text")))
-    own = [StructField("equal", BinaryType()), StructField("fp", BinaryType()), StructField("size", IntegerType()), StructField("odd", BinaryType()), StructField("keys", ArrayType(LongType()))]
+    own = [StructField("equal", BinaryType()), StructField("fp", BinaryType()), StructField("size", IntegerType()), StructField("odd", BinaryType()), StructField("bits", ArrayType(LongType())), StructField("keys", ArrayType(LongType()))]
     rows = rows.mapInArrow(run, StructType([*rows.schema.fields[:2], *own])).withColumn("node", F.monotonically_increasing_id())
     rows = scratch.materialise(rows, "rows")
     path = scratch.new_dir(df.sparkSession, "dropped")
@@ -290,11 +319,11 @@ def keeps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar
 
 
 def _chosen(rows: DataFrame, text_col: str, similarity: float) -> DataFrame:
-    """``node`` of the row that stays of each group. ``rows(row, id, equal, fp, size, odd, keys, node)``."""
+    """``node`` of the row that stays of each group. ``rows(row, id, equal, fp, size, odd, bits, keys, node)``."""
     # the order among rows: null ids last, then the smallest
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
     classes = scratch.materialise(rows.groupBy("equal").agg(F.min("node").alias("node"), first), "classes")
-    nodes = rows.where(F.length("fp") > 0).select("node", "fp", "size", "odd", "keys").join(classes.select("node"), "node", "left_semi")
+    nodes = rows.where(F.length("fp") > 0).select("node", "fp", "size", "odd", "bits", "keys").join(classes.select("node"), "node", "left_semi")
     nodes = scratch.materialise(nodes, "nodes")
     stars = _groups(rows.select("node", F.col(f"row.`{text_col}`").alias("text")), nodes, similarity)
     rooted = classes.join(stars, "node", "left").select("first", F.coalesce("root", "node").alias("root"))

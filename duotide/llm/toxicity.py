@@ -98,38 +98,46 @@ class Vectors:
         self.terms, self.words = terms, words  # words: sorted hashes
         self.idf = np.concatenate([[idf for _, idf in terms.values()], np.log((1 + total) / (1 + df)) + 1.0])
         self.unseen = math.log(1 + total) + 1.0
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, int] = {}
+        self.marked: dict[str, list[int]] = {}  # of the known words, those that have marks
 
     def __len__(self) -> int:
         return len(self.idf)
 
-    def find(self, word: str) -> tuple[int, ...]:
-        """Number of the word (-1: in no example), then its marks."""
+    def find(self, word: str) -> tuple[int, list[int]]:
+        """Number of the word (-1: in no example), and its marks."""
         key = np.uint64(word_key(word))
         at = int(np.searchsorted(self.words, key))
         number = len(self.terms) + at if at < len(self.words) and self.words[at] == key else -1
-        got = (number, *[self.terms[t][0] for t in terms_of(word) if t in self.terms])
-        if len(self.known) >= KEPT:
-            self.known.clear()
+        marks = [self.terms[t][0] for t in terms_of(word) if t in self.terms]
         if len(word) <= 64:
-            self.known[word] = got
-        return got
+            self.known[word] = number
+            if marks:
+                self.marked[word] = marks
+        return number, marks
 
     def vector(self, data: str) -> tuple[np.ndarray, np.ndarray] | None:
         """None: no words."""
-        known, numbers, counts, unseen, marks = self.known.get, [], [], [], {}
-        for word, n in Counter(WORD.findall(data.lower())).items():
-            number, *marked = known(word) or self.find(word)
-            if number < 0:
-                unseen.append(n)
-            else:
-                numbers.append(number)
-                counts.append(n)
-            for m in marked:
-                marks[m] = marks.get(m, 0) + n
-        if not numbers and not unseen:
+        seen = Counter(WORD.findall(data.lower()))
+        if not seen:
             return None
-        return self.unit(np.array([*numbers, *marks], np.int64), np.array([*counts, *marks.values()], float), np.array(unseen, float))
+        if len(self.known) >= KEPT:
+            self.known.clear()
+            self.marked.clear()
+        # looked up as a whole: most words are known, and few have marks
+        numbers, marks = list(map(self.known.get, seen)), {}
+        if None in numbers:
+            for i, word in enumerate(seen):
+                if numbers[i] is None:
+                    numbers[i], marked = self.find(word)
+                    for m in marked if len(word) > 64 else ():
+                        marks[m] = marks.get(m, 0) + seen[word]
+        for word in self.marked.keys() & seen.keys():
+            for m in self.marked[word]:
+                marks[m] = marks.get(m, 0) + seen[word]
+        terms, counts = np.array(numbers, np.int64), np.fromiter(seen.values(), float, len(seen))
+        there = terms >= 0
+        return self.unit(np.append(terms[there], np.array(list(marks), np.int64)), np.append(counts[there], np.array(list(marks.values()), float)), counts[~there])
 
     def unit(self, terms: np.ndarray, counts: np.ndarray, unseen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(terms)
@@ -247,9 +255,9 @@ class BlockMaxIndex:
         if not len(rows):
             return np.zeros(0), np.zeros(0, np.int64)
         starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-        at = np.repeat(self.first[rows] - starts, size) + np.arange(size.sum())
+        own = [slice(a, b) for a, b in zip(self.first[rows].tolist(), self.first[rows + 1].tolist(), strict=True)]
         self.query[terms] = weights
-        cosine = np.add.reduceat(self.weight[at] * self.query[self.term[at]], starts)
+        cosine = np.add.reduceat(np.concatenate([self.weight[x] for x in own]) * self.query[np.concatenate([self.term[x] for x in own])], starts)
         self.query[terms] = 0.0
         example = self.order[rows]
         least = np.partition(cosine, len(cosine) - k)[-k] if len(cosine) > k else 0.0

@@ -160,3 +160,35 @@ def test_sets_of_pairs_that_are_far_apart_are_not_sent(spark, monkeypatch):
     kept = {r["doc_id"] for r in nearcopies.keeps(spark.createDataFrame(table, SCHEMA)).select("doc_id").collect()}
     assert kept == groups(texts)
     assert sum(asked) < 300
+
+
+def test_folded_sketches_never_overstate_the_difference():
+    rng = np.random.default_rng(11)
+    for size in (1, 40, 900, 5000):
+        a = np.unique(rng.integers(0, 2**63, size, np.uint64))
+        b = np.unique(np.concatenate([a[: size // 2 + 1], rng.integers(0, 2**63, size // 3, np.uint64)]))
+        fa, fb = (nearcopies.folded(nearcopies.sketch(x)).view(np.uint64) for x in (a, b))
+        assert len(fa) * 64 == nearcopies.BITS
+        assert np.bitwise_count(fa ^ fb).sum() <= len(np.setxor1d(a, b))
+
+
+def test_a_group_of_near_copies_costs_few_comparisons(spark, monkeypatch):
+    rng, met, sets = random.Random(12), [], nearcopies._similar
+    base = " ".join(words(300, 12))
+    texts = [edited(base, 0.93, rng) for _ in range(60)] + [" ".join(words(200, 800 + k)) for k in range(20)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(nearcopies, "_similar", lambda rows, pairs, t: met.append(pairs.count()) or sets(rows, pairs, t))
+    assert {r.doc_id for r in nearcopies.keeps(df).collect()} == groups(texts)
+    assert sum(met) <= 2 * len(texts)
+
+
+def test_shingles_of_the_same_nodes_meet_once(spark):
+    def node(i, keys, size=30):
+        return (i, size, bytes(nearcopies.ODD // 8), [0] * (nearcopies.BITS // 64), keys)
+
+    found = [node(1, [5, 6, 7]), node(2, [5, 6, 7]), node(3, [6, 8]), node(4, [9])]
+    nodes = spark.createDataFrame(found, "node long, size int, odd binary, bits array<long>, keys array<long>")
+    stars = spark.createDataFrame([], "node long, root long")
+    assert sorted(tuple(r) for r in nearcopies._joined(nodes, stars, 0.8).collect()) == [(1, 2), (1, 3), (2, 3)]
+    far = spark.createDataFrame([(*r[:3], [(1 << 62) - 1 if r[0] == 3 else 0] * len(r[3]), r[4]) for r in found], nodes.schema)
+    assert [tuple(r) for r in nearcopies._joined(far, stars, 0.8).collect()] == [(1, 2)]
