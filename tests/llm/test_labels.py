@@ -139,3 +139,19 @@ def test_cells_of_a_column_are_cut_where_they_end():
     assert [numbers[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [r.tolist() for r in rows]
     numbers, at = toxicity.cells(pa.chunked_array([], pa.binary()), "<u8")
     assert len(numbers) == 0 and at.tolist() == [0]
+
+
+def test_words_are_looked_up_as_a_whole_with_their_marks():
+    long = "mark" + "x" * 70
+    words = np.unique(np.array([toxicity.word_key(w) for w in ("plain", "marked", long)], np.uint64))
+    terms = {"mark*": (0, 1.5), "marked": (1, 2.5)}
+    data = f"plain marked Marked unseen {long}"
+    made = toxicity.Vectors(terms, words, np.array([1, 2, 3]), 10)
+    found = made.vector(data)
+    again = made.vector(data)  # by now from memory
+    assert found[0].tolist()[:2] == [0, 1] and len(found[0]) == 5
+    assert all(np.array_equal(a, b) for a, b in zip(found, again, strict=True))
+    weight = (1 + np.log([3, 2])) * [1.5, 2.5]  # the beginning is in the long word too
+    assert np.allclose(found[1][:2] / found[1][0], weight / weight[0])
+    assert set(made.marked) == {"marked"} and long not in made.known
+    assert made.vector("...") is None
