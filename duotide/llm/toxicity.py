@@ -39,12 +39,28 @@ EXAMPLES, TERMS = 20_000, 20_000
 #: Beginnings of these lengths may be marks; a mark needs as many positive examples and standard deviations.
 BEGINNINGS, LEAST, SIGMAS = (4, 5, 6), 4, 5.0
 NEIGHBOURS, BLOCK, EVIDENCE = 25, 64, 3
+#: Kinds that examples are told apart by, and examples that are told apart at once.
+KINDS, CHUNK = 8, 1024
 #: Queries that meet the index together, neighbouring blocks visited at once, share of the examples from which on a term is in the matrix.
 TOGETHER, VISIT, COMMON = 256, 32, 1 / 24
 #: Words whose terms a worker remembers.
 KEPT = 300_000
 
 WORD = re.compile(r"\w+")
+#: Word characters beyond Latin-1; of Latin-1, the others as blanks.
+BEYOND, BLANKS = re.compile(r"[^\W\x00-\xff]"), bytes(i if WORD.match(chr(i)) else 32 for i in range(256))
+
+
+def words_of(data: str) -> list[str]:
+    """What ``WORD`` finds in the lower-cased text. Without word characters beyond Latin-1, as bytes, which is faster."""
+    low = data.lower()
+    try:
+        cut = low.encode("latin-1")
+    except UnicodeEncodeError:
+        if BEYOND.search(low):
+            return WORD.findall(low)
+        cut = low.encode("latin-1", "replace")
+    return cut.translate(BLANKS).decode("latin-1").split()
 
 
 def terms_of(word: str) -> list[str]:
@@ -60,7 +76,7 @@ def learnt_terms(examples: DataFrame, positive: int, total: int, limit: int = TE
         df, pos = Counter(), Counter()
         for batch in batches:
             for data, label in zip(text.strings(batch, "text"), batch.column("label").to_pylist(), strict=True):
-                found = {t for w in set(WORD.findall(data.lower())) for t in terms_of(w)}
+                found = {t for w in set(words_of(data)) for t in terms_of(w)}
                 df.update(found)
                 if label:
                     pos.update(found)
@@ -98,27 +114,28 @@ class Vectors:
         self.terms, self.words = terms, words  # words: sorted hashes
         self.idf = np.concatenate([[idf for _, idf in terms.values()], np.log((1 + total) / (1 + df)) + 1.0])
         self.unseen = math.log(1 + total) + 1.0
+        self.beginnings = [(k, {t[:-1]: i for t, (i, _) in terms.items() if len(t) == k + 1 and t[-1] == "*"}) for k in BEGINNINGS]
         self.known: dict[str, int] = {}
         self.marked: dict[str, list[int]] = {}  # of the known words, those that have marks
 
     def __len__(self) -> int:
         return len(self.idf)
 
-    def find(self, word: str) -> tuple[int, list[int]]:
-        """Number of the word (-1: in no example), and its marks."""
-        key = np.uint64(word_key(word))
-        at = int(np.searchsorted(self.words, key))
-        number = len(self.terms) + at if at < len(self.words) and self.words[at] == key else -1
-        marks = [self.terms[t][0] for t in terms_of(word) if t in self.terms]
-        if len(word) <= 64:
-            self.known[word] = number
-            if marks:
-                self.marked[word] = marks
-        return number, marks
+    def marks(self, word: str) -> list[int]:
+        own = [self.terms[word][0]] if word in self.terms else []
+        return own + [found[word[:k]] for k, found in self.beginnings if len(word) > k and word[:k] in found]
+
+    def find(self, words: list[str]) -> list[int]:
+        """Numbers of the words (-1: in no example)."""
+        keys = np.array([word_key(w) for w in words], np.uint64)
+        at = np.searchsorted(self.words, keys)
+        there = at < len(self.words)
+        there[there] = self.words[at[there]] == keys[there]
+        return np.where(there, at + len(self.terms), -1).tolist()
 
     def vector(self, data: str) -> tuple[np.ndarray, np.ndarray] | None:
         """None: no words."""
-        seen = Counter(WORD.findall(data.lower()))
+        seen = Counter(words_of(data))
         if not seen:
             return None
         if len(self.known) >= KEPT:
@@ -127,10 +144,17 @@ class Vectors:
         # looked up as a whole: most words are known, and few have marks
         numbers, marks = list(map(self.known.get, seen)), {}
         if None in numbers:
-            for i, word in enumerate(seen):
-                if numbers[i] is None:
-                    numbers[i], marked = self.find(word)
-                    for m in marked if len(word) > 64 else ():
+            places = [i for i, number in enumerate(numbers) if number is None]
+            words = list(seen)
+            new = [words[i] for i in places]
+            for i, word, number in zip(places, new, self.find(new), strict=True):
+                numbers[i], marked = number, self.marks(word)
+                if len(word) <= 64:
+                    self.known[word] = number
+                    if marked:
+                        self.marked[word] = marked
+                else:
+                    for m in marked:
                         marks[m] = marks.get(m, 0) + seen[word]
         for word in self.marked.keys() & seen.keys():
             for m in self.marked[word]:
@@ -151,44 +175,73 @@ class BlockMaxIndex:
     """Exact top-k by cosine over unit vectors."""
 
     def __init__(self, vectors: Sequence[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        # Examples that share their heaviest terms lie together, which keeps block bounds tight.
-        order = sorted(range(len(vectors)), key=[t[np.argsort(-w, kind="stable")[:8]].tolist() for t, w in vectors].__getitem__)
+        df = np.zeros(n_terms, np.int64)
+        for at in range(0, len(vectors), CHUNK):
+            df += np.bincount(np.concatenate([t for t, _ in vectors[at : at + CHUNK]]), minlength=n_terms)
+        # Inside, terms are numbered by falling number of examples: what is looked up often lies together.
+        self.named = np.argsort(-df, kind="stable").astype(np.int32)
+        self.number = np.empty_like(self.named)
+        self.number[self.named] = np.arange(n_terms, dtype=np.int32)
+        #: The first so many terms are in the matrix.
+        self.common = int(np.count_nonzero(df >= max(2, COMMON * len(vectors))))
+        # Examples of a kind lie together and of them those that share their heaviest terms, which keeps block bounds tight.
+        kind = self.kinds(vectors)
+        order = sorted(range(len(vectors)), key=[(k, t[np.argsort(-w, kind="stable")[:8]].tolist()) for k, (t, w) in zip(kind, vectors, strict=True)].__getitem__)
         self.order, self.n_terms = np.array(order, np.int64), n_terms
         self.blocks = -(-len(order) // BLOCK)
         self.first = np.concatenate([[0], np.cumsum([len(vectors[i][0]) for i in order])]).astype(np.int64)
         self.term, self.weight = np.zeros(self.first[-1], np.int32), np.zeros(self.first[-1])
         for at, i in enumerate(order):
             own = slice(self.first[at], self.first[at + 1])
-            self.term[own], self.weight[own] = vectors[i]
+            self.term[own], self.weight[own] = self.number[vectors[i][0]], vectors[i][1]
         self.places = np.argsort(self.order)
         self.ready = False
 
+    def kinds(self, vectors: Sequence[tuple[np.ndarray, np.ndarray]]) -> list[int]:
+        """A kind of each example, as its language may be: the nearest of a few centres in the common terms, fitted on some examples. Only speed depends on it."""
+
+        def dense(some: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+            row, term = np.repeat(np.arange(len(some)), [len(t) for t, _ in some]), self.number[np.concatenate([t for t, _ in some])]
+            out, inside = np.zeros((len(some), self.common), np.float32), term < self.common
+            out[row[inside], term[inside]] = np.concatenate([w for _, w in some])[inside]
+            return out
+
+        if not self.common:
+            return [0] * len(vectors)
+        rng = np.random.default_rng(0)
+        some = dense([vectors[i] for i in rng.permutation(len(vectors))[:CHUNK]])
+        some /= np.maximum(np.linalg.norm(some, axis=1, keepdims=True), 1e-9)
+        centres, far = some[:1], np.ones(len(some))
+        while len(centres) < KINDS and (far := np.minimum(far, np.maximum(1 - some @ centres[-1], 0))).sum() > 1e-3:
+            centres = np.append(centres, some[[rng.choice(len(some), p=far / far.sum())]], axis=0)
+        for _ in range(8):
+            nearest = (some @ centres.T).argmax(axis=1)
+            centres = (nearest == np.arange(len(centres))[:, None]).astype(np.float32) @ some
+            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+        return [k for at in range(0, len(vectors), CHUNK) for k in (dense(vectors[at : at + CHUNK]) @ centres.T).argmax(axis=1).tolist()]
+
     def __getstate__(self) -> dict:
         """Without what ``prepare`` derives."""
-        return {k: getattr(self, k) for k in ("order", "places", "n_terms", "blocks", "first", "term", "weight")} | {"ready": False}
+        return {k: getattr(self, k) for k in ("order", "places", "n_terms", "blocks", "first", "term", "weight", "named", "number", "common")} | {"ready": False}
 
     def prepare(self) -> None:
         row = np.repeat(np.arange(len(self.order), dtype=np.int32), np.diff(self.first))
-        df = np.bincount(self.term, minlength=self.n_terms)
-        common = np.flatnonzero(df >= max(2, COMMON * len(self.order)))
-        #: Column of a common term in the matrix, -1 for the others.
-        self.column = np.full(self.n_terms, -1, np.int32)
-        self.column[common] = np.arange(len(common))
-        inside = self.column[self.term] >= 0
-        self.matrix = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
-        self.matrix[row[inside], self.column[self.term[inside]]] = self.weight[inside]
+        inside = self.term < self.common
+        self.matrix = np.zeros((self.blocks * BLOCK, self.common), np.float32)
+        self.matrix[row[inside], self.term[inside]] = self.weight[inside]
         #: Of each common term, the largest weight that it has in each block.
-        self.most = self.matrix.reshape(self.blocks, BLOCK, len(common)).max(axis=1) if len(common) else np.zeros((self.blocks, 0), np.float32)
-        own, posted, weight = self.term[~inside], row[~inside], self.weight[~inside].astype(np.float32)
+        self.most = self.matrix.reshape(self.blocks, BLOCK, self.common).max(axis=1) if self.common else np.zeros((self.blocks, 0), np.float32)
+        #: Of each other term, its examples and weights, as pairs that are copied in one.
+        own, self.posted = self.term[~inside], np.empty(np.count_nonzero(~inside), [("row", np.int32), ("weight", np.float32)])
         by_term = np.argsort(own, kind="stable")
-        self.posted, self.posted_weight = posted[by_term], weight[by_term]
+        self.posted["row"], self.posted["weight"] = row[~inside][by_term], self.weight[~inside][by_term]
         self.posted_first = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=self.n_terms))]).astype(np.int64)
         self.query = np.zeros(self.n_terms)
         self.ready = True
 
     def vector(self, example: int) -> tuple[np.ndarray, np.ndarray]:
         own = slice(self.first[at := int(self.places[example])], self.first[at + 1])
-        return self.term[own].astype(np.int64), self.weight[own]
+        return self.named[self.term[own]].astype(np.int64), self.weight[own]
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         return self.top_of([(terms, weights)], k, [without])[0]
@@ -200,13 +253,19 @@ class BlockMaxIndex:
         if not self.ready:
             self.prepare()
         near, dense = np.zeros((len(queries), self.blocks * BLOCK), np.float32), np.zeros((len(queries), self.matrix.shape[1]), np.float32)
+        queries = [(self.number[terms], weights) for terms, weights in queries]
+        pairs = self.posted.view(np.int64)
         for i, (terms, weights) in enumerate(queries):
-            column = self.column[terms]
-            dense[i, column[column >= 0]] = weights[column >= 0]
-            rare, w = terms[column < 0], weights[column < 0]
-            start, size = self.posted_first[rare], self.posted_first[rare + 1] - self.posted_first[rare]
-            at = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(rare) else np.zeros(0, np.int64)
-            near[i] = np.bincount(self.posted[at], weights=self.posted_weight[at] * np.repeat(w, size), minlength=near.shape[1])
+            common = terms < self.common
+            dense[i, terms[common]] = weights[common]
+            rare = terms[~common]
+            start, end = self.posted_first[rare], self.posted_first[rare + 1]
+            if len(rare):
+                size = end - start
+                at = np.repeat(start - np.cumsum(size) + size, size)
+                at += np.arange(len(at))
+                got = pairs.take(at).view(self.posted.dtype)
+                near[i] = np.bincount(got["row"], weights=got["weight"] * np.repeat(weights[~common], size), minlength=near.shape[1])
         # what the other terms add is known, so only the common ones are bounded
         bound = near.reshape(len(queries), self.blocks, BLOCK).max(axis=2) + dense @ self.most.T
         left_out = np.full(len(queries), -1, np.int64)
@@ -257,7 +316,7 @@ class BlockMaxIndex:
         starts = np.concatenate([[0], np.cumsum(size)[:-1]])
         own = [slice(a, b) for a, b in zip(self.first[rows].tolist(), self.first[rows + 1].tolist(), strict=True)]
         self.query[terms] = weights
-        cosine = np.add.reduceat(np.concatenate([self.weight[x] for x in own]) * self.query[np.concatenate([self.term[x] for x in own])], starts)
+        cosine = np.add.reduceat(np.concatenate([self.weight[x] for x in own]) * self.query.take(np.concatenate([self.term[x] for x in own])), starts)
         self.query[terms] = 0.0
         example = self.order[rows]
         least = np.partition(cosine, len(cosine) - k)[-k] if len(cosine) > k else 0.0
@@ -357,7 +416,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         for batch in batches:
             columns: list[list[bytes]] = [[], [], [], []]
             for data in text.strings(batch, "text"):
-                counts = Counter(WORD.findall(data.lower()))
+                counts = Counter(words_of(data))
                 marks = marks_of(counts, terms)
                 cells = np.array([word_key(w) for w in counts], "<u8"), np.array(list(counts.values()), "<i4"), np.array(list(marks), "<i4"), np.array(list(marks.values()), "<i4")
                 for column, cell in zip(columns, cells, strict=True):

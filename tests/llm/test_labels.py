@@ -44,6 +44,33 @@ def test_block_max_is_exact():
         assert np.allclose(near, cosine[examples])
 
 
+def test_examples_of_a_kind_share_blocks():
+    rng = np.random.default_rng(5)
+    vectors = []
+    for i in range(1600):  # four vocabularies in turn, with one rare term each that they have in common
+        t = np.sort(np.append(rng.choice(40, 12, replace=False) + 40 * (i % 4), 160 + i // 4))
+        w = rng.uniform(1, 2, len(t)) + 5 * (t >= 160)
+        vectors.append((t, w / np.linalg.norm(w)))
+    index = toxicity.BlockMaxIndex(vectors, 560)
+    index.prepare()
+    assert index.common == 160 and sorted(index.order.tolist()) == list(range(1600))
+    kinds = (index.most.reshape(index.blocks, 160)[:, np.argsort(index.named[:160])] > 0).reshape(index.blocks, 4, 40).any(axis=2)
+    assert kinds.sum() < index.blocks + toxicity.KINDS  # few blocks lie where one kind meets the next
+    near, examples = index.top(*vectors[7], 25)
+    dense = np.zeros((1600, 560))
+    for row, (t, w) in zip(dense, vectors, strict=True):
+        row[t] = w
+    cosine = dense @ dense[7]
+    assert examples[0] == 7 and np.allclose(near, np.sort(cosine)[::-1][: len(near)]) and np.array_equal(index.vector(7)[0], vectors[7][0])
+
+
+def test_words_cut_as_bytes_are_those_of_the_pattern():
+    every = "".join(map(chr, [*range(0x250), 0x130, 0x1E9E, 0x2019, 0x20AC, 0x3042, 0xD800, 0x1F600]))
+    spaced = " ".join(every)
+    for data in ("", "Plain words, twice_2 - ok", "Gr\xfc\xdfe \xe0 l\xc9cole \xb2\xbd\xaa", "it\u2019s \u20ac5 \u201cso\u201d", "\u0130stanbul \u0151rs\u00e9g", "\ud800x", every, every[:256], spaced):
+        assert toxicity.words_of(data) == toxicity.WORD.findall(data.lower())
+
+
 def test_isotonic():
     steps, share = toxicity.isotonic(np.array([0.1, 0.1, 0.2, 0.3, 0.9, 0.9]), np.array([0, 0, 1, 0, 1, 1]))
     assert (np.diff(share) >= 0).all() and (np.diff(steps) > 0).all() and share[0] < 0.5 < share[-1]
