@@ -8,13 +8,20 @@ an audit, in which some of its queries are compared with the whole shard, finds
 enough of their links; queries whose whole beam are links scan the shard instead.
 Every link is verified in double precision.
 
-A task returns, for each query, how many vectors it found, and a spanning forest of
-its links, so its output is linear in its vectors however large the groups are.
+Graphs are files in the shared folder: a block opens them one after another, so
+neither graphs nor copies of the queries are shuffled, and a task holds one graph. It
+holds the pairs of a few queries at a time and returns, for each query, how many
+vectors it found, and a spanning forest of its links, so its output is linear in its
+vectors however large the groups are.
 """
 
 from __future__ import annotations
 
 import io
+import posixpath
+import uuid
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,6 +39,8 @@ LINKS, BUILD_BEAM, BATCH, THINNING, SMALL = 32, 48, 1024, 16, 64
 SHARD_ROWS, MIN_SHARDS, QUERY_ROWS, TOGETHER = 30_000, 2, 4096, 512
 #: First beam, widest beam, audited queries a block and shard, recall that passes.
 BEAM, WIDEST, AUDIT, RECALL = 64, 512, 256, 0.99
+#: Queries compared with a whole shard at once, and of them those whose pairs are held at once.
+SCANNED, HELD = 256, 32
 
 
 def select(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, m: int) -> np.ndarray:
@@ -171,56 +180,79 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def scan(q: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """All (query, node) with cosine of at least ``least``, by comparing them all, in blocks."""
-    found = [np.nonzero(q[i : i + 256] @ x.T >= least) for i in range(0, len(q), 256)]
-    return np.concatenate([r + 256 * i for i, (r, _) in enumerate(found)]), np.concatenate([c for _, c in found])
+def scan(q: np.ndarray, x: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (query, node) with cosine of at least ``least``, by comparing them all, in pieces."""
+    for i in range(0, len(q), SCANNED):
+        near = q[i : i + SCANNED] @ x.T >= least
+        for k in range(0, len(near), HELD):
+            r, c = np.nonzero(near[k : k + HELD])
+            yield r + (i + k), c
 
 
-def links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, own: np.ndarray, ids: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """(query, node) pairs verified at ``cosine``, and the beam that passed the audit. ``exact``, ``q``: unit vectors in double."""
-    slack, small = cosine - 1e-4, q.astype(np.float32)
-    audited = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(np.int64))
-    r, c = scan(q[audited], exact, cosine)
-    truth = {(int(audited[a]), int(b)) for a, b in zip(r, c, strict=True) if own[audited[a]] != ids[b]}
-    width = min(BEAM, len(exact))
-    while True:
-        if width > WIDEST or width >= len(exact):
-            r, c = scan(q, exact, cosine)
-            return r, c, len(exact)
-        near, sims = graph.search(small, width)
+def search_or_scan(graph: Graph, exact: np.ndarray, q: np.ndarray, cosine: float, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) pairs verified at ``cosine``, in pieces; those of a query whose beam is all links are scanned for."""
+    for i in range(0, len(q), TOGETHER):
+        own = q[i : i + TOGETHER]
+        near, sims = graph.search(own.astype(np.float32), width)
+        slack = cosine - 1e-4
         full = np.flatnonzero(sims[:, -1] >= slack)  # perhaps more links than the beam holds
         sims[full] = -2.0
         r, k = np.nonzero(sims >= slack)
         c = near[r, k]
-        good = np.concatenate([np.einsum("ij,ij->i", q[r[i : i + 65536]], exact[c[i : i + 65536]]) >= cosine for i in range(0, len(r), 65536)] or [np.zeros(0, bool)])
-        r, c = r[good], c[good]
-        if len(full):
-            more = scan(q[full], exact, cosine)
-            r, c = np.concatenate([r, full[more[0]]]), np.concatenate([c, more[1]])
-        if truth:
-            found = set(zip(r.tolist(), c.tolist(), strict=True))
-            if sum(t in found for t in truth) < RECALL * len(truth):
-                width *= 2
-                continue
-        return r, c, width
-
-
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links, each vector under the smallest seen so far."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = up
-        return x
-
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-    return [(x, find(x)) for x in root if find(x) != x]
+        good = np.concatenate([np.einsum("ij,ij->i", own[r[j : j + 65536]], exact[c[j : j + 65536]]) >= cosine for j in range(0, len(r), 65536)] or [np.zeros(0, bool)])
+        yield r[good] + i, c[good]
+        for r, c in scan(own[full], exact, cosine):
+            yield full[r] + i, c
+
+
+def audited_width(graph: Graph, exact: np.ndarray, q: np.ndarray, own: np.ndarray, ids: np.ndarray, cosine: float) -> int:
+    """The beam with which some of the queries find enough of their links; ``len(exact)``: scan."""
+    some = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(np.int64))
+    truth = (q[some] @ exact.T >= cosine) & (own[some, None] != ids)
+    links, width = np.count_nonzero(truth), min(BEAM, len(exact))
+    while width <= WIDEST and width < len(exact):
+        if not links or sum(np.count_nonzero(truth[r, c]) for r, c in search_or_scan(graph, exact, q[some], cosine, width)) >= RECALL * links:
+            return width
+        width *= 2
+    return len(exact)
+
+
+def pieces(graph: Graph, exact: np.ndarray, q: np.ndarray, cosine: float, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    return search_or_scan(graph, exact, q, cosine, width) if width < len(exact) else scan(q, exact, cosine)
+
+
+def links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, own: np.ndarray, ids: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(query, node) pairs verified at ``cosine``, and the beam that passed the audit. ``exact``, ``q``: unit vectors in double."""
+    width = audited_width(graph, exact, q, own, ids, cosine)
+    found = list(pieces(graph, exact, q, cosine, width))
+    return np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found]), width
+
+
+def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the sets of ``a`` and ``b``, pair by pair; ``root`` has the smallest member of everyone's set."""
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low < high
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def meet(graph: Graph, exact: np.ndarray, node: np.ndarray, copies: np.ndarray, q: np.ndarray, own: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each query, how many vectors it is linked with, copies counted; a spanning forest of the links, each vector under the smallest of its group."""
+    links, every = np.zeros(len(own), np.int64), np.union1d(own, node)
+    left, right, root = np.searchsorted(every, own), np.searchsorted(every, node), np.arange(len(every))
+    width = audited_width(graph, exact, q, own, node, cosine)
+    for r, c in pieces(graph, exact, q, cosine, width):
+        apart = own[r] != node[c]
+        r, c = r[apart], c[apart]
+        links += np.bincount(r, weights=copies[c], minlength=len(own)).astype(np.int64)
+        unite(root, left[r], right[c])
+    under = np.flatnonzero(root != np.arange(len(every)))
+    return links, np.stack([every[under], every[root[under]]], 1)
 
 
 def _matrix(cells) -> np.ndarray:
@@ -254,37 +286,41 @@ def near_duplicates(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
     packed = packed.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.lit(blocks)).cast("int"))
     packed = scratch.materialise(packed, "packed")
 
+    folder = scratch.new_dir(spark, "graphs")
+
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node").sample(frac=1.0, random_state=0)
         exact = unit(_matrix(pdf["v"].tolist()))
         graph = Graph.build(exact.astype(np.float32))
-        blob = io.BytesIO()
+        files, top = scratch.opened(folder)
+        files.create_dir(top, recursive=True)
+        file, blob = f"{uuid.uuid4().hex}.npz", io.BytesIO()  # a task that is repeated writes another file
         np.savez(blob, exact=exact, node=pdf["node"].to_numpy(), copies=pdf["copies"].to_numpy(), **{f"level{i}": x for i, x in enumerate(graph.levels)})
-        return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "graph": [blob.getvalue()]})
-
-    graphs = scratch.materialise(packed.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, graph binary"), "graphs")
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    queries = packed.drop("shard").withColumn("shard", everywhere)
-    met = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
-        with np.load(io.BytesIO(right["graph"].iloc[0])) as z:
-            exact, node, copies = z["exact"], z["node"], z["copies"]
-            levels = [z[f"level{i}"] for i in range(len(z.files) - 3)]
-        own = left["node"].to_numpy()
-        q = unit(_matrix(left["v"].tolist()))
-        r, c, _ = links_of(Graph(exact.astype(np.float32), levels), exact, q, own, node, cosine)
-        apart = own[r] != node[c]
-        r, c = r[apart], c[apart]
-        links = np.bincount(r, weights=copies[c], minlength=len(own)).astype(np.int64)
+        with files.open_output_stream(posixpath.join(top, file)) as f:
+            f.write(blob.getbuffer())
+        return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "file": [file]})
+
+    graphs = defaultdict(list)
+    for dim, _, file in sorted(map(tuple, packed.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, file string").collect())):  # one row a shard
+        graphs[dim].append(file)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = pd.concat(list(batches))
+        own, q = block["node"].to_numpy(), unit(_matrix(block["v"].tolist()))
+        links = np.zeros(len(own), np.int64)
+        files, top = scratch.opened(folder)
+        for file in graphs[int(block["dim"].iloc[0])]:
+            with files.open_input_file(posixpath.join(top, file)) as f, np.load(f) as z:
+                exact, node, copies = z["exact"], z["node"], z["copies"]
+                levels = [z[f"level{i}"] for i in range(len(z.files) - 3)]
+            found, trees = meet(Graph(exact.astype(np.float32), levels), exact, node, copies, q, own, cosine)
+            links += found
+            yield pd.DataFrame({"a": trees[:, 0], "b": trees[:, 1], "n": np.zeros(len(trees), np.int64)})
         has = np.flatnonzero(links)
-        trees = np.array(forest(own[r], node[c]), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": np.concatenate([own[has], trees[:, 0]]), "b": np.concatenate([np.full(len(has), -1), trees[:, 1]]), "n": np.concatenate([links[has], np.zeros(len(trees), np.int64)])})
+        yield pd.DataFrame({"a": own[has], "b": np.full(len(has), -1), "n": links[has]})
 
-    keys = ("dim", "shard", "block")
-    found = queries.groupBy(*keys).cogroup(met.groupBy(*keys)).applyInPandas(ask, "a long, b long, n long")
+    dealt = packed.repartition(4 * blocks, "dim", "block")  # few blocks share a task
+    found = dealt.groupBy("dim", "block").applyInPandas(ask, "a long, b long, n long")
     found = scratch.materialise(found, "links")
     linked = found.where("b < 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     stars = components(found.where("b >= 0").select("a", "b"))

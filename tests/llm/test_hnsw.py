@@ -1,5 +1,8 @@
+import tracemalloc
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from duotide.llm import hnsw
 
@@ -80,3 +83,35 @@ def test_unsound_vectors(spark):
 def test_nothing(spark):
     assert hnsw.near_duplicates(frame(spark, [])).count() == 0
     assert hnsw.near_duplicates(frame(spark, [(1, None, 0, 0, 0)])).collect()[0]["component"] == 1
+
+
+def test_graphs_are_no_cells_of_tables(spark, monkeypatch):
+    """Graphs grow with a shard's rows; a table that holds one brings it through the memory of every task that reads it."""
+    written, write = [], hnsw.scratch.materialise
+
+    def noted(df, *args, **kwargs):
+        written.append(write(df, *args, **kwargs))
+        return written[-1]
+
+    monkeypatch.setattr(hnsw.scratch, "materialise", noted)
+    x = np.random.default_rng(3).standard_normal((1500, 8)).astype(np.float32)
+    assert hnsw.near_duplicates(frame(spark, [(i, v.tolist(), 0, 1, 2) for i, v in enumerate(x)])).count() == 1500
+    cells = [t.agg(F.max(F.length(c))).first()[0] for t in written for c, kind in t.dtypes if kind == "binary"]
+    assert cells and max(cells) == 64
+
+
+def test_memory_of_a_large_group(monkeypatch):
+    """All 2,000 x 6,000 pairs are links: they would take 190 MB as places alone."""
+    rng = np.random.default_rng(4)
+    x = hnsw.unit(np.ones(8) + 0.02 * rng.standard_normal((6000, 8)))
+    monkeypatch.setattr(hnsw, "BEAM", 16)
+    graph = hnsw.Graph(x.astype(np.float32), [np.full((6000, hnsw.LINKS), -1, np.int32)])
+    graph.levels[0][:, 0] = np.roll(np.arange(6000), 1)
+    node, copies = rng.permutation(10_000)[:6000], rng.integers(1, 4, 6000)
+    tracemalloc.start()
+    links, trees = hnsw.meet(graph, x, node, copies, x[:2000], node[:2000], 0.9)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (links == copies.sum() - copies[:2000]).all()
+    assert sorted(trees[:, 0].tolist()) == sorted(set(node.tolist()) - {node.min()}) and set(trees[:, 1].tolist()) == {node.min()}
+    assert most < 100e6
