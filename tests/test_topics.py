@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from duotide.schemas import KPI_FIELDS
@@ -149,3 +150,17 @@ def test_predictions_and_kpi_to_topics(spark, tmp_path):
     sinks.write_kpi(row, {"topics": path, "topic": "kpi"}, 0)
     (message,) = _values(topics.scan(spark, path, "kpi"))
     assert json.loads(message) == {c: str(i) for i, c in enumerate(KPI_FIELDS)}
+
+
+def test_sessions_of_their_own(spark, tmp_path):
+    """A query over many records has a session with more partitions; the thread's active one stays as it is."""
+    path, out, checkpoint = (str(tmp_path / n) for n in ("topics", "out", "checkpoint"))
+    topics.write(_records(spark, [("k", "main")]), path)
+    for n in range(2):  # beside an active session that has the format
+        own = spark.newSession()
+        rows = own.range(3).select(F.col("id").cast("string").alias("value"))
+        topics.write(topics.keyed(rows, "a", 2), path)
+        assert topics.scan(own, path, "a").count() == topics.scan(spark, path, "a").count() == 1 + 3 * (n + 1)
+        _drain(own, path, out, checkpoint, 1)
+        assert SparkSession.getActiveSession()._jsparkSession.equals(spark._jsparkSession)
+    assert _values(spark.read.parquet(out)) == sorted(["main", *"012012"])
